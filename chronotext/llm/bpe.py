@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 1 << 19, 64
+REMEMBERED, LONGEST = 1 << 17, 64
 NEVER = 1 << 62
 
 
