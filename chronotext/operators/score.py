@@ -13,7 +13,8 @@ NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 
 
 def _clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Within 0 and 1; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def mine_scores(resp: DataFrame, column: str = "body") -> DataFrame:
@@ -23,7 +24,6 @@ def mine_scores(resp: DataFrame, column: str = "body") -> DataFrame:
     (above 1: out of ten); 4 its first number between 0 and 1; 5 its first number, out of ten; 0 none of these: 0.5.
     """
     body = F.regexp_replace(F.coalesce(column, F.lit("")), r"^[ \t\n\r\"']+|[ \t\n\r\"']+$", "")
-    num = lambda c: F.expr("1D") * c.try_cast("double")
     whole = F.when(body.rlike(rf"^-?{NUMBER}$"), _clamp(body.try_cast("double")))
     in_json = F.get_json_object(F.when(body.rlike(r"^\{"), body), "$.score")
     json = F.when(in_json.rlike(rf"^-?{NUMBER}$"), _clamp(in_json.try_cast("double")))

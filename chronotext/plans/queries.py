@@ -11,6 +11,7 @@ from chronotext.functions import text as X
 from chronotext.operators import chunk, clean, docs, infer, sample, score, timejoin, topics
 from chronotext.plans import inputs
 from chronotext.plans.ctes import MAX, MIN, OVERLAP, THRESHOLD
+from chronotext.plans.staging import staged
 from chronotext.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,7 @@ def query(f):
     return f
 
 
-#: Derived tables that several later steps read; kept, so that plans stay short and no step is worked out twice.
+#: Derived tables that several later steps read; written out, so that plans stay short and no step is worked out twice.
 STAGED = {"chunks", "schunks", "summaries", "bounds", "grouped", "parts", "sections", "execs", "picked", "kept"}
 
 
@@ -33,7 +34,7 @@ class Tables:
 
     def __getattr__(self, name):
         made = MADE[name](self) if name in MADE else getattr(inputs, name)(self.spark, self.sf)
-        made = made.persist() if name in STAGED else made
+        made = staged(made, name) if name in STAGED else made
         setattr(self, name, made)
         return made
 
@@ -233,7 +234,8 @@ def _near(df: DataFrame, *keys: str) -> DataFrame:
 def c1_nearest(spark, sf):
     t = on(spark, sf)
     mids = clean.with_times(t.chunks).select("source_id", "chunk_no", "midpoint")
-    return _near(timejoin.nearest(mids, t.frames, "midpoint", ["chunk_no"], 5.0), "source_id", "chunk_no")
+    rows = _near(timejoin.nearest(mids, t.frames, "midpoint", ["chunk_no"], 5.0), "source_id", "chunk_no")
+    return rows.fillna({"frame_id": -1, "ts": -1.0})
 
 
 @query
@@ -291,7 +293,7 @@ def c9_active_section(spark, sf):
 @query
 def c10_active_line(spark, sf):
     t = on(spark, sf)
-    return timejoin.active_line(t.playback, t.aligned, ["viewer_event"]).select("viewer_event", "source_id", "line_seq")
+    return timejoin.active_line(t.playback, t.aligned, ["viewer_event"]).select("viewer_event", "source_id", "line_seq").fillna({"line_seq": -1})
 
 
 @query

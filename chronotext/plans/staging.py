@@ -1,0 +1,24 @@
+"""Tables written to the shared folder between steps, so that plans stay short and lost executors cost no recomputation."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none (tests), a new temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="chronotext-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written under ``name`` and read back."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
