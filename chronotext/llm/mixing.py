@@ -103,7 +103,8 @@ def mix(docs: DataFrame, seed: int = 5, weight: Column | None = None, **how) ->
     before = (F.col("bin") < F.col("edge_bin")) & (F.col("target") > 0)
     cut = F.col("cut_key").isNotNull() & (F.col("bin") == F.col("edge_bin"))
     first = (F.col("es_key") < F.col("cut_key")) | ((F.col("es_key") == F.col("cut_key")) & (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") <= F.col("cut_id"), F.lit(False))))
-    part = F.when(F.coalesce(before, F.lit(False)) | F.coalesce(cut & first, F.lit(False)), 1).otherwise(0)
+    over = F.col("target") > F.col("epochs") * F.col("source_size")
+    part = F.when(over & (F.coalesce(before, F.lit(False)) | F.coalesce(cut & first, F.lit(False))), 1).otherwise(0)
     return got.withColumn("times", F.col("epochs") + part).select(*docs.columns, "size", "source_size", "target", "times")
 
 
