@@ -33,7 +33,7 @@ def positions(stream: DataFrame, nested: DataFrame, pad: float = 0.12, near: flo
 def track_positions(stream: DataFrame, nested: DataFrame, delay: str = "10 minutes", ttl_ms: int = 3_600_000) -> DataFrame:
     """Changes of what each viewer of a source is shown: a row whenever section or line differs from the one before.
 
-    The watermark bounds late positions; a viewer idle for ``ttl_ms`` is forgotten.
+    The watermark bounds late positions; a viewer that the watermark leaves ``ttl_ms`` behind is forgotten.
     """
     rows = positions(stream.withWatermark("event_time", delay), nested)
 
@@ -50,14 +50,18 @@ def track_positions(stream: DataFrame, nested: DataFrame, delay: str = "10 minut
                 out.append((key[0], key[1], r.event_time, *now))
                 last = now
         state.update(last)
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(int(pdf["event_time"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame(out, columns=["viewer", "source_id", "event_time", "section_id", "line_seq"]).astype({"line_seq": "Int64"})
 
-    return rows.groupBy("viewer", "source_id").applyInPandasWithState(changes, "viewer long, source_id long, event_time timestamp, section_id string, line_seq int", "section_id string, line_seq int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("viewer", "source_id").applyInPandasWithState(changes, "viewer long, source_id long, event_time timestamp, section_id string, line_seq int", "section_id string, line_seq int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rolling_history(stream: DataFrame, n: int = 8, ttl_ms: int = 86_400_000) -> DataFrame:
-    """(conv_id, turn, history): after each batch, the last ``n`` turns of every conversation that got one; state holds just these."""
+def rolling_history(stream: DataFrame, n: int = 8, ttl_ms: int | None = None) -> DataFrame:
+    """(conv_id, turn, history): after each batch, the last ``n`` turns of every conversation that got one; state holds just these.
+
+    With ``ttl_ms`` a conversation idle for that long is forgotten; such a stream never runs out of batches, so it suits
+    continuous triggers only.
+    """
 
     def keep(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -68,8 +72,9 @@ def rolling_history(stream: DataFrame, n: int = 8, ttl_ms: int = 86_400_000) ->
             old += [(int(r.turn), str(r.role or "user"), str(r.text or "")) for r in pdf.itertuples(index=False)]
         old = sorted(old)[-n:]
         state.update(tuple(list(c) for c in zip(*old, strict=True)))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         lines = [f"{'User' if role.strip().lower() == 'user' else 'Assistant'}: {text.strip()}" for _, role, text in old if text.strip()]
         yield pd.DataFrame([(key[0], old[-1][0], "\n".join(lines))], columns=["conv_id", "turn", "history"])
 
-    return stream.groupBy("conv_id").applyInPandasWithState(keep, "conv_id long, turn long, history string", "turn array<long>, role array<string>, text array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("conv_id").applyInPandasWithState(keep, "conv_id long, turn long, history string", "turn array<long>, role array<string>, text array<string>", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
