@@ -69,10 +69,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Of two bags of words, words of more than five letters counting double; 0 where either is empty."""
-    keys = F.array_union(a, b)
-    count = lambda bag, w: F.size(F.filter(bag, lambda x: x == w)) * F.when(F.length(w) > 5, 2).otherwise(1)
-    add = lambda f: F.aggregate(F.transform(keys, lambda w: f(count(a, w), count(b, w))), F.lit(0), lambda s, x: s + x)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(add(F.least) / add(F.greatest))
+    weight = lambda w: F.when(F.length(w) > 5, 2).otherwise(1)
+    count = lambda bag, w: F.size(F.filter(bag, lambda x: x == w))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    # Only shared words have a smaller count above zero, and the larger counts are what both bags hold without these.
+    low = total(F.transform(F.array_intersect(a, b), lambda w: F.least(count(a, w), count(b, w)) * weight(w)))
+    high = total(F.transform(a, weight)) + total(F.transform(b, weight)) - low
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(low / high)
 
 
 def format_time(seconds: Column) -> Column:

@@ -48,7 +48,8 @@ def _tokens(rows: Column, lo: Column, hi: Column) -> Column:
 
 def _build(counted: DataFrame, ranges: DataFrame, counter: Callable[[Column], Column]) -> DataFrame:
     """Chunks from ranges: text joined, times of the first and last segment, tokens of the joined text, indexes of the segments."""
-    rows = counted.join(ranges, "source_id").filter("idx BETWEEN lo AND hi")
+    # Rows from a generator have no reliable size estimate, so the strategy is set here.
+    rows = counted.join(ranges.hint("shuffle_merge"), "source_id").filter("idx BETWEEN lo AND hi")
     parts = F.array_sort(F.collect_list(F.struct("idx", "text", "seq")))
     out = rows.groupBy("source_id", "chunk_no").agg(parts.alias("p"), F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"))
     out = out.withColumn("text", F.array_join(F.transform("p", lambda x: x["text"]), " ")).withColumn("segment_indices", F.transform("p", lambda x: x["seq"]))

@@ -25,7 +25,7 @@ def timeline(sections: DataFrame, seg: DataFrame) -> DataFrame:
     """
     span = seg.groupBy("source_id").agg(F.min_by("start", "seq").alias("r0"), F.max_by("end", "seq").alias("r1"))
     w = W.Window.partitionBy("source_id").orderBy("start", "end", "section_id")
-    rows = sections.select("source_id", "section_id", "start", "end").join(span, "source_id")
+    rows = sections.select("source_id", "section_id", "start", "end").join(span.hint("shuffle_merge"), "source_id")
     rows = rows.withColumn("_next", F.coalesce(F.lead("start").over(w), F.col("r1")))
     rows = rows.withColumn("_stop", F.least("end", "_next", "r1"))
     reached = F.max(F.greatest(F.col("r0"), F.col("start"), F.col("_stop"))).over(w.rowsBetween(W.Window.unboundedPreceding, -1))
@@ -57,7 +57,7 @@ def slot_frames(sections: DataFrame, picked: DataFrame) -> DataFrame:
 
 def place_frames(blurb_rows: DataFrame, obs: DataFrame, slack: float = 1.5) -> DataFrame:
     """(source_id, frame_id, ts, blurb_no): each frame goes behind the first blurb that ends at most ``slack`` before it, else behind the last."""
-    rows = obs.select("source_id", "frame_id", "ts").join(blurb_rows.select("source_id", "blurb_no", F.col("end").alias("_end")), "source_id")
+    rows = obs.select("source_id", "frame_id", "ts").join(blurb_rows.select("source_id", "blurb_no", F.col("end").alias("_end")).hint("shuffle_merge"), "source_id")
     out = rows.groupBy("source_id", "frame_id", "ts").agg(F.min(F.when(F.col("ts") <= F.col("_end") + slack, F.col("blurb_no"))).alias("first"), F.max("blurb_no").alias("last"))
     return out.select("source_id", "frame_id", "ts", F.coalesce("first", "last").alias("blurb_no"))
 
@@ -94,8 +94,9 @@ def match_points(points: DataFrame, shots: DataFrame, least: float = 0.08) -> Da
 
     ``points`` has point_no, point, start and end of the section; ``shots`` has frame_id, ts, caption and content_score.
     """
-    pairs = points.join(shots, ["source_id", "section_id"])
-    a, b = X.caption_tokens(F.col("point")), X.caption_tokens(F.col("caption"))
+    # Tokens become columns before the join, once a point or frame, not once a pair and word.
+    pairs = points.withColumn("_a", X.caption_tokens(F.col("point"))).join(shots.withColumn("_b", X.caption_tokens(F.col("caption"))).hint("shuffle_merge"), ["source_id", "section_id"])
+    a, b = F.col("_a"), F.col("_b")
     mid, width = (F.col("start") + F.col("end")) / 2, F.greatest(F.col("end") - F.col("start"), F.lit(1.0))
     prox = F.greatest(1 - F.abs(F.col("ts") - mid) / width, F.lit(0.0))
     score = F.when(F.size(b) == 0, 0.05 * prox).otherwise(X.weighted_jaccard(a, b) + 0.02 * prox + 0.01 * F.coalesce("content_score", F.lit(0.0)))
@@ -148,7 +149,7 @@ def transcript_md(sources: DataFrame, sections: DataFrame, seg: DataFrame) -> Da
     tops = sections.filter("parent_id IS NULL")
     blocks = timeline(topics.leaves(sections), seg).join(sections.select("source_id", "section_id", "heading"), ["source_id", "section_id"], "left")
     said = timejoin.contained(seg, blocks).groupBy("source_id", "block_no").agg(F.array_join(_ordered(F.collect_list(F.struct("start", "seq", "text")), "text"), " ").alias("said"))
-    rows = blocks.join(said, ["source_id", "block_no"], "left")
+    rows = blocks.join(said.hint("shuffle_merge"), ["source_id", "block_no"], "left")
     times = F.concat(F.lit("*"), X.format_time(F.col("block_start")), F.lit(" — "), X.format_time(F.col("block_end")), F.lit("*"))
     body = F.concat_ws("\n", F.concat(F.lit("## "), F.coalesce("heading", F.lit("Transcript"))), F.lit(""), times, F.lit(""), F.coalesce("said", F.lit("")), F.lit(""), F.lit("---"), F.lit(""))
     text = rows.withColumn("_b", body).groupBy("source_id").agg(F.array_join(_ordered(F.collect_list(F.struct("block_no", "_b")), "_b"), "\n").alias("body"))

@@ -36,7 +36,7 @@ def nearest(points: DataFrame, obs: DataFrame, at: str, key: list[str], tol: flo
     """
     found = reach(points.select("source_id", *key, at), obs.select("source_id", F.struct(*[c for c in obs.columns if c != "source_id"]).alias("near"), F.col("ts").alias("_ts")), F.col(at) - tol, F.col(at) + tol, "_ts", max(tol, 1e-9) * 2)
     best = found.groupBy("source_id", *key).agg(F.min_by("near", F.struct(F.abs(F.col("_ts") - F.col(at)), "_ts", "near.frame_id")).alias("near"))
-    return points.join(best, ["source_id", *key], "left")
+    return points.join(best.hint("shuffle_merge"), ["source_id", *key], "left")
 
 
 def nearest_any(points: DataFrame, obs: DataFrame, at: str, id_col: str = "frame_id", ts: str = "ts") -> DataFrame:
@@ -61,13 +61,13 @@ def within(left: DataFrame, obs: DataFrame, pad: float = 3.0, width: float = 30.
 
 def overlap(seg: DataFrame, sec: DataFrame) -> DataFrame:
     """Segments and sections of a source that share time (touching is not enough); ``sec`` has sec_start and sec_end."""
-    return seg.join(sec, "source_id").filter((F.col("end") > F.col("sec_start")) & (F.col("start") < F.col("sec_end")))
+    return seg.join(sec.hint("shuffle_merge"), "source_id").filter((F.col("end") > F.col("sec_start")) & (F.col("start") < F.col("sec_end")))
 
 
 def contained(seg: DataFrame, blocks: DataFrame) -> DataFrame:
     """Segments with the block (block_start, block_end) in which they start; a block that ends with the transcript includes its end."""
     last = seg.groupBy("source_id").agg(F.max_by("end", "seq").alias("_last"))
-    rows = seg.join(blocks, "source_id").join(last, "source_id")
+    rows = seg.join(blocks.hint("shuffle_merge"), "source_id").join(last.hint("shuffle_merge"), "source_id")
     closed = (F.col("block_end") == F.col("_last")) & (F.col("start") <= F.col("block_end"))
     return rows.filter((F.col("start") >= F.col("block_start")) & ((F.col("start") < F.col("block_end")) | closed)).drop("_last")
 
@@ -94,19 +94,19 @@ def active_section(pos: DataFrame, sections: DataFrame, key: list[str]) -> DataF
     is_open = (F.col("sec_start") <= F.col("t")) & (F.col("t") < F.col("sec_end"))
     first = lambda rows: rows.groupBy("source_id", *key).agg(F.min_by("section_id", "ord").alias("hit"))
     slim = pos.select("source_id", *key, "t")
-    top = first(slim.join(tops, "source_id").filter(is_open)).withColumnRenamed("hit", "top_id")
-    kid = slim.join(top, ["source_id", *key]).join(kids, "source_id").filter(is_open & (F.col("parent_id") == F.col("top_id")))
-    out = pos.join(top, ["source_id", *key], "left").join(first(kid).withColumnRenamed("hit", "kid_id"), ["source_id", *key], "left")
+    top = first(slim.join(tops.hint("shuffle_merge"), "source_id").filter(is_open)).withColumnRenamed("hit", "top_id")
+    kid = slim.join(top.hint("shuffle_merge"), ["source_id", *key]).join(kids.hint("shuffle_merge"), "source_id").filter(is_open & (F.col("parent_id") == F.col("top_id")))
+    out = pos.join(top.hint("shuffle_merge"), ["source_id", *key], "left").join(first(kid).withColumnRenamed("hit", "kid_id").hint("shuffle_merge"), ["source_id", *key], "left")
     return out.withColumn("section_id", F.coalesce("kid_id", "top_id")).drop("kid_id", "top_id")
 
 
 def active_line(pos: DataFrame, seg: DataFrame, key: list[str], pad: float = 0.12, near: float = 1.5) -> DataFrame:
     """Each position with the transcript line shown then: the last one open (``pad`` on either side), else the one with the nearest midpoint within ``near``."""
-    rows = pos.select("source_id", *key, "t").join(seg.select("source_id", "seq", "start", "end"), "source_id")
+    rows = pos.select("source_id", *key, "t").join(seg.select("source_id", "seq", "start", "end").hint("shuffle_merge"), "source_id")
     far = F.abs(F.col("t") - (F.col("start") + F.col("end")) / 2)
     is_open = (F.col("start") - pad <= F.col("t")) & (F.col("t") < F.col("end") + pad)
     best = rows.groupBy("source_id", *key).agg(F.max(F.when(is_open, F.col("seq"))).alias("_open"), F.min(F.when(far <= near, F.struct(far.alias("d"), "seq"))).alias("_near"))
-    return pos.join(best, ["source_id", *key], "left").withColumn("line_seq", F.coalesce("_open", "_near.seq")).drop("_open", "_near")
+    return pos.join(best.hint("shuffle_merge"), ["source_id", *key], "left").withColumn("line_seq", F.coalesce("_open", "_near.seq")).drop("_open", "_near")
 
 
 def neighbours(pos: DataFrame, seg: DataFrame, key: list[str], at: str = "t", n: int = 3) -> DataFrame:
@@ -124,4 +124,4 @@ def blurb_breaks(seg: DataFrame, obs: DataFrame, slack: float = 1.0) -> DataFram
     before = F.lag("end").over(W.Window.partitionBy("source_id").orderBy("start", "seq"))
     rows = seg.withColumn("_before", before)
     hit = reach(rows.filter("_before IS NOT NULL").select("source_id", "seq", "start", "_before"), obs.select("source_id", "ts"), F.col("_before") - slack, F.col("start") + slack, "ts", 10.0).select("source_id", "seq").distinct()
-    return rows.join(hit.withColumn("_hit", F.lit(True)), ["source_id", "seq"], "left").withColumn("breaks", F.coalesce("_hit", F.lit(False))).drop("_hit", "_before")
+    return rows.join(hit.withColumn("_hit", F.lit(True)).hint("shuffle_merge"), ["source_id", "seq"], "left").withColumn("breaks", F.coalesce("_hit", F.lit(False))).drop("_hit", "_before")

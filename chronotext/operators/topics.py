@@ -104,7 +104,7 @@ def partition_topics(grouped: DataFrame, summaries: DataFrame, max_summaries: in
         return F.struct(F.when(close, s["no"] + 1).otherwise(s["no"]).alias("no"), F.when(close, 0).otherwise(n).alias("n"), out.alias("out"))
 
     parts = per.select("source_id", F.explode(F.aggregate("items", start, step)["out"]).alias("p")).select("source_id", "p.chunk_no", "p.sub_no")
-    return grouped.join(parts, ["source_id", "chunk_no"])
+    return grouped.join(parts.hint("shuffle_merge"), ["source_id", "chunk_no"])
 
 
 def _rollup(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -239,7 +239,7 @@ def section_frames(picked: DataFrame, ranked: DataFrame | None = None, keep: int
     if ranked is not None:
         r = ranked.select("source_id", "section_id", F.posexplode("ids").alias("_pos", "_id"))
         r = r.groupBy("source_id", "section_id", "_id").agg(F.min("_pos").alias("_pos"))
-        hits = picked.withColumn("_id", F.concat(F.lit("frame_"), F.col("pick_no").cast("string"))).join(r, ["source_id", "section_id", "_id"]).drop("_id")
+        hits = picked.withColumn("_id", F.concat(F.lit("frame_"), F.col("pick_no").cast("string"))).join(r.hint("shuffle_merge"), ["source_id", "section_id", "_id"]).drop("_id")
         own = rows.join(hits.select("source_id", "section_id").distinct(), ["source_id", "section_id"], "left_anti")
         rows = own.unionByName(hits.withColumnRenamed("_pos", "_rank"))
     best = W.Window.partitionBy("source_id", "section_id").orderBy("_rank")

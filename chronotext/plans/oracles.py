@@ -36,6 +36,8 @@ nullif(regexp_extract(lower(b), '(?:score|importance|rating|value)[: \t\n=]+({NU
 mined AS (SELECT conv_id, turn, coalesce(s1, s2, CASE WHEN n3 > 1 THEN least(1.0, n3 / 10) ELSE n3 END, list_filter(ns, lambda x: x <= 1)[1], CASE WHEN len(ns) > 0 THEN least(1.0, ns[1] / 10) END, 0.5) AS score,
 CASE WHEN s1 IS NOT NULL THEN 1 WHEN s2 IS NOT NULL THEN 2 WHEN n3 IS NOT NULL THEN 3 WHEN len(list_filter(ns, lambda x: x <= 1)) > 0 THEN 4 WHEN len(ns) > 0 THEN 5 ELSE 0 END AS rule FROM mt)"""
 
+SCORE_ASK = "'Rate from 0 to 1 how much this passage matters to someone learning the subject. Answer with the number.' || chr(10) || chr(10)"
+
 
 def q(names: str, select: str, *more: str) -> str:
     """An oracle over shared tables and tables of its own."""
@@ -139,4 +141,17 @@ FROM (SELECT *, array_to_string(s[1:2], '. ') AS two FROM (SELECT source_id, chu
     "m2_by_change": q("frames", "SELECT * FROM frames WHERE scene_diff > 0.25 UNION ALL SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_id, floor(ts / 30) ORDER BY ts, frame_id) AS rn FROM frames f WHERE NOT EXISTS (SELECT 1 FROM frames g WHERE g.source_id = f.source_id AND g.scene_diff > 0.25)) WHERE rn = 1"),
     "m3_at_points": q("mids frames", "SELECT source_id, chunk_no, frame_id, ts FROM nb WHERE frame_id IS NOT NULL", near("mids", "source_id, chunk_no", "midpoint", "frames", None)),
     "n2_token_counter": q("aligned", 'SELECT source_id, sum(ceil(length(text) / 4))::BIGINT AS word_count, count(*) AS n_segments, arg_max("end", seq) AS duration FROM aligned GROUP BY source_id'),
+    "a5_notes_sections": q("sections", f"""SELECT source_id, (row_number() OVER (PARTITION BY source_id ORDER BY section_id) - 1)::INT AS section_no, CASE WHEN parent_id IS NULL THEN 2 ELSE 3 END AS level, {ends('heading')} AS heading, {ends('summary')} AS summary, array_to_string(list_transform(key_points, lambda k: {ends('k')}), ' | ') AS key_points FROM sections"""),
+    "a6_exec_summary": q("execs", f"SELECT source_id, {ends('executive_summary')} AS executive_summary FROM execs"),
+    "a8_library": q("meta", "SELECT 'out/' || source_id || '/notes.md' AS path, title FROM meta"),
+    "k8_prompts": q("chunks", f"""SELECT source_id, chunk_no, 'score' AS kind, {SCORE_ASK} || left(text, 800) AS prompt FROM chunks UNION ALL SELECT source_id, chunk_no, 'chunk', 'Summarise this passage as JSON with heading, main_idea, key_points, keywords and transition (continue, shift or conclusion).' || chr(10) || 'Give the main takeaway in few words and leave background out.' || chr(10) || context || chr(10) || chr(10) || left(text, 3000) FROM ctx""",
+                    f"""ctx AS (SELECT source_id, chunk_no, text, concat_ws(chr(10), CASE WHEN b IS NOT NULL THEN 'Before: ' || {compact('b')} END, CASE WHEN a IS NOT NULL THEN 'After: ' || {compact('a')} END) AS context FROM (SELECT *, lag(text) OVER w AS b, lead(text) OVER w AS a FROM chunks WINDOW w AS (PARTITION BY source_id ORDER BY chunk_no)))"""),
+    "n1_infer": q("chunks", "SELECT source_id, chunk_no, CASE WHEN n % 11 <> 0 THEN '0.' || (n % 10) END AS body, CASE WHEN n % 11 = 0 THEN 'ValueError: bad prompt' END AS error FROM asked", f"asked AS (SELECT source_id, chunk_no, length({SCORE_ASK} || left(text, 800)) AS n FROM chunks)"),
+    "n3_scorer": q("chunks", "SELECT source_id, chunk_no, CASE WHEN n % 11 <> 0 THEN (n % 10) / 10.0::DOUBLE ELSE 0.5 END AS score, CASE WHEN n % 11 <> 0 THEN 1 ELSE 0 END AS rule FROM asked", f"asked AS (SELECT source_id, chunk_no, length({SCORE_ASK} || left(text, 800)) AS n FROM chunks)"),
+    "m4_observe": q("chunks frames", """SELECT source_id, (row_number() OVER (PARTITION BY source_id ORDER BY ts, frame_id) - 1)::INT AS frame_no, frame_id, ts, round(content_score, 6) AS content_score FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY content_score DESC, ts, frame_id) AS best FROM (
+SELECT *, CASE WHEN max(size) OVER (PARTITION BY source_id) > 0 THEN least(1.0::DOUBLE, size / max(size) OVER (PARTITION BY source_id)) ELSE 0.0 END AS content_score FROM (SELECT source_id, arg_max(frame_id, rn) AS frame_id, arg_max(ts, rn) AS ts, arg_max(size, rn) AS size FROM dd GROUP BY source_id, slot))) WHERE best <= 12""", POINTS_T,
+                    "prim AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_id, floor(ts / 10) ORDER BY ts, frame_id) AS rn FROM frames) WHERE rn = 1)",
+                    "far AS (SELECT * FROM tp WHERE NOT EXISTS (SELECT 1 FROM prim f WHERE f.source_id = tp.source_id AND abs(f.ts - tp.t) < 3))",
+                    f"nb AS ({nearest('far', 'source_id, t', 't', 'frames', None, 'frame_id, ts, size')})",
+                    "bag AS (SELECT source_id, frame_id, ts, size FROM prim UNION ALL SELECT source_id, frame_id, ts, size FROM nb WHERE frame_id IS NOT NULL)", DEDUP.replace("FROM frames", "FROM bag")),
 }

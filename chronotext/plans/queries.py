@@ -554,7 +554,7 @@ def g3_effective(spark, sf):
 
 def _pairs(t: Tables) -> DataFrame:
     a = t.aligned.select("source_id", "seq", "text")
-    return a.join(a.select("source_id", (F.col("seq") - 1).alias("seq"), F.col("text").alias("other")), ["source_id", "seq"])
+    return a.join(a.select("source_id", (F.col("seq") - 1).alias("seq"), F.col("text").alias("other")).hint("shuffle_merge"), ["source_id", "seq"])
 
 
 @query
@@ -565,8 +565,8 @@ def g4_jaccard(spark, sf):
 
 @query
 def g5_weighted_jaccard(spark, sf):
-    rows = _pairs(on(spark, sf))
-    return rows.select("source_id", "seq", F.round(X.weighted_jaccard(X.caption_tokens(F.col("text")), X.caption_tokens(F.col("other"))), 6).alias("similarity"))
+    rows = _pairs(on(spark, sf)).withColumn("a", X.caption_tokens(F.col("text"))).withColumn("b", X.caption_tokens(F.col("other")))
+    return rows.select("source_id", "seq", F.round(X.weighted_jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 # Hierarchy
