@@ -1,8 +1,9 @@
 """Joins of timed rows: nearest, within, overlapping, containing, proximity anti and semi joins, all inside a source.
 
 With a finite reach both sides are cut into time cells, so each row meets only rows of its own and the neighbouring cells;
-a source with very many observations is thereby spread over tasks instead of filling one.  Without a reach, the nearest
-observation comes from windows over the merged time line, which needs one sort and no join.
+a source with very many observations is thereby spread over tasks instead of filling one.  Intervals of any length meet in
+cells of their own order of magnitude (:func:`spans`), so neither long nor short ones are copied into many cells.  Without a
+reach, the nearest observation comes from windows over the merged time line, which needs one sort and no join.
 """
 
 from __future__ import annotations
@@ -29,6 +30,41 @@ def reach(left: DataFrame, right: DataFrame, lo: Column, hi: Column, ts: str, wi
     return a.join(b.hint("shuffle_hash"), on).drop("_lo", "_hi", "_cell", "_sid", "_c")
 
 
+#: Cells of intervals are STEP ** level seconds wide, on levels 0 to LEVELS; times beyond FAR seconds count as FAR.
+STEP, LEVELS, FAR = 16, 6, 1e11
+
+
+def _placed(df: DataFrame, lo: Column, hi: Column, p: str, levels) -> DataFrame:
+    """``df`` once per cell that lo..hi touches on its own level, the lowest whose cells are as long, or on each of ``levels(own)``.
+
+    On its own level and above an interval touches at most two cells, but for those longer than the widest cell.  Bounds in
+    the wrong order are swapped; NaN counts as the far end; rows without a bound touch nothing.
+    """
+    near = lambda c: F.greatest(F.lit(-FAR), F.least(F.lit(FAR), c.cast("double")))
+    out = df.filter(lo.isNotNull() & hi.isNotNull()).withColumn("_a", near(F.least(lo, hi))).withColumn("_b", near(F.greatest(lo, hi)))
+    own = sum(((F.col("_b") - F.col("_a") > float(STEP**k)).cast("int") for k in range(LEVELS)), F.lit(0))
+    out = out.withColumn("_level", own if levels is None else F.explode(levels(own)))
+    width = F.get(F.array(*(F.lit(float(STEP**k)) for k in range(LEVELS + 1))), F.col("_level"))
+    out = out.withColumn(p, F.floor(F.col("_a") / width).cast("long"))
+    return out.withColumn("_cell", F.explode(F.sequence(F.col(p), F.floor(F.col("_b") / width).cast("long")))).drop("_a", "_b")
+
+
+def spans(left: DataFrame, right: DataFrame, a: tuple[Column, Column], b: tuple[Column, Column]) -> DataFrame:
+    """Rows of ``left`` and ``right`` of one source whose closed intervals ``a`` and ``b`` come near each other, each pair once.
+
+    All pairs that touch are among them; callers filter for the exact relation.  A pair meets on the level of its longer
+    interval, in the first cell that both touch there.  A point is an interval with equal bounds.  Columns other than
+    source_id must not clash.
+    """
+    from_own = lambda own: F.sequence(own, F.lit(LEVELS))
+    above = lambda own: F.slice(F.sequence(own, F.lit(LEVELS)), 2, LEVELS + 1)
+    met = lambda x, y: x.join(y.hint("shuffle_merge"), ["source_id", "_level", "_cell"]).filter(F.col("_cell") == F.greatest("_fa", "_fb")).drop("_level", "_cell", "_fa", "_fb")
+    short_left = met(_placed(left, *a, "_fa", from_own), _placed(right, *b, "_fb", None))
+    if a[0] is a[1]:  # points are never the longer ones
+        return short_left
+    return short_left.unionByName(met(_placed(left, *a, "_fa", None), _placed(right, *b, "_fb", above)))
+
+
 def nearest(points: DataFrame, obs: DataFrame, at: str, key: list[str], tol: float) -> DataFrame:
     """Each point with the observation nearest to ``at`` within ``tol`` (inclusive) as the struct ``near``; null where there is none.
 
@@ -61,15 +97,17 @@ def within(left: DataFrame, obs: DataFrame, pad: float = 3.0, width: float = 30.
 
 def overlap(seg: DataFrame, sec: DataFrame) -> DataFrame:
     """Segments and sections of a source that share time (touching is not enough); ``sec`` has sec_start and sec_end."""
-    return seg.join(sec.hint("shuffle_merge"), "source_id").filter((F.col("end") > F.col("sec_start")) & (F.col("start") < F.col("sec_end")))
+    met = spans(seg, sec, (F.col("start"), F.col("end")), (F.col("sec_start"), F.col("sec_end")))
+    return met.filter((F.col("end") > F.col("sec_start")) & (F.col("start") < F.col("sec_end")))
 
 
 def contained(seg: DataFrame, blocks: DataFrame) -> DataFrame:
     """Segments with the block (block_start, block_end) in which they start; a block that ends with the transcript includes its end."""
     last = seg.groupBy("source_id").agg(F.max_by("end", "seq").alias("_last"))
-    rows = seg.join(blocks.hint("shuffle_merge"), "source_id").join(last.hint("shuffle_merge"), "source_id")
-    closed = (F.col("block_end") == F.col("_last")) & (F.col("start") <= F.col("block_end"))
-    return rows.filter((F.col("start") >= F.col("block_start")) & ((F.col("start") < F.col("block_end")) | closed)).drop("_last")
+    at = F.col("start")
+    rows = spans(seg, blocks.join(last.hint("shuffle_merge"), "source_id"), (at, at), (F.col("block_start"), F.col("block_end")))
+    closed = (F.col("block_end") == F.col("_last")) & (at <= F.col("block_end"))
+    return rows.filter((at >= F.col("block_start")) & ((at < F.col("block_end")) | closed)).drop("_last")
 
 
 def anti_near(times: DataFrame, obs: DataFrame, tol: float = 3.0) -> DataFrame:
@@ -93,17 +131,21 @@ def active_section(pos: DataFrame, sections: DataFrame, key: list[str]) -> DataF
     tops, kids = sections.filter("parent_id IS NULL"), sections.filter("parent_id IS NOT NULL")
     is_open = (F.col("sec_start") <= F.col("t")) & (F.col("t") < F.col("sec_end"))
     first = lambda rows: rows.groupBy("source_id", *key).agg(F.min_by("section_id", "ord").alias("hit"))
-    slim = pos.select("source_id", *key, "t")
-    top = first(slim.join(tops.hint("shuffle_merge"), "source_id").filter(is_open)).withColumnRenamed("hit", "top_id")
-    kid = slim.join(top.hint("shuffle_merge"), ["source_id", *key]).join(kids.hint("shuffle_merge"), "source_id").filter(is_open & (F.col("parent_id") == F.col("top_id")))
+    slim, t = pos.select("source_id", *key, "t"), F.col("t")
+    opened = lambda rows, some: spans(rows, some, (t, t), (F.col("sec_start"), F.col("sec_end"))).filter(is_open)
+    top = first(opened(slim, tops)).withColumnRenamed("hit", "top_id")
+    kid = opened(slim.join(top.hint("shuffle_merge"), ["source_id", *key]), kids).filter(F.col("parent_id") == F.col("top_id"))
     out = pos.join(top.hint("shuffle_merge"), ["source_id", *key], "left").join(first(kid).withColumnRenamed("hit", "kid_id").hint("shuffle_merge"), ["source_id", *key], "left")
     return out.withColumn("section_id", F.coalesce("kid_id", "top_id")).drop("kid_id", "top_id")
 
 
 def active_line(pos: DataFrame, seg: DataFrame, key: list[str], pad: float = 0.12, near: float = 1.5) -> DataFrame:
     """Each position with the transcript line shown then: the last one open (``pad`` on either side), else the one with the nearest midpoint within ``near``."""
-    rows = pos.select("source_id", *key, "t").join(seg.select("source_id", "seq", "start", "end").hint("shuffle_merge"), "source_id")
-    far = F.abs(F.col("t") - (F.col("start") + F.col("end")) / 2)
+    t, mid = F.col("t"), (F.col("start") + F.col("end")) / 2
+    # A position meets a line that is open or whose midpoint is near.
+    lo, hi = F.least(F.col("start") - pad, mid - near), F.greatest(F.col("end") + pad, mid + near)
+    rows = spans(pos.select("source_id", *key, "t"), seg.select("source_id", "seq", "start", "end"), (t, t), (lo, hi))
+    far = F.abs(t - mid)
     is_open = (F.col("start") - pad <= F.col("t")) & (F.col("t") < F.col("end") + pad)
     best = rows.groupBy("source_id", *key).agg(F.max(F.when(is_open, F.col("seq"))).alias("_open"), F.min(F.when(far <= near, F.struct(far.alias("d"), "seq"))).alias("_near"))
     return pos.join(best.hint("shuffle_merge"), ["source_id", *key], "left").withColumn("line_seq", F.coalesce("_open", "_near.seq")).drop("_open", "_near")

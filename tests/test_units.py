@@ -1,5 +1,7 @@
 """Small facts about operators that no SQL check covers, and invariants of those that depend on earlier decisions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,24 @@ def test_bundle(spark, tmp_path):
     docs.write_bundle(df, f"{tmp_path}/out")
     docs.write_bundle(df.filter("source_id = 2").withColumn("notes_md", F.lit("new")), f"{tmp_path}/out")
     assert {r.out_key: r.notes_md for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"a__b_1": "n1", "c_2": "new"}
+
+
+def test_interval_joins(spark):
+    """Against every pair: intervals of all lengths, in the wrong order, touching, equal, negative, endless or without a bound."""
+    rng = random.Random(4)
+    odd = [(5.0, 5.0), (9.0, 3.0), (-40.0, -2.0), (0.0, 1e12), (7.0, None), (None, None), (16.0, 32.0), (32.0, 48.0), (float("nan"), 1.0)]
+    made = lambda n: [(x, x + rng.choice([0.5, 3.0, 16.0, 40.0, 900.0, 70_000.0])) for x in (float(rng.randrange(-50, 400)) for _ in range(n))]
+    a, b = [*odd, *made(60)], [*odd, *made(60)]
+    left = spark.createDataFrame([(1, i, *x) for i, x in enumerate(a)], "source_id long, seq int, start double, end double")
+    right = spark.createDataFrame([(1, i, *x) for i, x in enumerate(b)], "source_id long, no int, sec_start double, sec_end double")
+    got = [(r.seq, r.no) for r in timejoin.overlap(left, right).collect()]
+    plain = left.crossJoin(right.drop("source_id")).filter("end > sec_start AND start < sec_end AND sec_end IS NOT NULL AND start IS NOT NULL")
+    assert len(got) > 500 and sorted(got) == sorted((r.seq, r.no) for r in plain.collect())
+    lines = left.filter("start <= end")
+    at = spark.createDataFrame([(1, k, x) for k, x in enumerate([-3.0, 5.0, 16.0, 250.5, 5e5, None])], "source_id long, p int, t double")
+    shown = {r.p: r.line_seq for r in timejoin.active_line(at, lines, ["p"]).collect()}
+    for r in at.collect():
+        own = [(s, x, y) for s, (x, y) in enumerate(a) if r.t is not None and x is not None and y is not None and x <= y]
+        opened = [s for s, x, y in own if x - 0.12 <= r.t < y + 0.12]
+        close = sorted((abs(r.t - (x + y) / 2), s) for s, x, y in own if abs(r.t - (x + y) / 2) <= 1.5)
+        assert shown[r.p] == (max(opened) if opened else close[0][1] if close else None)
