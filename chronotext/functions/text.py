@@ -127,6 +127,22 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, clean_ends), lambda s: s != "")
 
 
+def strict_sentences(text: Column) -> Column:
+    """Like :func:`sentences`, but split only where a capital letter A-Z follows."""
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t\n\r\f]+([A-Z])", "$1\u0001$2"), "\u0001")
+    return F.filter(F.transform(parts, clean_ends), lambda s: s != "")
+
+
+def outline(start: Column, end: Column, heading: Column, main_idea: Column, key_points: Column, keywords: Column, transition: Column) -> Column:
+    """A summary on one line, with at most four points and eight keywords; null parts are left empty."""
+    some = lambda xs, n, by: F.array_join(F.slice(F.coalesce(xs, F.array().cast("array<string>")), 1, n), by)
+    parts = [
+        F.concat(F.lit("["), format_time(start), F.lit("-"), format_time(end), F.lit("] "), F.coalesce(heading, F.lit("")), F.lit(": "), F.coalesce(main_idea, F.lit(""))),
+        F.concat(F.lit("Points: "), some(key_points, 4, "; ")), F.concat(F.lit("Keywords: "), some(keywords, 8, ", ")), F.concat(F.lit("Transition: "), F.coalesce(transition, F.lit("continue"))),
+    ]
+    return F.concat_ws(" | ", *parts)
+
+
 def clean_ends(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
 

@@ -71,8 +71,7 @@ def captions(obs: DataFrame, seg: DataFrame) -> DataFrame:
     near = near.filter("text <> ''").withColumn("mid", (F.col("start") + F.col("end")) / 2)
     per = near.groupBy("source_id", "frame_id", "ts").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "mid"))).alias("w"))
     per = per.withColumn("joined", F.array_join(F.transform("w", lambda x: x["text"]), " "))
-    cut = F.split(F.regexp_replace("joined", r"([.!?])[ \t\n\r\f]+([A-Z])", "$1\u0001$2"), "\u0001")
-    per = per.withColumn("s", F.filter(F.transform(cut, X.clean_ends), lambda s: F.length(s) > 10))
+    per = per.withColumn("s", F.filter(X.strict_sentences(F.col("joined")), lambda s: F.length(s) > 10))
     bag = lambda t: F.array_distinct(X.words(F.lower(t)))
 
     def worth(s):

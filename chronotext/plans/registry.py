@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronotext.plans import oracles, queries as own
+from chronotext.plans import expressions, oracles, queries as own
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(own.QUERIES)
+    return own.QUERIES | expressions.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.ORACLES)
+    return oracles.ORACLES | expressions.ORACLES

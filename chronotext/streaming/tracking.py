@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,3 +80,18 @@ def rolling_history(stream: DataFrame, n: int = 8, ttl_ms: int | None = None) ->
         yield pd.DataFrame([(key[0], old[-1][0], "\n".join(lines))], columns=["conv_id", "turn", "history"])
 
     return stream.groupBy("conv_id").applyInPandasWithState(keep, "conv_id long, turn long, history string", "turn array<long>, role array<string>, text array<string>", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """What ``stream`` gives for all input there is now, as a table with the column ``batch``.
+
+    State and output lie below ``folder``; a batch that is tried again replaces its own output.  No input gives no rows.
+    """
+    spark, root = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, no: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/out/batch={no}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{root}/out/batch=-1")
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{root}/out")
