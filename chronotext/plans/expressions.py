@@ -107,3 +107,24 @@ SELECT *, section_id IS DISTINCT FROM lag(section_id) OVER w OR line_seq IS DIST
 SELECT event_id % 4 AS viewer, e.user_id AS source_id, ts, value, section_id, nullif(line_seq, -1) AS line_seq FROM events e
 JOIN ({BASE['c9_active_section']}) s ON s.viewer_event = event_id JOIN ({BASE['c10_active_line']}) l ON l.viewer_event = event_id)
 WINDOW w AS (PARTITION BY viewer, source_id ORDER BY ts, value)) WHERE changed"""
+
+ORACLES["e16_leaf_levels"] = f"""SELECT source_id, section_no, level, heading FROM (
+SELECT *, lead(level) OVER (PARTITION BY source_id ORDER BY section_no) AS next_level FROM ({BASE['a5_notes_sections']})) WHERE next_level IS NULL OR next_level <= level"""
+ORACLES["k8_chat_prompts"] = f"""SELECT q.conv_id, 'chat' AS kind, concat_ws(chr(10) || chr(10), 'Answer from this transcript; say so where it does not suffice.', coalesce(full_text, ''), nullif(coalesce(history, ''), ''), question) AS prompt
+FROM (SELECT conv_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id) q
+LEFT JOIN ({BASE['d2_full_text']}) t ON t.source_id = q.conv_id LEFT JOIN ({BASE['e17_history']}) h ON h.conv_id = q.conv_id"""
+ORACLES["i4_trace_answer"] = f"""SELECT r.conv_id, r.turn, coalesce(o.object, '{{"score": ' || s || '}}', last, '') AS answer, coalesce(o.rank, CASE WHEN s IS NOT NULL THEN 1 ELSE 0 END) AS rule FROM (
+SELECT conv_id, turn, nullif(regexp_extract(body, '[Ss]core[^0-9]{{0,20}}([0-9]+(?:\\.[0-9]+)?)', 1), '') AS s, list_filter(list_transform(string_split(body, chr(10)), lambda x: {ctes.ends('x')}), lambda x: x <> '')[-1] AS last FROM ({q('responses', 'SELECT * FROM responses')})) r
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY rank DESC, CASE WHEN rank = 4 THEN length(object) ELSE 0 END DESC, object_no DESC) AS rn FROM (
+SELECT *, CASE WHEN json_extract_string(object, '$.heading') IS NOT NULL OR json_extract_string(object, '$.summary') IS NOT NULL THEN 4 WHEN regexp_matches(json_extract_string(object, '$.score'), '^-?[0-9.]+$') THEN 3 ELSE 2 END AS rank
+FROM ({BASE['i3_objects']}) WHERE NOT regexp_matches(object, '^\\{{\\s*\\}}$'))) o ON o.conv_id = r.conv_id AND o.turn = r.turn AND rn = 1"""
+
+
+def _object(sql: str) -> str:
+    return f"CASE WHEN json_valid({sql}) AND starts_with({sql}, '{{') THEN {sql} END"
+
+
+ORACLES["i2_records"] = rf"""SELECT conv_id, turn, CASE WHEN a IS NOT NULL THEN 1 WHEN h IS NOT NULL THEN 2 WHEN o IS NOT NULL THEN 3 ELSE 0 END AS rule, json_extract_string(coalesce(a, h, o), '$.heading') AS heading,
+json_extract_string(coalesce(a, h, o), '$.summary') AS summary, array_to_string(json_extract(coalesce(a, h, o), '$.key_points')::VARCHAR[], ' | ') AS key_points FROM (
+SELECT conv_id, turn, {_object('b')} AS a, {_object('h0')} AS h, {_object('o0')} AS o FROM (
+SELECT conv_id, turn, answer AS b, nullif(regexp_extract(answer, '(\{{[^{{}}]*"heading"[^{{}}]*\}})', 1), '') AS h0, nullif(regexp_extract(answer, '(\{{[^{{}}]+\}})', 1), '') AS o0 FROM ({BASE['i5_strip_reasoning']})))"""
