@@ -148,3 +148,21 @@ def test_interval_joins(spark):
         opened = [s for s, x, y in own if x - 0.12 <= r.t < y + 0.12]
         close = sorted((abs(r.t - (x + y) / 2), s) for s, x, y in own if abs(r.t - (x + y) / 2) <= 1.5)
         assert shown[r.p] == (max(opened) if opened else close[0][1] if close else None)
+
+
+def test_drained(spark, tmp_path):
+    """A drained stream gives what the batch twin gives; a stream without input gives no rows."""
+    ddl = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(6)] + [(2, 0, None, None)], ddl).repartition(3).write.parquet(f"{tmp_path}/turns")
+    spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/none")
+    read = lambda name: spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    last = tracking.drained(tracking.rolling_history(read("turns"), 3), str(tmp_path), "update").groupBy("conv_id").agg(F.max_by("history", F.struct("batch", "turn")).alias("history"))
+    assert {r.conv_id: r.history for r in last.collect()} == {1: "User: m3\nUser: m4\nUser: m5", 2: ""}
+    assert tracking.drained(tracking.rolling_history(read("none"), 3), str(tmp_path), "update").count() == 0
+
+
+def test_outline(spark):
+    df = spark.createDataFrame([(0.0, 65.0, "H", "Idea.", ["a", "b", "c", "d", "e"], ["k"], "shift"), (0.0, 1.0, None, None, None, None, None)], "s double, e double, h string, m string, p array<string>, k array<string>, t string")
+    got = [r.o for r in df.select(X.outline(*map(F.col, "s e h m p k t".split())).alias("o")).collect()]
+    assert got == ["[00:00-01:05] H: Idea. | Points: a; b; c; d | Keywords: k | Transition: shift", "[00:00-00:01] :  | Points:  | Keywords:  | Transition: continue"]
+    assert spark.sql("SELECT 'One is 1.5 long. but this. Two! Été' t").select(X.strict_sentences(F.col("t")).alias("s")).first().s == ["One is 1.5 long. but this.", "Two! Été"]
