@@ -1,6 +1,7 @@
 """License scans by sentence rules, in SQL functions alone.
 
-A document is cut into sentences, each normalised to its lower-case ASCII letters and digits.  Known licence sentences
+Known sentences are first put on lines of their own, also where a notice wraps, numbers or punctuates them.  Then a document
+is cut into sentences, each normalised to its lower-case ASCII letters and digits.  Known licence sentences
 have identifiers; the identifiers of a document, in order and with a gap mark where other sentences stood between, form a
 sequence, against which licence rules (ordered identifier sequences, longest first) are matched.  A matched stretch is
 used up, so a full licence text is not also reported as the notice it contains.  Nothing is shuffled: sequence and rules
@@ -61,15 +62,42 @@ RULES = [
 ]
 
 
+#: Texts without any of these words hold no licence sentence.
+HINT = r"(?i)licen[cs]e|licensed|redistribution|permission|copyright|warranty|unencumbered|rights"
+#: How sentences on a licence begin, before the part that is known.
+OPENING = r"(?:(?:this|the)\W+(?:project|software|work|code|file|program|library|package|document|content|repository)\W+is\W+)?"
+#: A list number or bullet in front of a clause.
+ITEM = r"(?:\(?[0-9a-z]{1,2}[.)][ \t]+)?"
+
+
 def pattern(ids: tuple[int, ...]) -> str:
     """How a rule's identifiers look in a sequence: each between commas of its own."""
     return "".join(f",{i}," for i in ids)
 
 
+def verbatim(sentence: str) -> str:
+    """A regular expression for a known sentence as notices print it: any case, wrapped, quoted, and with the marks at which the cut would part it.
+
+    It begins where a sentence may (group 1 is what stands before) and ends where one may.
+    """
+    first = OPENING if sentence.startswith(("released under", "licensed under")) else ITEM if SENTENCES[sentence] >= 8 else ""
+    last = r"|\s+https?://" if sentence.endswith(" at") else ""
+    words = "[^A-Za-z0-9]{1,40}".join(sentence.split())
+    return rf"(?i)(^|[\n;]|[.!?:][ \t\r]+)[^A-Za-z0-9\n;]*{first}{words}(?=[^A-Za-z0-9\n;.!?:]*(?:$|[\n;]|[.!?:](?:\s|$)){last})"
+
+
+def restored(text: Column) -> Column:
+    """``text`` with each known sentence on a line of its own, unwrapped and without marks inside, so that the cut leaves it whole."""
+    whole = text
+    for s in sorted(SENTENCES, key=len, reverse=True):
+        whole = F.regexp_replace(whole, verbatim(s), f"$1\n{s}\n")
+    return F.when(text.rlike(HINT), whole).otherwise(text)
+
+
 def sequence(text: Column) -> Column:
     """The licence sentences of a text as a string like ``,2,,10,#,7,``: identifiers in order, # where other sentences stand between."""
     known = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (k, f",{v},")))
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?:;])[ \t\r]+", "$1\n"), r"[\n;]+")
+    cut = F.split(F.regexp_replace(restored(F.coalesce(text, F.lit(""))), r"([.!?:;])[ \t\r]+", "$1\n"), r"[\n;]+")
     plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     marks = F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.coalesce(F.element_at(known, s), F.lit("#")))
     return F.regexp_replace(F.array_join(marks, ""), "#+", "#")
@@ -94,7 +122,7 @@ def scan(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def oracle() -> str:
-    """The same scan in DuckDB's SQL over ``documents``."""
+    """The scan in DuckDB's SQL over ``documents``, without ``restored``: it agrees where each known sentence stands unwrapped between cuts."""
     case = " ".join(f"WHEN s = '{k}' THEN ',{v},'" for k, v in SENTENCES.items())
     seq = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), " + rf"s0 AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), '[\n;]+'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> ''), lambda s: CASE {case} ELSE '#' END), ''), '#+', '#', 'g') AS license_sequence FROM d)"
     steps, k = [], 0
