@@ -186,16 +186,52 @@ def test_mixing_prefers_quality(spark):
     assert n[True] > 1.5 * n[False]
 
 
-def test_bpe(spark, corpus):
+def test_bpe(spark, corpus, monkeypatch):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
-    odd = [(900, "aaaa" * 3000, "a"), (901, "<|endoftext|> don't  \n\n x\u2003y", "a"), (902, "".join(map(chr, range(1, 700))), None)]
-    df = docs(spark, [*corpus, *odd]).withColumn("ids", F.lit("clash"))
+    odd = [(900, "aaaa" * 3000, "a"), (901, "<|endoftext|> don't  \n\n x\u2003y", "a"), (902, "".join(map(chr, range(1, 700))), None), (None, "no id", "a"), (None, "no id", "a")]
+    df = docs(spark, [*corpus, *odd]).withColumn("ids", F.lit("clash")).withColumn("round_trip", F.lit("clash")).withColumn("text_", F.lit("kept"))
     got = bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH).collect()
     for r in got:
         assert list(r.ids) == own.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     packed = {r.doc_id: bytes(r.ids) for r in bpe.encode(df, PATH, P.PATTERN, packed=True).collect()}
-    assert all(packed[r.doc_id] == np.array(r.ids, "<u4").tobytes() for r in got)
-    assert bpe.encode(df.limit(0), PATH, P.PATTERN).count() == 0
+    assert all(packed[r.doc_id] == np.array(r.ids, "<u4").tobytes() for r in got if r.doc_id is not None)
+    both = bpe.transcode(df, PATH, P.PATTERN)
+    assert both.columns == [c for c in df.columns if c not in ("text", "ids", "round_trip")] + ["ids", "decoded", "round_trip"]
+    rows = both.collect()
+    texts = {i: t or "" for i, t, _ in [*corpus, *odd]}
+    assert len(rows) == len(corpus) + len(odd) and all(r.round_trip and r.text_ == "kept" for r in rows)
+    assert all(bytes(r.ids) == np.array(own.encode_ordinary(texts[r.doc_id]), "<u4").tobytes() and bytes(r.decoded) == texts[r.doc_id].encode() for r in rows)
+    kept = bpe.transcode(df, PATH, P.PATTERN, keep=["text", "doc_id"])
+    assert kept.columns == ["text", "doc_id", "ids", "decoded", "round_trip"] and all(bytes(r.decoded) == (r.text or "").encode() for r in kept.collect())
+    assert bpe.encode(df.limit(0), PATH, P.PATTERN).count() == bpe.transcode(df.limit(0), PATH, P.PATTERN).count() == 0
+    with pytest.raises(IndexError):
+        bpe.decode_ids([1 << 20], PATH)
+    # Small slices, matches held in parts, and a memory that forgets give the same ids.
+    for name, value in (("SLICE", 50), ("MATCHES", 8), ("REMEMBERED", 5)):
+        monkeypatch.setattr(bpe, name, value)
+    long = " ".join(str(t) for t in texts.values())
+    assert bpe.encode_texts([long], PATH, P.PATTERN) == [np.array(own.encode_ordinary(long), "<u4").tobytes()]
+
+
+def slow_merge(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merges_of_many_pieces(spark):
+    rng, ranks = random.Random(5), bpe.read_ranks(PATH)
+    pairs = bpe.Pairs(ranks)
+    pieces = [bytes(rng.choice(b"aaabcdeinst \xc3\xa9\xe6") for _ in range(rng.randrange(1, 65))) for _ in range(1500)] + [b"a" * 64, b"\xff\x00", b" "]
+    want = [slow_merge(p, ranks) for p in pieces]
+    flat, counts = bpe.merge_rows(pieces, pairs)
+    assert counts.tolist() == [len(w) for w in want] and flat.tolist() == [x for w in want for x in w]
+    assert [bpe.merge(p, ranks) for p in pieces] == want
+    assert bpe.merge_rows([b"x"], pairs)[0].tolist() == [ranks[b"x"]]
 
 
 def test_embeddings(spark):
