@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int, seed: int = 11) -> DataFrame:
-    """At most ``limit`` rows (doc_id, text, label) of labelled documents for which ``train`` holds.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int, seed: int = 11, most_bytes: int | None = None) -> DataFrame:
+    """At most ``limit`` rows (doc_id, text, label) of labelled documents for which ``train`` holds, of at most ``most_bytes`` of texts in all.
 
     The rows with the smallest hashes of their id are taken, so reruns agree.  Label rows are thinned by hash before they
     are sorted, so no task sorts more than about ``limit`` rows; the sample, bounded by ``limit``, is what gets broadcast.
@@ -52,5 +53,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     rows = labels.filter(train & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)))
     share = min(1.0, 1.2 * limit / max(1, rows.count()))
-    rows = rows.filter(F.col("h") <= int(share * (1 << 40))).orderBy("h", "doc_id").limit(limit).select("doc_id", "label")
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    rows = rows.filter(F.col("h") <= int(share * (1 << 40))).orderBy("h", "doc_id").limit(limit).select("doc_id", "label", "h")
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    if most_bytes is not None:
+        # One number for each sampled row comes to the driver.
+        sizes = sorted((r[0], r[1] or 0) for r in found.select("h", F.octet_length("text")).collect())
+        ends = [(h, total) for (h, _), total in zip(sizes, accumulate(n for _, n in sizes), strict=True)]
+        found = found.filter(F.col("h") <= max((h for h, total in ends if total <= most_bytes), default=-1))
+    return found.select("doc_id", "text", "label")

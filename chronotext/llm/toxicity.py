@@ -1,33 +1,40 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary documents, one on passages typical of toxic ones (word
-n-grams that clearly more toxic than ordinary documents hold).  A text is cut into windows of a few words, and each is
-compressed with the ordinary dictionary and with both together; how many bytes the toxic dictionary saves is the window's
-distance.  Windows that save at least a calibrated number of bytes are hits, and a calibrated logistic curve turns a
-document's hits into a score.  Dictionaries are trained on one half of the sample and calibrated on the other.
+Two zstandard dictionaries are made: one trained on windows of ordinary documents, and a toxic one, which goes on from the
+ordinary one with the passages of toxic documents that ordinary documents lack.  A text is cut into windows of a few words,
+each is compressed with either dictionary, and the bytes that the toxic one saves are the window's distance.  Windows that
+save at least a calibrated number of bytes are hits, and a calibrated curve turns a document's hits and length into a score.
+
+Dictionaries trained on the whole of toxic and of ordinary documents tell little apart, because a toxic document is
+ordinary but for a few words.  So the toxic dictionary holds word beginnings (matches of zstandard are stretches of bytes,
+whatever follows) that clearly more toxic than ordinary documents have.  All counts, windows and thresholds cover the whole
+texts of the sampled rows; a part of these is held back from the dictionaries, for the thresholds and the curve.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotext.llm.shared import labelled_sample
+from chronotext.llm.shared import labelled_sample, written
 
 WINDOW = 8
-#: Labelled documents that are learnt from, and windows taken of each.
-SAMPLE, WINDOWS = 6_000, 64
-#: Bytes of the two dictionaries.
-ORDINARY, TOXIC = 6_144, 2_048
-#: N-grams of up to so many words are passages; one is typical if it is so many times as frequent in toxic documents, at this many standard deviations.
-GRAM, RATIO, Z, PASSAGES = 2, 6.0, 5.0, 256
+#: Labelled documents that are learnt from: at most so many rows, whose texts have together at most so many bytes.
+SAMPLE, SAMPLE_BYTES = 6_000, 64 << 20
+#: Bytes of the ordinary dictionary.
+ORDINARY = 6_144
+#: Bytes of a word's beginnings that are looked at besides the whole word; one is typical if it is so many times as frequent in toxic documents, at this many standard deviations.
+BEGINNINGS, RATIO, Z = (5, 6, 7, 8), 6.0, 6.0
+#: One sampled document in so many is held back for the thresholds and the curve.
+CALIBRATE = 3
+#: Distances from here on are one.
+FAR = 16
 
 
 def windows(text: bytes | None, size: int = WINDOW) -> list[bytes]:
@@ -36,9 +43,9 @@ def windows(text: bytes | None, size: int = WINDOW) -> list[bytes]:
     return [b" ".join((b"", *words[i : i + size], b"")) for i in range(0, len(words), size)]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def compressors(ordinary: bytes, toxic: bytes):
-    """Compressors with the ordinary dictionary, and with the toxic one after it."""
+    """Compressors with the ordinary dictionary, and with the toxic one that goes on from it."""
     how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=13, chain_log=13, search_log=4, min_match=4, strategy=zstandard.STRATEGY_LAZY2, target_length=16, write_content_size=0, write_dict_id=0)
     out = []
     for content in (ordinary, ordinary + toxic):
@@ -48,10 +55,11 @@ def compressors(ordinary: bytes, toxic: bytes):
     return out
 
 
-def saved(parts: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
-    """Bytes that the toxic dictionary saves on each window."""
+def distances(text: bytes | None, ordinary: bytes, toxic: bytes) -> np.ndarray:
+    """How many windows of the whole text have each distance: 0 (or less) to FAR (or more)."""
     plain, both = compressors(ordinary, toxic)
-    return np.array([len(plain(w)) - len(both(w)) for w in parts], np.int64)
+    saved = np.array([len(plain(w)) - len(both(w)) for w in windows(text)], np.int64)
+    return np.bincount(saved.clip(0, FAR), minlength=FAR + 1)
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -62,63 +70,75 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def grams(window: bytes):
-    """The n-grams of a window's words, without their punctuation, between blanks."""
-    words = [x.strip(b".,;:!?") for x in window.split()]
-    for n in range(1, GRAM + 1):
-        for g in zip(*(words[i:] for i in range(n)), strict=False):
-            yield b" %b " % b" ".join(g)
+def passages(text: bytes | None) -> dict[bytes, int]:
+    """The beginnings of the words of a whole text, behind a blank, and for each the smallest hash of a word and its neighbours where it occurs."""
+    words = [b"", *(w.strip(b".,;:!?") for w in (text or b"").lower().split()), b""]
+    found: dict[bytes, int] = {}
+    for before, w, after in zip(words, words[1:], words[2:], strict=False):
+        at = xxhash.xxh64_intdigest(b"%b %b %b" % (before, w, after)) >> 1
+        for g in {w, *(w[:n] for n in BEGINNINGS)}:
+            if len(g) > 3 and found.get(g, at) >= at:
+                found[g] = at
+    return found
 
 
-def typical(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[tuple[bytes, int]]:
-    """Passages that significantly more toxic than ordinary documents hold, and how many hold them; the most significant come last."""
+def counted(sample: DataFrame) -> DataFrame:
+    """(passage, toxic, ordinary): in how many toxic and ordinary documents of ``sample`` (label, text) a passage occurs.
 
-    def held(docs):
-        return Counter(g for parts in docs for g in {g for w in parts for g in grams(w)})
+    Documents in which the same words surround it count once, so that copies and near copies do not make their words look
+    typical.
+    """
 
-    t, o = held(toxic), held(ordinary)
-    n, m = max(1, len(toxic)), max(1, len(ordinary))
-    found = []
-    for g, k in t.items():
-        if k >= 3 and k / n >= RATIO * (o[g] + 0.5) / m:
-            p = (k + o[g] + 0.5) / (n + m)
-            z = (k - n * p) / np.sqrt(n * p * (1 - p))
-            if z >= Z:
-                found.append((z, g, k))
-    return [(g, k) for _, g, k in sorted(found)[-PASSAGES:]]
+    def run(batches):
+        out: tuple[list, list, list] = ([], [], [])
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["passage", "label", "at"])
+        for b in batches:
+            for text, label in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("label").to_pylist(), strict=True):
+                found = passages(text)
+                for column, values in zip(out, (found, [label] * len(found), found.values()), strict=True):
+                    column.extend(values)
+                if len(out[0]) > 50_000:
+                    yield flush()
+                    out = ([], [], [])
+        yield flush()
 
+    rows = sample.select("text", "label").mapInArrow(run, "passage binary, label int, at long")
+    # One shuffle, by passage, serves both groupings.
+    return rows.repartition("passage").distinct().groupBy("passage").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
 
-def dictionaries(docs) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionaries; the toxic one is empty where no passage is typical.
 
-    The toxic one is trained on strings of typical passages, each as often as documents hold it; passages that the trainer
-    leaves out are added, so none is lost.
-    """
-    toxic, plain = ([w for _, label, w in docs if label == k] for k in (1, 0))
-    passages = typical(toxic, plain)
-    if not passages:
-        return b"", b""
-    deck = [g for g, k in passages for _ in range(k)]
-    rng = np.random.default_rng(1)
-    content = trained([b"".join(deck[i] for i in rng.integers(0, len(deck), 24)) for _ in range(1500)], TOXIC)
-    return trained([x for d in plain for x in d], ORDINARY), content + b"".join(g for g, _ in passages if g not in content)
+def typical(toxic: Column, ordinary: Column, n: int, m: int) -> Column:
+    """How many standard deviations a count in ``n`` toxic documents is above what both kinds together suggest; null unless it is typical."""
+    share = (toxic + ordinary + 0.5) / (n + m + 1.0)
+    z = (toxic - n * share) / F.sqrt(n * share * (1 - share))
+    often = toxic / max(n, 1) >= RATIO * (ordinary + 0.5) / max(m, 1)
+    return F.when(often & (z >= Z), z)
+
+
+def shortest(found: list[tuple[float, bytes]]) -> bytes:
+    """The typical passages as a dictionary, the most typical last; one that begins with another is held by it."""
+    own = {g for _, g in found}
+    return b"".join(b" " + g for _, g in sorted(found) if not any(g[:i] in own for i in range(1, len(g)))) + b" " if found else b""
 
 
 class Model:
-    """Two dictionaries, the bytes that make a window a hit, and the curve over a document's hits."""
+    """Two dictionaries, three thresholds (the distances that make a window a weak, plain or strong hit) and the curve over a document's hits."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes, thresholds: tuple[int, int, int], curve: np.ndarray):
+        self.ordinary, self.toxic, self.thresholds, self.curve = ordinary, toxic, thresholds, curve
 
-    def __init__(self, ordinary: bytes, toxic: bytes, least: int, curve: np.ndarray):
-        self.ordinary, self.toxic, self.least, self.curve = ordinary, toxic, least, curve
+    def shape(self, counts: np.ndarray) -> np.ndarray:
+        """Of rows of window counts by distance: one, the number of windows, and hits of each strength, all but the first on a logarithmic scale."""
+        edges = [*self.thresholds, FAR + 1]
+        hits = [np.log1p(counts[:, a:b].sum(axis=1)) for a, b in zip(edges, edges[1:], strict=False)]
+        return np.stack([np.ones(len(counts)), np.log1p(counts.sum(axis=1)) / 4, *hits], 1)
 
-    def shape(self, bytes_saved: np.ndarray) -> np.ndarray:
-        hits = int((bytes_saved >= self.least).sum())
-        n = len(bytes_saved)
-        return np.array([1.0, min(hits, 8) / 8, min(1.0, 10 * hits / n) if n else 0.0, float(hits > 0)])
+    def scores(self, counts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.shape(counts) @ self.curve))) if len(counts) else np.zeros(0)
 
     def score(self, text: bytes | None) -> float:
-        """0 to 1; a text without words scores as one without hits."""
-        parts = windows(text)
-        return float(1 / (1 + np.exp(-(self.shape(saved(parts, self.ordinary, self.toxic)) @ self.curve))))
+        """0 to 1; a text without words scores as one without windows."""
+        return float(self.scores(distances(text, self.ordinary, self.toxic)[None, :])[0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -130,75 +150,60 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) ->
     return w
 
 
-def fit(docs: list[tuple[int, int, list[int], list[bytes]]]) -> Model:
-    """A model from (doc_id, label, sketch, windows); no rows, one class, or no typical passage give the smoothed base rate.
-
-    Each half of the documents is scored with dictionaries trained on the other half; the hit threshold and the curve are
-    fitted to both halves together.  The dictionaries of the model are trained on all.
-    """
-    docs = without_copies(docs)
-    y = np.array([label for _, label, _ in docs], float)
-    none = Model(b"", b"", 1 << 30, np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1)), 0, 0, 0]))
-    halves = [[d for d in docs if zlib.crc32(b"half%d" % d[0]) & 1 == k] for k in (0, 1)]
-    ordinary, toxic = dictionaries(docs)
-    if not toxic:
-        return none
-    target, measured = [], []
-    for other, own in (halves, halves[::-1]):
-        pair = dictionaries(other)
-        if pair[1]:
-            target += [label for _, label, _ in own]
-            measured += [saved(w, *pair) for _, _, w in own]
-    if len(set(target)) < 2:
-        return none
-    y, best = np.array(target, float), None
-    for least in range(1, 9):
-        m = Model(ordinary, toxic, least, np.zeros(4))
-        x = np.array([m.shape(s) for s in measured])
-        m.curve = logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-(x @ m.curve))), 1e-9, 1 - 1e-9)
-        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
-        if best is None or loss < best[0]:
-            best = (loss, m)
-    return best[1]
-
-
-def sketch(text: bytes | None, size: int = 16) -> list[int]:
-    """The smallest hashes of a text's three-word shingles: texts that share several are near copies."""
-    words = (text or b"").lower().split()
-    return sorted({zlib.crc32(b" ".join(g)) for g in zip(words, words[1:], words[2:])})[:size]
-
-
-def without_copies(docs: list[tuple[int, int, list[int], list[bytes]]], shared: int = 4) -> list[tuple[int, int, list[bytes]]]:
-    """The sampled documents without near copies of earlier ones: else what a group of copies repeats would look typical of its label."""
-    seen: set[int] = set()
-    kept = []
-    for doc, label, own, parts in docs:
-        if len(seen.intersection(own)) < shared:
-            kept.append((doc, label, parts))
-        seen.update(own)
-    return kept
-
-
-def sampled_windows(df: DataFrame) -> DataFrame:
-    """(doc_id, label, sketch, windows): of each document at most WINDOWS windows, spread evenly over all of it."""
+def measured(sample: DataFrame, ordinary: bytes, toxic: bytes) -> DataFrame:
+    """(label, counts): each document's windows by distance."""
 
     def run(batches):
         for b in batches:
-            out, sketches = [], []
-            for t in b.column("text").cast(pa.binary()):
-                w = windows(t.as_py())
-                sketches.append(sketch(t.as_py()))
-                out.append([w[i * len(w) // min(len(w), WINDOWS)] for i in range(min(len(w), WINDOWS))])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(sketches, pa.list_(pa.int64())), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "label", "sketch", "windows"])
-
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(run, "doc_id long, label int, sketch array<long>, windows array<binary>")
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "toxic", limit: int = SAMPLE) -> Model:
-    """A model from at most ``limit`` labelled documents for which ``rows`` holds, and at most WINDOWS windows of each."""
-    got = sampled_windows(labelled_sample(docs, labels, label, rows, limit)).collect()
-    return fit(sorted((r.doc_id, r.label, list(r.sketch), [bytes(w) for w in r.windows]) for r in got))
+            counts = [distances(t.as_py(), ordinary, toxic).tolist() for t in b.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(counts, pa.list_(pa.int64()))], names=["label", "counts"])
+
+    return sample.select("text", "label").mapInArrow(run, "label int, counts array<long>")
+
+
+def calibrated(ordinary: bytes, toxic: bytes, counts: np.ndarray, y: np.ndarray) -> Model:
+    """The model whose thresholds and curve fit the labels best, by log loss."""
+    best = None
+    for least in range(1, 7):
+        for step in (1, 2, 3):
+            m = Model(ordinary, toxic, (least, least + step, least + 2 * step), np.zeros(5))
+            x = m.shape(counts)
+            m.curve = logistic(x, y)
+            p = np.clip(1 / (1 + np.exp(-(x @ m.curve))), 1e-9, 1 - 1e-9)
+            loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+            if best is None or loss < best[0]:
+                best = (loss, m, p)
+    _, m, p = best
+    # A score of one half is where F1 is best; toxic documents are few, so that is below a chance of one half.
+    f1 = [(2 * (y[p >= c] == 1).sum() / max(1, (p >= c).sum() + y.sum()), c) for c in np.arange(0.2, 0.51, 0.05)]
+    cut = max(f1)[1]
+    m.curve[0] -= np.log(cut / (1 - cut))
+    return m
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "toxic", limit: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from a bounded sample of the labelled documents for which ``rows`` holds: at most ``limit`` rows and ``most_bytes`` of whole texts.
+
+    Null texts count as empty; label rows that repeat count once (toxic if one says so), null labels not at all.  No rows,
+    one class, or no typical passage give a model that scores every text with the smoothed base rate.
+    """
+    held = (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(CALIBRATE)) == 0).alias("held")
+    sample = labelled_sample(docs, labels, label, rows, limit, most_bytes=most_bytes)
+    sample = written(sample.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"), held), "toxicity-sample")
+    n = {(r.label, r.held): r["count"] for r in sample.groupBy("label", "held").count().collect()}
+    toxic, plain = ((n.get((k, False), 0), n.get((k, True), 0)) for k in (1, 0))
+    base = Model(b"", b"", (1, 2, 3), np.array([np.log((sum(toxic) + 0.5) / (sum(plain) + 0.5)), 0, 0, 0, 0]))
+    if not all((*toxic, *plain)):
+        return base
+    learnt, kept = sample.filter("NOT held"), sample.filter("held")
+    # What is significant is few; how few does not depend on the corpus, as the sample is bounded.
+    found = counted(learnt).select("passage", typical(F.col("toxic"), F.col("ordinary"), toxic[0], plain[0]).alias("z")).filter("z IS NOT NULL").collect()
+    if not found:
+        return base
+    texts = learnt.filter("label = 0").select(F.col("text").cast("binary").alias("text")).orderBy("doc_id", "text").collect()
+    pair = trained([w for r in texts for w in windows(bytes(r.text))], ORDINARY), shortest([(r.z, bytes(r.passage)) for r in found])
+    got = sorted((r.label, *r.counts) for r in measured(kept, *pair).collect())
+    return calibrated(*pair, np.array([r[1:] for r in got]), np.array([r[0] for r in got], float))
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
@@ -208,7 +213,8 @@ def score(df: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            s = np.array([model.score(t.as_py()) for t in b.column("text").cast(pa.binary())], float)
+            counts = np.array([distances(t.as_py(), model.ordinary, model.toxic) for t in b.column("text").cast(pa.binary())]).reshape(-1, FAR + 1)
+            s = model.scores(counts)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return df.select(*keep, "text").mapInArrow(run, schema)

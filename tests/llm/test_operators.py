@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from chronotext.llm import bpe, components, embed_dedup, exact_dedup, licenses, mixing, quality, sharding, simhash, toxicity, url_filter
@@ -287,6 +288,29 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.9
     none = toxicity.train(df, labels.limit(0), F.lit(True))
     assert toxicity.score(df.limit(0), none).count() == 0 and 0 < none.score(None) < 1
+    assert 0 < toxicity.train(df, labels.withColumn("toxic", F.lit(1)), F.lit(True)).score(b"x") < 1
+    # Every window of every whole text, compressed again one by one.
+    how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=13, chain_log=13, search_log=4, min_match=4, strategy=zstandard.STRATEGY_LAZY2, target_length=16, write_content_size=0, write_dict_id=0)
+    texts = {i: t for i, t, _ in [*rows, (900, None, None), (901, "", "b"), (902, " ".join(["w1"] * 50_000) + " vileterm", "b")]}
+    for r in got[::25] + [r for r in got if r.doc_id >= 900]:
+        w = (texts[r.doc_id] or "").lower().split()
+        saved = []
+        for k in range(0, len(w), 8):
+            window = f" {' '.join(w[k : k + 8])} ".encode()
+            sizes = [len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(window)) for d in (model.ordinary, model.ordinary + model.toxic)] if k < 800 or k > 49_000 else None
+            saved.append(saved[-1] if sizes is None else sizes[0] - sizes[1])
+        lo, mid, hi = model.thresholds
+        x = [1, np.log1p(len(saved)) / 4, *(np.log1p(sum(a <= s < b for s in saved)) for a, b in ((lo, mid), (mid, hi), (hi, 999)))]
+        assert abs(1 / (1 + np.exp(-np.dot(x, model.curve))) - r.score) < 1e-9
+
+
+def test_toxicity_counts(spark):
+    texts = [("Such a nastyphrase, x.", 1), ("such a nastyphrase x", 1), ("Other nastyphrase here", 1), (None, 1), ("nastyones ordinary", 0), ("", 0), ("Such a nastyphrase, x.", 1)]
+    got = {bytes(r.passage): (r.toxic, r.ordinary) for r in toxicity.counted(spark.createDataFrame([(t, y) for t, y in texts], "text string, label int").fillna("")).collect()}
+    # Words in the same company count once; beginnings are shared by what begins with them.
+    assert got[b"nastyphrase"] == got[b"nastyph"] == (2, 0) and got[b"nasty"] == (2, 1) and got[b"ordinary"] == (0, 1) and b"x" not in got
+    few = toxicity.train(spark.createDataFrame([(i, "w " * 100 + "awfulterm" * (i % 2)) for i in range(40)], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), F.lit(True), most_bytes=1)
+    assert few.toxic == b""
 
 
 def test_quality(spark):
@@ -301,6 +325,25 @@ def test_quality(spark):
     assert {r.predicted for r in quality.score(df, none).collect()} == {1} and quality.score(df.limit(0), none).count() == 0
 
 
+def test_quality_scores_are_table_sums(spark):
+    """A score by hand: base rate, one entry of each feature's table, one of each pair's."""
+    rows, labels = labelled(spark, lambda i: i % 3 == 0, lambda rng, t: " ".join(w + "#|" for w in t.split()), "quality")
+    df = docs(spark, [*rows, (900, None, None), (901, "", "b"), (902, "A1! w\n" * 200_000, "b")])
+    model = quality.train(df, labels, F.col("doc_id") % 5 != 0)
+    assert model.pairs
+    for r in quality.score(df, model).collect()[::20] + quality.score(df.filter("doc_id >= 900"), model).collect():
+        x, odds, at = quality.features(r.text.encode() if r.text else None), model.base, []
+        for v, edges, entries in zip(x, model.edges, model.single, strict=True):
+            at.append(sum(e <= v for e in edges))
+            odds += entries[at[-1]]
+        for i, j, entries in model.pairs:
+            odds += entries[at[i] * len(entries) // len(model.single[i])][at[j] * len(entries[0]) // len(model.single[j])]
+        assert abs(1 / (1 + np.exp(-odds)) - r.score) < 1e-9
+    text = "Ab 1# x|\nAb !\ny\t"
+    want = [np.log1p(16), np.log1p(6), (16 - 6) / 6, 2 / 16, 1 / 16, 1 / 16, 1 / 16, 1 / 16, 6 / 16, 0, 5 / 6, 1, np.log1p(16 / 3), 0]
+    assert np.allclose(quality.features(text.encode()), want)
+
+
 def test_quality_learns_interactions():
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(4000, len(quality.FEATURES)))
