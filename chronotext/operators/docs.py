@@ -11,33 +11,40 @@ from pyspark.sql import window as W
 
 from chronotext.functions import text as X
 from chronotext.operators import timejoin, topics
+from chronotext.plans.staging import staged
 
 
 def _ordered(pairs: Column, field: str) -> Column:
     return F.transform(F.array_sort(pairs), lambda p: p[field])
 
 
-def timeline(sections: DataFrame, seg: DataFrame) -> DataFrame:
-    """(source_id, block_no, block_start, block_end, section_id): blocks that tile a source's time without overlap; gaps have no section.
+def tiled(spans: DataFrame, sections: DataFrame, key: list[str]) -> DataFrame:
+    """(key, block_no, block_start, block_end, section_id): blocks that tile each of ``spans`` (key, r0, r1) without overlap; gaps have no section.
 
     A section's block runs from where the blocks before it ended to its own end, the next section's start or the end of the
-    transcript, whichever is first.  How far blocks have come is a running maximum, so no fold is needed.
+    span, whichever is first.  How far blocks have come is a running maximum, so no fold is needed, and all blocks of a span
+    come from one row per section, so nothing is joined or merged again.  Spans without sections are one gap.
     """
+    w = W.Window.partitionBy(*key).orderBy("start", "end", "section_id")
+    rows = spans.select(*key, "r0", "r1").join(sections.select(*key, "section_id", "start", "end").hint("shuffle_merge"), key, "left")
+    following = F.lead("start").over(w)
+    rows = rows.withColumn("_last", F.lead(F.lit(1)).over(w).isNull()).withColumn("_stop", F.least("end", F.coalesce(following, F.col("r1")), "r1"))
+    here = F.greatest("r0", "start", "_stop")
+    rows = rows.withColumn("_cur", F.coalesce(F.max(here).over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.col("r0")))
+    rows = rows.withColumn("_from", F.when(F.col("section_id").isNull(), F.col("r1")).otherwise(F.least(F.greatest("_cur", "start"), "r1")))
+    block = lambda a, b, of: F.struct(a.alias("block_start"), b.alias("block_end"), of.alias("section_id"))
+    none = F.lit(None).cast("string")
+    tail = F.when(F.col("_last") & F.col("section_id").isNotNull(), block(F.greatest(F.col("_cur"), here), F.col("r1"), none))
+    parts = F.array(block(F.col("_cur"), F.col("_from"), none), F.when(F.col("section_id").isNotNull(), block(F.col("_from"), F.col("_stop"), F.col("section_id"))), tail)
+    out = rows.select(*key, F.inline(F.filter(parts, lambda x: x["block_end"] > x["block_start"])))
+    no = F.row_number().over(W.Window.partitionBy(*key).orderBy("block_start")) - 1
+    return out.select(*key, no.alias("block_no"), "block_start", "block_end", "section_id")
+
+
+def timeline(sections: DataFrame, seg: DataFrame) -> DataFrame:
+    """(source_id, block_no, block_start, block_end, section_id): blocks that tile a source's time, see :func:`tiled`."""
     span = seg.groupBy("source_id").agg(F.min_by("start", "seq").alias("r0"), F.max_by("end", "seq").alias("r1"))
-    w = W.Window.partitionBy("source_id").orderBy("start", "end", "section_id")
-    rows = sections.select("source_id", "section_id", "start", "end").join(span.hint("shuffle_merge"), "source_id")
-    rows = rows.withColumn("_next", F.coalesce(F.lead("start").over(w), F.col("r1")))
-    rows = rows.withColumn("_stop", F.least("end", "_next", "r1"))
-    reached = F.max(F.greatest(F.col("r0"), F.col("start"), F.col("_stop"))).over(w.rowsBetween(W.Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_cur", F.coalesce(reached, F.col("r0"))).withColumn("_from", F.least(F.greatest("_cur", "start"), "r1"))
-    gap = F.struct(F.col("_cur").alias("a"), F.col("_from").alias("b"), F.lit(None).cast("string").alias("id"))
-    own = F.struct(F.col("_from").alias("a"), F.col("_stop").alias("b"), F.col("section_id").alias("id"))
-    blocks = rows.select("source_id", F.explode(F.array(gap, own)).alias("x")).select("source_id", "x.*")
-    ends = rows.groupBy("source_id").agg(F.max(F.greatest("r0", "start", "_stop")).alias("a"), F.max("r1").alias("b")).select("source_id", "a", "b", F.lit(None).cast("string").alias("id"))
-    bare = span.join(sections.select("source_id").distinct(), "source_id", "left_anti").select("source_id", F.col("r0").alias("a"), F.col("r1").alias("b"), F.lit(None).cast("string").alias("id"))
-    out = blocks.unionByName(ends).unionByName(bare).filter("b > a")
-    no = F.row_number().over(W.Window.partitionBy("source_id").orderBy("a")) - 1
-    return out.select("source_id", no.alias("block_no"), F.col("a").alias("block_start"), F.col("b").alias("block_end"), F.col("id").alias("section_id"))
+    return tiled(span, sections, ["source_id"])
 
 
 def blurbs(seg: DataFrame, obs: DataFrame) -> DataFrame:
@@ -56,10 +63,18 @@ def slot_frames(sections: DataFrame, picked: DataFrame) -> DataFrame:
 
 
 def place_frames(blurb_rows: DataFrame, obs: DataFrame, slack: float = 1.5) -> DataFrame:
-    """(source_id, frame_id, ts, blurb_no): each frame goes behind the first blurb that ends at most ``slack`` before it, else behind the last."""
-    rows = obs.select("source_id", "frame_id", "ts").join(blurb_rows.select("source_id", "blurb_no", F.col("end").alias("_end")).hint("shuffle_merge"), "source_id")
-    out = rows.groupBy("source_id", "frame_id", "ts").agg(F.min(F.when(F.col("ts") <= F.col("_end") + slack, F.col("blurb_no"))).alias("first"), F.max("blurb_no").alias("last"))
-    return out.select("source_id", "frame_id", "ts", F.coalesce("first", "last").alias("blurb_no"))
+    """(source_id, frame_id, ts, blurb_no): each frame goes behind the first blurb that ends at most ``slack`` before it, else behind the last.
+
+    Frames and the ends of blurbs are put on one time line; the first blurb that reaches a frame is the smallest number from
+    there on, so a window says what a join of all frames with all blurbs would.  Frames of sources without blurbs drop out.
+    """
+    ends = blurb_rows.select("source_id", (F.col("end") + slack).alias("at"), F.array(F.struct(F.lit(1).alias("side"), F.col("blurb_no").cast("long").alias("no"), F.lit(None).cast("long").alias("frame_id"), F.lit(None).cast("double").alias("ts"))).alias("x"))
+    shots = obs.select("source_id", F.col("ts").alias("at"), F.array(F.struct(F.lit(0).alias("side"), F.lit(None).cast("long").alias("no"), F.col("frame_id").cast("long").alias("frame_id"), F.col("ts").cast("double").alias("ts"))).alias("x"))
+    line = ends.unionByName(shots).select("source_id", "at", F.inline("x"))
+    on = W.Window.partitionBy("source_id").orderBy(F.col("at").desc(), F.col("side").desc()).rowsBetween(W.Window.unboundedPreceding, 0)
+    last = F.max("no").over(W.Window.partitionBy("source_id"))
+    rows = line.withColumn("first", F.min("no").over(on)).withColumn("last", last).filter("side = 0 AND last IS NOT NULL")
+    return rows.select("source_id", "frame_id", "ts", F.coalesce("first", "last").alias("blurb_no"))
 
 
 def captions(obs: DataFrame, seg: DataFrame) -> DataFrame:
@@ -143,20 +158,80 @@ def notes_md(sources: DataFrame, sections: DataFrame, execs: DataFrame, slotted:
     return out.select("source_id", F.concat(F.regexp_replace(F.concat_ws("\n", head, F.lit("## Contents\n"), F.col("contents"), F.lit(""), execs_md, F.col("body")), r"\s+$", ""), F.lit("\n")).alias("notes_md"))
 
 
-def transcript_md(sources: DataFrame, sections: DataFrame, seg: DataFrame) -> DataFrame:
-    """(source_id, transcript_md): header with counts, contents, then the leaf blocks that tile the transcript with the text said in each."""
-    tops = sections.filter("parent_id IS NULL")
-    blocks = timeline(topics.leaves(sections), seg).join(sections.select("source_id", "section_id", "heading"), ["source_id", "section_id"], "left")
-    said = timejoin.contained(seg, blocks).groupBy("source_id", "block_no").agg(F.array_join(_ordered(F.collect_list(F.struct("start", "seq", "text")), "text"), " ").alias("said"))
-    rows = blocks.join(said.hint("shuffle_merge"), ["source_id", "block_no"], "left")
-    times = F.concat(F.lit("*"), X.format_time(F.col("block_start")), F.lit(" — "), X.format_time(F.col("block_end")), F.lit("*"))
-    body = F.concat_ws("\n", F.concat(F.lit("## "), F.coalesce("heading", F.lit("Transcript"))), F.lit(""), times, F.lit(""), F.coalesce("said", F.lit("")), F.lit(""), F.lit("---"), F.lit(""))
-    text = rows.withColumn("_b", body).groupBy("source_id").agg(F.array_join(_ordered(F.collect_list(F.struct("block_no", "_b")), "_b"), "\n").alias("body"))
+def _leaf_text(blocks: DataFrame, seg: DataFrame, frames: DataFrame, slack: float = 1.0, late: float = 1.5) -> DataFrame:
+    """``blocks`` (source_id, path, block_start, block_end, section_id, heading, mark) with text: the block's blurbs and its section's frames.
+
+    A blurb ends where a frame lies between two lines, give or take ``slack``; a frame stands behind the first blurb that ends
+    at most ``late`` before it, else behind the last.  The few frames that a section keeps travel as an array.
+    """
+    item = F.struct("ts", "frame_id", F.concat(F.lit("![Frame at "), X.format_time(F.col("ts")), F.lit("]("), F.col("path"), F.lit(")\n\n")).alias("md"))
+    shots = frames.groupBy("source_id", "section_id").agg(F.array_sort(F.collect_list(item)).alias("shots"))
+    blocks = blocks.join(shots.hint("shuffle_merge"), ["source_id", "section_id"], "left").withColumn("shots", F.coalesce("shots", F.expr(f"cast(array() as {shots.schema['shots'].dataType.simpleString()})")))
+    lines = timejoin.contained(seg.select("source_id", "seq", "start", "end", "text"), blocks.select("source_id", "path", "block_start", "block_end", "shots"))
+    w = W.Window.partitionBy("source_id", "path").orderBy("start", "seq")
+    before = F.lag("end").over(w)
+    lines = lines.withColumn("_before", before)
+    cut = F.exists("shots", lambda f: f["ts"].between(F.col("_before") - slack, F.col("start") + slack))
+    lines = lines.withColumn("no", F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
+    at = F.struct("start", "seq")
+    blurb = lines.groupBy("source_id", "path", "no").agg(F.min_by("start", at).alias("a"), F.max_by("end", at).alias("b"), F.array_join(_ordered(F.collect_list(F.struct("start", "seq", "text")), "text"), " ").alias("said"))
+    blurb = blurb.groupBy("source_id", "path").agg(F.array_sort(F.collect_list(F.struct("no", "a", "b", "said"))).alias("blurbs"))
+    rows = blocks.join(blurb.hint("shuffle_merge"), ["source_id", "path"], "left").withColumn("blurbs", F.coalesce("blurbs", F.expr(f"cast(array() as {blurb.schema['blurbs'].dataType.simpleString()})")))
+    behind = lambda f: F.coalesce(F.array_min(F.transform(F.filter("blurbs", lambda b: f["ts"] <= b["b"] + late), lambda b: b["no"])), F.array_max(F.transform("blurbs", lambda b: b["no"])), F.lit(-1))
+    rows = rows.withColumn("placed", F.transform("shots", lambda f: F.struct(behind(f).alias("no"), f["md"].alias("md"))))
+    shown = lambda no: F.array_join(F.transform(F.filter("placed", lambda f: f["no"] == no), lambda f: f["md"]), "")
+    body = F.array_join(F.transform("blurbs", lambda b: F.concat(F.lit("**["), X.format_time(b["a"]), F.lit("]**\n\n"), b["said"], F.lit("\n\n"), shown(b["no"]))), "")
+    head = F.concat(F.col("mark"), F.col("heading"), F.lit("\n\n"), _times("block_start", "block_end"))
+    return rows.select("source_id", "path", F.concat(head, body, shown(F.lit(-1))).alias("text"))
+
+
+def _times(start: str, end: str) -> Column:
+    return F.concat(F.lit("*"), X.format_time(F.col(start)), F.lit(" — "), X.format_time(F.col(end)), F.lit("*\n\n"))
+
+
+def transcript_blocks(sections: DataFrame, seg: DataFrame) -> DataFrame:
+    """(source_id, path, block_start, block_end, section_id, heading, mark, intro): the leaf blocks of a transcript in reading order (path).
+
+    Top-level sections tile the transcript, the subsections of each tile their parent's own time; gaps are blocks of their
+    own, named by their time.  ``intro`` stands before a parent's first block: its heading, times, summary and key points.
+    """
+    kids = sections.filter("parent_id IS NOT NULL")
+    about = sections.select("source_id", "section_id", "heading", "summary", "key_points", F.col("start").alias("s0"), F.col("end").alias("s1"))
+    parents = kids.select("source_id", F.col("parent_id").alias("section_id")).distinct().withColumn("_parent", F.lit(True))
+    top = timeline(sections.filter("parent_id IS NULL"), seg).withColumnRenamed("block_no", "top_no")
+    top = top.join(about.hint("shuffle_merge"), ["source_id", "section_id"], "left").join(parents.hint("shuffle_merge"), ["source_id", "section_id"], "left")
+    # A parent without time of its own has no blocks below it and stands as a heading alone.
+    spans = top.filter("_parent").select("source_id", "top_no", F.col("section_id").alias("parent_id"), F.col("s0").alias("r0"), F.col("s1").alias("r1"))
+    below = tiled(spans, kids.join(spans.select("source_id", "parent_id", "top_no").hint("shuffle_merge"), ["source_id", "parent_id"]).select("source_id", "top_no", "section_id", "start", "end"), ["source_id", "top_no"])
+    below = below.join(about.select("source_id", "section_id", "heading").hint("shuffle_merge"), ["source_id", "section_id"], "left")
+    below = below.groupBy("source_id", "top_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "block_start", "block_end", "section_id", "heading"))).alias("below"))
+    rows = top.join(below.hint("shuffle_merge"), ["source_id", "top_no"], "left")
+    points = F.when(F.size("key_points") > 0, F.concat(F.array_join(F.transform("key_points", lambda p: F.concat(F.lit("- "), p)), "\n"), F.lit("\n\n")))
+    summary = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", F.concat(F.col("summary"), F.lit("\n\n")))
+    intro = F.concat(F.lit("## "), F.col("heading"), F.lit("\n\n"), _times("s0", "s1"), F.coalesce(summary, F.lit("")), F.coalesce(points, F.lit("")))
+    own = F.array(F.struct(F.lit(0).alias("block_no"), "block_start", "block_end", "section_id", "heading"))
+    rows = rows.select("source_id", "top_no", F.when(F.col("_parent"), intro).otherwise("").alias("intro"), F.when(F.col("_parent"), "### ").otherwise("## ").alias("mark"), F.when(F.col("_parent"), F.col("below")).otherwise(own).alias("b"))
+    rows = rows.select("source_id", "top_no", "intro", "mark", F.inline_outer("b"))
+    named = F.coalesce("heading", F.concat(F.lit("Transcript "), X.format_time(F.col("block_start"))))
+    return rows.select("source_id", F.struct("top_no", F.coalesce("block_no", F.lit(0)).alias("block_no")).alias("path"), "block_start", "block_end", "section_id", named.alias("heading"), "mark", F.when(F.coalesce("block_no", F.lit(0)) == 0, F.col("intro")).otherwise("").alias("intro"))
+
+
+def transcript_md(sources: DataFrame, sections: DataFrame, seg: DataFrame, frames: DataFrame) -> DataFrame:
+    """(source_id, transcript_md): header with counts, contents, then the blocks that tile the transcript with what is said and shown in each.
+
+    ``frames`` (source_id, section_id, frame_id, ts, path) are those that sections keep.  Sources without sections or lines
+    have no such document.
+    """
+    blocks = staged(transcript_blocks(sections, seg), "blocks")
+    told = _leaf_text(blocks.filter("block_end IS NOT NULL"), seg, frames)
+    rows = blocks.select("source_id", "path", "intro").join(told.hint("shuffle_merge"), ["source_id", "path"], "left")
+    per = rows.groupBy("source_id", F.col("path.top_no").alias("top_no")).agg(F.array_join(_ordered(F.collect_list(F.struct("path", F.concat("intro", F.coalesce("text", F.lit(""))).alias("t"))), "t"), "").alias("t"))
+    body = per.groupBy("source_id").agg(F.array_join(_ordered(F.collect_list(F.struct("top_no", F.concat("t", F.lit("---\n\n")).alias("t"))), "t"), "").alias("body"))
     n = seg.groupBy("source_id").agg(F.count("*").alias("n_seg"), F.sum(X.token_count(F.col("text"))).alias("n_words"))
-    out = sources.join(n, "source_id").join(text, "source_id").join(_contents(tops), "source_id", "left")
+    out = sources.join(n.hint("shuffle_merge"), "source_id").join(body.hint("shuffle_merge"), "source_id").join(_contents(sections).hint("shuffle_merge"), "source_id")
     counts = F.concat(F.lit("**Segments:** "), F.col("n_seg").cast("string"), F.lit(" | **Words:** "), F.col("n_words").cast("string"), F.lit("  "))
-    head = F.concat_ws("\n", _header(F.concat(F.col("title"), F.lit(" — Full Transcript"))), counts, F.lit(""), F.lit("---"), F.lit(""), F.lit("## Sections"), F.lit(""), F.coalesce("contents", F.lit("")), F.lit(""))
-    return out.select("source_id", F.concat(F.lit("# "), head, F.lit("\n"), F.regexp_replace("body", r"\s+$", ""), F.lit("\n")).alias("transcript_md"))
+    head = F.concat_ws("\n", F.concat(F.lit("# "), F.col("title"), F.lit(" — Full Transcript")), F.lit(""), F.concat(F.lit("**Channel:** "), F.col("channel"), F.lit("  ")), F.concat(F.lit("**Duration:** "), X.duration_human(F.col("duration_seconds")), F.lit("  ")), counts, F.lit(""), F.lit("---"), F.lit(""), F.lit("## Sections"), F.lit(""), F.col("contents"), F.lit(""))
+    return out.select("source_id", F.concat(head, F.lit("\n"), F.regexp_replace("body", r"\s+$", ""), F.lit("\n")).alias("transcript_md"))
 
 
 def transcript_txt(sources: DataFrame, seg: DataFrame) -> DataFrame:
@@ -189,10 +264,10 @@ def nested_payload(sources: DataFrame, sections: DataFrame, seg: DataFrame) -> D
     """(source_id, payload): a source as one JSON document, sections with their subsections and the transcript lines of each."""
     sec = sections.withColumnsRenamed({"start": "sec_start", "end": "sec_end"})
     lines = timejoin.overlap(seg, sec.select("source_id", "section_id", "sec_start", "sec_end")).groupBy("source_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "text"))).alias("lines"))
-    rows = sec.join(lines, ["source_id", "section_id"], "left")
+    rows = sec.join(lines.hint("shuffle_merge"), ["source_id", "section_id"], "left")
     one = F.struct("ord", "section_id", "sec_start", "sec_end", "heading", "summary", "key_points", "lines")
     kids = rows.filter("parent_id IS NOT NULL").groupBy("source_id", F.col("parent_id").alias("section_id")).agg(F.array_sort(F.collect_list(one)).alias("subsections"))
-    tops = rows.filter("parent_id IS NULL").join(kids, ["source_id", "section_id"], "left")
+    tops = rows.filter("parent_id IS NULL").join(kids.hint("shuffle_merge"), ["source_id", "section_id"], "left")
     tree = tops.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ord", "section_id", "sec_start", "sec_end", "heading", "summary", "key_points", "lines", "subsections"))).alias("sections"))
     return sources.join(tree, "source_id").select("source_id", F.to_json(F.struct("title", "sections")).alias("payload"))
 

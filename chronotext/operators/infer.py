@@ -65,7 +65,7 @@ def answer_from_trace(resp: DataFrame, key: list[str], column: str = "body") ->
     score = F.nullif(F.regexp_extract(text, r"[Ss]core[^0-9]{0,20}([0-9]+(?:\.[0-9]+)?)", 1), F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\n"), X.clean_ends), lambda s: s != "")
     last = F.coalesce(F.get(lines, F.size(lines) - 1), F.lit(""))
-    rows = resp.join(best, key, "left")
+    rows = resp.join(best.hint("shuffle_merge"), key, "left")
     answer = F.coalesce(F.col("b.object"), F.when(score.isNotNull(), F.concat(F.lit('{"score": '), score, F.lit("}"))), last)
     return rows.select(*key, answer.alias("answer"), F.coalesce(F.col("b.rank"), F.when(score.isNotNull(), 1), F.lit(0)).alias("rule"))
 

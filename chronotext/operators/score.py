@@ -59,7 +59,7 @@ def merge_scores(scored: DataFrame, visual: DataFrame, obs: DataFrame, w_llm: fl
     Sources without any observation stay as they are.
     """
     seen = obs.select("source_id").distinct().withColumn("_seen", F.lit(True))
-    rows = scored.join(visual.withColumnRenamed("visual_score", "_v"), ["source_id", "chunk_no"], "left").join(seen, "source_id", "left")
+    rows = scored.join(visual.withColumnRenamed("visual_score", "_v").hint("shuffle_merge"), ["source_id", "chunk_no"], "left").join(seen.hint("shuffle_merge"), "source_id", "left")
     v = F.when(F.col("_seen"), F.coalesce("_v", F.lit(0.0))).otherwise(F.col("visual_score"))
     c = F.when(F.col("_seen"), composite(F.col("llm_score"), v, w_llm, w_visual)).otherwise(F.col("composite_score"))
     return rows.withColumn("composite_score", c).withColumn("visual_score", v).drop("_seen", "_v")

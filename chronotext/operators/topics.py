@@ -53,7 +53,7 @@ def boundary_scores(summaries: DataFrame, chunks: DataFrame, obs: DataFrame | No
     if obs is not None:
         near = timejoin.nearest(rows.filter("mid IS NOT NULL").select("source_id", "chunk_no", "mid"), obs, "mid", ["chunk_no"], tol).select("source_id", "chunk_no", "near")
         content = F.col("near.content_score") if "content_score" in obs.columns else F.lit(None).cast("double")
-        rows = rows.join(near, ["source_id", "chunk_no"], "left").withColumn("visual", F.coalesce(F.nullif(F.col("near.scene_diff"), F.lit(0.0)), F.nullif(content, F.lit(0.0)), F.lit(0.0)))
+        rows = rows.join(near.hint("shuffle_merge"), ["source_id", "chunk_no"], "left").withColumn("visual", F.coalesce(F.nullif(F.col("near.scene_diff"), F.lit(0.0)), F.nullif(content, F.lit(0.0)), F.lit(0.0)))
     else:
         rows = rows.withColumn("visual", F.lit(0.0))
     cue = F.when(F.col("transition") == "conclusion", 0.6).otherwise(0.0) + F.when(F.col("n_transition") == "shift", 0.8).otherwise(0.0) + F.when(F.col("n_cue"), 0.5).otherwise(0.0)
@@ -240,7 +240,7 @@ def section_frames(picked: DataFrame, ranked: DataFrame | None = None, keep: int
         r = ranked.select("source_id", "section_id", F.posexplode("ids").alias("_pos", "_id"))
         r = r.groupBy("source_id", "section_id", "_id").agg(F.min("_pos").alias("_pos"))
         hits = picked.withColumn("_id", F.concat(F.lit("frame_"), F.col("pick_no").cast("string"))).join(r.hint("shuffle_merge"), ["source_id", "section_id", "_id"]).drop("_id")
-        own = rows.join(hits.select("source_id", "section_id").distinct(), ["source_id", "section_id"], "left_anti")
+        own = rows.join(hits.select("source_id", "section_id").distinct().hint("shuffle_merge"), ["source_id", "section_id"], "left_anti")
         rows = own.unionByName(hits.withColumnRenamed("_pos", "_rank"))
     best = W.Window.partitionBy("source_id", "section_id").orderBy("_rank")
     line = W.Window.partitionBy("source_id", "section_id").orderBy("ts", "frame_id")

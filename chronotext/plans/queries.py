@@ -74,6 +74,8 @@ MADE: dict[str, Callable[[Tables], DataFrame]] = {
 
 
 def on(spark: SparkSession, sf: str) -> Tables:
+    # A union that keeps its sides' partitioning fails where adaptive execution coalesces one side only (Spark 4.1).
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return Tables(spark, sf)
 
 
@@ -114,8 +116,12 @@ def a4_transcript_text(spark, sf):
     return readers.read_transcript_text(_transcript_bodies(on(spark, sf)))
 
 
+def _shots(t: Tables) -> DataFrame:
+    return t.kept.join(t.obs.select("source_id", "frame_id", "path").hint("shuffle_merge"), ["source_id", "frame_id"])
+
+
 def _notes(t: Tables) -> DataFrame:
-    return docs.notes_md(t.meta, t.sections, t.execs, docs.slot_frames(t.sections, t.kept.join(t.obs.select("source_id", "frame_id", "path"), ["source_id", "frame_id"])))
+    return docs.notes_md(t.meta, t.sections, t.execs, docs.slot_frames(t.sections, _shots(t)))
 
 
 @query
@@ -342,7 +348,7 @@ def _points(t: Tables) -> DataFrame:
 @query
 def c15_match_points(spark, sf):
     t = on(spark, sf)
-    shots = t.kept.join(docs.captions(t.obs, t.aligned).select("source_id", "frame_id", "caption"), ["source_id", "frame_id"]).join(t.obs.select("source_id", "frame_id", "content_score"), ["source_id", "frame_id"]).select("source_id", "section_id", "frame_id", "ts", "caption", "content_score")
+    shots = t.kept.join(docs.captions(t.obs, t.aligned).select("source_id", "frame_id", "caption").hint("shuffle_merge"), ["source_id", "frame_id"]).join(t.obs.select("source_id", "frame_id", "content_score"), ["source_id", "frame_id"]).select("source_id", "section_id", "frame_id", "ts", "caption", "content_score")
     return docs.match_points(_points(t), shots).withColumn("score", F.round("score", 6))
 
 
@@ -667,7 +673,7 @@ def k1_notes_md(spark, sf):
 @query
 def k2_transcript_md(spark, sf):
     t = on(spark, sf)
-    return docs.transcript_md(t.meta, t.sections, t.aligned)
+    return docs.transcript_md(t.meta, t.sections, t.aligned, _shots(t))
 
 
 @query

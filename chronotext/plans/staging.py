@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none (tests), a new temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none, a new temporary one, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="chronotext-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
