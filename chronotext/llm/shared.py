@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from itertools import accumulate
@@ -18,14 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none (tests), a new temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none, a new temporary one, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="chronotext-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as keep it apart from the columns ``taken``, whose case does not count."""
+    used = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def few(df: DataFrame, most: int, otherwise: str = "shuffle_hash") -> DataFrame:
+    """``df``, which is written and so cheap to count, to be broadcast in a join if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df.hint(otherwise)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends there, and lost executors cost no recomputation."""
     path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
@@ -34,9 +54,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words; null counts as empty.  Splitting on white space leaves at most an empty piece at either end."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
+    """Number of words; null counts as empty."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def remainder(doc_id: Column, mod: int) -> Column:

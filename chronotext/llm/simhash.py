@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.llm.components import components
-from chronotext.llm.shared import written
+from chronotext.llm.shared import few, free, written
 
 SEED = 42
 SHINGLE = 3
 BITS = 3
 #: Homes that one task compares with an anchor's replicas; an anchor with more is split.
 HOMES = 4096
+#: Split anchors that are broadcast at most; more are joined by a shuffle.
+CROWDED_TO_BROADCAST = 100_000
 #: Runs up to this length are compared by shifting, longer ones by search.
 SHORT = 24
 
@@ -176,11 +178,11 @@ def linked_pairs(distinct: DataFrame, homes: int = HOMES) -> DataFrame:
     """(a, b): pairs of representatives of ``distinct`` (fp, rep) that span the links between different fingerprints.
 
     An anchor that is home to more than ``homes`` fingerprints is split: each of its tiles holds a part of the homes and
-    all replicas.  There are at most rows / ``homes`` such anchors, which bounds what is broadcast.
+    all replicas.  Split anchors are few, as a rule none; they are broadcast only if they are counted to be few.
     """
-    crowded = replicas(distinct, homes_only=True).groupBy("anchor").count().filter(F.col("count") > homes).select("anchor", F.ceil(F.col("count") / homes).cast("int").alias("tiles"))
-    crowded = written(crowded, "crowded")
-    rows = replicas(distinct).join(F.broadcast(crowded), "anchor", "left")
+    crowded = replicas(distinct, homes_only=True).groupBy("anchor").count().filter(F.col("count") > homes)
+    crowded = written(crowded.select("anchor", F.ceil(F.col("count") / homes).cast("int").alias("tiles")), "crowded")
+    rows = replicas(distinct).join(few(crowded, CROWDED_TO_BROADCAST), "anchor", "left")
     own = F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")
     rows = rows.withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
     rows = rows.select("anchor", "tile", (F.col("home") & (F.col("tile") == own)).alias("home"), "fp", "rep")
@@ -201,6 +203,12 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id, with all its columns (every row of that id)."""
-    stays = near_components(docs, shingle).filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays.hint("shuffle_merge"), F.col("doc_id").cast("long") == F.col("_stays"), "left_semi")
+    """The rows of ``docs`` that stay: of each component the document with the smallest id, with all its columns (every row of that id).
+
+    Rows without an id have no name to stay by and go; null and empty texts link like any other; columns of any name pass
+    through; an empty table gives an empty one.
+    """
+    (stays,) = free(docs.columns, "_stays")
+    rows = near_components(docs, shingle)
+    ids = rows.filter("doc_id = component_id").select(F.col("doc_id").alias(stays)).distinct()
+    return docs.join(ids.hint("shuffle_merge"), F.col("doc_id").cast("long") == F.col(stays), "left_semi")
