@@ -2,10 +2,12 @@
 
 A source's target is its share of the mix in words.  Complete epochs come first: a source whose target is 1.3 times its
 size gives every document once.  The rest is drawn without replacement: each document gets the key -ln(u) / w (u uniform
-from a hash of its id, w its quality weight), and the documents with the smallest keys are taken until the budget is full.
+from a hash of its id, w its quality weight), and the documents with the smallest keys are taken until the next one would
+overrun the budget; one document that fits what is missing completes it.
 
-No task ever sorts a source.  Keys fall into bins; words are summed per (source, bin); only the bin in which a source's
-budget runs out is sorted, and what comes out is one row per source: complete epochs and the last key taken.
+No task ever sorts a source.  Keys fall into bins by their order of magnitude, so that no bin holds more than about 1 in
+4,000 of a source, whatever the weights; words are summed per (source, bin); only the bin in which a source's budget runs
+out is sorted, and what comes out is one row per source: complete epochs, the last key taken and the document that fills.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from chronotext.llm.shared import word_count, written
+from chronotext.llm.shared import few, word_count, written
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -22,8 +24,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: A target is at most so many times its source's size.
 MOST = 2.0
-#: Bins of a source's keys.
-BINS = 4096
+#: Bins of a source's keys for each power of two.
+BINS = 1024
 #: Above so many sources, the per-source rows are joined by a shuffle instead of a broadcast.
 SOURCES_TO_BROADCAST = 100_000
 
@@ -47,68 +49,89 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "target")
 
 
-def quality_weight(text: Column, words: Column) -> Column:
-    """1 for texts whose words are about five letters long on average, less for others, at least 0.05."""
-    mean = (F.length(text) - words + 1) / F.greatest(words, F.lit(1))
-    return F.greatest(F.lit(0.05), F.lit(1.0) / (F.lit(1.0) + F.abs(mean - 5.0) / 5.0))
+def quality_weight(score: Column) -> Column:
+    """A document's weight from its quality score (0 to 1, null: least), at least 0.05, so that no document is out of reach."""
+    return F.greatest(F.lit(0.05), F.coalesce(score.cast("double"), F.lit(0.0)))
 
 
-def keyed(docs: DataFrame, seed: int = 5, weight: Column | None = None) -> DataFrame:
-    """``docs`` with size (words; a null text has none) and the sampling key ``es_key``; ties go by doc_id, null ids first."""
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("size", word_count(F.col("text")))
+def keyed(docs: DataFrame, columns: list[str], seed: int, weight: Column | None) -> DataFrame:
+    """``docs`` as (row, doc_id, s, size, es_key, bin), row holding ``columns``; this is the only look at the texts.
+
+    s is the source, told apart from a null one; size counts words (a null text has none); es_key is the sampling key, and
+    bin says in which 1,024th of which power of two it lies.  Ties go by doc_id, null ids first.
+    """
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return out.withColumn("es_key", -F.log(u) / (quality_weight(text, F.col("size")) if weight is None else weight))
+    key = -F.log(u) / (F.lit(1.0) if weight is None else weight)
+    s = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
+    row = F.struct(*columns) if columns else F.struct(F.lit(None).alias("_"))
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), s.alias("s"), word_count(F.col("text")).alias("size"), key.alias("es_key"))
+    return rows.withColumn("bin", F.floor(F.log2("es_key") * BINS).cast("int"))
+
+
+def _joined(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their source, of which there is one row each in ``source``, a written table."""
+    return rows.join(few(source, SOURCES_TO_BROADCAST, "shuffle_merge"), "s")
 
 
 def cuts(rows: DataFrame, **how) -> DataFrame:
-    """One row per source: its size and target, the complete ``epochs``, and the last (cut_key, cut_id) of the part epoch.
+    """One row per source: source_size, target, the complete ``epochs`` and what the part epoch takes.
 
-    ``rows`` has doc_id, source, size and es_key.  Rows with the same key and id stand or fall together.  The document on
-    which the budget runs out is taken if that comes nearer to the target than leaving it.
+    That is all rows up to the key (edge_bin, cut_key, cut_id), and then one document more, fill_key and fill_id: of those
+    left, the one whose size is nearest to what is still missing, if it comes nearer to the target than leaving it.  Rows
+    with the same key and id stand or fall together.  ``rows`` is a written table of :func:`keyed`.
     """
-    rows = rows.withColumn("bin", F.floor(F.lit(BINS) * (1 - F.exp(-F.col("es_key")))).cast("int"))
-    bins = written(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")), "bins")
-    source = written(targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), **how), "targets")
+    rows = rows.drop("row")
+    bins = written(rows.groupBy("s", "bin").agg(F.sum("size").alias("words")), "bins")
+    sizes = bins.groupBy("s").agg(F.sum("words").alias("source_size"))
+    named = sizes.select(F.when(~F.col("s.none"), F.col("s.name")).alias("source"), "source_size")
+    source = targets(named, **how).withColumn("s", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     source = source.withColumn("epochs", F.floor(ratio).cast("int")).withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
-    tag = lambda df: df.withColumn("s", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
+    source = written(source.select("s", "source_size", "target", "epochs", "budget"), "targets")
     upto = W.Window.partitionBy("s").orderBy("bin").rowsBetween(W.Window.unboundedPreceding, 0)
-    few = tag(source).drop("source")
-    at = tag(bins).withColumn("upto", F.sum("words").over(upto)).join(few.hint("shuffle_merge"), "s")
-    edge = at.filter((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("words") <= F.col("budget"))).select("s", "bin", (F.col("budget") - F.col("upto") + F.col("words")).alias("room"))
-    inside = tag(rows).join(edge.hint("shuffle_merge"), ["s", "bin"])
-    order = W.Window.partitionBy("s", "bin").orderBy("es_key", "doc_id")
-    # The frame takes equal rows together; what stands before them is the sum without them.
-    inside = inside.groupBy("s", "bin", "room", "es_key", "doc_id").agg(F.sum("size").alias("size")).withColumn("sum", F.sum("size").over(order))
-    taken = inside.filter((F.col("sum") <= F.col("room")) | (F.col("sum") - F.col("room") < F.col("room") - (F.col("sum") - F.col("size"))))
-    last = taken.groupBy("s").agg(F.max(F.struct("es_key", "doc_id")).alias("last"))
-    first = edge.select("s", F.col("bin").alias("edge_bin"))
-    out = few.join(first, "s", "left").join(last, "s", "left")
-    return written(out.select("s", "source_size", "target", "epochs", "edge_bin", F.col("last.es_key").alias("cut_key"), F.col("last.doc_id").alias("cut_id")), "cuts")
-
-
-def mix(docs: DataFrame, seed: int = 5, weight: Column | None = None, **how) -> DataFrame:
-    """``docs`` with size, source_size, target and ``times``, how often the mix takes the row (0 included).
-
-    Null texts have no words, a null source is a source of its own, an empty table gives an empty result, and columns of
-    ``docs`` named like the results are replaced.
+    at = _joined(bins.withColumn("upto", F.sum("words").over(upto)), source)
+    edge = at.filter((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("words") <= F.col("budget")))
+    edge = written(edge.select("s", F.col("bin").alias("edge_bin"), (F.col("budget") - F.col("upto") + F.col("words")).alias("room")), "edges")
+    inside = _joined(rows, edge).filter("bin = edge_bin").groupBy("s", "room", "es_key", "doc_id").agg(F.sum("size").alias("size"))
+    # The frame takes equal rows together; one bin holds about 1 in 4,000 rows of a source at most, whatever the weights.
+    inside = inside.withColumn("sum", F.sum("size").over(W.Window.partitionBy("s").orderBy("es_key", "doc_id"))).filter("sum <= room")
+    last = inside.groupBy("s").agg(F.max(F.struct("es_key", "doc_id")).alias("last"), F.max("sum").alias("sum"))
+    part = written(edge.join(last.hint("shuffle_merge"), "s", "left").select("s", "edge_bin", F.col("last.es_key").alias("cut_key"), F.col("last.doc_id").alias("cut_id"), (F.col("room") - F.coalesce("sum", F.lit(0))).alias("missing")), "parts")
+    rest = _joined(rows.filter("size > 0"), part).filter((F.col("missing") > 0) & ~_before()).groupBy("s", "missing", "es_key", "doc_id").agg(F.sum("size").alias("size"))
+    off = F.abs(F.col("size") - F.col("missing"))
+    fill = rest.filter(off < F.col("missing")).groupBy("s").agg(F.min(F.struct(off, "es_key", "doc_id")).alias("fill"))
+    out = source.join(part.hint("shuffle_merge"), "s", "left").join(fill.hint("shuffle_merge"), "s", "left")
+    return written(out.select("s", "source_size", "target", "epochs", (F.col("budget") > 0).alias("more"), "edge_bin", "cut_key", "cut_id", F.col("fill.es_key").alias("fill_key"), F.col("fill.doc_id").alias("fill_id")), "cuts")
+
+
+def _before() -> Column:
+    """Whether a row stands before its source's cut, or at it.  Null ids come first."""
+    same = F.col("es_key") == F.col("cut_key")
+    inside = (F.col("es_key") < F.col("cut_key")) | (same & (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") <= F.col("cut_id"), F.lit(False))))
+    return F.coalesce((F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & inside), F.lit(False))
+
+
+def _mix(docs: DataFrame, columns: list[str], seed: int, weight: Column | None, how: dict) -> DataFrame:
+    rows = written(keyed(docs, columns, seed, weight), "keys")
+    filled = F.col("es_key").eqNullSafe(F.col("fill_key")) & F.col("doc_id").eqNullSafe(F.col("fill_id"))
+    part = F.when(F.col("more") & (_before() | filled), 1).otherwise(0)
+    return _joined(rows, cuts(rows, **how)).withColumn("times", F.col("epochs") + part)
+
+
+def mix(docs: DataFrame, seed: int = 5, weight: Column | None = None, keep: list[str] | None = None, **how) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all if not given) with size, source_size, target and ``times``, how often the mix takes the row (0 included).
+
+    ``weight`` is a column of ``docs`` (1 if not given), see :func:`quality_weight`.  Null texts have no words, a null source
+    is a source of its own, an empty table gives an empty result.  Columns of ``docs`` named like the four results are
+    replaced; any other name may occur, as the steps between keep the row apart from their own columns.
     """
-    docs = docs.drop("size", "source_size", "target", "times", "es_key")
-    rows = keyed(docs, seed, weight)
-    source = cuts(written(rows.select("doc_id", "source", "size", "es_key"), "keys"), **how)
-    source = F.broadcast(source) if source.count() <= SOURCES_TO_BROADCAST else source.hint("shuffle_merge")
-    s = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    got = rows.withColumn("s", s).withColumn("bin", F.floor(F.lit(BINS) * (1 - F.exp(-F.col("es_key")))).cast("int")).join(source, "s")
-    before = (F.col("bin") < F.col("edge_bin")) & (F.col("target") > 0)
-    cut = F.col("cut_key").isNotNull() & (F.col("bin") == F.col("edge_bin"))
-    first = (F.col("es_key") < F.col("cut_key")) | ((F.col("es_key") == F.col("cut_key")) & (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") <= F.col("cut_id"), F.lit(False))))
-    over = F.col("target") > F.col("epochs") * F.col("source_size")
-    part = F.when(over & (F.coalesce(before, F.lit(False)) | F.coalesce(cut & first, F.lit(False))), 1).otherwise(0)
-    return got.withColumn("times", F.col("epochs") + part).select(*docs.columns, "size", "source_size", "target", "times")
-
-
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken, with the columns of ``docs``."""
-    rows = mix(docs, **how).filter("times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    made = ("size", "source_size", "target", "times")
+    columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    return _mix(docs, columns, seed, weight, how).select(*(F.col("row")[c].alias(c) for c in columns), *made)
+
+
+def mixed(docs: DataFrame, seed: int = 5, weight: Column | None = None, keep: list[str] | None = None, **how) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken, with the columns ``keep`` (all if not given), whatever their names."""
+    columns = docs.columns if keep is None else keep
+    rows = _mix(docs, columns, seed, weight, how).filter("times > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*(F.col("row")[c].alias(c) for c in columns))

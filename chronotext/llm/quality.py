@@ -148,22 +148,30 @@ def with_features(df: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "quality", limit: int = SAMPLE) -> Model:
-    """A model for ``label`` from at most ``limit`` labelled documents for which ``rows`` holds; their features, not their texts, reach the driver."""
+    """A model for ``label`` from at most ``limit`` labelled documents for which ``rows`` holds; their features, not their texts, reach the driver.
+
+    Null texts count as empty; label rows that repeat count once (1 if one says so), null labels not at all; no rows, or
+    rows of one class, give a model that scores every text with the smoothed base rate.
+    """
     got = with_features(labelled_sample(docs, labels, label, rows, limit)).select("doc_id", "label", "x").toPandas().sort_values(["doc_id", "label"])
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got["label"].to_numpy())) if len(x) else np.zeros(0, int)
     return fit(x[order], got["label"].to_numpy(float)[order])
 
 
-def score(df: DataFrame, model: Model) -> DataFrame:
-    """``df`` with score (0 to 1) and predicted (1 if score >= 0.5); columns of those names are replaced, all others kept.  Null and empty texts are scored too."""
-    keep = [c for c in df.columns if c not in ("score", "predicted")]
-    schema = df.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+def score(df: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``df`` with score (0 to 1) and predicted (1 if score >= 0.5), under the names given.
+
+    Columns of those names are replaced, all others kept.  Null and empty texts are scored too; rows that repeat get the
+    same score; an empty table gives an empty one.
+    """
+    keep = [c for c in df.columns if c.lower() not in (score.lower(), predicted.lower())]
+    schema = df.select(*keep, F.lit(0.0).alias(score), F.lit(0).alias(predicted)).schema
 
     def run(batches):
         for b in batches:
             x = np.array([features(t.as_py()) for t in b.column("text").cast(pa.binary())]).reshape(-1, len(FEATURES))
             s = model.score(x)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, score, predicted])
 
     return df.select(*keep).mapInArrow(run, schema)
