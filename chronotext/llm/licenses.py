@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronotext.llm.shared import free
+
 #: Known licence sentences, normalised.  Fixed values.
 SENTENCES = {
     "released under the mit license": 1,
@@ -116,9 +118,10 @@ def scan(df: DataFrame, column: str = "text") -> DataFrame:
         hits = ((F.length(state["rest"]) - F.length(cut)) / (F.length(rule["p"]) - 1)).cast("int")
         return F.struct(cut.alias("rest"), F.when(hits > 0, F.array_append(state["names"], rule["name"])).otherwise(state["names"]).alias("names"), (state["n"] + hits).alias("n"))
 
+    (found,) = free(df.columns, "_found")
     out = df.withColumn("license_sequence", sequence(F.col(column)))
-    out = out.withColumn("_found", F.aggregate(rules, start, step))
-    return out.withColumn("licenses", F.array_join(F.array_sort(F.array_distinct("_found.names")), ",")).withColumn("n_notices", F.col("_found.n")).drop("_found")
+    out = out.withColumn(found, F.aggregate(rules, start, step))
+    return out.withColumn("licenses", F.array_join(F.array_sort(F.array_distinct(f"{found}.names")), ",")).withColumn("n_notices", F.col(f"{found}.n")).drop(found)
 
 
 def oracle() -> str:

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronotext.llm.shared import free
+
 #: The rules of the registered query: (verdict, host, path).  Fixed values.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Bits that a key sets in its block; keys a block is meant for; most blocks of a filter (12 bytes each, so the filter is at most 13 MB).
@@ -44,7 +46,7 @@ def _block(key: Column, blocks: int) -> Column:
 def _mask(key: Column) -> Column:
     """BITS bits of a 64-bit word, each chosen by six bits of a second hash."""
     h = F.xxhash64(key, F.lit("bits"))
-    one = lambda i: F.expr("shiftleft(1L, 0)") if i is None else F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
     return reduce(lambda a, b: a.bitwiseOR(b), (one(i) for i in range(BITS)))
 
 
@@ -67,8 +69,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """``pages`` with host, path, rule (like ``net/``, else null) and verdict: the longest fitting rule's, else ``default``.
 
     ``rules`` has verdict, host and path; a list of urls to block is a table of rules.  Of equally long rules the one with
-    the longer host wins, then the smaller text.  Null urls and urls without :// have empty hosts, which no rule fits.
-    Verdicts are worked out once for each (host, path) and joined back, so repeated rows and hot hosts cost nothing extra.
+    the longer host wins, then the smaller text.  Null urls and urls without :// have empty hosts, which no rule fits; they
+    are dealt out by partition in the join back, so any number of them needs no large task.  Each distinct (host, path) is
+    judged once and joined back, so repeated rows cost nothing extra.  Columns named host, path, rule and verdict are
+    replaced, all others kept, whatever their names; an empty table gives an empty one.
     """
     rules = rules.select("verdict", F.translate("host", _UPPER, _LOWER).alias("host"), "path").filter("host <> '' AND path IS NOT NULL AND verdict IS NOT NULL")
     about = rules.agg(F.count("*"), F.collect_set(F.length("path"))).first()
@@ -77,16 +81,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     if not about[0]:
         return out.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     key = _key(F.col("r_host"), F.col("r_path"))
-    tried = candidates(out.select("host", "path"), sorted(about[1])).withColumn("block", _block(key, blocks)).withColumn("mask", _mask(key))
+    tried = candidates(out.select("host", "path").filter("host <> ''").distinct(), sorted(about[1])).withColumn("block", _block(key, blocks)).withColumn("mask", _mask(key))
     # The filter's size is bounded by MOST_BLOCKS.
     passed = tried.join(F.broadcast(bloom(rules, blocks)), "block").filter(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"))
     listed = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict")).groupBy("r_host", "r_path").agg(F.max("verdict").alias("verdict"))
     listed = F.broadcast(listed) if about[0] <= RULES_TO_BROADCAST else listed.hint("shuffle_hash")
     exact = passed.join(listed, ["r_host", "r_path"])
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), "r_host")
-    best = exact.groupBy("host", "path").agg(F.max_by(F.struct(_key(F.col("r_host"), F.col("r_path")).alias("rule"), "verdict"), rank).alias("best"))
-    got = out.join(best.hint("shuffle_merge"), ["host", "path"], "left")
-    return got.select(*out.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = exact.groupBy("host", "path").agg(F.max_by(F.struct(key.alias("rule"), "verdict"), rank).alias("best"))
+    h, p, salt, found = free(out.columns, "_host", "_path", "_salt", "_best")
+    best = best.select(F.col("host").alias(h), F.col("path").alias(p), F.lit(-1).alias(salt), F.col("best").alias(found))
+    own = free([*out.columns, h, p, salt, found], "_own")[0]
+    rows = out.withColumn(own, F.when(F.col("host") == "", F.spark_partition_id()).otherwise(-1))
+    got = rows.join(best.hint("shuffle_merge"), (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)) & (F.col(own) == F.col(salt)), "left")
+    return got.select(*out.columns, F.col(f"{found}.rule").alias("rule"), F.coalesce(F.col(f"{found}.verdict"), F.lit(default)).alias("verdict"))
 
 
 def oracle() -> str:
