@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -25,8 +25,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents over 16 shards near equal in bytes."""
-    folder = f"{scratch(spark)}/slot-map-{uuid.uuid4().hex}"
+    """All documents over 16 shards near equal in bytes; the map of a data folder is kept, and edited when the query runs again."""
+    folder = f"{scratch(spark)}/slot-maps/{zlib.crc32(sf_dir.encode()):08x}"
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"), folder)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version"))
 
@@ -43,8 +43,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of every document."""
-    rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    """How many words the mix takes of every document; drawn by the quality that the classifier gives it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), F.lit(True)))
+    rows = mixing.mix(scored, weight=mixing.quality_weight(F.col("score")), keep=["doc_id"])
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 

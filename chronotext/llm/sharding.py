@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -19,7 +20,7 @@ MAP_SCHEMA = "version int, vslot int, shard int, bytes long, n_rows long, first_
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of a record key; null keys share one slot."""
+    """The virtual slot of a record key."""
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
 
@@ -92,10 +93,24 @@ def read_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(f"{folder}/version={version}")
 
 
+def latest_version(spark: SparkSession, folder: str) -> int | None:
+    """The largest version that ``folder`` holds; None where there is no map yet."""
+    try:
+        return spark.read.parquet(folder).agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text, null: none, plus 1), text_crc32 and vslot of every row; a null text has the crc of an empty one."""
+    """doc_id, size (UTF-8 bytes of the text, null: none, plus 1), text_crc32 and vslot of every row; a null text has the crc of an empty one.
+
+    A row's key is its id and text, so rows without an id, or with the same one, are spread over the slots by their texts.
+    """
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("vslot"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
 
 
 def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -110,11 +125,20 @@ def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, folder: str, shards: int = 16, slots: int = SLOTS) -> DataFrame:
-    """All ``docs`` over ``shards`` shards by bytes, under version 1 of a map kept in ``folder``.  An empty table gives an empty result."""
-    records = sized(docs, slots)
-    sums = slot_sums(records)
-    slot_map = write_map(docs.sparkSession, folder, 1, build_map(sums, shards, slots), sums)
-    return assign(records, slot_map)
+    """All ``docs`` over ``shards`` shards by bytes, under a new version of the map kept in ``folder``.
+
+    The first version is built from the slots' bytes; later ones are edits of the latest (:func:`rebalance`), so only the
+    slots that must move do.  Null texts have size 1, columns other than doc_id and text are not looked at, and an empty
+    table gives an empty result.
+    """
+    spark, records = docs.sparkSession, sized(docs, slots)
+    sums, latest = slot_sums(records), latest_version(docs.sparkSession, folder)
+    if latest is None:
+        return assign(records, write_map(spark, folder, 1, build_map(sums, shards, slots), sums))
+    old = {r.vslot: r.shard for r in read_map(spark, folder, latest).select("vslot", "shard").collect()}
+    if len(old) != slots:
+        raise ValueError(f"the map in {folder} has {len(old)} slots, not {slots}: their number is fixed")
+    return assign(records, write_map(spark, folder, latest + 1, rebalance(old, sums, shards), sums))
 
 
-__all__ = ["MAP_SCHEMA", "SLOTS", "assign", "build_map", "read_map", "rebalance", "shard_documents", "sized", "slot_of", "slot_sums", "write_map"]
+__all__ = ["MAP_SCHEMA", "SLOTS", "assign", "build_map", "latest_version", "read_map", "rebalance", "shard_documents", "sized", "slot_of", "slot_sums", "write_map"]
