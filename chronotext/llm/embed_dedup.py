@@ -15,18 +15,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronotext.llm.components import components
-from chronotext.llm.shared import written
+from chronotext.llm.shared import few, free, written
 
 COSINE = 0.9
 WIDTH = 2.5
 #: Wanted chance of finding a pair whose cosine is just the threshold; pairs above it are found more often.
 RECALL = 0.96
-#: Unrelated vectors that a bucket should hold.
-CROWD = 16
+#: Unrelated vectors that a bucket should hold.  More of them mean fewer tables, so fewer copies of a vector are shuffled, and more exact cosines.
+CROWD = 512
 #: Rows of one task's tile; larger buckets are cut into tiles that meet pairwise.
 TILE = 2048
+#: Buckets cut into tiles that are broadcast at most; more are joined by a shuffle.
+CROWDED_TO_BROADCAST = 100_000
 SEED = 8
 
 
@@ -37,9 +40,12 @@ def agreement(distance: float, width: float = WIDTH) -> float:
 
 
 def plan(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
-    """(projections a table, tables) for ``n`` vectors: projections so that unrelated vectors leave CROWD rows in a bucket, tables for the recall."""
+    """(projections a table, tables) for ``n`` vectors: projections so that unrelated vectors leave CROWD rows in a bucket, tables for the recall.
+
+    The wanted chance of finding a link holds at every size, but which links the chance leaves out changes with ``n``.
+    """
     near, far = agreement(math.sqrt(2 - 2 * cosine)), agreement(math.sqrt(2))
-    k = max(8, math.ceil(math.log(max(2.0, n / CROWD)) / -math.log(far)))
+    k = max(4, math.ceil(math.log(max(2.0, n / CROWD)) / -math.log(far)))
     return k, math.ceil(math.log(1 - recall) / math.log1p(-(near**k)))
 
 
@@ -55,26 +61,41 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+class Cells:
+    """The buckets of vectors in all tables, from directions that follow from the seed and the dimension alone."""
+
+    def __init__(self, k: int, tables: int, width: float = WIDTH):
+        self.k, self.tables, self.width, self.drawn = k, tables, width, {}
+
+    def of(self, unit_rows: np.ndarray, tables: int | None = None) -> np.ndarray:
+        """One 32-bit bucket for each row and each of the first ``tables`` tables."""
+        d, tables = unit_rows.shape[1], self.tables if tables is None else tables
+        if d not in self.drawn:
+            rng = np.random.default_rng([SEED, d])
+            self.drawn[d] = rng.standard_normal((d, self.k * self.tables)), rng.uniform(0, self.width, self.k * self.tables), rng.integers(1, 1 << 62, self.k, dtype=np.int64) | 1
+        a, shift, odd = self.drawn[d]
+        n = self.k * tables
+        # Without BLAS, so that a vector's sums do not depend on the rows beside it.
+        cell = np.floor((np.einsum("ij,jk->ik", unit_rows, a[:, :n], optimize=False) + shift[:n]) / self.width).astype(np.int64)
+        return ((cell.reshape(len(cell), tables, self.k) * odd).sum(axis=2) >> 24).astype(np.int32)
+
+
 def signatures(distinct: DataFrame, k: int, tables: int, width: float = WIDTH) -> DataFrame:
-    """``distinct`` (rep, copies, v array<double>) with dim and cells, one 32-bit bucket for each table."""
+    """``distinct`` (rep, copies, v) with dim and cells, one 32-bit bucket for each table."""
 
     def run(batches):
-        drawn: dict[int, tuple] = {}
+        drawn = Cells(k, tables, width)
         for b in batches:
             lists = b.column("v").to_pylist()
             dims = np.array([len(x) for x in lists], np.int32)
             cells = np.zeros((len(lists), tables), np.int32)
             for d in np.unique(dims):
-                if d not in drawn:
-                    rng = np.random.default_rng([SEED, int(d)])
-                    drawn[d] = rng.standard_normal((int(d), k * tables)), rng.uniform(0, width, k * tables), rng.integers(1, 1 << 62, k, dtype=np.int64) | 1
-                a, shift, odd = drawn[d]
                 at = np.flatnonzero(dims == d)
-                cell = np.floor((unit(np.array([lists[i] for i in at])) @ a + shift) / width).astype(np.int64).reshape(len(at), tables, k)
-                cells[at] = ((cell * odd).sum(axis=2) >> 24).astype(np.int32)
+                cells[at] = drawn.of(unit(np.array([lists[i] for i in at], np.float64)))
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("copies"), b.column("v"), pa.array(dims), pa.array(list(cells), pa.list_(pa.int32()))], names=["rep", "copies", "v", "dim", "cells"])
 
-    return distinct.select("rep", "copies", "v").mapInArrow(run, "rep long, copies long, v array<double>, dim int, cells array<int>")
+    kind = distinct.schema["v"].dataType.simpleString()
+    return distinct.select("rep", "copies", "v").mapInArrow(run, f"rep long, copies long, v {kind}, dim int, cells array<int>")
 
 
 def span(hit: np.ndarray) -> tuple[list[int], list[int]]:
@@ -95,12 +116,13 @@ def span(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def bucket_links(table: int, two: bool, side: np.ndarray, v: np.ndarray, cells: np.ndarray, copies: np.ndarray, rep: np.ndarray, cosine: float):
+def bucket_links(table: int, two: bool, side: np.ndarray, v: np.ndarray, copies: np.ndarray, rep: np.ndarray, cosine: float, cells: Cells):
     """(rep, other, links) rows of one tile.  A pair that an earlier table has brought together is left to that table.
 
-    ``side`` tells the parts of a tile apart: where it has two (``two``), only pairs between them count.
+    ``side`` tells the parts of a tile apart: where it has two (``two``), only pairs between them count.  The buckets of
+    earlier tables are worked out again, for the few rows that have links.
     """
-    u = unit(v)
+    u = unit(v.astype(np.float64))
     hit = u @ u.T >= cosine
     np.fill_diagonal(hit, False)
     if two:
@@ -109,9 +131,10 @@ def bucket_links(table: int, two: bool, side: np.ndarray, v: np.ndarray, cells:
         return [], [], []
     rows = np.flatnonzero(hit.any(axis=1))
     hit = hit[np.ix_(rows, rows)]
-    for t in range(table):
-        c = cells[rows, t]
-        hit &= c[:, None] != c[None, :]
+    if table:
+        earlier = cells.of(u[rows], table)
+        for t in range(table):
+            hit &= earlier[:, t, None] != earlier[None, :, t]
     links = hit @ copies[rows]
     a, b = span(hit)
     counted = np.flatnonzero(links)
@@ -123,31 +146,33 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, recall: float = RECALL)
 
     n_links counts the other rows linked directly, equal vectors included; component_id is the smallest vec_id that links
     reach.  Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
-    different length.  Rows that repeat a vec_id count as rows of their own.  An empty table gives an empty result.
+    different length.  Rows that repeat a vec_id count as rows of their own; those without a vec_id count as links of
+    others and get the component of an equal vector that has one.  An empty table gives an empty result.
     """
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    of = df.schema["embedding"].dataType
+    kind = "array<float>" if isinstance(of, T.ArrayType) and isinstance(of.elementType, T.FloatType) else "array<double>"
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     good = rows.filter(usable(F.col("v")))
     classes = written(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     k, tables = plan(classes.count(), cosine, recall)
     signed = written(signatures(classes.filter("rep IS NOT NULL"), k, tables), "signed")
     placed = signed.select("rep", F.posexplode("cells").alias("t", "cell"), "dim")
     crowded = placed.groupBy("t", "cell", "dim").count().filter(F.col("count") > TILE)
-    # At most rows * tables / TILE buckets are that large, which bounds what is broadcast.
     crowded = written(crowded.select("t", "cell", "dim", F.ceil(F.col("count") / TILE).cast("int").alias("parts")), "crowded")
-    rows_of = signed.select("rep", "copies", "v", "cells", "dim", F.posexplode("cells").alias("t", "cell")).join(F.broadcast(crowded), ["t", "cell", "dim"], "left")
+    rows_of = signed.select("rep", "copies", "v", "dim", F.posexplode("cells").alias("t", "cell")).join(few(crowded, CROWDED_TO_BROADCAST), ["t", "cell", "dim"], "left")
     parts = F.coalesce("parts", F.lit(1))
     own = F.pmod(F.xxhash64("rep"), parts).cast("int")
     rows_of = rows_of.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows_of = rows_of.select("t", "cell", "dim", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "rep", "copies", "v", "cells")
+    rows_of = rows_of.select("t", "cell", "dim", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "rep", "copies", "v")
     key = ["t", "cell", "dim", "p", "q"]
 
     def run(batches):
-        names = [*key, "side", "rep", "copies"]
+        names, cells = [*key, "side", "rep", "copies"], Cells(k, tables)
         held: list[dict] = []
 
         def flush():
-            c = {n: np.concatenate([h[n] for h in held]) for n in [*names, "v", "cells"]}
-            return bucket_links(int(c["t"][0]), bool(c["p"][0] != c["q"][0]), c["side"].astype(bool), np.stack(c["v"]), np.stack(c["cells"]), c["copies"], c["rep"], cosine)
+            c = {n: np.concatenate([h[n] for h in held]) for n in [*names, "v"]}
+            return bucket_links(int(c["t"][0]), bool(c["p"][0] != c["q"][0]), c["side"].astype(bool), np.stack(c["v"]), c["copies"], c["rep"], cosine, cells)
 
         out: tuple[list, list, list] = ([], [], [])
         last = None
@@ -155,10 +180,8 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, recall: float = RECALL)
             if not b.num_rows:
                 continue
             c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
-            for n in ("v", "cells"):
-                x = np.empty(b.num_rows, object)
-                x[:] = list(b.column(n).to_numpy(zero_copy_only=False))
-                c[n] = x
+            c["v"] = np.empty(b.num_rows, object)
+            c["v"][:] = list(b.column("v").to_numpy(zero_copy_only=False))
             change = np.zeros(b.num_rows, bool)
             for n in key:
                 change[1:] |= c[n][1:] != c[n][:-1]
@@ -196,6 +219,7 @@ def _links(out):
 
 
 def dedup(df: DataFrame, **how) -> DataFrame:
-    """The vectors of ``df`` that stay, one of each component, with all columns of ``df``."""
-    stays = near_vectors(df, **how).filter("kept").select(F.col("vec_id").alias("_stays")).distinct()
-    return df.join(stays.hint("shuffle_merge"), df["vec_id"].cast("long") == F.col("_stays"), "left_semi")
+    """The vectors of ``df`` that stay, one of each component, with all columns of ``df``; rows without a vec_id go."""
+    (stays,) = free(df.columns, "_stays")
+    ids = near_vectors(df, **how).filter("kept").select(F.col("vec_id").alias(stays)).distinct()
+    return df.join(ids.hint("shuffle_merge"), df["vec_id"].cast("long") == F.col(stays), "left_semi")

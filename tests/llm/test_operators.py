@@ -88,6 +88,25 @@ def test_exact_hot_group_over_many_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_exact_long_runs(spark, monkeypatch):
+    """Runs whose ids are not held, in the middle of a partition and at its edges, with ids that repeat or are missing."""
+    monkeypatch.setattr(exact_dedup, "HELD", 3)
+    rows = [(i, ["a" * 40, "b", None, "c"][i % 4] if i % 7 else f"only {i}", "a") for i in range(200)] + [(8, "a" * 40, "a")] * 9 + [(None, "c", "a")] * 5 + [(None, "d", "b")] * 8
+    for parts in ("1", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = exact_dedup.exact_groups(docs(spark, rows)).collect()
+        want = {}
+        for i, t, _ in rows:
+            want.setdefault(hashlib.sha256((t or "").encode()).hexdigest(), []).append(i)
+        assert sorted((str(r.doc_id), r.text_sha256) for r in got) == sorted((str(i), k) for k, ids in want.items() for i in ids)
+        for k, ids in want.items():
+            own = [r for r in got if r.text_sha256 == k]
+            top = max((i for i in ids if i is not None), default=None)
+            assert {(r.keep_id, r.group_size) for r in own} == {(top, len(ids))} and [r.doc_id for r in own if r.kept] == [top]
+        assert exact_dedup.dedup(docs(spark, rows)).count() == len(want)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def slow_print(text):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = [x for x in __import__("re").split("[\x20\x09-\x0d]+", w) if x]
@@ -265,6 +284,25 @@ def test_embeddings(spark):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    """Of the links whose cosine is just above the threshold, equal vectors aside, at least 0.9 are found, also in buckets that are cut."""
+    rng = np.random.default_rng(5)
+    one = embed_dedup.unit(rng.standard_normal((500, 64)))
+    side = rng.standard_normal((500, 64))
+    side = embed_dedup.unit(side - (side * one).sum(axis=1, keepdims=True) * one)
+    cos = rng.uniform(0.9, 0.92, (500, 1))
+    rows = np.concatenate([one, cos * one + np.sqrt(1 - cos**2) * side, rng.standard_normal((3000, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<float>")
+    true = embed_dedup.unit(rows.astype(np.float64))
+    true = true @ true.T >= 0.9
+    np.fill_diagonal(true, False)
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(df).collect()}
+    found = sum(r.n_links for r in got.values())
+    assert true.sum() > 900 and 0.9 * true.sum() <= found <= true.sum()
+    assert all(got[i].n_links <= true[i].sum() for i in got)
+    assert sum(got[i + 500].component_id == i for i in range(500)) >= 0.9 * sum(true[i, i + 500] for i in range(500))
+
+
 def labelled(spark, bad, mark, column):
     rng = random.Random(8)
     rows = [(i, mark(rng, words(rng, 60)) if bad(i) else words(rng, 60), "a") for i in range(500)]
