@@ -166,12 +166,12 @@ def score(df: DataFrame, model: Model, score: str = "score", predicted: str = "p
     same score; an empty table gives an empty one.
     """
     keep = [c for c in df.columns if c.lower() not in (score.lower(), predicted.lower())]
-    schema = df.select(*keep, F.lit(0.0).alias(score), F.lit(0).alias(predicted)).schema
 
-    def run(batches):
-        for b in batches:
-            x = np.array([features(t.as_py()) for t in b.column("text").cast(pa.binary())]).reshape(-1, len(FEATURES))
-            s = model.score(x)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, score, predicted])
+    @F.arrow_udf("double")
+    def scores(text: pa.Array) -> pa.Array:
+        x = np.array([features(t.as_py()) for t in text.cast(pa.binary())]).reshape(-1, len(FEATURES))
+        return pa.array(model.score(x), pa.float64())
 
-    return df.select(*keep).mapInArrow(run, schema)
+    # Only the text goes to Python, and only the score comes back.
+    out = df.select(*keep, scores(F.coalesce("text", F.lit(""))).alias(score))
+    return out.withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
