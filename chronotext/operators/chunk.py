@@ -1,6 +1,6 @@
-"""Chunking by token budgets: the cut positions depend on earlier cuts, so they come from one fold per source over token counts.
+"""Chunking by token budgets: the cut positions depend on earlier cuts, so they come from a fold over token counts.
 
-The fold carries indexes and running totals, never text; texts are joined back by range.
+The fold streams and holds the open chunk's counts, never text; texts are joined back by index.
 """
 
 from __future__ import annotations
@@ -12,44 +12,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from chronotext.functions import text as X
-
-_STATE = "struct<first: int, cuts: array<struct<lo: int, hi: int>>>"
-
+from chronotext.operators.fold import ordered_fold
 
 def _counted(seg: DataFrame, counter: Callable[[Column], Column]) -> DataFrame:
-    """Segments with idx from 0, tok, and upto, the tokens up to and with the segment."""
+    """Segments with idx from 0 and tok, their tokens."""
     w = W.Window.partitionBy("source_id").orderBy("start", "seq")
-    rows = seg.withColumn("tok", counter(F.col("text")).cast("long"))
-    return rows.withColumn("idx", (F.row_number().over(w) - 1).cast("int")).withColumn("upto", F.sum("tok").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
-
+    return seg.withColumn("tok", counter(F.col("text")).cast("long")).withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
 
-def _suffix(rows: Column, lo: Column, hi: Column, overlap: int) -> Column:
-    """First index of the longest run that ends at ``hi`` (inclusive), starts at ``lo`` or later and has at most ``overlap`` tokens; hi + 1 if none."""
-    end = F.get(rows, hi)["upto"]
-    fits = F.filter(F.sequence(lo, hi), lambda i: end - F.get(rows, i)["upto"] + F.get(rows, i)["tok"] <= overlap)
-    return F.coalesce(F.array_min(fits), hi + 1)
 
+def _ranges(counted: DataFrame, max_tokens: int, overlap: int, at_stops: bool) -> DataFrame:
+    """(source_id, chunk_no, lo, hi): where chunks begin and end, both inclusive.
 
-def _ranges(counted: DataFrame, step: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """(source_id, chunk_no, lo, hi) of a fold whose state is the open chunk's first index and the finished cuts."""
-    rows = F.array_sort(F.collect_list(F.struct("idx", "tok", "upto", F.col("text").rlike(r"[.!?]+[ \t\n\r\f]*$").alias("stop"))))
-    folded = counted.groupBy("source_id").agg(rows.alias("rows"))
-    start = F.expr(f"cast(named_struct('first', 0, 'cuts', array()) as {_STATE})")
-    done = F.aggregate("rows", start, lambda s, r: step(F.col("rows"), s, r))
-    last = F.size("rows") - 1
-    cuts = F.concat(done["cuts"], F.array(F.struct(done["first"].alias("lo"), last.alias("hi"))))
-    out = folded.select("source_id", F.posexplode(cuts).alias("chunk_no", "c"))
-    return out.select("source_id", "chunk_no", "c.lo", "c.hi").filter("lo <= hi")
-
+    A chunk that the next segment would overfill is cut in front of it, or with ``at_stops`` behind its last sentence end,
+    if there is one behind the part carried over.  The next chunk begins with the longest run of last segments of the cut
+    part that has at most ``overlap`` tokens.  A fold over the segments keeps the open chunk's token counts alone.
+    """
 
-def _tokens(rows: Column, lo: Column, hi: Column) -> Column:
-    return F.get(rows, hi)["upto"] - F.get(rows, lo)["upto"] + F.get(rows, lo)["tok"]
+    def step():
+        held: list[tuple[int, int, bool]] = []  # idx, tokens and sentence end of the open chunk's segments
+        total, no, carried = 0, 0, -1
+
+        def add(idx, tok, stop):
+            nonlocal held, total, no, carried
+            if held and total + tok > max_tokens:
+                last = max((i for i, _, ends in held if ends and i > carried), default=held[-1][0]) if at_stops else held[-1][0]
+                yield no, held[0][0], last
+                no, carried = no + 1, last
+                # What follows the cut stays, and in front of it as much of the cut part as the overlap allows.
+                first, room = last + 1, overlap
+                for i, n, _ in reversed([x for x in held if x[0] <= last]):
+                    room -= n
+                    if room < 0:
+                        break
+                    first = i
+                held = [x for x in held if x[0] >= first]
+                total = sum(n for _, n, _ in held)
+            held.append((idx, tok, stop))
+            total += tok
+
+        def end():
+            return [(no, held[0][0], held[-1][0])] if held else []
+
+        return add, end
+
+    rows = counted.select("source_id", "idx", "tok", F.col("text").rlike(r"[.!?]+[ \t\n\r\f]*$").alias("stop"))
+    return ordered_fold(rows, ["idx"], step, "chunk_no int, lo int, hi int")
 
 
 def _build(counted: DataFrame, ranges: DataFrame, counter: Callable[[Column], Column]) -> DataFrame:
     """Chunks from ranges: text joined, times of the first and last segment, tokens of the joined text, indexes of the segments."""
-    # Rows from a generator have no reliable size estimate, so the strategy is set here.
-    rows = counted.join(ranges.hint("shuffle_merge"), "source_id").filter("idx BETWEEN lo AND hi")
+    # Each segment meets only the chunks it is in.  Rows from a fold have no reliable size estimate, so the strategy is set here.
+    members = ranges.select("source_id", "chunk_no", F.explode(F.sequence("lo", "hi")).alias("idx"))
+    rows = counted.join(members.hint("shuffle_merge"), ["source_id", "idx"])
     parts = F.array_sort(F.collect_list(F.struct("idx", "text", "seq")))
     out = rows.groupBy("source_id", "chunk_no").agg(parts.alias("p"), F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"))
     out = out.withColumn("text", F.array_join(F.transform("p", lambda x: x["text"]), " ")).withColumn("segment_indices", F.transform("p", lambda x: x["seq"]))
@@ -63,13 +77,7 @@ def chunk_id(prefix: str, no: Column) -> Column:
 def chunk_tokens(seg: DataFrame, max_tokens: int = 800, overlap: int = 50, counter: Callable[[Column], Column] = X.token_count) -> DataFrame:
     """Chunks of at most ``max_tokens`` (a longer segment stands alone); each starts with the last segments of the one before, up to ``overlap`` tokens."""
     counted = _counted(seg, counter)
-
-    def step(rows, s, r):
-        over = (s["first"] < r["idx"]) & (_tokens(rows, s["first"], r["idx"]) > max_tokens)
-        cut = F.struct(s["first"].alias("lo"), (r["idx"] - 1).alias("hi"))
-        return F.when(over, F.struct(_suffix(rows, s["first"], r["idx"] - 1, overlap).alias("first"), F.array_append(s["cuts"], cut).alias("cuts"))).otherwise(s)
-
-    return _build(counted, _ranges(counted, step), counter)
+    return _build(counted, _ranges(counted, max_tokens, overlap, False), counter)
 
 
 def chunk_sentences(seg: DataFrame, max_tokens: int = 800, overlap: int = 50, counter: Callable[[Column], Column] = X.token_count) -> DataFrame:
@@ -79,16 +87,7 @@ def chunk_sentences(seg: DataFrame, max_tokens: int = 800, overlap: int = 50, co
     the segment that overflows.  The next chunk starts with the last segments of the cut part, up to ``overlap`` tokens.
     """
     counted = _counted(seg, counter)
-
-    def step(rows, s, r):
-        over = (s["first"] < r["idx"]) & (_tokens(rows, s["first"], r["idx"]) > max_tokens)
-        carried = F.coalesce(F.element_at(s["cuts"], F.when(F.size(s["cuts"]) > 0, F.lit(-1)).otherwise(F.lit(None).cast("int")))["hi"], F.lit(-1))
-        stops = F.filter(F.sequence(s["first"], r["idx"] - 1), lambda i: (i > carried) & F.get(rows, i)["stop"])
-        at = F.coalesce(F.array_max(stops), r["idx"] - 1)
-        cut = F.struct(s["first"].alias("lo"), at.alias("hi"))
-        return F.when(over, F.struct(_suffix(rows, s["first"], at, overlap).alias("first"), F.array_append(s["cuts"], cut).alias("cuts"))).otherwise(s)
-
-    return _build(counted, _ranges(counted, step), counter)
+    return _build(counted, _ranges(counted, max_tokens, overlap, True), counter)
 
 
 def merge_small(chunks: DataFrame, min_tokens: int = 100) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from chronotext.operators import timejoin
+from chronotext.operators.fold import ordered_fold
 
 
 def by_interval(obs: DataFrame, interval: float = 30.0) -> DataFrame:
@@ -37,22 +38,29 @@ def transition_points(chunks: DataFrame) -> DataFrame:
 def dedup_near(obs: DataFrame, gap: float = 3.0) -> DataFrame:
     """Of observations closer than ``gap`` to the last one kept, the larger stays, and becomes the one to measure from.
 
-    What is kept depends on what was kept before, so this is a fold over the time-ordered observations of a source.
+    What is kept depends on what was kept before, so this is a fold over the observations of a source in time order, whose
+    state is the last one kept.  Rows that agree in time, id and size are alike: one stands for all of them.
     """
     fields = [c for c in obs.columns if c not in ("source_id", "ts", "frame_id")]
-    one = F.struct("ts", "frame_id", *fields)
-    rows = obs.groupBy("source_id").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    kind = rows.schema["rows"].dataType.simpleString()
-
-    def step(kept, r):
-        last = F.get(kept, F.size(kept) - 1)
-        near = (F.size(kept) > 0) & (r["ts"] - last["ts"] < gap)
-        larger = F.coalesce(r["size"], F.lit(0.0)) > F.coalesce(last["size"], F.lit(0.0))
-        swapped = F.array_append(F.slice(kept, F.lit(1), F.size(kept) - 1), r)
-        return F.when(~near, F.array_append(kept, r)).when(larger, swapped).otherwise(kept)
-
-    kept = F.aggregate("rows", F.expr(f"cast(array() as {kind})"), step)
-    return rows.select("source_id", F.explode(kept).alias("o")).select("source_id", "o.*")
+
+    def step():
+        last = None
+
+        def add(no, ts, size):
+            nonlocal last
+            size = size or 0.0
+            if last is None or ts - last[1] >= gap:
+                yield from () if last is None else ((last[0],),)
+                last = (no, ts, size)
+            elif size > last[2]:
+                last = (no, ts, size)
+
+        return add, lambda: [] if last is None else [(last[0],)]
+
+    order = W.Window.partitionBy("source_id").orderBy("ts", "frame_id", *fields)
+    rows = obs.withColumn("_no", F.row_number().over(order).cast("bigint"))
+    kept = ordered_fold(rows.select("source_id", F.col("_no").alias("no"), F.col("ts").cast("double").alias("ts"), F.col("size").cast("double").alias("size")), ["no"], step, "_no bigint")
+    return rows.join(kept.hint("shuffle_merge"), ["source_id", "_no"], "left_semi").select("source_id", "ts", "frame_id", *fields)
 
 
 def content_score(obs: DataFrame) -> DataFrame:
