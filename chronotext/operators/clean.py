@@ -50,6 +50,15 @@ def validate_bounds(df: DataFrame, scores: tuple[str, ...] = (), strict: bool =
     return df.withColumn("is_valid", ok)
 
 
+def quarantine(df: DataFrame, scores: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: the rows within bounds, and the others with ``reason``, the first rule that they break (a null bound breaks it too)."""
+    broken = F.when(~F.coalesce(F.col("end") >= F.col("start"), F.lit(False)), "end before start")
+    for c in scores:
+        broken = broken.when(~F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False)), f"{c} out of bounds")
+    rows = df.withColumn("reason", broken)
+    return rows.filter("reason IS NULL").drop("reason"), rows.filter("reason IS NOT NULL")
+
+
 def with_times(df: DataFrame) -> DataFrame:
     return df.withColumn("duration", F.col("end") - F.col("start")).withColumn("midpoint", (F.col("start") + F.col("end")) / 2)
 

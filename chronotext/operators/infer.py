@@ -105,11 +105,52 @@ def chunk_prompts(chunks: DataFrame, context: DataFrame, style: str = "well_expl
     return rows.select("source_id", "chunk_no", F.lit("chunk").alias("kind"), F.concat(ask, X.style_guidance(F.lit(style)), F.lit("\n"), F.coalesce("context", F.lit("")), F.lit("\n\n"), F.left("text", F.lit(3000))).alias("prompt"))
 
 
-def topic_prompts(sections: DataFrame, style: str = "well_explained") -> DataFrame:
-    """Prompts for sections from their outline."""
-    outline = F.concat(F.lit("["), X.format_time(F.col("start")), F.lit("-"), X.format_time(F.col("end")), F.lit("] "), F.col("heading"), F.lit(": "), F.col("summary"))
-    ask = F.lit("Write a section as JSON with heading, summary and key_points from this outline.\n")
-    return sections.select("source_id", "section_id", F.lit("topic").alias("kind"), F.concat(ask, X.style_guidance(F.lit(style)), F.lit("\n\n"), outline).alias("prompt"))
+def _span(start: str, end: str) -> Column:
+    return F.concat(F.lit("["), X.format_time(F.col(start)), F.lit("-"), X.format_time(F.col(end)), F.lit("]"))
+
+
+def _section_ask(kind: str, style: str, context: Column, outline: Column) -> list[Column]:
+    """kind and prompt of a section: what to write, in which style, between which neighbours, from which outline."""
+    ask = F.lit("Write a section as JSON with heading, summary and key_points from this outline.\n" if kind != "parent" else "Write the overview of a topic as JSON with heading, summary and key_points; introduce its parts without repeating them.\n")
+    around = F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("\n"), context)).otherwise("")
+    return [F.lit(kind).alias("kind"), F.concat(ask, X.style_guidance(F.lit(style)), around, F.lit("\n\n"), outline).alias("prompt")]
+
+
+def topic_prompts(sections: DataFrame, style: str = "well_explained", context: DataFrame | None = None) -> DataFrame:
+    """Prompts for sections from their outline; ``context`` (source_id, topic_no, context) is that of top-level sections, whose ord is the topic."""
+    rows = sections.withColumn("_top", F.when(F.col("parent_id").isNull(), F.col("ord"))) if context is not None else sections.withColumn("context", F.lit(None).cast("string"))
+    if context is not None:
+        rows = rows.join(context.withColumnRenamed("topic_no", "_top").hint("shuffle_merge"), ["source_id", "_top"], "left")
+    outline = F.concat(_span("start", "end"), F.lit(" "), F.col("heading"), F.lit(": "), F.col("summary"))
+    return rows.select("source_id", "section_id", *_section_ask("topic", style, F.col("context"), outline))
+
+
+def leaf_prompts(chunks: DataFrame, context: DataFrame, style: str = "well_explained") -> DataFrame:
+    """(source_id, chunk_no, kind, prompt) for sections of one chunk, from its text and its neighbours (:func:`topics.neighbour_context`)."""
+    rows = chunks.join(context, ["source_id", "chunk_no"], "left")
+    outline = F.concat(_span("start", "end"), F.lit("\n- ["), X.format_time(F.col("start")), F.lit("] "), F.left("text", F.lit(2500)))
+    return rows.select("source_id", "chunk_no", *_section_ask("leaf", style, F.col("context"), outline))
+
+
+def parent_prompts(sections: DataFrame, context: DataFrame, style: str = "well_explained") -> DataFrame:
+    """(source_id, section_id, kind, prompt) for sections with subsections, from these and the topic's neighbours (:func:`topics.topic_context`)."""
+    line = F.concat(F.lit("- "), _span("start", "end"), F.lit(" "), F.col("heading"), F.lit(": "), F.col("summary"))
+    kids = sections.filter("parent_id IS NOT NULL").withColumn("_line", line)
+    kids = kids.groupBy("source_id", F.col("parent_id").alias("section_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_line"))), lambda x: x["_line"]), "\n").alias("_kids"))
+    rows = sections.filter("parent_id IS NULL").join(kids.hint("shuffle_merge"), ["source_id", "section_id"])
+    rows = rows.join(context.withColumnRenamed("topic_no", "ord").hint("shuffle_merge"), ["source_id", "ord"], "left")
+    return rows.select("source_id", "section_id", *_section_ask("parent", style, F.col("context"), F.concat(_span("start", "end"), F.lit("\n"), F.col("_kids"))))
+
+
+def ranked_ids(resp: DataFrame, key: list[str], column: str = "body") -> DataFrame:
+    """(key, ids): the names that an answer ranks, best first: ranked_ids of the JSON object between its first and last brace.
+
+    Answers without such an object, or whose ranked_ids is no list of texts, rank nothing; which names are known is for the
+    join that uses them (:func:`topics.section_frames`) to say.
+    """
+    found = F.get_json_object(F.regexp_extract(F.coalesce(column, F.lit("")), r"(?s)\{.*\}", 0), "$.ranked_ids")
+    ids = F.from_json(F.when(found.startswith("["), found), "array<string>")
+    return resp.select(*key, F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("ids"))
 
 
 def exec_prompts(outlines: DataFrame) -> DataFrame:

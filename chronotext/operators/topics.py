@@ -199,6 +199,19 @@ def neighbour_context(chunks: DataFrame) -> DataFrame:
     return rows.select("source_id", "chunk_no", F.concat_ws("\n", F.when(F.col("_b").isNotNull(), line("Before: ", F.col("_b"))), F.when(F.col("_a").isNotNull(), line("After: ", F.col("_a")))).alias("context"))
 
 
+def topic_context(grouped: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(source_id, topic_no, context): a topic's first three headings, the last summary before it and the first one after it, on lines of their own."""
+    line = X.outline(F.col("start"), F.col("end"), F.col("heading"), F.col("main_idea"), F.col("key_points"), F.col("keywords"), F.col("transition"))
+    rows = grouped.select("source_id", "chunk_no", "topic_no").join(summaries.withColumn("_line", line).hint("shuffle_merge"), ["source_id", "chunk_no"])
+    heads = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("chunk_no", "heading"))), 1, 3), lambda x: x["heading"])
+    per = rows.groupBy("source_id", "topic_no").agg(F.min_by("_line", "chunk_no").alias("_first"), F.max_by("_line", "chunk_no").alias("_last"), heads.alias("_heads"))
+    w = W.Window.partitionBy("source_id").orderBy("topic_no")
+    per = per.withColumn("_before", F.lag("_last").over(w)).withColumn("_after", F.lead("_first").over(w))
+    # A part that is null leaves no line.
+    parts = [F.concat(F.lit("Focus: "), F.array_join("_heads", " | ")), F.concat(F.lit("Before: "), F.col("_before")), F.concat(F.lit("After: "), F.col("_after"))]
+    return per.select("source_id", "topic_no", F.concat_ws("\n", *parts).alias("context"))
+
+
 def candidates(sections: DataFrame, obs: DataFrame, most: int = 4, pad: float = 3.0, spacing: float = 4.0) -> DataFrame:
     """(source_id, section_id, pick_no, frame_id, ts, score): diverse observations of each section.
 

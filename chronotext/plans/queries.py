@@ -174,6 +174,14 @@ def b3_bounds(spark, sf):
     return clean.validate_bounds(rows, ("score",)).select("source_id", "frame_id", "is_valid")
 
 
+@query
+def b3_quarantine(spark, sf):
+    t = on(spark, sf)
+    rows = t.frames.select("source_id", "frame_id", F.col("ts").alias("start"), (F.col("ts") + F.col("size") - 100).alias("end"), (F.col("size") / 200).alias("score"))
+    good, bad = clean.quarantine(rows, ("score",))
+    return bad.select("source_id", "frame_id", "reason").unionByName(good.select("source_id", "frame_id", F.lit("none").alias("reason")))
+
+
 @query
 def b4_derived(spark, sf):
     return clean.with_times(on(spark, sf).segments).select("source_id", "seq", F.round("duration", 6).alias("duration"), F.round("midpoint", 6).alias("midpoint"))
@@ -469,6 +477,12 @@ def e10_context(spark, sf):
     return topics.neighbour_context(on(spark, sf).chunks)
 
 
+@query
+def e10_topic_context(spark, sf):
+    t = on(spark, sf)
+    return topics.topic_context(t.grouped, t.summaries)
+
+
 @query
 def e11_dedup_near(spark, sf):
     return sample.dedup_near(on(spark, sf).frames).select("source_id", "frame_id", "ts", "size")
@@ -715,6 +729,19 @@ def k8_section_prompts(spark, sf):
     return rows.unionByName(infer.exec_prompts(t.execs).withColumn("section_id", F.lit(None).cast("string")))
 
 
+@query
+def k8_leaf_prompts(spark, sf):
+    t = on(spark, sf)
+    return infer.leaf_prompts(t.chunks, topics.neighbour_context(t.chunks), "educational")
+
+
+@query
+def k8_parent_prompts(spark, sf):
+    t = on(spark, sf)
+    context = staged(topics.topic_context(t.grouped, t.summaries), "context")
+    return infer.parent_prompts(t.sections, context, "concise").unionByName(infer.topic_prompts(t.sections, "well-explained", context))
+
+
 @query
 def k8_chat_prompts(spark, sf):
     t = on(spark, sf)
@@ -773,3 +800,30 @@ def n3_scorer(spark, sf):
     t = on(spark, sf)
     answered = score.mine_scores(infer.infer(infer.scoring_prompts(t.chunks), _model))
     return answered.select("source_id", "chunk_no", "score", "rule")
+
+
+def _ranker(prompts: list[str]) -> list[str]:
+    """A stand-in for a ranking model: it names two frames in JSON, with talk around it for some prompts, and says nothing useful for others."""
+    answer = '{"ranked_ids": ["frame_2", "frame_0", "frame_77"]}'
+    return [("no idea", answer, f"Sure: {answer} done")[len(p) % 3] for p in prompts]
+
+
+@query
+def n3_ranker(spark, sf):
+    t = on(spark, sf)
+    ranked = infer.ranked_ids(infer.infer(infer.rank_prompts(t.sections, t.picked), _ranker), ["source_id", "section_id"])
+    return topics.section_frames(t.picked, staged(ranked, "ranked")).select("source_id", "section_id", "frame_no", "frame_id", "ts")
+
+
+@query
+def h4_payload_sections(spark, sf):
+    """The nested document read back: its sections and subsections, with how many lines each has."""
+    t = on(spark, sf)
+    leaf = "section_id string, heading string, key_points array<string>, lines array<struct<seq: int, start: double, text: string>>"
+    kind = f"title string, sections array<struct<{', '.join(f.replace(' ', ': ', 1) for f in leaf.split(', ', 3))}, subsections: array<struct<{', '.join(f.replace(' ', ': ', 1) for f in leaf.split(', ', 3))}>>>>"
+    rows = docs.nested_payload(t.meta, t.sections, t.aligned).select("source_id", F.from_json("payload", kind).alias("p"))
+    tops = rows.select("source_id", F.col("p.title").alias("title"), F.inline("p.sections"))
+    told = lambda x: F.struct(x["section_id"].alias("section_id"), x["heading"].alias("heading"), F.array_join(x["key_points"], " | ").alias("key_points"), F.coalesce(F.size(x["lines"]), F.lit(0)).alias("n_lines"), F.array_join(F.transform(x["lines"], lambda y: y["text"]), " ").alias("said"))
+    one = F.array(told(F.struct("section_id", "heading", "key_points", "lines")))
+    below = F.transform(F.coalesce("subsections", F.expr("cast(array() as array<struct<section_id: string, heading: string, key_points: array<string>, lines: array<struct<seq: int, start: double, text: string>>>>)")), told)
+    return tops.select("source_id", "title", F.inline(F.concat(one, below)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronotext.plans import expressions, oracles, queries as own
+from chronotext.plans import documents_sql, expressions, oracles, queries as own
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.ORACLES | expressions.ORACLES
+    return oracles.ORACLES | expressions.ORACLES | documents_sql.ORACLES

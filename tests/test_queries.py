@@ -1,4 +1,4 @@
-"""Every registered query of the library proper against its SQL, on the smallest data."""
+"""Every registered query of the library proper, on the smallest data, against its SQL where it has one."""
 
 import os
 
@@ -31,9 +31,12 @@ def rows(columns, data):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, duck, name):
     got = registry.queries()[name](spark, SF)
+    if name not in registry.oracle_sql():
+        assert got.count() > 0
+        return
     want = duck.sql(registry.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
