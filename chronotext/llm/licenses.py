@@ -10,6 +10,8 @@ are arrays of one row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,52 @@ SENTENCES = {
     "see the gnu general public license for more details": 18,
     "this source code form is subject to the terms of the mozilla public license v 2 0": 19,
     "this is free and unencumbered software released into the public domain": 20,
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": 21,
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": 22,
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": 23,
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": 24,
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": 25,
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": 26,
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": 27,
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": 28,
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": 29,
+    "see the license for the specific language governing permissions and limitations under the license": 30,
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": 31,
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": 32,
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": 33,
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": 34,
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": 35,
+    "see the gnu lesser general public license for more details": 36,
+    "see the gnu affero general public license for more details": 37,
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": 38,
+    "if a copy of the mpl was not distributed with this file you can obtain one at": 39,
+    "distributed under the boost software license version 1 0": 40,
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": 41,
+    "this software is provided as is without any express or implied warranty": 42,
+    "in no event will the authors be held liable for any damages arising from the use of this software": 43,
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": 44,
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": 45,
+    "this work is licensed under a creative commons attribution 4 0 international license": 46,
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": 47,
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": 48,
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": 49,
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": 50,
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": 51,
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": 52,
+    "licensed under the bsd 3 clause license": 53,
+    "licensed under the bsd 2 clause license": 54,
+    "licensed under the isc license": 55,
+    "licensed under the mozilla public license version 2 0": 56,
+    "licensed under the gnu lesser general public license version 3": 57,
+    "licensed under the gnu affero general public license version 3": 58,
+    "licensed under the eclipse public license version 2 0": 59,
+    "licensed under the gnu general public license version 2": 60,
 }
+#: Names that an SPDX line may give.  Fixed values.
+SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC 0BSD GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 BSL-1.0 Zlib Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
+SPDX_LINES = {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", n.lower()): (k, n.lower()) for k, n in enumerate(SPDX, 100)}
+#: What stands between two sentences where a rule allows others there.
+GAP = 0
 #: Licence rules: (name, identifiers).  Longer rules go first, then in this order.  Fixed values.
 RULES = [
     ("bsd-3-clause", (12, 13, 14, 15)),
@@ -61,20 +108,65 @@ RULES = [
     ("unlicense", (20,)),
     ("mit", (8,)),
     ("all-rights-reserved", (7,)),
+    ("mit", (8, 9, 21, 22)),
+    ("mit", (8, 9, 21)),
+    ("bsd-3-clause", (12, 13, 14, 15, 23, 24)),
+    ("bsd-2-clause", (12, 13, 14, 23, 24)),
+    ("apache-2.0", (2, 10, 11, GAP, 29, 30)),
+    ("isc", (25, 26, 27)),
+    ("isc", (25,)),
+    ("0bsd", (28, 26, 27)),
+    ("0bsd", (28,)),
+    ("gpl-2.0-or-later", (31, 17, 18)),
+    ("gpl-2.0-or-later", (31,)),
+    ("gpl-2.0-only", (38, 17, 18)),
+    ("gpl-2.0-only", (38,)),
+    ("lgpl-2.1-or-later", (32, 35, 36)),
+    ("lgpl-2.1-or-later", (32,)),
+    ("lgpl-3.0-or-later", (33, 35, 36)),
+    ("lgpl-3.0-or-later", (33,)),
+    ("agpl-3.0-or-later", (34, 17, 37)),
+    ("agpl-3.0-or-later", (34,)),
+    ("mpl-2.0", (19, 39)),
+    ("bsl-1.0", (40,)),
+    ("bsl-1.0", (41,)),
+    ("zlib", (42, 43, 44)),
+    ("unlicense", (20, 45)),
+    ("cc-by-4.0", (46,)),
+    ("cc-by-sa-4.0", (47,)),
+    ("cc-by-nc-4.0", (48,)),
+    ("cc-by-nc-sa-4.0", (49,)),
+    ("cc-by-nd-4.0", (50,)),
+    ("cc-by-nc-nd-4.0", (51,)),
+    ("cc0-1.0", (52,)),
+    ("bsd-3-clause", (53,)),
+    ("bsd-2-clause", (54,)),
+    ("isc", (55,)),
+    ("mpl-2.0", (56,)),
+    ("lgpl-3.0", (57,)),
+    ("agpl-3.0", (58,)),
+    ("epl-2.0", (59,)),
+    ("gpl-2.0", (60,)),
+    *((name, (k,)) for k, name in SPDX_LINES.values()),
 ]
+KNOWN = SENTENCES | {line: k for line, (k, _) in SPDX_LINES.items()}
 
 
 #: Texts without any of these words hold no licence sentence.
-HINT = r"(?i)licen[cs]e|licensed|redistribution|permission|copyright|warranty|unencumbered|rights"
+HINT = r"(?i)licen[cs]e|redistribut|permission|copyright|warranty|unencumbered|rights|mpl"
 #: How sentences on a licence begin, before the part that is known.
 OPENING = r"(?:(?:this|the)\W+(?:project|software|work|code|file|program|library|package|document|content|repository)\W+is\W+)?"
 #: A list number or bullet in front of a clause.
 ITEM = r"(?:\(?[0-9a-z]{1,2}[.)][ \t]+)?"
 
 
+#: A line that names a licence by its SPDX name, alone or in a comment.
+SPDX_LINE = r"(?i)(^|[\n;])[^A-Za-z0-9\n;]*SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]*[A-Za-z0-9])(?=[^A-Za-z0-9\n]*(?:\n|$))"
+
+
 def pattern(ids: tuple[int, ...]) -> str:
-    """How a rule's identifiers look in a sequence: each between commas of its own."""
-    return "".join(f",{i}," for i in ids)
+    """How a rule's identifiers look in a sequence: each between commas of its own, and a mark where other sentences stand."""
+    return "".join("#" if i == GAP else f",{i}," for i in ids)
 
 
 def verbatim(sentence: str) -> str:
@@ -90,7 +182,7 @@ def verbatim(sentence: str) -> str:
 
 def restored(text: Column) -> Column:
     """``text`` with each known sentence on a line of its own, unwrapped and without marks inside, so that the cut leaves it whole."""
-    whole = text
+    whole = F.regexp_replace(text, SPDX_LINE, "$1\nspdx license identifier $2\n")
     for s in sorted(SENTENCES, key=len, reverse=True):
         whole = F.regexp_replace(whole, verbatim(s), f"$1\n{s}\n")
     return F.when(text.rlike(HINT), whole).otherwise(text)
@@ -98,7 +190,7 @@ def restored(text: Column) -> Column:
 
 def sequence(text: Column) -> Column:
     """The licence sentences of a text as a string like ``,2,,10,#,7,``: identifiers in order, # where other sentences stand between."""
-    known = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (k, f",{v},")))
+    known = F.create_map(*(F.lit(x) for k, v in KNOWN.items() for x in (k, f",{v},")))
     cut = F.split(F.regexp_replace(restored(F.coalesce(text, F.lit(""))), r"([.!?:;])[ \t\r]+", "$1\n"), r"[\n;]+")
     plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     marks = F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.coalesce(F.element_at(known, s), F.lit("#")))
@@ -126,7 +218,7 @@ def scan(df: DataFrame, column: str = "text") -> DataFrame:
 
 def oracle() -> str:
     """The scan in DuckDB's SQL over ``documents``, without ``restored``: it agrees where each known sentence stands unwrapped between cuts."""
-    case = " ".join(f"WHEN s = '{k}' THEN ',{v},'" for k, v in SENTENCES.items())
+    case = " ".join(f"WHEN s = '{k}' THEN ',{v},'" for k, v in KNOWN.items())
     seq = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), " + rf"s0 AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), '[\n;]+'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> ''), lambda s: CASE {case} ELSE '#' END), ''), '#+', '#', 'g') AS license_sequence FROM d)"
     steps, k = [], 0
     for k, (name, ids) in enumerate(sorted(RULES, key=lambda r: -len(r[1]))):

@@ -38,13 +38,25 @@ NOTICES = [
 
 
 def test_every_rule_on_its_notice(spark):
-    assert [n for n, _, _ in NOTICES] == [n for n, _ in licenses.RULES]
+    assert [n for n, _, _ in NOTICES] == [n for n, _ in licenses.RULES[: len(NOTICES)]]
     forms = [lambda p: "\n".join(p), lambda p: " ".join(p), *(lambda p, w=w: "\n\n".join(textwrap.fill(x, w, break_on_hyphens=False) for x in p) for w in (30, 72, 80)), lambda p: "\n *\n".join(textwrap.indent(textwrap.fill(x, 70), " * ") for x in p)]
     cases = [(name, ids, f"A text.\n\n{form(parts)}\n\nMore.") for name, ids, parts in NOTICES for form in forms]
     df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
     for i, (name, ids, text) in enumerate(cases):
         assert (got[i].license_sequence, got[i].licenses, got[i].n_notices) == (f"#{ids.rstrip('#')}#", name, 1), text
+    # The other rules on their sentences, one a paragraph; then lines with SPDX names in comments.
+    said = {v: k for k, v in licenses.SENTENCES.items()}
+    more = [(name, licenses.pattern(ids).replace("#", ""), ["http://x.org/licence" if i == licenses.GAP else said[i].capitalize() + ("" if said[i].endswith(" at") else ".") for i in ids]) for name, ids in licenses.RULES[len(NOTICES) :] if ids[0] < 100]
+    assert len(more) > 30
+    wide = [lambda p: "\n".join(p), lambda p: "\n\n".join(textwrap.fill(x, 50) for x in p)]
+    cases = [(name, f"A text.\n\n{form(parts)}\n\nMore.") for name, _, parts in more for form in wide]
+    cases += [(n.lower(), text.format(n)) for n in licenses.SPDX for text in ("// SPDX-License-Identifier: {}\nint x;", "/* SPDX-License-Identifier: {} */", "a\n# SPDX-License-Identifier:{}")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for i, (name, text) in enumerate(cases):
+        assert (got[i].licenses, got[i].n_notices) == (name, 1), (text, got[i].license_sequence)
+    assert licenses.scan(spark.createDataFrame([(1, "SPDX-License-Identifier: MIT OR Apache-2.0")], "doc_id long, text string")).first().licenses == ""
     # Part of a longer sentence is no notice.
     none = spark.createDataFrame([(1, "They said it was released under the MIT License of old."), (2, "Not all rights reserved.")], "doc_id long, text string")
     assert {r.licenses for r in licenses.scan(none).collect()} == {""}
