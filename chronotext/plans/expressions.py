@@ -11,7 +11,7 @@ from chronotext.functions import text as X
 from chronotext.plans import ctes, inputs
 from chronotext.plans.oracles import ORACLES as BASE, q
 from chronotext.plans.queries import on
-from chronotext.plans.staging import folder
+from chronotext.plans.staging import folder, staged
 from chronotext.streaming import tracking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,13 +90,15 @@ def l1_playback_tracking(spark: SparkSession, sf: str) -> DataFrame:
     t = on(spark, sf)
     events = followed(spark, sf, "events")
     pos = events.select((F.col("event_id") % 4).alias("viewer"), F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("event_time"), F.col("value").alias("t"))
-    out = tracking.drained(tracking.track_positions(pos, tracking.nested_lines(t.secs, t.aligned)), folder(spark), "append")
+    sections, lines = staged(t.secs, "secs"), staged(t.aligned, "aligned")
+    shown = tracking.drained(pos, folder(spark), "append", lambda rows: tracking.located(rows, sections, lines))
+    out = tracking.drained(tracking.track_positions(tracking.following(shown)), folder(spark), "append")
     return out.select("viewer", "source_id", F.unix_micros("event_time").alias("event_us"), "section_id", "line_seq")
 
 
 def l2_rolling_history(spark: SparkSession, sf: str) -> DataFrame:
     """The stream of conversation turns, drained: the last three turns of every conversation after its last batch."""
-    out = tracking.drained(tracking.rolling_history(followed(spark, sf, "conversations"), 3), folder(spark), "update")
+    out = tracking.drained(tracking.rolling_history(followed(spark, sf, "conversations"), 3, ttl_ms=None), folder(spark), "update")
     return out.groupBy("conv_id").agg(F.max_by("history", F.struct("batch", "turn")).alias("history"))
 
 

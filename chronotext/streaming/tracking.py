@@ -3,41 +3,34 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chronotext.operators import timejoin
 
-def nested_lines(sections: DataFrame, seg: DataFrame) -> DataFrame:
-    """(source_id, secs, lines): a source's sections and transcript lines as arrays in order, the static side of tracking."""
-    s = sections.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ord", "section_id", "parent_id", "sec_start", "sec_end"))).alias("secs"))
-    lines = seg.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", F.col("end").alias("stop")))).alias("lines"))
-    return lines.join(s, "source_id", "left")
 
+def located(batch: DataFrame, sections: DataFrame, seg: DataFrame) -> DataFrame:
+    """(viewer, source_id, event_time, t, section_id, line_seq): the positions of one batch, each once, with what is shown then.
 
-def positions(stream: DataFrame, nested: DataFrame, pad: float = 0.12, near: float = 1.5) -> DataFrame:
-    """``stream`` (viewer, source_id, event_time, t) with section_id and line_seq; the choice is made within arrays, as streams allow no ranking."""
-    t = F.col("t")
-    rows = stream.join(nested, "source_id", "left")
-    is_open = lambda x: (x["sec_start"] <= t) & (t < x["sec_end"])
-    top = F.get(F.filter("secs", lambda x: x["parent_id"].isNull() & is_open(x)), F.lit(0))["section_id"]
-    rows = rows.withColumn("_top", top)
-    kid = F.get(F.filter("secs", lambda x: (x["parent_id"] == F.col("_top")) & is_open(x)), F.lit(0))["section_id"]
-    shown = F.filter("lines", lambda x: (x["start"] - pad <= t) & (t < x["stop"] + pad))
-    mid = lambda x: F.abs(t - (x["start"] + x["stop"]) / 2)
-    close = F.array_min(F.transform(F.filter("lines", lambda x: mid(x) <= near), lambda x: F.struct(mid(x).alias("d"), x["seq"].alias("seq"))))
-    line = F.coalesce(F.get(shown, F.size(shown) - 1)["seq"], close["seq"])
-    return rows.withColumn("section_id", F.coalesce(kid, "_top")).withColumn("line_seq", line).drop("secs", "lines", "_top")
+    ``sections`` and ``seg`` are as for :func:`timejoin.active_section` and :func:`timejoin.active_line`, whose cell joins
+    do the work, so neither an event nor a task meets all lines of a source.
+    """
+    key = ["viewer", "source_id", "event_time", "t"]
+    rows = batch.select(*key).dropDuplicates(key).withColumn("_at", F.col("t"))
+    shown = timejoin.active_section(rows, sections, ["viewer", "event_time", "_at"])
+    return timejoin.active_line(shown, seg, ["viewer", "event_time", "_at"]).select(*key, "section_id", "line_seq")
 
 
-def track_positions(stream: DataFrame, nested: DataFrame, delay: str = "10 minutes", ttl_ms: int = 3_600_000) -> DataFrame:
-    """Changes of what each viewer of a source is shown: a row whenever section or line differs from the one before.
+def track_positions(stream: DataFrame, delay: str = "10 minutes", ttl_ms: int = 3_600_000) -> DataFrame:
+    """Changes of what each viewer of a source is shown, from the stream of :func:`located` positions: a row whenever section or line differs from the one before.
 
     The watermark bounds late positions; a viewer that the watermark leaves ``ttl_ms`` behind is forgotten.
     """
-    rows = positions(stream.withWatermark("event_time", delay), nested)
+    rows = stream.withWatermark("event_time", delay)
 
     def changes(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -58,11 +51,11 @@ def track_positions(stream: DataFrame, nested: DataFrame, delay: str = "10 minut
     return rows.groupBy("viewer", "source_id").applyInPandasWithState(changes, "viewer long, source_id long, event_time timestamp, section_id string, line_seq int", "section_id string, line_seq int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rolling_history(stream: DataFrame, n: int = 8, ttl_ms: int | None = None) -> DataFrame:
+def rolling_history(stream: DataFrame, n: int = 8, ttl_ms: int | None = 86_400_000) -> DataFrame:
     """(conv_id, turn, history): after each batch, the last ``n`` turns of every conversation that got one; state holds just these.
 
-    With ``ttl_ms`` a conversation idle for that long is forgotten; such a stream never runs out of batches, so it suits
-    continuous triggers only.
+    A conversation idle for ``ttl_ms`` (a day) is forgotten.  Such a stream never runs out of batches, so one that is to be
+    drained is given None: its state then lives no longer than the run.
     """
 
     def keep(key, batches, state: GroupState):
@@ -82,16 +75,24 @@ def rolling_history(stream: DataFrame, n: int = 8, ttl_ms: int | None = None) ->
     return stream.groupBy("conv_id").applyInPandasWithState(keep, "conv_id long, turn long, history string", "turn array<long>, role array<string>, text array<string>", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """What ``stream`` gives for all input there is now, as a table with the column ``batch``.
+def drained(stream: DataFrame, folder: str, mode: str, per_batch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """What ``stream`` gives for all input there is now, as a table with the column ``batch``; ``per_batch`` is applied to each batch.
 
     State and output lie below ``folder``; a batch that is tried again replaces its own output.  No input gives no rows.
     """
-    spark, root = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}"
+    spark, root, work = stream.sparkSession, f"{folder}/stream-{uuid.uuid4().hex}", per_batch or (lambda rows: rows)
 
     def keep(rows: DataFrame, no: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{root}/out/batch={no}")
+        work(rows).write.mode("overwrite").parquet(f"{root}/out/batch={no}")
 
-    spark.createDataFrame([], stream.schema).write.parquet(f"{root}/out/batch=-1")
+    none = work(spark.createDataFrame([], stream.schema))
+    none.write.parquet(f"{root}/out/batch=-1")
     stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{root}/out")
+    return spark.read.schema(none.schema.add("batch", "long")).parquet(f"{root}/out")
+
+
+def following(table: DataFrame) -> DataFrame:
+    """The files of a drained table as a stream, so that one stream can read what another has written."""
+    files = sorted({f.rsplit("/", 1)[0] for f in table.inputFiles()})
+    root = files[0].rsplit("/", 1)[0] if files else ""
+    return table.sparkSession.readStream.schema(table.schema).parquet(root)

@@ -110,14 +110,15 @@ def test_streams(spark, tmp_path):
     turns = [(1, t, "user" if t % 2 else "bot", f"m{t}") for t in range(12)] + [(2, 0, "user", " ")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/turns")
     stream = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{tmp_path}/turns")
-    tracking.rolling_history(stream, 3).writeStream.format("memory").queryName("past").outputMode("update").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start().awaitTermination(120)
+    tracking.rolling_history(stream, 3, ttl_ms=None).writeStream.format("memory").queryName("past").outputMode("update").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start().awaitTermination(120)
     want = {r.conv_id: r.history for r in infer.history(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 3).collect()}
     assert {r.conv_id: r.history for r in spark.table("past").collect()} == want
     lines = seg(spark, [(0.0, 4.0, "a"), (5.0, 9.0, "b")])
     sections = spark.createDataFrame([(1, "s", None, 0, 0.0, 4.5), (1, "k", "s", 0, 0.0, 2.0)], "source_id long, section_id string, parent_id string, ord int, sec_start double, sec_end double")
     spark.sql("SELECT 7L viewer, 1L source_id, timestamp'2024-01-01' + make_interval(0,0,0,0,0,0,id) event_time, cast(id as double) t FROM range(8)").coalesce(1).write.parquet(f"{tmp_path}/pos")
     pos = spark.readStream.schema("viewer long, source_id long, event_time timestamp, t double").parquet(f"{tmp_path}/pos")
-    tracking.track_positions(pos, tracking.nested_lines(sections, lines)).writeStream.format("memory").queryName("shown").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination(120)
+    shown = tracking.drained(pos, str(tmp_path), "append", lambda rows: tracking.located(rows, sections, lines))
+    tracking.track_positions(tracking.following(shown)).writeStream.format("memory").queryName("shown").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination(120)
     got = [(r.section_id, r.line_seq) for r in spark.table("shown").orderBy("event_time").collect()]
     assert got == [("k", 0), ("s", 0), (None, 1)]
 
@@ -156,9 +157,9 @@ def test_drained(spark, tmp_path):
     spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(6)] + [(2, 0, None, None)], ddl).repartition(3).write.parquet(f"{tmp_path}/turns")
     spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/none")
     read = lambda name: spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
-    last = tracking.drained(tracking.rolling_history(read("turns"), 3), str(tmp_path), "update").groupBy("conv_id").agg(F.max_by("history", F.struct("batch", "turn")).alias("history"))
+    last = tracking.drained(tracking.rolling_history(read("turns"), 3, ttl_ms=None), str(tmp_path), "update").groupBy("conv_id").agg(F.max_by("history", F.struct("batch", "turn")).alias("history"))
     assert {r.conv_id: r.history for r in last.collect()} == {1: "User: m3\nUser: m4\nUser: m5", 2: ""}
-    assert tracking.drained(tracking.rolling_history(read("none"), 3), str(tmp_path), "update").count() == 0
+    assert tracking.drained(tracking.rolling_history(read("none"), 3, ttl_ms=None), str(tmp_path), "update").count() == 0
 
 
 def test_outline(spark):
