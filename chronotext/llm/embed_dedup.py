@@ -25,7 +25,7 @@ WIDTH = 2.5
 #: Wanted chance of finding a pair whose cosine is just the threshold; pairs above it are found more often.
 RECALL = 0.96
 #: Unrelated vectors that a bucket should hold.  More of them mean fewer tables, so fewer copies of a vector are shuffled, and more exact cosines.
-CROWD = 512
+CROWD = 1024
 #: Rows of one task's tile; larger buckets are cut into tiles that meet pairwise.
 TILE = 2048
 #: Buckets cut into tiles that are broadcast at most; more are joined by a shuffle.
@@ -207,9 +207,11 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, recall: float = RECALL)
     found = written(rows_of.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "rep long, other long, links long"), "links")
     counts = found.filter("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     parts_of = components(found.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
-    label = classes.join(counts.hint("shuffle_merge"), "rep", "left").join(parts_of.hint("shuffle_merge"), "rep", "left")
-    label = label.select("v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = good.join(label.hint("shuffle_merge"), "v", "left").select("vec_id", "n_links", "component_id")
+    # Classes are told apart by whole vectors; only the way back from a row to its class goes by 128 bits of hash.
+    hashes = (F.xxhash64("v").alias("h"), F.xxhash64(F.lit(SEED), "v").alias("g"))
+    label = classes.select("rep", "copies", *hashes).join(counts.hint("shuffle_merge"), "rep", "left").join(parts_of.hint("shuffle_merge"), "rep", "left")
+    label = label.select("h", "g", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = good.select("vec_id", *hashes).join(label.hint("shuffle_merge"), ["h", "g"], "left").select("vec_id", "n_links", "component_id")
     alone = rows.filter(~usable(F.col("v"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
