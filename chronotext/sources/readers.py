@@ -113,7 +113,7 @@ def normalise_sources(df: DataFrame) -> DataFrame:
 
 def scan_library(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, notes) of all notes.md below ``path``, whose first line, without its mark, is the title."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "notes.md").text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="notes.md")
     return library(rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("notes")))
 
 

@@ -167,3 +167,30 @@ def test_outline(spark):
     got = [r.o for r in df.select(X.outline(*map(F.col, "s e h m p k t".split())).alias("o")).collect()]
     assert got == ["[00:00-01:05] H: Idea. | Points: a; b; c; d | Keywords: k | Transition: shift", "[00:00-00:01] :  | Points:  | Keywords:  | Transition: continue"]
     assert spark.sql("SELECT 'One is 1.5 long. but this. Two! Été' t").select(X.strict_sentences(F.col("t")).alias("s")).first().s == ["One is 1.5 long. but this.", "Two! Été"]
+
+
+def test_file_scans(spark, tmp_path):
+    """Transcripts and notes as files, one document each, in folders of their own."""
+    import json
+
+    for name, title in (("one", "# First"), ("two", "Second")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "notes.md").write_text(f"{title}\n\n## A\n")
+        (tmp_path / name / "transcript.json").write_text(json.dumps({"segments": [{"start": 0.0, "end": 1.5, "text": name}, {"start": 1.5, "end": 2.0, "text": "x"}], "source": "whisper", "language": "en"}))
+    got = {r.path.rsplit("/", 2)[1]: (r.title, r.notes) for r in readers.scan_library(spark, str(tmp_path)).collect()}
+    assert got == {"one": ("First", "# First\n\n## A\n"), "two": ("Second", "Second\n\n## A\n")}
+    rows = readers.read_transcript_json(spark, f"{tmp_path}/*/transcript.json").orderBy("source_id", "seq").collect()
+    assert [(r.source_id.rsplit("/", 2)[1], r.seq, r.start, r.end, r.text, r.origin, r.language) for r in rows] == [(n, k, *s, "whisper", "en") for n in ("one", "two") for k, s in enumerate([(0.0, 1.5, n), (1.5, 2.0, "x")])]
+
+
+def test_quarantine(spark):
+    rows = spark.createDataFrame([(1, 0.0, 1.0, 0.5), (2, 2.0, 1.0, 9.0), (3, 0.0, None, 0.5), (4, 0.0, 0.0, 1.5), (5, 0.0, 0.0, None), (6, 1.0, 1.0, 0.0)], "k int, start double, end double, score double")
+    good, bad = clean.quarantine(rows, ("score",))
+    assert sorted(r.k for r in good.collect()) == [1, 6] and good.columns == rows.columns
+    assert {r.k: r.reason for r in bad.collect()} == {2: "end before start", 3: "end before start", 4: "score out of bounds", 5: "score out of bounds"}
+
+
+def test_ranked_ids(spark):
+    bodies = ['{"ranked_ids": ["frame_2", "frame_0"]}', 'Sure {"ranked_ids": ["a"], "reason": "x"} ok', "no", None, '{"ranked_ids": "a"}', '{"ranked_ids": []}', '{"other": ["a"]}', '{"ranked_ids": ["a", null]}']
+    got = {r.k: list(r.ids) for r in infer.ranked_ids(spark.createDataFrame(list(enumerate(bodies)), "k int, body string"), ["k"]).collect()}
+    assert got == {0: ["frame_2", "frame_0"], 1: ["a"], 2: [], 3: [], 4: [], 5: [], 6: [], 7: ["a"]}
