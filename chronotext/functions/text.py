@@ -97,6 +97,7 @@ def upload_date(day: Column) -> Column:
 
 
 def anchor(heading: Column) -> Column:
+    """The name under which a heading is linked.  The patterns are fixed values."""
     plain = F.regexp_replace(F.lower(F.trim(heading)), r"[#\[\](){}|\\^`]", "")
     return F.regexp_replace(F.regexp_replace(plain, r"[ \t\n\r\f\x0B]+", "-"), "^-+|-+$", "")
 
@@ -114,7 +115,7 @@ def compact(text: Column, limit: int = 180) -> Column:
 
 
 def spoken(text: Column) -> Column:
-    """Markdown made speakable: no bold marks, bullets, images or tags."""
+    """Markdown made speakable: no bold marks, bullets, images or tags.  The patterns are fixed values."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\*\*([^*]+)\*\*", "$1")
     out = F.regexp_replace(out, r"(?m)^- ", "")
     out = F.regexp_replace(F.regexp_replace(out, r"!\[[^\]]*\]\([^)]+\)", ""), r"<[^>]+>", "")

@@ -11,6 +11,7 @@ from pyspark.sql import window as W
 from chronotext.functions import text as X
 from chronotext.sources.readers import ordered_text
 
+#: A segment that is one bracketed label.  Fixed value.
 NOISE = r"^[ \t\n\r\f]*[\[\(][^\]\)]{1,30}[\]\)][ \t\n\r\f]*$"
 
 

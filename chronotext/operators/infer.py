@@ -18,7 +18,7 @@ OBJECT = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
 
 
 def strip_reasoning(text: Column) -> Column:
-    """Without thinking blocks and a leading paragraph of reasoning or thoughts."""
+    """Without thinking blocks and a leading paragraph of reasoning or thoughts.  The patterns are fixed values."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)<think>.*?</think>", "")
     out = F.regexp_replace(out, r"(?is)^reasoning\s*:.*?(?:\n\s*\n|$)", "")
     return X.clean_ends(F.regexp_replace(out, r"(?is)^thoughts?\s*:.*?(?:\n\s*\n|$)", ""))
@@ -29,7 +29,10 @@ def _unfenced(text: Column) -> Column:
 
 
 def mine_records(resp: DataFrame, column: str = "body") -> DataFrame:
-    """``resp`` with record (JSON text) and rule: 1 the whole answer, 2 the first flat object with a heading, 3 the first flat object, 0 none."""
+    """``resp`` with record (JSON text) and rule: 1 the whole answer, 2 the first flat object with a heading, 3 the first flat object, 0 none.
+
+    The two patterns of flat objects are fixed values.
+    """
     body = _unfenced(strip_reasoning(F.col(column)))
     ok = lambda c: F.when(F.try_parse_json(c).isNotNull() & c.startswith("{"), c)
     heading = F.nullif(F.regexp_extract(body, r'(\{[^{}]*"heading"[^{}]*\})', 1), F.lit(""))
