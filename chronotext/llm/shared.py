@@ -47,8 +47,11 @@ def few(df: DataFrame, most: int, otherwise: str = "shuffle_hash") -> DataFrame:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: the lineage ends there, and lost executors cost no recomputation."""
-    path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read back: the lineage ends there, and lost executors cost no recomputation.
+
+    All that one application writes lies in one folder, which can go when the application ends.
+    """
+    path = f"{scratch(df.sparkSession)}/chronotext-{df.sparkSession.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
