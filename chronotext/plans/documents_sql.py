@@ -145,6 +145,7 @@ ORACLES: dict[str, str] = {
 || {NL} || regexp_replace(body, '\\s+$', '') || {NL} AS transcript_md FROM meta m JOIN counts USING (source_id) JOIN tt USING (source_id) JOIN contents USING (source_id)""", PICKED, KEPT, SHOTS, CONTENTS, *TRANSCRIPT),
     "f6_captions": q("aligned obs", "SELECT * FROM caps", *CAPTIONS),
     "c15_match_points": q("sections obs", "SELECT source_id, section_id, unnest(got).point_no AS point_no, unnest(got).frame_id AS frame_id, round(-unnest(got).neg, 6) AS score FROM (SELECT source_id, section_id, arg_max(got, k) AS got FROM mf GROUP BY source_id, section_id)", PICKED, KEPT, SHOTS, *CAPTIONS, *MATCHED),
+    "k7_bundle": q("meta", "SELECT source_id, 'doc_' || source_id || '__a_b___' || source_id AS out_key, title || ': a/b ?' AS title, channel FROM meta"),
     "e10_topic_context": q("grouped", "SELECT * FROM tc", CONTEXT),
     "k8_leaf_prompts": q("chunks", f"""SELECT source_id, chunk_no, 'leaf' AS kind, {SECTION_ASK} || 'Teach: build intuition, link each step to the one before, say why each idea matters.' || CASE WHEN context <> '' THEN {NL} || context ELSE '' END || {NL} || {NL} || {AT} || {NL} || '- [' || {time('s.start')} || '] ' || left(text, 2500) AS prompt FROM ctx s""", CTX),
     "k8_parent_prompts": q("sections", f"""SELECT s.source_id, s.section_id, 'parent' AS kind, {PARENT_ASK} || {NL} || context || {NL} || {NL} || {AT} || {NL} || kids AS prompt FROM sections s JOIN kl ON kl.source_id = s.source_id AND kl.section_id = s.section_id JOIN tc ON tc.source_id = s.source_id AND topic_no = s.ord

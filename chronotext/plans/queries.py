@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from chronotext.functions import text as X
 from chronotext.operators import chunk, clean, docs, infer, sample, score, timejoin, topics
 from chronotext.plans import inputs
 from chronotext.plans.ctes import MAX, MIN, OVERLAP, THRESHOLD
-from chronotext.plans.staging import staged
+from chronotext.plans.staging import folder, staged
 from chronotext.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -715,6 +716,15 @@ def k7_bundle_keys(spark, sf):
     return t.meta.select("source_id", X.output_key(F.concat(F.col("title"), F.lit(": a/b ?")), F.col("source_id")).alias("out_key"))
 
 
+@query
+def k7_bundle(spark, sf):
+    """One folder for each source, written and read back."""
+    t = on(spark, sf)
+    path = f"{folder(spark)}/bundle-{uuid.uuid4().hex}"
+    docs.write_bundle(t.meta.select("source_id", F.concat(F.col("title"), F.lit(": a/b ?")).alias("title"), "channel"), path)
+    return spark.read.parquet(path).select("source_id", "out_key", "title", "channel")
+
+
 @query
 def k8_prompts(spark, sf):
     t = on(spark, sf)
