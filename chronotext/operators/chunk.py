@@ -1,6 +1,6 @@
-"""Chunking by token budgets: the cut positions depend on earlier cuts, so they come from a fold over token counts.
+"""Chunking by token budgets: the cut positions depend on earlier cuts, so chunks come from a fold over a source's segments.
 
-The fold streams and holds the open chunk's counts, never text; texts are joined back by index.
+The fold streams and holds the open chunk alone, so each segment is shuffled once and nothing is joined back.
 """
 
 from __future__ import annotations
@@ -14,60 +14,42 @@ from pyspark.sql import window as W
 from chronotext.functions import text as X
 from chronotext.operators.fold import ordered_fold
 
-def _counted(seg: DataFrame, counter: Callable[[Column], Column]) -> DataFrame:
-    """Segments with idx from 0 and tok, their tokens."""
-    w = W.Window.partitionBy("source_id").orderBy("start", "seq")
-    return seg.withColumn("tok", counter(F.col("text")).cast("long")).withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
-
-
-def _ranges(counted: DataFrame, max_tokens: int, overlap: int, at_stops: bool) -> DataFrame:
-    """(source_id, chunk_no, lo, hi): where chunks begin and end, both inclusive.
+def _chunks(seg: DataFrame, max_tokens: int, overlap: int, counter: Callable[[Column], Column], at_stops: bool) -> DataFrame:
+    """Chunks of segments in order of start and seq: text joined, times of the first and last segment, tokens of the joined text, the segments' seq.
 
     A chunk that the next segment would overfill is cut in front of it, or with ``at_stops`` behind its last sentence end,
     if there is one behind the part carried over.  The next chunk begins with the longest run of last segments of the cut
-    part that has at most ``overlap`` tokens.  A fold over the segments keeps the open chunk's token counts alone.
+    part that has at most ``overlap`` tokens.
     """
 
     def step():
-        held: list[tuple[int, int, bool]] = []  # idx, tokens and sentence end of the open chunk's segments
-        total, no, carried = 0, 0, -1
+        held: list[tuple] = []  # the open chunk's segments: seq, start, end, tokens, sentence end, text
+        total = no = carried = 0
+
+        def done(part):
+            return no, " ".join(x[5] for x in part if x[5] is not None), part[0][1], part[-1][2], [x[0] for x in part]
 
-        def add(idx, tok, stop):
+        def add(*row):
             nonlocal held, total, no, carried
-            if held and total + tok > max_tokens:
-                last = max((i for i, _, ends in held if ends and i > carried), default=held[-1][0]) if at_stops else held[-1][0]
-                yield no, held[0][0], last
-                no, carried = no + 1, last
-                # What follows the cut stays, and in front of it as much of the cut part as the overlap allows.
-                first, room = last + 1, overlap
-                for i, n, _ in reversed([x for x in held if x[0] <= last]):
-                    room -= n
-                    if room < 0:
-                        break
-                    first = i
-                held = [x for x in held if x[0] >= first]
-                total = sum(n for _, n, _ in held)
-            held.append((idx, tok, stop))
-            total += tok
-
-        def end():
-            return [(no, held[0][0], held[-1][0])] if held else []
-
-        return add, end
-
-    rows = counted.select("source_id", "idx", "tok", F.col("text").rlike(r"[.!?]+[ \t\n\r\f]*$").alias("stop"))
-    return ordered_fold(rows, ["idx"], step, "chunk_no int, lo int, hi int")
-
-
-def _build(counted: DataFrame, ranges: DataFrame, counter: Callable[[Column], Column]) -> DataFrame:
-    """Chunks from ranges: text joined, times of the first and last segment, tokens of the joined text, indexes of the segments."""
-    # Each segment meets only the chunks it is in.  Rows from a fold have no reliable size estimate, so the strategy is set here.
-    members = ranges.select("source_id", "chunk_no", F.explode(F.sequence("lo", "hi")).alias("idx"))
-    rows = counted.join(members.hint("shuffle_merge"), ["source_id", "idx"])
-    parts = F.array_sort(F.collect_list(F.struct("idx", "text", "seq")))
-    out = rows.groupBy("source_id", "chunk_no").agg(parts.alias("p"), F.min_by("start", "idx").alias("start"), F.max_by("end", "idx").alias("end"))
-    out = out.withColumn("text", F.array_join(F.transform("p", lambda x: x["text"]), " ")).withColumn("segment_indices", F.transform("p", lambda x: x["seq"]))
-    return out.select("source_id", "chunk_no", chunk_id("chunk", F.col("chunk_no")).alias("chunk_id"), "text", "start", "end", counter(F.col("text")).cast("long").alias("token_count"), "segment_indices")
+            if held and total + row[3] > max_tokens:
+                cut = max((k + 1 for k in range(carried, len(held)) if held[k][4]), default=len(held)) if at_stops else len(held)
+                yield done(held[:cut])
+                no, first, room = no + 1, cut, overlap
+                while first and held[first - 1][3] <= room:
+                    first -= 1
+                    room -= held[first][3]
+                held, carried = held[first:], cut - first
+                total = sum(x[3] for x in held)
+            held.append(row)
+            total += row[3]
+
+        return add, lambda: [done(held)] if held else []
+
+    stop = F.coalesce(F.col("text").rlike(r"[.!?]+[ \t\n\r\f]*$"), F.lit(False))
+    rows = seg.select("source_id", F.col("seq").cast("bigint").alias("seq"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), counter(F.col("text")).cast("bigint").alias("tok"), stop.alias("stop"), "text")
+    out = ordered_fold(rows, ["start", "seq"], step, "chunk_no int, text string, start double, end double, segment_indices array<bigint>")
+    indices = F.col("segment_indices").cast(f"array<{seg.schema['seq'].dataType.simpleString()}>").alias("segment_indices")
+    return out.select("source_id", "chunk_no", chunk_id("chunk", F.col("chunk_no")).alias("chunk_id"), "text", "start", "end", counter(F.col("text")).cast("long").alias("token_count"), indices)
 
 
 def chunk_id(prefix: str, no: Column) -> Column:
@@ -76,8 +58,7 @@ def chunk_id(prefix: str, no: Column) -> Column:
 
 def chunk_tokens(seg: DataFrame, max_tokens: int = 800, overlap: int = 50, counter: Callable[[Column], Column] = X.token_count) -> DataFrame:
     """Chunks of at most ``max_tokens`` (a longer segment stands alone); each starts with the last segments of the one before, up to ``overlap`` tokens."""
-    counted = _counted(seg, counter)
-    return _build(counted, _ranges(counted, max_tokens, overlap, False), counter)
+    return _chunks(seg, max_tokens, overlap, counter, False)
 
 
 def chunk_sentences(seg: DataFrame, max_tokens: int = 800, overlap: int = 50, counter: Callable[[Column], Column] = X.token_count) -> DataFrame:
@@ -86,8 +67,7 @@ def chunk_sentences(seg: DataFrame, max_tokens: int = 800, overlap: int = 50, co
     Only sentence ends behind the part carried over from the chunk before count; where there is none, the cut is in front of
     the segment that overflows.  The next chunk starts with the last segments of the cut part, up to ``overlap`` tokens.
     """
-    counted = _counted(seg, counter)
-    return _build(counted, _ranges(counted, max_tokens, overlap, True), counter)
+    return _chunks(seg, max_tokens, overlap, counter, True)
 
 
 def merge_small(chunks: DataFrame, min_tokens: int = 100) -> DataFrame:

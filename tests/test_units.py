@@ -34,6 +34,9 @@ def test_chunks(spark):
     plain = chunk.chunk_sentences(seg(spark, [(float(i), i + 1.0, "a b c d") for i in range(12)]), 10, 4).collect()
     assert all(r.token_count <= 10 for r in plain)
     assert chunk.chunk_tokens(rows.limit(0)).count() == 0
+    # A text that is null has no tokens and leaves no gap in the joined text.
+    odd = spark.createDataFrame([(1, 0, 0.0, 1.0, "a b"), (1, 1, 1.0, 2.0, None), (1, 2, 2.0, 3.0, "c"), (2, 0, None, None, "d")], "source_id long, seq int, start double, end double, text string")
+    assert {(r.source_id, r.text, r.token_count, tuple(r.segment_indices)) for r in chunk.chunk_sentences(odd).collect()} == {(1, "a b c", 3, (0, 1, 2)), (2, "d", 1, (0,))}
 
 
 def test_near(spark):
