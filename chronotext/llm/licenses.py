@@ -1,7 +1,7 @@
 """License scans by sentence rules, in SQL functions alone.
 
-Known sentences are first put on lines of their own, also where a notice wraps, numbers or punctuates them.  Then a document
-is cut into sentences, each normalised to its lower-case ASCII letters and digits.  Known licence sentences
+Known sentences are first marked, also where a notice wraps, numbers or punctuates them.  What stands between them is cut into
+sentences, each normalised to its lower-case ASCII letters and digits.  Known licence sentences
 have identifiers; the identifiers of a document, in order and with a gap mark where other sentences stood between, form a
 sequence, against which licence rules (ordered identifier sequences, longest first) are matched.  A matched stretch is
 used up, so a full licence text is not also reported as the notice it contains.  Nothing is shuffled: sequence and rules
@@ -156,6 +156,8 @@ KNOWN = SENTENCES | {line: k for line, (k, _) in SPDX_LINES.items()}
 HINT = r"(?i)licen[cs]e|redistribut|permission|copyright|warranty|unencumbered|rights|mpl"
 #: How sentences on a licence begin, before the part that is known.
 OPENING = r"(?:(?:this|the)\W+(?:project|software|work|code|file|program|library|package|document|content|repository)\W+is\W+)?"
+#: Stands around known sentences; where a text has it, it counts as a blank.
+MARK = "\x01"
 #: A list number or bullet in front of a clause.
 ITEM = r"(?:\(?[0-9a-z]{1,2}[.)][ \t]+)?"
 
@@ -169,30 +171,43 @@ def pattern(ids: tuple[int, ...]) -> str:
     return "".join("#" if i == GAP else f",{i}," for i in ids)
 
 
-def verbatim(sentence: str) -> str:
-    """A regular expression for a known sentence as notices print it: any case, wrapped, quoted, and with the marks at which the cut would part it.
+def _words(sentence: str) -> str:
+    """A known sentence as notices print it: any case, wrapped, quoted, and with the marks at which the cut would part it."""
+    return "[^A-Za-z0-9]{1,40}".join(sentence.split()) + (r"(?=\s+https?://|" if sentence.endswith(" at") else "(?=") + END + ")"
 
-    It begins where a sentence may (group 1 is what stands before) and ends where one may.
-    """
-    first = OPENING if sentence.startswith(("released under", "licensed under")) else ITEM if SENTENCES[sentence] >= 8 else ""
-    last = r"|\s+https?://" if sentence.endswith(" at") else ""
-    words = "[^A-Za-z0-9]{1,40}".join(sentence.split())
-    return rf"(?i)(^|[\n;]|[.!?:][ \t\r]+)[^A-Za-z0-9\n;]*{first}{words}(?=[^A-Za-z0-9\n;.!?:]*(?:$|[\n;]|[.!?:](?:\s|$)){last})"
+
+#: What stands between a known sentence and its end.
+END = r"[^A-Za-z0-9\n;.!?:]*(?:$|[\n;]|[.!?:](?:\s|$))"
 
 
-def restored(text: Column) -> Column:
-    """``text`` with each known sentence on a line of its own, unwrapped and without marks inside, so that the cut leaves it whole."""
-    whole = F.regexp_replace(text, SPDX_LINE, "$1\nspdx license identifier $2\n")
+def verbatim() -> str:
+    """A regular expression for all known sentences, longest first: group 1 is what stands before one, a later group its words.
+
+    A sentence begins where one may, behind an opening or a list number that its kind allows, and ends where one may.
+    """
+    kinds: dict[str, list[str]] = {}
     for s in sorted(SENTENCES, key=len, reverse=True):
-        whole = F.regexp_replace(whole, verbatim(s), f"$1\n{s}\n")
-    return F.when(text.rlike(HINT), whole).otherwise(text)
+        kinds.setdefault(OPENING if s.startswith(("released under", "licensed under")) else ITEM if SENTENCES[s] >= 8 else "", []).append(_words(s))
+    return rf"(?i)(^|[\n;]|[.!?:][ \t\r]+)[^A-Za-z0-9\n;]*(?:{'|'.join(f'{first}({chr(124).join(known)})' for first, known in kinds.items())})"
+
+
+def pieces(text: Column) -> Column:
+    """``text`` cut at what is known: at even places what stands between known sentences, at odd places these.
+
+    One pass marks all of them, so the cost does not grow with their number times the text.
+    """
+    plain = F.translate(text, MARK, " ")
+    lines = F.regexp_replace(plain, SPDX_LINE, f"$1{MARK}spdx license identifier $2{MARK}")
+    whole = F.regexp_replace(lines, verbatim(), f"$1{MARK}$2$3$4{MARK}")
+    return F.split(F.when(text.rlike(HINT), whole).otherwise(plain), MARK)
 
 
 def sequence(text: Column) -> Column:
     """The licence sentences of a text as a string like ``,2,,10,#,7,``: identifiers in order, # where other sentences stand between."""
     known = F.create_map(*(F.lit(x) for k, v in KNOWN.items() for x in (k, f",{v},")))
-    cut = F.split(F.regexp_replace(restored(F.coalesce(text, F.lit(""))), r"([.!?:;])[ \t\r]+", "$1\n"), r"[\n;]+")
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    cut = lambda p: F.split(F.regexp_replace(p, r"([.!?:;])[ \t\r]+", "$1\n"), r"[\n;]+")
+    sentences = F.flatten(F.transform(pieces(F.coalesce(text, F.lit(""))), lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(cut(p))))
+    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     marks = F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.coalesce(F.element_at(known, s), F.lit("#")))
     return F.regexp_replace(F.array_join(marks, ""), "#+", "#")
 
@@ -217,7 +232,7 @@ def scan(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def oracle() -> str:
-    """The scan in DuckDB's SQL over ``documents``, without ``restored``: it agrees where each known sentence stands unwrapped between cuts."""
+    """The scan in DuckDB's SQL over ``documents``, without :func:`pieces`: it agrees where each known sentence stands unwrapped between cuts."""
     case = " ".join(f"WHEN s = '{k}' THEN ',{v},'" for k, v in KNOWN.items())
     seq = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), " + rf"s0 AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?:;])[ \t\r]+', '\1' || chr(10), 'g'), '[\n;]+'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> ''), lambda s: CASE {case} ELSE '#' END), ''), '#+', '#', 'g') AS license_sequence FROM d)"
     steps, k = [], 0
