@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronotext.llm import bpe, embed_dedup, exact_dedup, lexical, licenses, manifest, mixing, quality, sharding, simhash, toxicity, url_filter
+from chronotext.llm import bitslice, bpe, embed_dedup, exact_dedup, lexical, licenses, manifest, mixing, quality, sharding, simhash, toxicity, url_filter
 from chronotext.llm.shared import remainder, scratch, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -90,13 +90,18 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.proofs(manifest.build(table(spark, sf_dir, "documents")))
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every vector whose id is divisible by 50."""
+    return bitslice.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_sharding, op3_licenses, op4_simhash, op5_mixing, op6_bpe, op7_exact_dedup, op8_embedding_dedup, op9_url_filter, op10_quality, op11_lexical_search, op12_manifest]
+    found = [op1_toxicity, op2_sharding, op3_licenses, op4_simhash, op5_mixing, op6_bpe, op7_exact_dedup, op8_embedding_dedup, op9_url_filter, op10_quality, op11_lexical_search, op12_manifest, op13_topk]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     exact = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
 sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
-    out = {"op3_licenses": licenses.oracle(), "op7_exact_dedup": exact, "op9_url_filter": url_filter.oracle(), "op11_lexical_search": lexical.oracle(), "op12_manifest": manifest.oracle()}
+    out = {"op3_licenses": licenses.oracle(), "op7_exact_dedup": exact, "op9_url_filter": url_filter.oracle(), "op11_lexical_search": lexical.oracle(), "op12_manifest": manifest.oracle(), "op13_topk": bitslice.oracle()}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
