@@ -253,7 +253,7 @@ def transcode(df: DataFrame, path: str, pattern: str, column: str = "text", keep
     vocabulary on every worker.
     """
     made = ("ids", "decoded", "round_trip")
-    keep = [c for c in (df.columns if keep is None else keep) if c not in made and (keep is not None or c != column)]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in made and (keep is not None or c != column)]
     schema = df.select(*keep, *(F.lit(None).cast(k).alias(c) for c, k in zip(made, ("binary", "binary", "boolean"), strict=True))).schema
     source = "".join(keep) + column + "_"  # a name that no kept column has
     rows = df.select(*keep, F.coalesce(F.col(column).cast("string"), F.lit("")).alias(source))
@@ -271,7 +271,7 @@ def transcode(df: DataFrame, path: str, pattern: str, column: str = "text", keep
 
 def _mapped(df: DataFrame, source: str, target: str, kind: str, arrow, function) -> DataFrame:
     """``df`` with the binary or list column ``target`` made from ``source``; all other columns pass through as they are."""
-    keep = [c for c in df.columns if c != target]
+    keep = [c for c in df.columns if c.lower() != target.lower()]
     schema = df.select(*keep).withColumn(target, F.lit(None).cast(kind)).schema
 
     def run(batches):

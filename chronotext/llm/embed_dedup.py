@@ -24,6 +24,8 @@ COSINE = 0.9
 WIDTH = 2.5
 #: Wanted chance of finding a pair whose cosine is just the threshold; pairs above it are found more often.
 RECALL = 0.96
+#: (projections a table, tables), whatever the number of vectors: 14 tables of 10 projections find a pair at cosine 0.9 with chance 0.96.
+SHAPE = (10, 14)
 #: Unrelated vectors that a bucket should hold.  More of them mean fewer tables, so fewer copies of a vector are shuffled, and more exact cosines.
 CROWD = 1024
 #: Rows of one task's tile; larger buckets are cut into tiles that meet pairwise.
@@ -39,14 +41,19 @@ def agreement(distance: float, width: float = WIDTH) -> float:
     return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
+def tables_for(k: int, cosine: float = COSINE, recall: float = RECALL) -> int:
+    """Tables of ``k`` projections that find a pair at ``cosine`` with chance ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-(agreement(math.sqrt(2 - 2 * cosine)) ** k)))
+
+
 def plan(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
-    """(projections a table, tables) for ``n`` vectors: projections so that unrelated vectors leave CROWD rows in a bucket, tables for the recall.
+    """A shape for ``n`` vectors, to be chosen where SHAPE leaves buckets too full: projections so that unrelated vectors leave CROWD rows in a bucket, tables for the recall.
 
-    The wanted chance of finding a link holds at every size, but which links the chance leaves out changes with ``n``.
+    The wanted chance of finding a link holds at every size, but which links the chance leaves out follows from ``n``, so
+    that unrelated rows decide on them.
     """
-    near, far = agreement(math.sqrt(2 - 2 * cosine)), agreement(math.sqrt(2))
-    k = max(4, math.ceil(math.log(max(2.0, n / CROWD)) / -math.log(far)))
-    return k, math.ceil(math.log(1 - recall) / math.log1p(-(near**k)))
+    k = max(4, math.ceil(math.log(max(2.0, n / CROWD)) / -math.log(agreement(math.sqrt(2)))))
+    return k, tables_for(k, cosine, recall)
 
 
 def usable(v: Column) -> Column:
@@ -141,9 +148,11 @@ def bucket_links(table: int, two: bool, side: np.ndarray, v: np.ndarray, copies:
     return [*rep[rows[counted]], *rep[rows[a]]], [*[None] * len(counted), *rep[rows[b]]], [*links[counted], *[0] * len(a)]
 
 
-def near_vectors(df: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
+def near_vectors(df: DataFrame, cosine: float = COSINE, shape: tuple[int, int] = SHAPE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``df`` (vec_id, embedding).
 
+    ``shape`` is (projections a table, tables); whether two vectors link depends on it and on them alone.  It suits a
+    threshold of 0.9; :func:`tables_for` gives the tables for others, :func:`plan` both for a number of vectors.
     n_links counts the other rows linked directly, equal vectors included; component_id is the smallest vec_id that links
     reach.  Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different length.  Rows that repeat a vec_id count as rows of their own; those without a vec_id count as links of
@@ -154,7 +163,7 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, recall: float = RECALL)
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     good = rows.filter(usable(F.col("v")))
     classes = written(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    k, tables = plan(classes.count(), cosine, recall)
+    k, tables = shape
     signed = written(signatures(classes.filter("rep IS NOT NULL"), k, tables), "signed")
     placed = signed.select("rep", F.posexplode("cells").alias("t", "cell"), "dim")
     crowded = placed.groupBy("t", "cell", "dim").count().filter(F.col("count") > TILE)

@@ -2,7 +2,7 @@
 
 A source's target is its share of the mix in words.  Complete epochs come first: a source whose target is 1.3 times its
 size gives every document once.  The rest is drawn without replacement: each document gets the key -ln(u) / w (u uniform
-from a hash of its id, w its quality weight), and the documents with the smallest keys are taken until the next one would
+from a hash of its id and text, w its quality weight), and the documents with the smallest keys are taken until the next one would
 overrun the budget; one document that fits what is missing completes it.
 
 No task ever sorts a source.  Keys fall into bins by their order of magnitude, so that no bin holds more than about 1 in
@@ -58,13 +58,15 @@ def keyed(docs: DataFrame, columns: list[str], seed: int, weight: Column | None)
     """``docs`` as (row, doc_id, s, size, es_key, bin), row holding ``columns``; this is the only look at the texts.
 
     s is the source, told apart from a null one; size counts words (a null text has none); es_key is the sampling key, and
-    bin says in which 1,024th of which power of two it lies.  Ties go by doc_id, null ids first.
+    bin says in which 1,024th of which power of two it lies.  Ties go by doc_id, null ids first.  The hash is of id, crc32
+    of the text and size, so rows that share an id, or have none, are drawn apart unless their texts agree too.
     """
-    u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    size = word_count(F.col("text"))
+    u = (F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), size, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     key = -F.log(u) / (F.lit(1.0) if weight is None else weight)
     s = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
     row = F.struct(*columns) if columns else F.struct(F.lit(None).alias("_"))
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), s.alias("s"), word_count(F.col("text")).alias("size"), key.alias("es_key"))
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), s.alias("s"), size.alias("size"), key.alias("es_key"))
     return rows.withColumn("bin", F.floor(F.log2("es_key") * BINS).cast("int"))
 
 
@@ -78,7 +80,7 @@ def cuts(rows: DataFrame, **how) -> DataFrame:
 
     That is all rows up to the key (edge_bin, cut_key, cut_id), and then one document more, fill_key and fill_id: of those
     left, the one whose size is nearest to what is still missing, if it comes nearer to the target than leaving it.  Rows
-    with the same key and id stand or fall together.  ``rows`` is a written table of :func:`keyed`.
+    that repeat in id and text have one key, and stand or fall together.  ``rows`` is a written table of :func:`keyed`.
     """
     rows = rows.drop("row")
     bins = written(rows.groupBy("s", "bin").agg(F.sum("size").alias("words")), "bins")

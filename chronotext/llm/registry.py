@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
+from hashlib import sha256
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +26,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 16 shards near equal in bytes; the map of a data folder is kept, and edited when the query runs again."""
-    folder = f"{scratch(spark)}/slot-maps/{zlib.crc32(sf_dir.encode()):08x}"
+    folder = f"{scratch(spark)}/slot-maps/{sha256(sf_dir.encode()).hexdigest()}"
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"), folder)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version"))
 
@@ -68,8 +68,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
-    rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.listed(spark, url_filter.RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,8 +78,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     rows = rows.filter(F.col("h") <= int(share * (1 << 40))).orderBy("h", "doc_id").limit(limit).select("doc_id", "label", "h")
     found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     if most_bytes is not None:
-        # One number for each sampled row comes to the driver.
-        sizes = sorted((r[0], r[1] or 0) for r in found.select("h", F.octet_length("text")).collect())
-        ends = [(h, total) for (h, _), total in zip(sizes, accumulate(n for _, n in sizes), strict=True)]
-        found = found.filter(F.col("h") <= max((h for h, total in ends if total <= most_bytes), default=-1))
+        # One number for each sampled id comes to the driver.  What does not fit is left out, and the rest goes on.
+        room, over = most_bytes, []
+        for h, n in sorted((h, n or 0) for h, n in found.groupBy("h").agg(F.sum(F.octet_length("text"))).collect()):
+            if n <= room:
+                room -= n
+            else:
+                over.append((h,))
+        if over:
+            found = found.join(F.broadcast(docs.sparkSession.createDataFrame(over, "h long")), "h", "left_anti")
     return found.select("doc_id", "text", "label")

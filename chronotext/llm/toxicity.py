@@ -1,14 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made: one trained on windows of ordinary documents, and a toxic one, which goes on from the
-ordinary one with the passages of toxic documents that ordinary documents lack.  A text is cut into windows of a few words,
-each is compressed with either dictionary, and the bytes that the toxic one saves are the window's distance.  Windows that
-save at least a calibrated number of bytes are hits, and a calibrated curve turns a document's hits and length into a score.
-
-Dictionaries trained on the whole of toxic and of ordinary documents tell little apart, because a toxic document is
-ordinary but for a few words.  So the toxic dictionary holds word beginnings (matches of zstandard are stretches of bytes,
-whatever follows) that clearly more toxic than ordinary documents have.  All counts, windows and thresholds cover the whole
-texts of the sampled rows; a part of these is held back from the dictionaries, for the thresholds and the curve.
+Two zstandard dictionaries are trained apart: one on windows of ordinary documents, one on stretches of toxic documents.  A
+text is cut into windows of a word, each is compressed with either dictionary, and the bytes that the toxic one saves are the
+window's distance.  Windows that save at least a calibrated number of bytes are hits, and a calibrated curve turns a
+document's hits and length into a score.
+
+A toxic document is ordinary but for a few words, so a dictionary of all it holds would be another ordinary one.  The toxic
+dictionary is therefore trained on the stretches of toxic documents whose words begin (matches of zstandard are stretches of
+bytes, whatever follows) like words that clearly more toxic than ordinary documents have.  All counts, windows and thresholds
+cover the whole texts of the sampled rows; a part of these is held back from both dictionaries, for the thresholds and the
+curve.
 """
 
 from __future__ import annotations
@@ -24,17 +25,20 @@ from pyspark.sql import functions as F
 
 from chronotext.llm.shared import labelled_sample, written
 
-WINDOW = 8
+#: Words of a window that is compared, and of one that the ordinary dictionary is trained on.
+WINDOW, LEARNT = 1, 8
 #: Labelled documents that are learnt from: at most so many rows, whose texts have together at most so many bytes.
 SAMPLE, SAMPLE_BYTES = 6_000, 64 << 20
-#: Bytes of the ordinary dictionary.
-ORDINARY = 6_144
+#: Bytes of the dictionaries.
+ORDINARY, TOXIC = 6_144, 2_048
 #: Bytes of a word's beginnings that are looked at besides the whole word; one is typical if it is so many times as frequent in toxic documents, at this many standard deviations.
 BEGINNINGS, RATIO, Z = (5, 6, 7, 8), 6.0, 6.0
 #: One sampled document in so many is held back for the thresholds and the curve.
 CALIBRATE = 3
-#: Distances from here on are one.
+#: Distances from here on are above every threshold, and counted together.
 FAR = 16
+#: Distances of windows that a task remembers, as words repeat; then it forgets them all.
+REMEMBERED = 200_000
 
 
 def windows(text: bytes | None, size: int = WINDOW) -> list[bytes]:
@@ -45,27 +49,34 @@ def windows(text: bytes | None, size: int = WINDOW) -> list[bytes]:
 
 @lru_cache(maxsize=8)
 def compressors(ordinary: bytes, toxic: bytes):
-    """Compressors with the ordinary dictionary, and with the toxic one that goes on from it."""
+    """Compressors with the ordinary and with the toxic dictionary, and the distances of windows that have been met."""
     how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=13, chain_log=13, search_log=4, min_match=4, strategy=zstandard.STRATEGY_LAZY2, target_length=16, write_content_size=0, write_dict_id=0)
     out = []
-    for content in (ordinary, ordinary + toxic):
+    for content in (ordinary, toxic):
         d = zstandard.ZstdCompressionDict(content or b" " * 64, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=how)
         out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
-    return out
+    return (*out, {})
 
 
 def distances(text: bytes | None, ordinary: bytes, toxic: bytes) -> np.ndarray:
     """How many windows of the whole text have each distance: 0 (or less) to FAR (or more)."""
-    plain, both = compressors(ordinary, toxic)
-    saved = np.array([len(plain(w)) - len(both(w)) for w in windows(text)], np.int64)
-    return np.bincount(saved.clip(0, FAR), minlength=FAR + 1)
-
-
-def trained(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary of the samples; where there are too few for the trainer, the samples themselves."""
+    plain, other, met = compressors(ordinary, toxic)
+    counts = np.zeros(FAR + 1, np.int64)
+    for w in windows(text):
+        saved = met.get(w)
+        if saved is None:
+            if len(met) >= REMEMBERED:
+                met.clear()
+            saved = met[w] = min(max(len(plain(w)) - len(other(w)), 0), FAR)
+        counts[saved] += 1
+    return counts
+
+
+def trained(samples: list[bytes], size: int, d: int) -> bytes:
+    """A zstandard dictionary of the samples, chosen by their stretches of ``d`` bytes; where there are too few for the trainer, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=32, d=d).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
@@ -77,7 +88,7 @@ def passages(text: bytes | None) -> dict[bytes, int]:
     for before, w, after in zip(words, words[1:], words[2:], strict=False):
         at = xxhash.xxh64_intdigest(b"%b %b %b" % (before, w, after)) >> 1
         for g in {w, *(w[:n] for n in BEGINNINGS)}:
-            if len(g) > 3 and found.get(g, at) >= at:
+            if g and found.get(g, at) >= at:
                 found[g] = at
     return found
 
@@ -108,21 +119,27 @@ def counted(sample: DataFrame) -> DataFrame:
 
 
 def typical(toxic: Column, ordinary: Column, n: int, m: int) -> Column:
-    """How many standard deviations a count in ``n`` toxic documents is above what both kinds together suggest; null unless it is typical."""
+    """Whether a count in ``n`` toxic documents is far above that in ``m`` ordinary ones, and above what both kinds together suggest."""
     share = (toxic + ordinary + 0.5) / (n + m + 1.0)
     z = (toxic - n * share) / F.sqrt(n * share * (1 - share))
-    often = toxic / max(n, 1) >= RATIO * (ordinary + 0.5) / max(m, 1)
-    return F.when(often & (z >= Z), z)
-
-
-def shortest(found: list[tuple[float, bytes]]) -> bytes:
-    """The typical passages as a dictionary, the most typical last; one that begins with another is held by it."""
-    own = {g for _, g in found}
-    return b"".join(b" " + g for _, g in sorted(found) if not any(g[:i] in own for i in range(1, len(g)))) + b" " if found else b""
+    return (toxic / max(n, 1) >= RATIO * (ordinary + 0.5) / max(m, 1)) & (z >= Z)
+
+
+def stretches(text: bytes | None, typical: set[bytes]) -> list[bytes]:
+    """The runs of words of a whole text that begin with a typical passage."""
+    out, run = [], []
+    for w in [*(text or b"").lower().split(), b""]:
+        bare = w.lstrip(b".,;:!?")
+        if bare and any(bare[:n] in typical for n in (len(bare.rstrip(b".,;:!?")), *BEGINNINGS)):
+            run.append(w)
+        elif run:
+            out.append(b" %b " % b" ".join(run))
+            run = []
+    return out
 
 
 class Model:
-    """Two dictionaries, three thresholds (the distances that make a window a weak, plain or strong hit) and the curve over a document's hits."""
+    """The two dictionaries, three thresholds (the distances that make a window a weak, plain or strong hit) and the curve over a document's hits."""
 
     def __init__(self, ordinary: bytes, toxic: bytes, thresholds: tuple[int, int, int], curve: np.ndarray):
         self.ordinary, self.toxic, self.thresholds, self.curve = ordinary, toxic, thresholds, curve
@@ -197,18 +214,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, label: str = "toxic"
         return base
     learnt, kept = sample.filter("NOT held"), sample.filter("held")
     # What is significant is few; how few does not depend on the corpus, as the sample is bounded.
-    found = counted(learnt).select("passage", typical(F.col("toxic"), F.col("ordinary"), toxic[0], plain[0]).alias("z")).filter("z IS NOT NULL").collect()
+    found = counted(learnt).filter(typical(F.col("toxic"), F.col("ordinary"), toxic[0], plain[0])).select("passage").collect()
     if not found:
         return base
-    texts = learnt.filter("label = 0").select(F.col("text").cast("binary").alias("text")).orderBy("doc_id", "text").collect()
-    pair = trained([w for r in texts for w in windows(bytes(r.text))], ORDINARY), shortest([(r.z, bytes(r.passage)) for r in found])
+    typical_ones = {bytes(r.passage) for r in found}
+    of = lambda y: [bytes(r.text) for r in learnt.filter(F.col("label") == y).select(F.col("text").cast("binary").alias("text")).orderBy("doc_id", "text").collect()]
+    pair = trained([w for t in of(0) for w in windows(t, LEARNT)], ORDINARY, 6), trained([x for t in of(1) for x in stretches(t, typical_ones)], TOXIC, 8)
     got = sorted((r.label, *r.counts) for r in measured(kept, *pair).collect())
     return calibrated(*pair, np.array([r[1:] for r in got]), np.array([r[0] for r in got], float))
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
     """``df`` with score (0 to 1, whole texts, null as empty) and predicted (1 if score >= 0.5); columns of those names are replaced, the text is dropped."""
-    keep = [c for c in df.columns if c not in ("score", "predicted", "text")]
+    keep = [c for c in df.columns if c.lower() not in ("score", "predicted", "text")]
     schema = df.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
 
     def run(batches):

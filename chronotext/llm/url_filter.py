@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.llm.shared import free
@@ -97,6 +97,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     return got.select(*out.columns, F.col(f"{found}.rule").alias("rule"), F.coalesce(F.col(f"{found}.verdict"), F.lit(default)).alias("verdict"))
 
 
+def listed(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """A short list of rules (verdict, host, path) as a table of literals."""
+    values = ", ".join("(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in rule) + ")" for rule in rules)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS rules(verdict, host, path)")
+
+
 def oracle() -> str:
     """The same verdicts in DuckDB's SQL over ``pages``."""
     values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)

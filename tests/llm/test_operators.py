@@ -333,9 +333,9 @@ def test_toxicity(spark):
     for r in got[::25] + [r for r in got if r.doc_id >= 900]:
         w = (texts[r.doc_id] or "").lower().split()
         saved = []
-        for k in range(0, len(w), 8):
-            window = f" {' '.join(w[k : k + 8])} ".encode()
-            sizes = [len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(window)) for d in (model.ordinary, model.ordinary + model.toxic)] if k < 800 or k > 49_000 else None
+        for k in range(len(w)):
+            window = f" {w[k]} ".encode()
+            sizes = [len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(window)) for d in (model.ordinary, model.toxic)] if k < 800 or k > 49_900 else None
             saved.append(saved[-1] if sizes is None else sizes[0] - sizes[1])
         lo, mid, hi = model.thresholds
         x = [1, np.log1p(len(saved)) / 4, *(np.log1p(sum(a <= s < b for s in saved)) for a, b in ((lo, mid), (mid, hi), (hi, 999)))]
@@ -346,7 +346,7 @@ def test_toxicity_counts(spark):
     texts = [("Such a nastyphrase, x.", 1), ("such a nastyphrase x", 1), ("Other nastyphrase here", 1), (None, 1), ("nastyones ordinary", 0), ("", 0), ("Such a nastyphrase, x.", 1)]
     got = {bytes(r.passage): (r.toxic, r.ordinary) for r in toxicity.counted(spark.createDataFrame([(t, y) for t, y in texts], "text string, label int").fillna("")).collect()}
     # Words in the same company count once; beginnings are shared by what begins with them.
-    assert got[b"nastyphrase"] == got[b"nastyph"] == (2, 0) and got[b"nasty"] == (2, 1) and got[b"ordinary"] == (0, 1) and b"x" not in got
+    assert got[b"nastyphrase"] == got[b"nastyph"] == (2, 0) and got[b"nasty"] == (2, 1) and got[b"ordinary"] == (0, 1) and got[b"x"] == (1, 0)
     few = toxicity.train(spark.createDataFrame([(i, "w " * 100 + "awfulterm" * (i % 2)) for i in range(40)], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), F.lit(True), most_bytes=1)
     assert few.toxic == b""
 
