@@ -35,6 +35,9 @@ ORDINARY, TOXIC = 6_144, 2_048
 BEGINNINGS, RATIO, Z = (5, 6, 7, 8), 6.0, 6.0
 #: One sampled document in so many is held back for the thresholds and the curve.
 CALIBRATE = 3
+#: What stands before and behind a window as it is compressed.  zstandard stores short inputs as they are and looks for no
+#: match in the last eight bytes; BEFORE, which both dictionaries end with, and BEHIND make it look at all of a short word.
+BEFORE, BEHIND = b"The quick brown fox jumps over the lazy dog;", b"01234567"
 #: Distances from here on are above every threshold, and counted together.
 FAR = 16
 #: Distances of windows that a task remembers, as words repeat; then it forgets them all.
@@ -53,7 +56,7 @@ def compressors(ordinary: bytes, toxic: bytes):
     how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=13, chain_log=13, search_log=4, min_match=4, strategy=zstandard.STRATEGY_LAZY2, target_length=16, write_content_size=0, write_dict_id=0)
     out = []
     for content in (ordinary, toxic):
-        d = zstandard.ZstdCompressionDict(content or b" " * 64, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d = zstandard.ZstdCompressionDict(content + BEFORE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=how)
         out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
     return (*out, {})
@@ -68,7 +71,8 @@ def distances(text: bytes | None, ordinary: bytes, toxic: bytes) -> np.ndarray:
         if saved is None:
             if len(met) >= REMEMBERED:
                 met.clear()
-            saved = met[w] = min(max(len(plain(w)) - len(other(w)), 0), FAR)
+            whole = b"%b%b%b" % (BEFORE, w, BEHIND)
+            saved = met[w] = min(max(len(plain(whole)) - len(other(whole)), 0), FAR)
         counts[saved] += 1
     return counts
 

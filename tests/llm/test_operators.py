@@ -334,8 +334,8 @@ def test_toxicity(spark):
         w = (texts[r.doc_id] or "").lower().split()
         saved = []
         for k in range(len(w)):
-            window = f" {w[k]} ".encode()
-            sizes = [len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(window)) for d in (model.ordinary, model.toxic)] if k < 800 or k > 49_900 else None
+            window = f"The quick brown fox jumps over the lazy dog; {w[k]} 01234567".encode()
+            sizes = [len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d + b"The quick brown fox jumps over the lazy dog;", dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(window)) for d in (model.ordinary, model.toxic)] if k < 800 or k > 49_900 else None
             saved.append(saved[-1] if sizes is None else sizes[0] - sizes[1])
         lo, mid, hi = model.thresholds
         x = [1, np.log1p(len(saved)) / 4, *(np.log1p(sum(a <= s < b for s in saved)) for a, b in ((lo, mid), (mid, hi), (hi, 999)))]
