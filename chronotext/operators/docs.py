@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from chronotext.functions import text as X
-from chronotext.operators import timejoin, topics
-from chronotext.plans.staging import staged
+from chronotext.operators import timejoin, topics, tree
+from chronotext.staging import staged
 
 
 def _ordered(pairs: Column, field: str) -> Column:
@@ -128,11 +128,17 @@ def _header(second: Column) -> Column:
     return F.concat_ws("\n", second, F.lit(""), F.concat(F.lit("**Channel:** "), F.col("channel"), F.lit("  ")), F.concat(F.lit("**Duration:** "), X.duration_human(F.col("duration_seconds")), F.lit("  ")), day)
 
 
+def _mark(depth: Column) -> Column:
+    """What stands before the heading of a section with ``depth`` sections above it."""
+    return F.concat(F.repeat(F.lit("#"), F.least(depth + 2, F.lit(6))), F.lit(" "))
+
+
 def _contents(sections: DataFrame) -> DataFrame:
-    pad = F.when(F.col("parent_id").isNull(), "").otherwise("  ")
+    sections = tree.paths(sections)
+    pad = F.repeat(F.lit("  "), F.size("path") - 1)
     line = F.concat(pad, F.lit("- "), X.format_time(F.col("start")), F.lit(" — ["), F.col("heading"), F.lit("](#"), X.anchor(F.col("heading")), F.lit(")"))
     rows = sections.withColumn("_line", line)
-    return rows.groupBy("source_id").agg(F.array_join(_ordered(F.collect_list(F.struct("section_id", "_line")), "_line"), "\n").alias("contents"))
+    return rows.groupBy("source_id").agg(F.array_join(_ordered(F.collect_list(F.struct("path", "_line")), "_line"), "\n").alias("contents"))
 
 
 def notes_md(sources: DataFrame, sections: DataFrame, execs: DataFrame, slotted: DataFrame) -> DataFrame:
@@ -143,23 +149,24 @@ def notes_md(sources: DataFrame, sections: DataFrame, execs: DataFrame, slotted:
     shot = F.concat(F.lit("  ![Frame at "), X.format_time(F.col("ts")), F.lit("]("), F.col("path"), F.lit(")"))
     shots = slotted.withColumn("_s", shot).groupBy("source_id", "section_id", "slot").agg(_ordered(F.collect_list(F.struct("ts", "frame_id", "_s")), "_s").alias("s"))
     shots = shots.groupBy("source_id", "section_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "s"))).alias("m"))
-    rows = sections.join(shots, ["source_id", "section_id"], "left")
+    sections = tree.paths(sections)
+    rows = sections.join(shots.hint("shuffle_merge"), ["source_id", "section_id"], "left")
 
     def point(p, i):
         here = F.element_at("m", i)
         return F.when(here.isNotNull(), F.concat(F.lit("- "), p, F.lit("\n\n"), F.array_join(here, "\n"), F.lit("\n"))).otherwise(F.concat(F.lit("- "), p))
 
-    mark = F.when(F.col("parent_id").isNull(), "## ").otherwise("### ")
+    mark = _mark(F.size("path") - 1)
     body = F.concat_ws("\n", F.concat(mark, F.col("heading")), F.lit(""), F.concat(F.lit("*"), X.format_time(F.col("start")), F.lit("*")), F.lit(""), F.col("summary"), F.lit(""), F.array_join(F.transform("key_points", point), "\n"), F.lit(""))
-    rows = rows.withColumn("_body", body).groupBy("source_id").agg(F.array_join(_ordered(F.collect_list(F.struct("section_id", "_body")), "_body"), "\n").alias("body"))
-    out = sources.join(rows, "source_id").join(_contents(sections), "source_id").join(execs, "source_id", "left")
+    rows = rows.withColumn("_body", body).groupBy("source_id").agg(F.array_join(_ordered(F.collect_list(F.struct("path", "_body")), "_body"), "\n").alias("body"))
+    out = sources.join(rows.hint("shuffle_merge"), "source_id").join(_contents(sections).hint("shuffle_merge"), "source_id").join(execs.hint("shuffle_merge"), "source_id", "left")
     head = F.concat_ws("\n", _header(F.concat(F.lit("# "), F.col("title"))), F.concat(F.lit("**Video ID:** `"), F.col("video_id"), F.lit("`  ")), F.lit(""), F.lit("---"), F.lit(""))
     execs_md = F.when(F.coalesce(F.col("executive_summary"), F.lit("")) != "", F.concat(F.lit("## Executive Summary\n\n"), F.col("executive_summary"), F.lit("\n\n---\n")))
     return out.select("source_id", F.concat(F.regexp_replace(F.concat_ws("\n", head, F.lit("## Contents\n"), F.col("contents"), F.lit(""), execs_md, F.col("body")), r"\s+$", ""), F.lit("\n")).alias("notes_md"))
 
 
 def _leaf_text(blocks: DataFrame, seg: DataFrame, frames: DataFrame, slack: float = 1.0, late: float = 1.5) -> DataFrame:
-    """``blocks`` (source_id, path, block_start, block_end, section_id, heading, mark) with text: the block's blurbs and its section's frames.
+    """(source_id, path, text) of ``blocks`` (source_id, path, block_start, block_end, section_id, heading, mark): the block's blurbs and its section's frames.
 
     A blurb ends where a frame lies between two lines, give or take ``slack``; a frame stands behind the first blurb that ends
     at most ``late`` before it, else behind the last.  The few frames that a section keeps travel as an array.
@@ -167,7 +174,10 @@ def _leaf_text(blocks: DataFrame, seg: DataFrame, frames: DataFrame, slack: floa
     item = F.struct("ts", "frame_id", F.concat(F.lit("![Frame at "), X.format_time(F.col("ts")), F.lit("]("), F.col("path"), F.lit(")\n\n")).alias("md"))
     shots = frames.groupBy("source_id", "section_id").agg(F.array_sort(F.collect_list(item)).alias("shots"))
     blocks = blocks.join(shots.hint("shuffle_merge"), ["source_id", "section_id"], "left").withColumn("shots", F.coalesce("shots", F.expr(f"cast(array() as {shots.schema['shots'].dataType.simpleString()})")))
-    lines = timejoin.contained(seg.select("source_id", "seq", "start", "end", "text"), blocks.select("source_id", "path", "block_start", "block_end", "shots"))
+    # Only times meet in cells; what is said and shown is fetched afterwards, once.
+    lines = timejoin.contained(seg.select("source_id", "seq", "start", "end"), blocks.select("source_id", "path", "block_start", "block_end")).drop("block_start", "block_end")
+    lines = lines.join(seg.select("source_id", "seq", "text").hint("shuffle_merge"), ["source_id", "seq"])
+    lines = lines.join(blocks.select("source_id", "path", "shots").hint("shuffle_merge"), ["source_id", "path"])
     w = W.Window.partitionBy("source_id", "path").orderBy("start", "seq")
     before = F.lag("end").over(w)
     lines = lines.withColumn("_before", before)
@@ -190,30 +200,33 @@ def _times(start: str, end: str) -> Column:
 
 
 def transcript_blocks(sections: DataFrame, seg: DataFrame) -> DataFrame:
-    """(source_id, path, block_start, block_end, section_id, heading, mark, intro): the leaf blocks of a transcript in reading order (path).
+    """(source_id, path, block_start, block_end, section_id, heading, mark, intro): the blocks of a transcript in reading order (path).
 
-    Top-level sections tile the transcript, the subsections of each tile their parent's own time; gaps are blocks of their
-    own, named by their time.  ``intro`` stands before a parent's first block: its heading, times, summary and key points.
+    Top-level sections tile the transcript, the subsections of each tile their parent's own time, and so on down; gaps are
+    blocks of their own, named by their time.  A parent is a row without times, whose ``intro`` has its heading, times,
+    summary and key points.
     """
-    kids = sections.filter("parent_id IS NOT NULL")
+    sections = tree.paths(sections)
     about = sections.select("source_id", "section_id", "heading", "summary", "key_points", F.col("start").alias("s0"), F.col("end").alias("s1"))
+    kids = sections.filter("parent_id IS NOT NULL").select("source_id", "parent_id", "section_id", "start", "end")
     parents = kids.select("source_id", F.col("parent_id").alias("section_id")).distinct().withColumn("_parent", F.lit(True))
-    top = timeline(sections.filter("parent_id IS NULL"), seg).withColumnRenamed("block_no", "top_no")
-    top = top.join(about.hint("shuffle_merge"), ["source_id", "section_id"], "left").join(parents.hint("shuffle_merge"), ["source_id", "section_id"], "left")
-    # A parent without time of its own has no blocks below it and stands as a heading alone.
-    spans = top.filter("_parent").select("source_id", "top_no", F.col("section_id").alias("parent_id"), F.col("s0").alias("r0"), F.col("s1").alias("r1"))
-    below = tiled(spans, kids.join(spans.select("source_id", "parent_id", "top_no").hint("shuffle_merge"), ["source_id", "parent_id"]).select("source_id", "top_no", "section_id", "start", "end"), ["source_id", "top_no"])
-    below = below.join(about.select("source_id", "section_id", "heading").hint("shuffle_merge"), ["source_id", "section_id"], "left")
-    below = below.groupBy("source_id", "top_no").agg(F.array_sort(F.collect_list(F.struct("block_no", "block_start", "block_end", "section_id", "heading"))).alias("below"))
-    rows = top.join(below.hint("shuffle_merge"), ["source_id", "top_no"], "left")
     points = F.when(F.size("key_points") > 0, F.concat(F.array_join(F.transform("key_points", lambda p: F.concat(F.lit("- "), p)), "\n"), F.lit("\n\n")))
     summary = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", F.concat(F.col("summary"), F.lit("\n\n")))
-    intro = F.concat(F.lit("## "), F.col("heading"), F.lit("\n\n"), _times("s0", "s1"), F.coalesce(summary, F.lit("")), F.coalesce(points, F.lit("")))
-    own = F.array(F.struct(F.lit(0).alias("block_no"), "block_start", "block_end", "section_id", "heading"))
-    rows = rows.select("source_id", "top_no", F.when(F.col("_parent"), intro).otherwise("").alias("intro"), F.when(F.col("_parent"), "### ").otherwise("## ").alias("mark"), F.when(F.col("_parent"), F.col("below")).otherwise(own).alias("b"))
-    rows = rows.select("source_id", "top_no", "intro", "mark", F.inline_outer("b"))
-    named = F.coalesce("heading", F.concat(F.lit("Transcript "), X.format_time(F.col("block_start"))))
-    return rows.select("source_id", F.struct("top_no", F.coalesce("block_no", F.lit(0)).alias("block_no")).alias("path"), "block_start", "block_end", "section_id", named.alias("heading"), "mark", F.when(F.coalesce("block_no", F.lit(0)) == 0, F.col("intro")).otherwise("").alias("intro"))
+    now, out = timeline(sections.filter("parent_id IS NULL"), seg).withColumn("path", F.array("block_no")), None
+    for depth in range(tree.deepest(sections)):
+        mark = _mark(F.lit(depth))
+        rows = staged(now.join(about.hint("shuffle_merge"), ["source_id", "section_id"], "left").join(parents.hint("shuffle_merge"), ["source_id", "section_id"], "left"), "tiles")
+        named = F.coalesce("heading", F.concat(F.lit("Transcript "), X.format_time(F.col("block_start"))))
+        # A parent without time of its own has no blocks below it and stands as a heading alone.
+        intro = F.concat(mark, F.col("heading"), F.lit("\n\n"), _times("s0", "s1"), F.coalesce(summary, F.lit("")), F.coalesce(points, F.lit("")))
+        none = F.lit(None).cast("double")
+        heads = rows.filter("_parent").select("source_id", "path", none.alias("block_start"), none.alias("block_end"), "section_id", "heading", mark.alias("mark"), intro.alias("intro"))
+        leaf = rows.filter("_parent IS NULL").select("source_id", "path", "block_start", "block_end", "section_id", named.alias("heading"), mark.alias("mark"), F.lit("").alias("intro"))
+        out = heads.unionByName(leaf) if out is None else out.unionByName(heads).unionByName(leaf)
+        spans = rows.filter("_parent").select("source_id", "path", F.col("section_id").alias("parent_id"), F.col("s0").alias("r0"), F.col("s1").alias("r1"))
+        mine = kids.join(spans.select("source_id", "parent_id", "path").hint("shuffle_merge"), ["source_id", "parent_id"]).drop("parent_id")
+        now = tiled(spans, mine, ["source_id", "path"]).withColumn("path", F.array_append("path", F.col("block_no")))
+    return out
 
 
 def transcript_md(sources: DataFrame, sections: DataFrame, seg: DataFrame, frames: DataFrame) -> DataFrame:
@@ -222,10 +235,12 @@ def transcript_md(sources: DataFrame, sections: DataFrame, seg: DataFrame, frame
     ``frames`` (source_id, section_id, frame_id, ts, path) are those that sections keep.  Sources without sections or lines
     have no such document.
     """
-    blocks = staged(transcript_blocks(sections, seg), "blocks")
+    sections, seg = tree.paths(sections), staged(seg.select("source_id", "seq", "start", "end", "text"), "lines")
+    blocks = transcript_blocks(sections, seg)
     told = _leaf_text(blocks.filter("block_end IS NOT NULL"), seg, frames)
-    rows = blocks.select("source_id", "path", "intro").join(told.hint("shuffle_merge"), ["source_id", "path"], "left")
-    per = rows.groupBy("source_id", F.col("path.top_no").alias("top_no")).agg(F.array_join(_ordered(F.collect_list(F.struct("path", F.concat("intro", F.coalesce("text", F.lit(""))).alias("t"))), "t"), "").alias("t"))
+    rows = told.unionByName(blocks.filter("block_end IS NULL").select("source_id", "path", F.col("intro").alias("text")))
+    top = F.col("path")[0].alias("top_no")
+    per = rows.groupBy("source_id", top).agg(F.array_join(_ordered(F.collect_list(F.struct("path", "text")), "text"), "").alias("t"))
     body = per.groupBy("source_id").agg(F.array_join(_ordered(F.collect_list(F.struct("top_no", F.concat("t", F.lit("---\n\n")).alias("t"))), "t"), "").alias("body"))
     n = seg.groupBy("source_id").agg(F.count("*").alias("n_seg"), F.sum(X.token_count(F.col("text"))).alias("n_words"))
     out = sources.join(n.hint("shuffle_merge"), "source_id").join(body.hint("shuffle_merge"), "source_id").join(_contents(sections).hint("shuffle_merge"), "source_id")
@@ -238,14 +253,14 @@ def transcript_txt(sources: DataFrame, seg: DataFrame) -> DataFrame:
     """(source_id, transcript_txt): four header lines, then each segment behind its time."""
     line = F.concat(F.lit("["), X.format_time(F.col("start")), F.lit("] "), F.col("text"))
     rows = seg.withColumn("_l", line).groupBy("source_id").agg(F.array_join(_ordered(F.collect_list(F.struct("start", "seq", "_l")), "_l"), "\n").alias("body"), F.count("*").alias("n"), F.sum(X.token_count(F.col("text"))).alias("words"))
-    out = sources.join(rows, "source_id")
+    out = sources.join(rows.hint("shuffle_merge"), "source_id")
     return out.select("source_id", F.concat_ws("\n", F.concat(F.lit("# "), F.col("title")), F.concat(F.lit("# Channel: "), F.col("channel"), F.lit("  |  Duration: "), X.duration_human(F.col("duration_seconds"))), F.concat(F.lit("# Source: "), F.col("origin"), F.lit("  |  Language: "), F.coalesce("language", F.lit("auto"))), F.concat(F.lit("# Segments: "), F.col("n").cast("string"), F.lit("  |  Words: "), F.col("words").cast("string")), F.lit(""), F.col("body"), F.lit("")).alias("transcript_txt"))
 
 
 def script_text(sections: DataFrame, execs: DataFrame, texts: DataFrame, level: float = 0.5) -> DataFrame:
     """(source_id, script): what is spoken at a level from 0 (the executive summary) to 1 (the full text)."""
     rows = topics.leaves(sections).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("leaf_no", "heading", "summary", "key_points"))).alias("l"))
-    rows = rows.join(execs, "source_id", "left").join(texts, "source_id", "left")
+    rows = rows.join(execs.hint("shuffle_merge"), "source_id", "left").join(texts.hint("shuffle_merge"), "source_id", "left")
     said = F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce("executive_summary", F.lit("")), r"\*\*([^*]+)\*\*", "$1"), r"(?m)^- ", ""), F.lit(""))
     heads = F.array_join(F.transform("l", lambda x: F.concat(F.lit("Section: "), x["heading"])), ". ")
     sums = F.array_join(F.transform("l", lambda x: F.concat(x["heading"], F.lit(". "), x["summary"])), "\n\n")
@@ -261,15 +276,26 @@ def script_text(sections: DataFrame, execs: DataFrame, texts: DataFrame, level:
 
 
 def nested_payload(sources: DataFrame, sections: DataFrame, seg: DataFrame) -> DataFrame:
-    """(source_id, payload): a source as one JSON document, sections with their subsections and the transcript lines of each."""
-    sec = sections.withColumnsRenamed({"start": "sec_start", "end": "sec_end"})
+    """(source_id, payload): a source as one JSON document, sections with their subsections, to any depth, and the transcript lines of each.
+
+    A section is written with the texts of those below it, so one grouping a level, from the deepest up, builds the document.
+    """
+    sec = tree.paths(sections).withColumnsRenamed({"start": "sec_start", "end": "sec_end"})
     lines = timejoin.overlap(seg, sec.select("source_id", "section_id", "sec_start", "sec_end")).groupBy("source_id", "section_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "text"))).alias("lines"))
+    fields = ["ord", "section_id", "sec_start", "sec_end", "heading", "summary", "key_points", "lines"]
     rows = sec.join(lines.hint("shuffle_merge"), ["source_id", "section_id"], "left")
-    one = F.struct("ord", "section_id", "sec_start", "sec_end", "heading", "summary", "key_points", "lines")
-    kids = rows.filter("parent_id IS NOT NULL").groupBy("source_id", F.col("parent_id").alias("section_id")).agg(F.array_sort(F.collect_list(one)).alias("subsections"))
-    tops = rows.filter("parent_id IS NULL").join(kids.hint("shuffle_merge"), ["source_id", "section_id"], "left")
-    tree = tops.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ord", "section_id", "sec_start", "sec_end", "heading", "summary", "key_points", "lines", "subsections"))).alias("sections"))
-    return sources.join(tree, "source_id").select("source_id", F.to_json(F.struct("title", "sections")).alias("payload"))
+    rows = staged(rows.select("source_id", "section_id", "parent_id", "ord", F.size("path").alias("depth"), F.to_json(F.struct(*fields)).alias("json")), "payloads")
+    inside = lambda text, name, of: F.concat(F.expr(f"left({text}, length({text}) - 1)"), F.when(F.length(text) > 2, ",").otherwise(""), F.lit(f'"{name}":['), F.col(of), F.lit("]}"))
+    below = None
+    for depth in range(rows.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        level = rows.filter(F.col("depth") == depth)
+        if below is not None:
+            level = level.join(below.hint("shuffle_merge"), ["source_id", "section_id"], "left").withColumn("json", F.when(F.col("kids").isNotNull(), inside("json", "subsections", "kids")).otherwise(F.col("json")))
+        below = level.groupBy("source_id", F.col("parent_id").alias("section_id")).agg(F.array_join(_ordered(F.collect_list(F.struct("ord", "section_id", "json")), "json"), ",").alias("kids"))
+    if below is None:
+        return sources.filter("false").select("source_id", F.lit("").alias("payload"))
+    whole = sources.select("source_id", F.to_json(F.struct("title")).alias("json")).join(below.drop("section_id").hint("shuffle_merge"), "source_id")
+    return whole.select("source_id", inside("json", "sections", "kids").alias("payload"))
 
 
 def write_bundle(df: DataFrame, path: str) -> None:

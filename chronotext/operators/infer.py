@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from chronotext.functions import text as X
+from chronotext.functions.objects import objects
 
 RECORD_DDL = "heading string, summary string, main_idea string, key_points array<string>, keywords array<string>, transition string, executive_summary string, highlights array<string>"
-#: A JSON object with up to two levels of objects inside.
-_FLAT = r"\{[^{}]*\}"
-OBJECT = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
 
 
 def strip_reasoning(text: Column) -> Column:
@@ -48,29 +46,34 @@ def typed_records(mined: DataFrame) -> DataFrame:
 
 
 def json_objects(resp: DataFrame, column: str = "body") -> DataFrame:
-    """All top-level JSON objects of each answer, in order, as rows (…, object_no, object); nesting up to three levels, no braces inside strings."""
-    found = F.filter(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(OBJECT), F.lit(0)), lambda o: F.try_parse_json(o).isNotNull())
+    """All top-level JSON objects of each answer, in order, as rows (…, object_no, object), of any depth; balanced text that is no JSON is left out."""
+    found = F.filter(objects(F.col(column)), lambda o: F.try_parse_json(o).isNotNull())
     return resp.select("*", F.posexplode(found).alias("object_no", "object"))
 
 
 def answer_from_trace(resp: DataFrame, key: list[str], column: str = "body") -> DataFrame:
     """(key, answer, rule): the answer in a reasoning trace.
 
-    4 the largest object with a heading or summary; 3 else the last with a score; 2 else the last object; 1 else a score in
-    words, as an object; 0 else the last line that is not blank.
+    5 the largest object with a heading or summary; 4 else the last with a numeric score; 3 else the last object; 2 else a
+    score in words and 1 else a bare number from 0 to 1 near the end, either as an object; 0 else the last line that is not
+    blank.  Of equally large objects the first is taken.  The two patterns of numbers are fixed values.
     """
-    objects = json_objects(resp, column).filter(~F.col("object").rlike(r"^\{\s*\}$"))
-    has = lambda k: F.get_json_object("object", f"$.{k}").isNotNull()
-    rank = F.when(has("heading") | has("summary"), 4).when(F.get_json_object("object", "$.score").rlike(r"^-?[0-9.]+$"), 3).otherwise(2)
-    size = F.when(rank == 4, F.length("object")).otherwise(0)
-    best = objects.groupBy(*key).agg(F.max_by(F.struct("object", rank.alias("rank")), F.struct(rank, size, "object_no")).alias("b"))
+    found = json_objects(resp, column).filter(~F.col("object").rlike(r"^\{\s*\}$"))
+    has = lambda k: F.array_contains(F.json_object_keys("object"), k)
+    number = F.expr("schema_of_variant(try_variant_get(try_parse_json(object), '$.score', 'variant'))").rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    rank = F.when(has("heading") | has("summary"), 5).when(number, 4).otherwise(3)
+    size = F.when(rank == 5, F.length("object")).otherwise(0)
+    order = F.when(rank == 5, -F.col("object_no")).otherwise(F.col("object_no"))
+    best = found.groupBy(*key).agg(F.max_by(F.struct("object", rank.alias("rank")), F.struct(rank, size, order)).alias("b"))
     text = F.coalesce(F.col(column), F.lit(""))
-    score = F.nullif(F.regexp_extract(text, r"[Ss]core[^0-9]{0,20}([0-9]+(?:\.[0-9]+)?)", 1), F.lit(""))
+    score = F.nullif(F.regexp_extract(text, r"[Ss]core[:\s=]+([0-9]+\.?[0-9]*)", 1), F.lit(""))
+    bare = F.nullif(F.regexp_extract(F.right(text, F.lit(200)), r"(?:^|[^\p{L}\p{N}_])(0\.[0-9]+|1\.0)(?:$|[^\p{L}\p{N}_])", 1), F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\n"), X.clean_ends), lambda s: s != "")
     last = F.coalesce(F.get(lines, F.size(lines) - 1), F.lit(""))
     rows = resp.join(best.hint("shuffle_merge"), key, "left")
-    answer = F.coalesce(F.col("b.object"), F.when(score.isNotNull(), F.concat(F.lit('{"score": '), score, F.lit("}"))), last)
-    return rows.select(*key, answer.alias("answer"), F.coalesce(F.col("b.rank"), F.when(score.isNotNull(), 1), F.lit(0)).alias("rule"))
+    said = F.coalesce(score, bare)
+    answer = F.coalesce(F.col("b.object"), F.when(said.isNotNull(), F.concat(F.lit('{"score": '), said, F.lit("}"))), last)
+    return rows.select(*key, answer.alias("answer"), F.coalesce(F.col("b.rank"), F.when(score.isNotNull(), 2), F.when(bare.isNotNull(), 1), F.lit(0)).alias("rule"))
 
 
 def rule_report(mined: DataFrame) -> DataFrame:

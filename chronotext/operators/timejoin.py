@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from chronotext.operators import tree
+
 
 def _cell(t: Column, width: float) -> Column:
     return F.floor(t / F.lit(float(width))).cast("long")
@@ -34,29 +36,42 @@ def reach(left: DataFrame, right: DataFrame, lo: Column, hi: Column, ts: str, wi
 STEP, LEVELS, FAR = 16, 6, 1e11
 
 
-def _placed(df: DataFrame, lo: Column, hi: Column, p: str, levels) -> DataFrame:
-    """``df`` once per cell that lo..hi touches on its own level, the lowest whose cells are as long, or on each of ``levels(own)``.
+def _placed(df: DataFrame, lo: Column, hi: Column, p: str, on) -> DataFrame:
+    """``df`` once per cell that lo..hi touches on its own level, the lowest whose cells are as long, or on each of ``on(own)``.
 
     On its own level and above an interval touches at most two cells, but for those longer than the widest cell.  Bounds in
     the wrong order are swapped; NaN counts as the far end; rows without a bound touch nothing.
     """
     near = lambda c: F.greatest(F.lit(-FAR), F.least(F.lit(FAR), c.cast("double")))
     out = df.filter(lo.isNotNull() & hi.isNotNull()).withColumn("_a", near(F.least(lo, hi))).withColumn("_b", near(F.greatest(lo, hi)))
-    own = sum(((F.col("_b") - F.col("_a") > float(STEP**k)).cast("int") for k in range(LEVELS)), F.lit(0))
-    out = out.withColumn("_level", own if levels is None else F.explode(levels(own)))
+    own = _level(F.col("_a"), F.col("_b"))
+    out = out.withColumn("_level", own if on is None else F.explode(on(own)))
     width = F.get(F.array(*(F.lit(float(STEP**k)) for k in range(LEVELS + 1))), F.col("_level"))
     out = out.withColumn(p, F.floor(F.col("_a") / width).cast("long"))
     return out.withColumn("_cell", F.explode(F.sequence(F.col(p), F.floor(F.col("_b") / width).cast("long")))).drop("_a", "_b")
 
 
-def spans(left: DataFrame, right: DataFrame, a: tuple[Column, Column], b: tuple[Column, Column]) -> DataFrame:
+def _level(a: Column, b: Column) -> Column:
+    return sum(((b - a > float(STEP**k)).cast("int") for k in range(LEVELS)), F.lit(0))
+
+
+def levels(df: DataFrame, lo: str, hi: str) -> list[int]:
+    """The levels on which intervals of ``df`` lie: at most LEVELS + 1 numbers, worth a job of its own where ``df`` is written out."""
+    near = lambda c: F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col(c).cast("double")))
+    rows = df.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull()).select(near(lo).alias("a"), near(hi).alias("b"))
+    return sorted(r[0] for r in rows.select(_level(F.least("a", "b"), F.greatest("a", "b"))).distinct().collect())
+
+
+def spans(left: DataFrame, right: DataFrame, a: tuple[Column, Column], b: tuple[Column, Column], used: list[int] | None = None) -> DataFrame:
     """Rows of ``left`` and ``right`` of one source whose closed intervals ``a`` and ``b`` come near each other, each pair once.
 
     All pairs that touch are among them; callers filter for the exact relation.  A pair meets on the level of its longer
     interval, in the first cell that both touch there.  A point is an interval with equal bounds.  Columns other than
-    source_id must not clash.
+    source_id must not clash.  ``used`` are the :func:`levels` of the right side, where they are known: only there do rows
+    of the left one have to be looked for.
     """
-    from_own = lambda own: F.sequence(own, F.lit(LEVELS))
+    every = F.array(*map(F.lit, range(LEVELS + 1) if used is None else used)).cast("array<int>")
+    from_own = lambda own: F.filter(every, lambda k: k >= own)
     above = lambda own: F.slice(F.sequence(own, F.lit(LEVELS)), 2, LEVELS + 1)
     met = lambda x, y: x.join(y.hint("shuffle_merge"), ["source_id", "_level", "_cell"]).filter(F.col("_cell") == F.greatest("_fa", "_fb")).drop("_level", "_cell", "_fa", "_fb")
     short_left = met(_placed(left, *a, "_fa", from_own), _placed(right, *b, "_fb", None))
@@ -105,7 +120,7 @@ def contained(seg: DataFrame, blocks: DataFrame) -> DataFrame:
     """Segments with the block (block_start, block_end) in which they start; a block that ends with the transcript includes its end."""
     last = seg.groupBy("source_id").agg(F.max_by("end", "seq").alias("_last"))
     at = F.col("start")
-    rows = spans(seg, blocks.join(last.hint("shuffle_merge"), "source_id"), (at, at), (F.col("block_start"), F.col("block_end")))
+    rows = spans(seg, blocks.join(last.hint("shuffle_merge"), "source_id"), (at, at), (F.col("block_start"), F.col("block_end")), levels(blocks, "block_start", "block_end"))
     closed = (F.col("block_end") == F.col("_last")) & (at <= F.col("block_end"))
     return rows.filter((at >= F.col("block_start")) & ((at < F.col("block_end")) | closed)).drop("_last")
 
@@ -124,19 +139,17 @@ def reach_keep(times: DataFrame, obs: DataFrame, tol: float, near: Column, kind:
 
 
 def active_section(pos: DataFrame, sections: DataFrame, key: list[str]) -> DataFrame:
-    """Each position (source_id, t) with the section that is open then: the first top-level one, and its first open child if it has one.
+    """Each position (source_id, t) with the section that is open then, as deep as there is one: the first open one of each level, inside that of the level above.
 
-    ``sections`` has section_id, parent_id, ord, sec_start and sec_end; no open section gives null.
+    ``sections`` has section_id, parent_id, ord, sec_start and sec_end, of any depth; no open section gives null.
     """
-    tops, kids = sections.filter("parent_id IS NULL"), sections.filter("parent_id IS NOT NULL")
-    is_open = (F.col("sec_start") <= F.col("t")) & (F.col("t") < F.col("sec_end"))
-    first = lambda rows: rows.groupBy("source_id", *key).agg(F.min_by("section_id", "ord").alias("hit"))
-    slim, t = pos.select("source_id", *key, "t"), F.col("t")
-    opened = lambda rows, some: spans(rows, some, (t, t), (F.col("sec_start"), F.col("sec_end"))).filter(is_open)
-    top = first(opened(slim, tops)).withColumnRenamed("hit", "top_id")
-    kid = opened(slim.join(top.hint("shuffle_merge"), ["source_id", *key]), kids).filter(F.col("parent_id") == F.col("top_id"))
-    out = pos.join(top.hint("shuffle_merge"), ["source_id", *key], "left").join(first(kid).withColumnRenamed("hit", "kid_id").hint("shuffle_merge"), ["source_id", *key], "left")
-    return out.withColumn("section_id", F.coalesce("kid_id", "top_id")).drop("kid_id", "top_id")
+    of = tree.paths(sections, "sec_start", "sec_end").select("source_id", "section_id", "path", "open_from", "open_to").filter("open_from < open_to")
+    t = F.col("t")
+    open_then = spans(pos.select("source_id", *key, "t"), of, (t, t), (F.col("open_from"), F.col("open_to")), levels(of, "open_from", "open_to")).filter((F.col("open_from") <= t) & (t < F.col("open_to")))
+    # Behind the sections below it, before those of the next: the smallest is the deepest of the first ones.
+    order = F.array_append("path", F.struct(F.lit((1 << 63) - 1).alias("ord"), F.lit("").alias("id")))
+    hit = open_then.groupBy("source_id", *key).agg(F.min_by("section_id", order).alias("section_id"))
+    return pos.join(hit.hint("shuffle_merge"), ["source_id", *key], "left")
 
 
 def active_line(pos: DataFrame, seg: DataFrame, key: list[str], pad: float = 0.12, near: float = 1.5) -> DataFrame:

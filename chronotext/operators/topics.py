@@ -1,7 +1,8 @@
 """Summaries, topic boundaries, section hierarchies and their frames.
 
 Generated fields have deterministic fallbacks, computed here; :func:`chronotext.operators.clean.with_fallback` puts generated
-rows in their place.  Sections are adjacency rows: a parent_id, null at the top, and never more than two levels.
+rows in their place.  Sections are adjacency rows: a parent_id, null at the top, to any depth (:mod:`tree`); those built here
+have two levels.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from chronotext.functions import text as X
-from chronotext.operators import timejoin
+from chronotext.operators import timejoin, tree
 from chronotext.operators.chunk import chunk_id
 
 
@@ -131,7 +132,7 @@ def topic_fallback(grouped: DataFrame, summaries: DataFrame, chunks: DataFrame)
 
 
 def build_sections(parts: DataFrame, summaries: DataFrame, chunks: DataFrame, max_summaries: int = 3) -> DataFrame:
-    """Section rows (source_id, section_id, parent_id, ord, start, end, heading, summary, key_points, chunk_ids).
+    """Section rows (source_id, section_id, parent_id, ord, start, end, heading, summary, key_points, chunk_ids), with the paths of :func:`tree.paths`.
 
     A topic of at most ``max_summaries`` chunks is one section; a longer one is a parent with its parts below it, rolled up
     from them: the first part's heading, the first two summaries, the first five headings as key points.
@@ -143,7 +144,7 @@ def build_sections(parts: DataFrame, summaries: DataFrame, chunks: DataFrame, ma
     flat = whole.filter(F.col("n") <= max_summaries).select("source_id", top_id.alias("section_id"), F.lit(None).cast("string").alias("parent_id"), F.col("topic_no").alias("ord"), *fields)
     big = whole.filter(F.col("n") > max_summaries)
     kids = sub.join(big.select("source_id", "topic_no"), ["source_id", "topic_no"])
-    kid_rows = kids.select("source_id", F.concat(top_id, F.lit("_"), F.lpad(F.col("sub_no").cast("string"), 2, "0")).alias("section_id"), top_id.alias("parent_id"), F.col("sub_no").cast("long").alias("ord"), *fields)
+    kid_rows = kids.select("source_id", "topic_no", F.concat(top_id, F.lit("_"), F.lpad(F.col("sub_no").cast("string"), 2, "0")).alias("section_id"), top_id.alias("parent_id"), F.col("sub_no").cast("long").alias("ord"), *fields)
     up = F.array_sort(F.collect_list(F.struct("sub_no", "heading", "summary")))
     rolled = kids.groupBy("source_id", "topic_no").agg(up.alias("u"))
     parents = big.drop("heading", "summary", "key_points").join(rolled, ["source_id", "topic_no"]).select(
@@ -158,14 +159,17 @@ def build_sections(parts: DataFrame, summaries: DataFrame, chunks: DataFrame, ma
         F.transform(F.slice("u", 1, 5), lambda x: x["heading"]).alias("key_points"),
         "chunk_ids",
     )
-    return flat.withColumn("ord", F.col("ord").cast("long")).unionByName(kid_rows).unionByName(parents.withColumn("ord", F.col("ord").cast("long")))
+    rows = flat.withColumn("ord", F.col("ord").cast("long")).unionByName(parents.withColumn("ord", F.col("ord").cast("long"))).withColumn("path", F.array(tree.step("ord", "section_id")))
+    below = kid_rows.withColumn("path", F.array(F.struct(F.col("topic_no").cast("long").alias("ord"), F.col("parent_id").alias("id")), tree.step("ord", "section_id"))).drop("topic_no")
+    return rows.unionByName(below).withColumns({"open_from": F.col("start"), "open_to": F.col("end")})
 
 
 def leaves(sections: DataFrame) -> DataFrame:
-    """Sections without subsections, numbered depth first."""
+    """Sections without subsections, of any depth, numbered depth first."""
+    sections = tree.paths(sections)
     parents = sections.filter("parent_id IS NOT NULL").select("source_id", F.col("parent_id").alias("section_id")).distinct()
     out = sections.join(parents, ["source_id", "section_id"], "left_anti")
-    return out.withColumn("leaf_no", F.row_number().over(W.Window.partitionBy("source_id").orderBy("section_id")) - 1)
+    return out.withColumn("leaf_no", F.row_number().over(W.Window.partitionBy("source_id").orderBy("path")) - 1)
 
 
 def cut_list(sections: DataFrame) -> DataFrame:

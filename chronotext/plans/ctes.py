@@ -105,6 +105,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "playback": ([], inputs.PLAYBACK),
     "scores": ([], inputs.SCORES),
     "responses": ([], inputs.RESPONSES),
+    "deep": (["responses"], f"deep AS (SELECT conv_id, turn, {inputs.DEEP} AS body FROM responses)"),
     "aligned": (["segments"], f"""aligned AS MATERIALIZED (SELECT source_id, seq, text, start, CASE WHEN nx - "end" > 0 AND nx - "end" <= 2 THEN nx ELSE "end" END AS "end" FROM (
 SELECT source_id, seq, {space('text')} AS text, start, "end", lead(start) OVER (PARTITION BY source_id ORDER BY start, seq) AS nx FROM segments WHERE NOT regexp_matches(text, '{NOISE}') AND {space('text')} <> ''))"""),
     "arr": (["aligned"], rf"""counted AS (SELECT *, (row_number() OVER w - 1)::INT AS idx, sum(tok) OVER (PARTITION BY source_id ORDER BY start, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS upto

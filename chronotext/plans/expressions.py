@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.functions import text as X
+from chronotext.operators import tree
 from chronotext.plans import ctes, inputs
 from chronotext.plans.oracles import ORACLES as BASE, q
 from chronotext.plans.queries import on
-from chronotext.plans.staging import folder, staged
+from chronotext.staging import folder, staged
 from chronotext.streaming import tracking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,7 +91,7 @@ def l1_playback_tracking(spark: SparkSession, sf: str) -> DataFrame:
     t = on(spark, sf)
     events = followed(spark, sf, "events")
     pos = events.select((F.col("event_id") % 4).alias("viewer"), F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("event_time"), F.col("value").alias("t"))
-    sections, lines = staged(t.secs, "secs"), staged(t.aligned, "aligned")
+    sections, lines = staged(tree.paths(t.secs, "sec_start", "sec_end"), "secs"), staged(t.aligned, "aligned")
     shown = tracking.drained(pos, folder(spark), "append", lambda rows: tracking.located(rows, sections, lines))
     out = tracking.drained(tracking.track_positions(tracking.following(shown)), folder(spark), "append")
     return out.select("viewer", "source_id", F.unix_micros("event_time").alias("event_us"), "section_id", "line_seq")
@@ -115,11 +116,31 @@ SELECT *, lead(level) OVER (PARTITION BY source_id ORDER BY section_no) AS next_
 ORACLES["k8_chat_prompts"] = f"""SELECT q.conv_id, 'chat' AS kind, concat_ws(chr(10) || chr(10), 'Answer from this transcript; say so where it does not suffice.', coalesce(full_text, ''), nullif(coalesce(history, ''), ''), question) AS prompt
 FROM (SELECT conv_id, arg_max(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id) q
 LEFT JOIN ({BASE['d2_full_text']}) t ON t.source_id = q.conv_id LEFT JOIN ({BASE['e17_history']}) h ON h.conv_id = q.conv_id"""
-ORACLES["i4_trace_answer"] = f"""SELECT r.conv_id, r.turn, coalesce(o.object, '{{"score": ' || s || '}}', last, '') AS answer, coalesce(o.rank, CASE WHEN s IS NOT NULL THEN 1 ELSE 0 END) AS rule FROM (
-SELECT conv_id, turn, nullif(regexp_extract(body, '[Ss]core[^0-9]{{0,20}}([0-9]+(?:\\.[0-9]+)?)', 1), '') AS s, list_filter(list_transform(string_split(body, chr(10)), lambda x: {ctes.ends('x')}), lambda x: x <> '')[-1] AS last FROM ({q('responses', 'SELECT * FROM responses')})) r
-LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY rank DESC, CASE WHEN rank = 4 THEN length(object) ELSE 0 END DESC, object_no DESC) AS rn FROM (
-SELECT *, CASE WHEN json_extract_string(object, '$.heading') IS NOT NULL OR json_extract_string(object, '$.summary') IS NOT NULL THEN 4 WHEN regexp_matches(json_extract_string(object, '$.score'), '^-?[0-9.]+$') THEN 3 ELSE 2 END AS rank
-FROM ({BASE['i3_objects']}) WHERE NOT regexp_matches(object, '^\\{{\\s*\\}}$'))) o ON o.conv_id = r.conv_id AND o.turn = r.turn AND rn = 1"""
+def walked(of: str) -> str:
+    """Objects of the bodies of ``of``, character by character: i is the next one, s where the open object began; at the end of the
+    text an object that is still open is given up, and the walk goes on behind its brace."""
+    c, done = "body[i]", "i > length(body)"
+    ends = f"depth = 1 AND NOT instr AND {c} = '}}' AND NOT {done}"
+    return f"""walk AS (SELECT conv_id, turn, body, 1::BIGINT AS i, 0::BIGINT AS s, 0 AS depth, false AS instr, false AS esc, []::VARCHAR[] AS found FROM {of} WHERE contains(body, '{{')
+UNION ALL SELECT conv_id, turn, body, CASE WHEN {done} THEN s + 1 ELSE i + 1 END, CASE WHEN depth = 0 THEN i ELSE s END,
+CASE WHEN {done} THEN 0 WHEN depth = 0 THEN ({c} = '{{')::INT WHEN instr OR esc THEN depth WHEN {c} = '{{' THEN depth + 1 WHEN {c} = '}}' THEN depth - 1 ELSE depth END,
+CASE WHEN {done} OR depth = 0 THEN false WHEN {c} = '"' AND NOT esc THEN NOT instr ELSE instr END,
+CASE WHEN {done} OR depth = 0 THEN false ELSE instr AND NOT esc AND {c} = chr(92) END,
+CASE WHEN {ends} THEN list_append(found, body[s:i]) ELSE found END FROM walk WHERE NOT ({done} AND depth = 0)),
+objects AS (SELECT conv_id, turn, unnest(range(len(found))) AS no, unnest(found) AS object FROM walk WHERE i > length(body) AND depth = 0)"""
+
+
+OBJECTS = "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY no) - 1)::INT AS object_no, object FROM objects WHERE json_valid(object)"
+ANSWER = f"""SELECT r.conv_id, r.turn, coalesce(o.object, '{{"score": ' || coalesce(s, b) || '}}', last, '') AS answer, coalesce(o.rank, CASE WHEN s IS NOT NULL THEN 2 WHEN b IS NOT NULL THEN 1 ELSE 0 END) AS rule FROM (
+SELECT conv_id, turn, nullif(regexp_extract(body, '[Ss]core[:\\s=]+([0-9]+\\.?[0-9]*)', 1), '') AS s, nullif(regexp_extract(right(body, 200), '(?:^|[^\\p{{L}}\\p{{N}}_])(0\\.[0-9]+|1\\.0)(?:$|[^\\p{{L}}\\p{{N}}_])', 1), '') AS b,
+list_filter(list_transform(string_split(body, chr(10)), lambda x: {ctes.ends('x')}), lambda x: x <> '')[-1] AS last FROM %s) r
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY rank DESC, CASE WHEN rank = 5 THEN length(object) ELSE 0 END DESC, CASE WHEN rank = 5 THEN -object_no ELSE object_no END DESC) AS rn FROM (
+SELECT *, CASE WHEN len(list_intersect(json_keys(object), ['heading', 'summary'])) > 0 THEN 5 WHEN json_type(object, '$.score') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 4 ELSE 3 END AS rank
+FROM ({OBJECTS}) WHERE NOT regexp_matches(object, '^\\{{\\s*\\}}$'))) o ON o.conv_id = r.conv_id AND o.turn = r.turn AND rn = 1"""
+for suffix, of in (("", "responses"), ("_deep", "deep")):
+    ORACLES["i3_objects" + suffix] = q(of, OBJECTS, walked(of))
+    ORACLES["i4_trace_answer" + suffix] = q(of, ANSWER % of, walked(of))
+
 
 
 def _object(sql: str) -> str:

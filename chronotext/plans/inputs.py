@@ -67,6 +67,9 @@ segments AS (SELECT source_id, seq, text, coalesce(sum(dur_ms+gap_ms) OVER w, 0)
 FRAMES = """frames AS (SELECT user_id AS source_id, event_id AS frame_id, (floor(epoch(ts))::BIGINT % 240)::DOUBLE AS ts, value AS size, value/500.0::DOUBLE AS scene_diff FROM events)"""
 PLAYBACK = "playback AS (SELECT event_id AS viewer_event, user_id AS source_id, ts AS event_time, value AS t FROM events)"
 SCORES = "scores AS (SELECT doc_id AS source_id, CAST(quality AS DOUBLE) AS llm_score FROM labels)"
+#: Answers with deeper objects, braces and quotes in strings, and objects that never end; both dialects read it.
+DEEP = """CASE conv_id % 4 WHEN 0 THEN concat('{"a": {"b": {"c": {"d": {"e": ', turn, '}}}}, "t": "brace } ', chr(92), '" { in ', turn, '"} then ', body)
+WHEN 1 THEN concat('{ never ends "', body, ' {"heading": "a {b", "summary": "s', turn, '"} end') WHEN 2 THEN concat(body, ' {"score": "', turn, '"} {"score": 0.', turn, '} {"x": {}}') ELSE body END"""
 RESPONSES = """responses AS (SELECT conv_id, turn, CASE (conv_id*3+turn)%7 WHEN 0 THEN '0.8' WHEN 1 THEN '{"score": 0.75}' WHEN 2 THEN concat('Score: ', turn, '/10. ', text)
   WHEN 3 THEN concat('<think>', text, '</think>'||chr(10)||'{"heading": "H', turn, '", "summary": "', 'abcd', '", "key_points": ["kp one"]}')
   WHEN 4 THEN '' WHEN 5 THEN concat(text, ' 0.', turn) ELSE text END AS body FROM conversations)"""

@@ -124,7 +124,6 @@ SELECT source_id, seq, x, count(*) FILTER (side = 0) AS na, count(*) FILTER (sid
     "h2_sections": q("sections", "SELECT source_id, section_id, parent_id, ord, start, \"end\", heading, summary, array_to_string(key_points, ' | ') AS key_points, array_to_string(chunk_ids, ',') AS chunk_ids FROM sections"),
     "h3_cut_list": q("leaf", 'SELECT source_id, section_id, start, "end", round("end" - start, 6) AS duration FROM leaf'),
     "i1_scores": q("responses", "SELECT conv_id, turn, round(score, 6) AS score, rule FROM mined", SCORES),
-    "i3_objects": q("responses", r"""SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1)::INT AS object_no, o AS object FROM (SELECT conv_id, turn, unnest(l) AS o, unnest(range(len(l))) AS i FROM (SELECT *, regexp_extract_all(body, '\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}') AS l FROM responses)) WHERE json_valid(o)"""),
     "i5_strip_reasoning": q("responses", rf"""SELECT conv_id, turn, {ends(r"regexp_replace(regexp_replace(regexp_replace(body, '(?is)<think>.*?</think>', '', 'g'), '(?is)^reasoning\s*:.*?(?:\n\s*\n|$)', '', 'g'), '(?is)^thoughts?\s*:.*?(?:\n\s*\n|$)', '', 'g')")} AS answer FROM responses"""),
     "i6_chunk_fallback": q("summaries", "SELECT source_id, chunk_no, heading, main_idea, array_to_string(key_points, ' | ') AS key_points, array_to_string(keywords, ',') AS keywords, transition FROM summaries"),
     "i7_topic_fallback": q("sections", "SELECT source_id, topic_no, heading, summary, array_to_string(CASE WHEN len(kp) > 0 THEN kp[1:5] ELSE [lead_idea] END, ' | ') AS key_points FROM wh"),

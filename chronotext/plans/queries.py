@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.functions import text as X
-from chronotext.operators import chunk, clean, docs, infer, sample, score, timejoin, topics
+from chronotext.operators import chunk, clean, docs, infer, sample, score, timejoin, topics, tree
 from chronotext.plans import inputs
 from chronotext.plans.ctes import MAX, MIN, OVERLAP, THRESHOLD
-from chronotext.plans.staging import folder, staged
+from chronotext.staging import folder, staged
 from chronotext.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,7 @@ MADE: dict[str, Callable[[Tables], DataFrame]] = {
     "execs": lambda t: topics.exec_fallback(t.sections),
     "picked": lambda t: topics.candidates(t.sections, t.obs),
     "kept": lambda t: topics.section_frames(t.picked),
+    "deep": lambda t: t.responses.withColumn("body", F.expr(inputs.DEEP)),
 }
 
 
@@ -567,10 +568,8 @@ def g2_transitions(spark, sf):
 def g3_effective(spark, sf):
     t = on(spark, sf)
     f = t.kept.join(t.obs.select("source_id", "frame_id", "path"), ["source_id", "frame_id"])
-    of = t.sections.select("source_id", "section_id", "parent_id")
     own = f.select("source_id", "section_id", "frame_id", "path", "ts")
-    below = own.join(of.filter("parent_id IS NOT NULL"), ["source_id", "section_id"]).select("source_id", F.col("parent_id").alias("section_id"), "frame_id", "path", "ts")
-    return sample.effective(own, below, ["source_id", "section_id"])
+    return sample.effective(own, tree.beneath(own, t.sections), ["source_id", "section_id"])
 
 
 def _pairs(t: Tables) -> DataFrame:
@@ -638,6 +637,16 @@ def i4_trace_answer(spark, sf):
     return infer.answer_from_trace(on(spark, sf).responses, ["conv_id", "turn"])
 
 
+@query
+def i3_objects_deep(spark, sf):
+    return infer.json_objects(on(spark, sf).deep).select("conv_id", "turn", "object_no", "object")
+
+
+@query
+def i4_trace_answer_deep(spark, sf):
+    return infer.answer_from_trace(on(spark, sf).deep, ["conv_id", "turn"])
+
+
 @query
 def i5_strip_reasoning(spark, sf):
     return on(spark, sf).responses.select("conv_id", "turn", infer.strip_reasoning(F.col("body")).alias("answer"))

@@ -86,7 +86,7 @@ def test_mining(spark):
     df = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
     assert [(r.score, r.rule) for r in score.mine_scores(df).orderBy("k").collect()] == [(1.0, 1), (0.7, 3), (0.8, 1), (0.3, 2), (0.5, 0), (0.5, 0), (0.5, 0), (0.25, 4), (0.5, 0)]
     trace = spark.createDataFrame([(0, 'x {"a": {"b": 1}} y {"heading": "h", "summary": "s"} {"score": 1}'), (1, "Score 0.4 seems right"), (2, "one\n\nlast ")], "k int, body string")
-    assert [r.rule for r in infer.answer_from_trace(trace, ["k"]).orderBy("k").collect()] == [4, 1, 0]
+    assert [r.rule for r in infer.answer_from_trace(trace, ["k"]).orderBy("k").collect()] == [5, 2, 0]
     fenced = spark.createDataFrame([(0, '```json\n{"heading": "H", "key_points": ["a"]}\n```')], "k int, body string")
     assert infer.typed_records(infer.mine_records(fenced)).first().heading == "H"
 
