@@ -213,7 +213,7 @@ def transcript_blocks(sections: DataFrame, seg: DataFrame) -> DataFrame:
     points = F.when(F.size("key_points") > 0, F.concat(F.array_join(F.transform("key_points", lambda p: F.concat(F.lit("- "), p)), "\n"), F.lit("\n\n")))
     summary = F.when(F.coalesce(F.col("summary"), F.lit("")) != "", F.concat(F.col("summary"), F.lit("\n\n")))
     now, out = timeline(sections.filter("parent_id IS NULL"), seg).withColumn("path", F.array("block_no")), None
-    for depth in range(tree.deepest(sections)):
+    for depth in range(max(1, tree.deepest(sections))):
         mark = _mark(F.lit(depth))
         rows = staged(now.join(about.hint("shuffle_merge"), ["source_id", "section_id"], "left").join(parents.hint("shuffle_merge"), ["source_id", "section_id"], "left"), "tiles")
         named = F.coalesce("heading", F.concat(F.lit("Transcript "), X.format_time(F.col("block_start"))))

@@ -120,6 +120,12 @@ hybrid AS (SELECT source_id, no AS chunk_no, 'chunk_' || lpad(no::VARCHAR, 4, '0
     "mids": (["chunks"], 'mids AS (SELECT source_id, chunk_no, (start + "end") / 2 AS midpoint FROM chunks)'),
     "secs": (["chunks"], """kidsec AS (SELECT source_id, chunk_id AS section_id, 'top_' || (chunk_no // 3) AS parent_id, chunk_no AS ord, start AS sec_start, "end" AS sec_end FROM chunks),
 secs AS (SELECT * FROM kidsec UNION ALL SELECT source_id, parent_id, NULL, min(ord) // 3, min(sec_start), max(sec_end) FROM kidsec GROUP BY source_id, parent_id)"""),
+    # Three levels: chunks, parts of three, two parts to a whole; depth tells them apart.
+    "outline": (["summaries"], """o2 AS (SELECT s.source_id, c.chunk_id AS section_id, 'part_' || (s.chunk_no // 3) AS parent_id, s.chunk_no::BIGINT AS ord, s.start, s."end", heading, main_idea AS summary, key_points, 2 AS depth FROM summaries s JOIN chunks c ON c.source_id = s.source_id AND c.chunk_no = s.chunk_no),
+o1 AS (SELECT source_id, parent_id AS section_id, 'whole_' || (min(ord) // 3 // 2) AS parent_id, min(ord) // 3 AS ord, min(start) AS start, max("end") AS "end", arg_min(heading, ord) AS heading, arg_min(summary, ord) AS summary, arg_min(key_points, ord) AS key_points, 1 AS depth FROM o2 GROUP BY source_id, o2.parent_id),
+o0 AS (SELECT source_id, parent_id AS section_id, NULL::VARCHAR AS parent_id, min(ord) // 2 AS ord, min(start) AS start, max("end") AS "end", arg_min(heading, ord) AS heading, arg_min(summary, ord) AS summary, arg_min(key_points, ord) AS key_points, 0 AS depth FROM o1 GROUP BY source_id, o1.parent_id),
+o9 AS (SELECT * FROM o2 UNION ALL SELECT * FROM o1 UNION ALL SELECT * FROM o0),
+outline AS MATERIALIZED (SELECT x.*, CASE x.depth WHEN 0 THEN [x.ord] WHEN 1 THEN [p.ord, x.ord] ELSE [g.ord, p.ord, x.ord] END AS path FROM o9 x LEFT JOIN o9 p ON p.source_id = x.source_id AND p.section_id = x.parent_id LEFT JOIN o9 g ON g.source_id = p.source_id AND g.section_id = p.parent_id)"""),
     "summaries": (["chunks"], f"""summaries AS MATERIALIZED (SELECT source_id, chunk_no, start, "end", CASE WHEN len(s) > 0 THEN left(s[1], 50) ELSE 'Chunk ' || {time('start')} END AS heading,
 CASE WHEN len(s) > 0 THEN left(array_to_string(s[1:2], '. '), 300) ELSE left(text, 300) END AS main_idea, CASE WHEN len(s) > 0 THEN s[1:4] ELSE [left(text, 200)] END AS key_points,
 list_filter(ft, lambda x, i: list_position(ft, x) = i)[1:6] AS keywords, CASE WHEN {cue('left(text, 250)')} THEN 'shift' ELSE 'continue' END AS transition FROM (SELECT *, {sentences('text')} AS s, {all_tokens('text')} AS ft FROM chunks))"""),

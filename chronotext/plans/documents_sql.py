@@ -155,3 +155,48 @@ UNION ALL SELECT s.source_id, section_id, 'topic', {SECTION_ASK} || {CLEAR} || c
 UNION ALL SELECT source_id, NULL, 'executive', 'Write an executive summary as JSON with executive_summary and highlights from these sections.' || {NL} || {NL} || executive_summary FROM execs""", PICKED, RANK),
     "h4_payload_sections": q("sections meta", """SELECT s.source_id, title, s.section_id, heading, array_to_string(key_points, ' | ') AS key_points, coalesce(n, 0)::INT AS n_lines, coalesce(said, '') AS said FROM sections s JOIN meta m USING (source_id) LEFT JOIN li ON li.source_id = s.source_id AND li.section_id = s.section_id""", LINES),
 }
+
+
+def outlined(sql: str) -> str:
+    """The same over the three levels of ``outline``: ordered by path, indented and marked by depth."""
+    for old, new in (("sections", "outline"), ("CASE WHEN parent_id IS NULL THEN '' ELSE '  ' END", "repeat('  ', depth)"), ("CASE WHEN parent_id IS NULL THEN '## ' ELSE '### ' END", "repeat('#', least(depth + 2, 6)) || ' '"), ("ORDER BY section_id", "ORDER BY path"), ("ORDER BY s.section_id", "ORDER BY s.path")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+def blocks(depth: int) -> list[str]:
+    """Blocks of so many levels (x), the sections that are divided further (par), and what is said and shown in the others."""
+    out, k = ['span AS (SELECT source_id, arg_min(start, seq) AS r0, arg_max("end", seq) AS r1 FROM aligned GROUP BY source_id)', "tops AS (SELECT * FROM outline WHERE parent_id IS NULL)"], "source_id, path"
+    for d in range(depth):
+        out.append(tiled(f"t{d}", f"par{d - 1}" if d else "span", f"kids{d}" if d else "tops", k if d else "source_id"))
+        out.append(f"x{d} AS MATERIALIZED (SELECT source_id, {'list_append(path, block_no)' if d else '[block_no]'} AS path, a, b, section_id FROM t{d})")
+        out.append(f'par{d} AS MATERIALIZED (SELECT x.source_id, x.path, s.section_id, s.start AS r0, s."end" AS r1, heading, summary, key_points FROM x{d} x JOIN outline s ON s.source_id = x.source_id AND s.section_id = x.section_id WHERE EXISTS (SELECT 1 FROM outline k WHERE k.source_id = s.source_id AND k.parent_id = s.section_id))')
+        out.append(f'kids{d + 1} AS (SELECT p.source_id, p.path, k.section_id, k.start, k."end" FROM par{d} p JOIN outline k ON k.source_id = p.source_id AND k.parent_id = p.section_id)')
+    leaf = " UNION ALL ".join(f"SELECT *, '{'#' * min(d + 2, 6)} ' AS mark FROM x{d} x WHERE NOT EXISTS (SELECT 1 FROM par{d} p WHERE p.source_id = x.source_id AND p.path = x.path)" for d in range(depth))
+    head = " UNION ALL ".join(f"SELECT source_id, path, '{'#' * min(d + 2, 6)} ' || heading || {NL} || {NL} || {times('r0', 'r1')} || CASE WHEN coalesce(summary, '') <> '' THEN summary || {NL} || {NL} ELSE '' END || CASE WHEN len(key_points) > 0 THEN array_to_string(list_transform(key_points, lambda p: '- ' || p), {NL}) || {NL} || {NL} ELSE '' END AS t FROM par{d}" for d in range(depth))
+    return out + [
+        f"lb AS MATERIALIZED (SELECT x.*, coalesce(s.heading, 'Transcript ' || {time('a')}) AS heading FROM ({leaf}) x LEFT JOIN outline s ON s.source_id = x.source_id AND s.section_id = x.section_id)",
+        f'ln AS (SELECT l.source_id, l.path, l.section_id, seq, x.start, x."end", text, lag(x."end") OVER (PARTITION BY l.source_id, l.path ORDER BY x.start, seq) AS prev FROM lb l JOIN span p ON p.source_id = l.source_id JOIN aligned x ON x.source_id = l.source_id AND x.start >= a AND (x.start < b OR (b = r1 AND x.start <= b)))',
+        "lc AS (SELECT *, coalesce(EXISTS (SELECT 1 FROM shots f WHERE f.source_id = ln.source_id AND f.section_id = ln.section_id AND f.ts BETWEEN prev - 1.0 AND ln.start + 1.0), false) AS cut FROM ln)",
+        f"ld AS (SELECT *, sum(cut::INT) OVER (PARTITION BY {k} ORDER BY start, seq ROWS UNBOUNDED PRECEDING) AS no FROM lc)",
+        f"bl AS (SELECT {k}, no, arg_min(start, (start, seq)) AS a, arg_max(\"end\", (start, seq)) AS b, string_agg(text, ' ' ORDER BY start, seq) AS said FROM ld GROUP BY {k}, no)",
+        "pl AS (SELECT l.source_id, l.path, f.ts, f.frame_id, f.path AS file, coalesce(min(CASE WHEN f.ts <= bl.b + 1.5 THEN no END), max(no), -1) AS no FROM lb l JOIN shots f ON f.source_id = l.source_id AND f.section_id = l.section_id LEFT JOIN bl ON bl.source_id = l.source_id AND bl.path = l.path GROUP BY ALL)",
+        f"pm AS (SELECT {k}, no, string_agg({picture('file')} || {NL} || {NL}, '' ORDER BY ts, frame_id) AS md FROM pl GROUP BY {k}, no)",
+        f"bt AS (SELECT bl.source_id, bl.path, string_agg('**[' || {time('bl.a')} || ']**' || {NL} || {NL} || said || {NL} || {NL} || coalesce(md, ''), '' ORDER BY bl.no) AS t FROM bl LEFT JOIN pm ON pm.source_id = bl.source_id AND pm.path = bl.path AND pm.no = bl.no GROUP BY bl.source_id, bl.path)",
+        f"tx AS (SELECT l.source_id, l.path, mark || heading || {NL} || {NL} || {times('l.a', 'l.b')} || coalesce(t, '') || coalesce(md, '') AS t FROM lb l LEFT JOIN bt ON bt.source_id = l.source_id AND bt.path = l.path LEFT JOIN pm ON pm.source_id = l.source_id AND pm.path = l.path AND pm.no = -1 UNION ALL {head})",
+        f"tt AS (SELECT source_id, string_agg(t || '---' || {NL} || {NL}, '' ORDER BY no) AS body FROM (SELECT source_id, path[1] AS no, string_agg(t, '' ORDER BY path) AS t FROM tx GROUP BY source_id, path[1]) GROUP BY source_id)",
+        TRANSCRIPT[-1],
+    ]
+
+
+DEEP = [outlined(x) for x in (PICKED, KEPT, SHOTS)]
+ORACLES |= {
+    "h1_leaves_deep": q("outline", "SELECT source_id, section_id, (row_number() OVER (PARTITION BY source_id ORDER BY ord) - 1)::INT AS leaf_no FROM outline WHERE depth = 2"),
+    "h4_payload_deep": q("outline meta", "SELECT x.source_id, x.depth, coalesce(p.heading, title) AS above, (row_number() OVER (PARTITION BY x.source_id, x.depth, x.parent_id ORDER BY x.ord) - 1)::INT AS place, x.section_id, x.heading, coalesce(n, 0)::INT AS n_lines, coalesce(said, '') AS said FROM outline x JOIN meta m ON m.source_id = x.source_id LEFT JOIN outline p ON p.source_id = x.source_id AND p.section_id = x.parent_id LEFT JOIN li ON li.source_id = x.source_id AND li.section_id = x.section_id", outlined(LINES)),
+    "k1_notes_md_deep": q("outline obs execs meta", "SELECT * FROM notes", *DEEP, *(outlined(x) for x in (SLOTS, CONTENTS, NOTES))),
+    "k2_transcript_md_deep": q("outline obs meta", outlined(ORACLES["k2_transcript_md"][ORACLES["k2_transcript_md"].rindex("SELECT m.source_id") :]).replace("## Outline", "## Sections"), *DEEP, outlined(CONTENTS), *blocks(3)),
+    "c9_active_section_deep": q("outline playback", "SELECT viewer_event, source_id, section_id FROM (SELECT p.viewer_event, p.source_id, coalesce(c.section_id, b.section_id, a.section_id) AS section_id, row_number() OVER (PARTITION BY viewer_event ORDER BY a.ord NULLS LAST, b.ord NULLS LAST, c.ord NULLS LAST) AS rn FROM playback p" + "".join(f' LEFT JOIN outline {x} ON {x}.source_id = p.source_id AND {x}.depth = {d} AND {x}.start <= t AND t < {x}."end"' + (f" AND {x}.parent_id = {up}.section_id" if up else "") for d, (x, up) in enumerate((("a", ""), ("b", "a"), ("c", "b")))) + ") WHERE rn = 1"),
+    "g3_effective_deep": q("outline obs", "SELECT source_id, section_id, frame_id, path, ts FROM (SELECT *, row_number() OVER (PARTITION BY source_id, section_id, path, round(ts * 10) ORDER BY p, ts, frame_id) AS rn FROM eff) WHERE rn = 1", *DEEP,
+                           "own AS (SELECT * FROM shots WHERE frame_id % 3 = 0)", "up AS (SELECT source_id, section_id, parent_id AS above FROM outline WHERE depth > 0 UNION ALL SELECT x.source_id, x.section_id, p.parent_id FROM outline x JOIN outline p ON p.source_id = x.source_id AND p.section_id = x.parent_id WHERE x.depth = 2)",
+                           "eff AS (SELECT source_id, section_id, frame_id, path, ts, 0 AS p FROM own UNION ALL SELECT f.source_id, above, frame_id, path, ts, 1 FROM own f JOIN up ON up.source_id = f.source_id AND up.section_id = f.section_id WHERE (SELECT count(*) FROM own o WHERE o.source_id = f.source_id AND o.section_id = above) < 2)"),
+}

@@ -24,7 +24,7 @@ def query(f):
 
 
 #: Derived tables that several later steps read; written out, so that plans stay short and no step is worked out twice.
-STAGED = {"chunks", "schunks", "summaries", "bounds", "grouped", "parts", "sections", "execs", "picked", "kept"}
+STAGED = {"chunks", "schunks", "summaries", "bounds", "grouped", "parts", "sections", "execs", "picked", "kept", "outline"}
 
 
 class Tables:
@@ -50,6 +50,21 @@ def _secs(t: Tables) -> DataFrame:
     return kid.unionByName(top.withColumn("parent_id", F.lit(None).cast("string")))
 
 
+def _outline(t: Tables) -> DataFrame:
+    """Sections of three levels: chunks, three of them to a part, two parts to a top-level section."""
+    chunk_no = F.col("chunk_no").cast("long")
+    base = t.summaries.join(t.chunks.select("source_id", "chunk_no", "chunk_id").hint("shuffle_merge"), ["source_id", "chunk_no"])
+    leaf = base.select("source_id", F.col("chunk_id").alias("section_id"), F.concat(F.lit("part_"), F.floor(chunk_no / 3).cast("string")).alias("parent_id"), chunk_no.alias("ord"), "start", "end", "heading", F.col("main_idea").alias("summary"), "key_points")
+
+    def above(rows, by, name):
+        first = lambda c: F.min_by(c, "ord").alias(c)
+        up = rows.groupBy("source_id", F.col("parent_id").alias("section_id")).agg(F.floor(F.min("ord") / by).alias("ord"), F.min("start").alias("start"), F.max("end").alias("end"), first("heading"), first("summary"), first("key_points"))
+        return up.withColumn("parent_id", F.concat(F.lit(name), F.floor(F.col("ord") / 2).cast("string")) if name else F.lit(None).cast("string"))
+
+    part = above(leaf, 3, "whole_")
+    return tree.paths(leaf.unionByName(part).unionByName(above(part, 2, None)))
+
+
 def _meta(t: Tables) -> DataFrame:
     s = t.aligned.groupBy("source_id").agg(F.max("end").alias("duration_seconds"))
     two = lambda n: F.lpad((F.col("source_id") % n + 1).cast("string"), 2, "0")
@@ -71,6 +86,7 @@ MADE: dict[str, Callable[[Tables], DataFrame]] = {
     "execs": lambda t: topics.exec_fallback(t.sections),
     "picked": lambda t: topics.candidates(t.sections, t.obs),
     "kept": lambda t: topics.section_frames(t.picked),
+    "outline": _outline,
     "deep": lambda t: t.responses.withColumn("body", F.expr(inputs.DEEP)),
 }
 
@@ -306,6 +322,13 @@ def c9_active_section(spark, sf):
     return timejoin.active_section(t.playback, t.secs, ["viewer_event"]).select("viewer_event", "source_id", "section_id")
 
 
+@query
+def c9_active_section_deep(spark, sf):
+    t = on(spark, sf)
+    of = t.outline.withColumnsRenamed({"start": "sec_start", "end": "sec_end"})
+    return timejoin.active_section(t.playback, of, ["viewer_event"]).select("viewer_event", "source_id", "section_id")
+
+
 @query
 def c10_active_line(spark, sf):
     t = on(spark, sf)
@@ -597,6 +620,11 @@ def h1_leaves(spark, sf):
     return topics.leaves(on(spark, sf).sections).select("source_id", "section_id", "leaf_no")
 
 
+@query
+def h1_leaves_deep(spark, sf):
+    return topics.leaves(on(spark, sf).outline).select("source_id", "section_id", "leaf_no")
+
+
 @query
 def h2_sections(spark, sf):
     return on(spark, sf).sections.select("source_id", "section_id", "parent_id", "ord", "start", "end", "heading", "summary", F.array_join("key_points", " | ").alias("key_points"), F.array_join("chunk_ids", ",").alias("chunk_ids"))
@@ -613,6 +641,23 @@ def h4_payload(spark, sf):
     return docs.nested_payload(t.meta, t.sections, t.aligned)
 
 
+@query
+def h4_payload_deep(spark, sf):
+    """The nested document of three levels read back: each section with the heading above it, its place and its lines."""
+    t = on(spark, sf)
+    kind = ""
+    for _ in range(3):
+        kind = f"array<struct<section_id: string, heading: string, lines: array<struct<seq: int, text: string>>{', subsections: ' + kind if kind else ''}>>"
+    one = docs.nested_payload(t.meta, t.outline, t.aligned).select("source_id", F.from_json("payload", f"title string, sections {kind}").alias("p"))
+    rows, at = one.select("source_id", F.col("p.title").alias("above"), F.posexplode("p.sections").alias("place", "s")), None
+    for depth in range(3):
+        here = rows.select("source_id", F.lit(depth).alias("depth"), "above", "place", "s.section_id", "s.heading", F.coalesce(F.size("s.lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.array_join("s.lines.text", " "), F.lit("")).alias("said"))
+        at = here if at is None else at.unionByName(here)
+        if depth < 2:
+            rows = rows.select("source_id", F.col("s.heading").alias("above"), F.posexplode("s.subsections").alias("place", "s"))
+    return at
+
+
 # Mining
 
 
@@ -694,6 +739,30 @@ def k1_notes_md(spark, sf):
     return _notes(on(spark, sf))
 
 
+def _outline_shots(t: Tables) -> DataFrame:
+    kept = topics.section_frames(topics.candidates(t.outline, t.obs))
+    return staged(kept.join(t.obs.select("source_id", "frame_id", "path").hint("shuffle_merge"), ["source_id", "frame_id"]), "outline-shots")
+
+
+@query
+def k1_notes_md_deep(spark, sf):
+    t = on(spark, sf)
+    return docs.notes_md(t.meta, t.outline, t.execs, docs.slot_frames(t.outline, _outline_shots(t)))
+
+
+@query
+def k2_transcript_md_deep(spark, sf):
+    t = on(spark, sf)
+    return docs.transcript_md(t.meta, t.outline, t.aligned, _outline_shots(t))
+
+
+@query
+def g3_effective_deep(spark, sf):
+    t = on(spark, sf)
+    own = _outline_shots(t).filter("frame_id % 3 = 0").select("source_id", "section_id", "frame_id", "path", "ts")
+    return sample.effective(own, tree.beneath(own, t.outline), ["source_id", "section_id"])
+
+
 @query
 def k2_transcript_md(spark, sf):
     t = on(spark, sf)
