@@ -1,55 +1,125 @@
-"""Chunking by token budgets: the cut positions depend on earlier cuts, so chunks come from a fold over a source's segments.
+"""Chunking by token budgets.
 
-The fold streams and holds the open chunk alone, so each segment is shuffled once and nothing is joined back.
+Where a chunk ends depends on where it began, so cuts follow one from another; but each is found by a search in the prefix
+sums of the tokens, without looking at the segments between.  One stream of slim rows a source, token counts and sentence
+ends alone, yields the cuts.  Everything heavy goes by time cells: segments are numbered inside a cell, a chunk names the
+cells it has segments in, and texts meet their chunks by (source, cell), so a source that holds a third of all rows is
+spread over tasks.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from itertools import accumulate, groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from chronotext.functions import text as X
-from chronotext.operators.fold import ordered_fold
 
-def _chunks(seg: DataFrame, max_tokens: int, overlap: int, counter: Callable[[Column], Column], at_stops: bool) -> DataFrame:
-    """Chunks of segments in order of start and seq: text joined, times of the first and last segment, tokens of the joined text, the segments' seq.
+#: Seconds of a cell; times beyond FAR count as FAR, and null ones come first.
+CELL, FAR = 512.0, 1e11
+
+
+class Cuts:
+    """The chunks of a source, from its segments in order: each is (no, from, to), of positions of segments.
 
     A chunk that the next segment would overfill is cut in front of it, or with ``at_stops`` behind its last sentence end,
     if there is one behind the part carried over.  The next chunk begins with the longest run of last segments of the cut
-    part that has at most ``overlap`` tokens.
+    part that has at most ``overlap`` tokens, and takes the segment that overfilled the one before whatever its size.
+    Holds what belongs to the open chunk.
     """
 
-    def step():
-        held: list[tuple] = []  # the open chunk's segments: seq, start, end, tokens, sentence end, text
-        total = no = carried = 0
-
-        def done(part):
-            return no, " ".join(x[5] for x in part if x[5] is not None), part[0][1], part[-1][2], [x[0] for x in part]
-
-        def add(*row):
-            nonlocal held, total, no, carried
-            if held and total + row[3] > max_tokens:
-                cut = max((k + 1 for k in range(carried, len(held)) if held[k][4]), default=len(held)) if at_stops else len(held)
-                yield done(held[:cut])
-                no, first, room = no + 1, cut, overlap
-                while first and held[first - 1][3] <= room:
-                    first -= 1
-                    room -= held[first][3]
-                held, carried = held[first:], cut - first
-                total = sum(x[3] for x in held)
-            held.append(row)
-            total += row[3]
-
-        return add, lambda: [done(held)] if held else []
+    def __init__(self, max_tokens: int, overlap: int, at_stops: bool):
+        self.most, self.overlap, self.at_stops = max_tokens, overlap, at_stops
+        self.upto, self.stops, self.at = [0], [], []  # tokens before each segment and in all, sentence ends, (cell, no) of each
+        self.no, self.first, self.unchecked, self.carried = 0, 0, 1, 0
+
+    def add(self, tokens: list[int], stops: list[bool], at: list[tuple[int, int]]):
+        n = len(self.at)
+        self.upto += list(accumulate(tokens, initial=self.upto[-1]))[1:]
+        self.stops += [n + k for k, stop in enumerate(stops) if stop]
+        self.at += at
+        while (over := bisect_right(self.upto, self.upto[self.first] + self.most, min(self.unchecked + 1, len(self.upto))) - 1) < len(self.at):
+            cut = over
+            if self.at_stops:
+                last = bisect_left(self.stops, over) - 1
+                if last >= 0 and self.stops[last] >= self.carried:
+                    cut = self.stops[last] + 1
+            yield self.chunk(cut)
+            self.first = bisect_left(self.upto, self.upto[cut] - self.overlap, self.first, cut)
+            self.carried, self.unchecked = cut, over + 1
+        if self.first > 100_000:
+            self.forget()
+
+    def forget(self):
+        k = self.first
+        self.upto, self.at, self.stops = self.upto[k:], self.at[k:], [s - k for s in self.stops[bisect_left(self.stops, k) :]]
+        self.first, self.unchecked, self.carried = 0, self.unchecked - k, self.carried - k
+
+    def chunk(self, cut: int):
+        self.no += 1
+        return self.no - 1, [c for c, _ in groupby(c for c, _ in self.at[self.first : cut])], self.at[self.first][1], self.at[cut - 1][1]
+
+    def rest(self):
+        if self.first < len(self.at):
+            yield self.chunk(len(self.at))
+
+
+def cuts(slim: DataFrame, max_tokens: int, overlap: int, at_stops: bool) -> DataFrame:
+    """(source_id, chunk_no, cells, from_no, to_no): the cells in which a chunk has segments, and its first and last number in the first and last of them."""
+    kind = slim.schema["source_id"].dataType.simpleString()
+    schema = pa.schema([("chunk_no", pa.int32()), ("cells", pa.list_(pa.int64())), ("from_no", pa.int32()), ("to_no", pa.int32())])
+
+    def run(batches):
+        now, state = None, None
+        for b in batches:
+            of, found, whose = b.column("source_id"), [], []
+            ids, tok, stop, at = of.to_pylist(), b.column("tok").to_pylist(), b.column("stop").to_pylist(), list(zip(b.column("cell").to_pylist(), b.column("no").to_pylist(), strict=True))
+            k = 0
+            for source, rows in groupby(ids):
+                e = k + sum(1 for _ in rows)
+                if state is None or source != now:
+                    if state is not None:
+                        found += (rest := list(state.rest()))
+                        whose += [now] * len(rest)
+                    now, state = source, Cuts(max_tokens, overlap, at_stops)
+                found += (new := list(state.add(tok[k:e], stop[k:e], at[k:e])))
+                whose += [source] * len(new)
+                k = e
+            yield batch(whose, found, of.type)
+        if state is not None:
+            rest = list(state.rest())
+            yield batch([now] * len(rest), rest, of.type)
+
+    def batch(whose, found, kind):
+        columns = list(zip(*found, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(whose, kind), *(pa.array(c, f.type) for c, f in zip(columns, schema, strict=True))], names=["source_id", *schema.names])
+
+    rows = slim.select("source_id", "cell", "no", "tok", "stop").repartition("source_id").sortWithinPartitions("source_id", "cell", "no")
+    return rows.mapInArrow(run, f"source_id {kind}, chunk_no int, cells array<long>, from_no int, to_no int")
 
+
+def _chunks(seg: DataFrame, max_tokens: int, overlap: int, counter: Callable[[Column], Column], at_stops: bool) -> DataFrame:
+    """Chunks of segments in order of start and seq: text joined, times of the first and last segment, tokens of the joined text, the segments' seq."""
     stop = F.coalesce(F.col("text").rlike(r"[.!?]+[ \t\n\r\f]*$"), F.lit(False))
-    rows = seg.select("source_id", F.col("seq").cast("bigint").alias("seq"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), counter(F.col("text")).cast("bigint").alias("tok"), stop.alias("stop"), "text")
-    out = ordered_fold(rows, ["start", "seq"], step, "chunk_no int, text string, start double, end double, segment_indices array<bigint>")
-    indices = F.col("segment_indices").cast(f"array<{seg.schema['seq'].dataType.simpleString()}>").alias("segment_indices")
-    return out.select("source_id", "chunk_no", chunk_id("chunk", F.col("chunk_no")).alias("chunk_id"), "text", "start", "end", counter(F.col("text")).cast("long").alias("token_count"), indices)
+    cell = F.when(F.col("start").isNull(), -(1 << 60)).otherwise(F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col("start"))) / CELL)).cast("long")
+    rows = seg.select("source_id", F.col("seq"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), counter(F.col("text")).cast("long").alias("tok"), stop.alias("stop"), "text", F.xxhash64("text").alias("tie"))
+    # Segments that agree in time and seq are told apart by their texts; equal rows stand for each other.
+    within = W.Window.partitionBy("source_id", "cell").orderBy("start", "seq", "end", "tok", "stop", "tie")
+    rows = rows.withColumn("cell", cell).withColumn("no", F.row_number().over(within))
+    found = cuts(rows, max_tokens, overlap, at_stops)
+    last = F.col("pos") == F.size("cells") - 1
+    found = found.select("*", F.posexplode("cells").alias("pos", "cell")).select("source_id", "cell", "chunk_no", F.when(F.col("pos") == 0, F.col("from_no")).otherwise(0).alias("lo"), F.when(last, F.col("to_no")).otherwise((1 << 31) - 1).alias("hi"))
+    met = rows.join(found.hint("shuffle_hash"), ["source_id", "cell"]).filter(F.col("no").between(F.col("lo"), F.col("hi")))
+    parts = F.array_sort(F.collect_list(F.struct("cell", "no", "seq", "start", "end", "text")))
+    out = met.groupBy("source_id", "chunk_no").agg(parts.alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["text"]), " ")
+    out = out.select("source_id", "chunk_no", text.alias("text"), F.get("p", F.lit(0))["start"].alias("start"), F.element_at("p", -1)["end"].alias("end"), F.transform("p", lambda x: x["seq"]).alias("segment_indices"))
+    return out.select("source_id", "chunk_no", chunk_id("chunk", F.col("chunk_no")).alias("chunk_id"), "text", "start", "end", counter(F.col("text")).cast("long").alias("token_count"), "segment_indices")
 
 
 def chunk_id(prefix: str, no: Column) -> Column:

@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
 
 
-def ordered_fold(rows: DataFrame, order: list[str], step: Callable[[], tuple[Callable, Callable]], schema: str) -> DataFrame:
-    """(source_id, and the columns of ``schema``) from the rows of each source in the order of ``order``.
+def ordered_fold(rows: DataFrame, order: list[str], step: Callable[[], tuple[Callable, Callable]], schema: str, parts: tuple[str, ...] = ()) -> DataFrame:
+    """(source_id, and the columns of ``schema``) from the rows of each source, or each part of one, in the order of ``order``.
 
-    ``step`` makes the two functions of a source: one takes the values of a row but for source_id and gives the rows that it
-    settles, the other gives what is left at the end.  The columns of ``rows`` besides source_id go to the first in their order.
+    ``step`` makes the two functions of a part: one takes the values of a row but for those that name the part and gives the
+    rows that it settles, the other gives what is left at the end.  The other columns of ``rows`` go to the first in their order.
     """
-    fields = [c for c in rows.columns if c != "source_id"]
+    key = ["source_id", *parts]
+    fields = [c for c in rows.columns if c not in key]
     whole = [f"source_id {rows.schema['source_id'].dataType.simpleString()}", *schema.split(", ")]
     names, types = [f.split()[0] for f in whole], [ARROW[f.split()[1]] for f in whole]
     batch = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=names)
@@ -30,14 +31,15 @@ def ordered_fold(rows: DataFrame, order: list[str], step: Callable[[], tuple[Cal
         now = add = end = None
         for b in batches:
             out = []
-            for source, *values in zip(*(b.column(c).to_pylist() for c in ("source_id", *fields)), strict=True):
-                if end is None or source != now:
+            columns = [b.column(c).to_pylist() for c in (*key, *fields)]
+            for part, values in zip(zip(*columns[: len(key)], strict=True), zip(*columns[len(key) :], strict=True), strict=True):
+                if end is None or part != now:
                     if end is not None:
-                        out.extend((now, *x) for x in end())
-                    now, (add, end) = source, step()
-                out.extend((source, *x) for x in add(*values))
+                        out.extend((now[0], *x) for x in end())
+                    now, (add, end) = part, step()
+                out.extend((now[0], *x) for x in add(*values))
             yield batch(out)
         if end is not None:
-            yield batch([(now, *x) for x in end()])
+            yield batch([(now[0], *x) for x in end()])
 
-    return rows.select("source_id", *fields).repartition("source_id").sortWithinPartitions("source_id", *order).mapInArrow(run, ", ".join(whole))
+    return rows.select(*key, *fields).repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, ", ".join(whole))

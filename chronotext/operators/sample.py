@@ -35,32 +35,60 @@ def transition_points(chunks: DataFrame) -> DataFrame:
     return chunks.select("source_id", F.explode(F.array("start", (F.col("start") + F.col("end")) / 2, late)).alias("t")).filter("t IS NOT NULL").distinct()
 
 
+#: Seconds of a cell are so many gaps.
+CELL = 64.0
+
+
+def islands(obs: DataFrame, gap: float) -> DataFrame:
+    """``obs`` with cell, no (its number in the cell) and island: the time at which a run of observations less than ``gap`` apart began.
+
+    Numbers and neighbours are found inside time cells; between cells pass one row each, the last time and the last
+    beginning of a run, so no task reads all of a source.  Null times stand together in a cell and a run of their own.
+    """
+    fields = [c for c in obs.columns if c not in ("source_id", "ts", "frame_id")]
+    width, far = max(gap, 1e-9) * CELL, 1e11
+    cell = F.floor(F.greatest(F.lit(-far), F.least(F.lit(far), F.col("ts").cast("double"))) / width).cast("long")
+    w = W.Window.partitionBy("source_id", "cell").orderBy("ts", "frame_id", *fields)
+    rows = obs.withColumn("cell", F.when(F.col("ts").isNotNull(), cell).otherwise(-(1 << 60))).withColumn("no", F.row_number().over(w)).withColumn("_prev", F.lag("ts").over(w))
+    # Cells are longer than the gap, so a run goes on from the cell just before or not at all.
+    before = rows.groupBy("source_id", (F.col("cell") + 1).alias("cell")).agg(F.max("ts").alias("_before"))
+    rows = rows.join(before.hint("shuffle_merge"), ["source_id", "cell"], "left")
+    last = F.coalesce("_prev", "_before")
+    rows = rows.withColumn("_new", F.when(last.isNull() | (F.col("ts") - last >= gap), F.col("ts")))
+    began = rows.groupBy("source_id", "cell").agg(F.max("_new").alias("_began"))
+    carried = began.select("source_id", "cell", F.last("_began", True).over(W.Window.partitionBy("source_id").orderBy("cell").rowsBetween(W.Window.unboundedPreceding, -1)).alias("_carried"))
+    here = F.max("_new").over(w.rowsBetween(W.Window.unboundedPreceding, 0))
+    rows = rows.join(carried.hint("shuffle_merge"), ["source_id", "cell"], "left")
+    return rows.withColumn("island", F.coalesce(here, "_carried")).drop("_prev", "_before", "_new", "_carried")
+
+
 def dedup_near(obs: DataFrame, gap: float = 3.0) -> DataFrame:
     """Of observations closer than ``gap`` to the last one kept, the larger stays, and becomes the one to measure from.
 
-    What is kept depends on what was kept before, so this is a fold over the observations of a source in time order, whose
-    state is the last one kept.  Rows that agree in time, id and size are alike: one stands for all of them.
+    What is kept depends on what was kept before, but never across a pause of ``gap``: so each run between pauses is folded
+    apart, in time order, with the last one kept as state.  Rows that agree in time, id and size are alike: one stands for
+    all of them.
     """
     fields = [c for c in obs.columns if c not in ("source_id", "ts", "frame_id")]
 
     def step():
         last = None
 
-        def add(no, ts, size):
+        def add(cell, no, ts, size):
             nonlocal last
             size = size or 0.0
-            if last is None or ts - last[1] >= gap:
-                yield from () if last is None else ((last[0],),)
-                last = (no, ts, size)
-            elif size > last[2]:
-                last = (no, ts, size)
-
-        return add, lambda: [] if last is None else [(last[0],)]
-
-    order = W.Window.partitionBy("source_id").orderBy("ts", "frame_id", *fields)
-    rows = obs.withColumn("_no", F.row_number().over(order).cast("bigint"))
-    kept = ordered_fold(rows.select("source_id", F.col("_no").alias("no"), F.col("ts").cast("double").alias("ts"), F.col("size").cast("double").alias("size")), ["no"], step, "_no bigint")
-    return rows.join(kept.hint("shuffle_merge"), ["source_id", "_no"], "left_semi").select("source_id", "ts", "frame_id", *fields)
+            if last is None or ts is None or last[2] is None or ts - last[2] >= gap:
+                yield from () if last is None else (last[:2],)
+                last = (cell, no, ts, size)
+            elif size > last[3]:
+                last = (cell, no, ts, size)
+
+        return add, lambda: [] if last is None else [last[:2]]
+
+    rows = islands(obs, gap)
+    slim = rows.select("source_id", "island", "cell", F.col("no").cast("bigint").alias("no"), F.col("ts").cast("double").alias("ts"), F.col("size").cast("double").alias("size"))
+    kept = ordered_fold(slim, ["cell", "no"], step, "cell bigint, no bigint", ("island",))
+    return rows.join(kept.hint("shuffle_merge"), ["source_id", "cell", "no"], "left_semi").select("source_id", "ts", "frame_id", *fields)
 
 
 def content_score(obs: DataFrame) -> DataFrame:
