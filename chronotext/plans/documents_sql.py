@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from chronotext.plans.ctes import WS, caption_tokens, compact, human, time, tokens
 from chronotext.plans.expressions import _anchor as anchor, _strict as strict
-from chronotext.plans.oracles import q
+from chronotext.plans.oracles import ORACLES as BASE, q
 
 NL = "chr(10)"
 FRAME = "STRUCT(neg DOUBLE, ts DOUBLE, frame_id BIGINT)[]"
@@ -200,3 +200,12 @@ ORACLES |= {
                            "own AS (SELECT * FROM shots WHERE frame_id % 3 = 0)", "up AS (SELECT source_id, section_id, parent_id AS above FROM outline WHERE depth > 0 UNION ALL SELECT x.source_id, x.section_id, p.parent_id FROM outline x JOIN outline p ON p.source_id = x.source_id AND p.section_id = x.parent_id WHERE x.depth = 2)",
                            "eff AS (SELECT source_id, section_id, frame_id, path, ts, 0 AS p FROM own UNION ALL SELECT f.source_id, above, frame_id, path, ts, 1 FROM own f JOIN up ON up.source_id = f.source_id AND up.section_id = f.section_id WHERE (SELECT count(*) FROM own o WHERE o.source_id = f.source_id AND o.section_id = above) < 2)"),
 }
+
+
+
+KEYED = "'doc_' || n.source_id || '_' || n.source_id AS out_key"
+ORACLES |= {
+    "a8_library_files": f"SELECT {KEYED}, 'doc ' || source_id AS title, notes_md AS notes FROM ({ORACLES['k1_notes_md']}) n",
+    "k7_documents": f"""SELECT {KEYED}, 'notes.md' AS file, notes_md AS content FROM ({ORACLES['k1_notes_md']}) n UNION ALL SELECT {KEYED}, 'transcript.txt', transcript_txt FROM ({BASE['k3_transcript_txt']}) n
+UNION ALL SELECT {KEYED}, 'metadata.json', to_json({{'video_id': n.source_id::VARCHAR, 'title': n.title, 'channel': channel, 'duration_seconds': duration_seconds, 'description': '', 'word_count': word_count, 'language': 'en'}})::VARCHAR FROM ({BASE['k4_metadata_json']}) n JOIN ({q('meta', 'SELECT * FROM meta')}) m ON m.source_id = n.source_id""",
+}

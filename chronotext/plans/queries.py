@@ -13,7 +13,7 @@ from chronotext.operators import chunk, clean, docs, infer, sample, score, timej
 from chronotext.plans import inputs
 from chronotext.plans.ctes import MAX, MIN, OVERLAP, THRESHOLD
 from chronotext.staging import folder, staged
-from chronotext.sources import readers
+from chronotext.sources import bundle, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -803,6 +803,32 @@ def k7_bundle(spark, sf):
     return spark.read.parquet(path).select("source_id", "out_key", "title", "channel")
 
 
+def _written(t: Tables) -> str:
+    """The notes, transcripts and metadata of every source, written as files; the folder they are in."""
+    path = f"{folder(t.spark)}/library-{uuid.uuid4().hex}"
+    rows = t.meta.select("source_id", "title")
+    words = clean.transcript_stats(t.aligned).select("source_id", "word_count")
+    meta = clean.metadata_rows(t.meta.join(words.hint("shuffle_merge"), "source_id").withColumn("description", F.lit(None).cast("string")))
+    for of in (_notes(t), docs.transcript_txt(t.meta, t.aligned), meta):
+        rows = rows.join(of.hint("shuffle_merge"), "source_id", "left")
+    bundle.write_documents(rows, path)
+    return path
+
+
+@query
+def k7_documents(spark, sf):
+    """The documents of all sources written as files, and all files read back."""
+    files = spark.read.text(f"{_written(on(spark, sf))}/*/*", wholetext=True)
+    at = F.split(F.col("_metadata.file_path"), "/")
+    return files.select(F.element_at(at, -2).alias("out_key"), F.element_at(at, -1).alias("file"), F.col("value").alias("content"))
+
+
+@query
+def a8_library_files(spark, sf):
+    """The library of written files, scanned."""
+    return readers.scan_library(spark, _written(on(spark, sf))).select(F.element_at(F.split("path", "/"), -2).alias("out_key"), "title", "notes")
+
+
 @query
 def k8_prompts(spark, sf):
     t = on(spark, sf)

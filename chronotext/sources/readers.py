@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -112,9 +113,18 @@ def normalise_sources(df: DataFrame) -> DataFrame:
 
 
 def scan_library(spark: SparkSession, path: str) -> DataFrame:
-    """(path, title, notes) of all notes.md below ``path``, whose first line, without its mark, is the title."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="notes.md")
-    return library(rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("notes")))
+    """(path, title, notes) of each notes.md in ``path`` or a folder of it, no deeper, by path; its first line, without its mark, is the title.
+
+    A library without any notes gives no rows.
+    """
+    pattern = f"{path.rstrip('/')}/{{notes.md,*/notes.md}}"
+    try:
+        rows = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("notes"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], "path string, notes string")
+    return library(rows).orderBy("path")
 
 
 def library(df: DataFrame) -> DataFrame:
