@@ -128,17 +128,22 @@ def shard_documents(docs: DataFrame, folder: str, shards: int = 16, slots: int =
     """All ``docs`` over ``shards`` shards by bytes, under a new version of the map kept in ``folder``.
 
     The first version is built from the slots' bytes; later ones are edits of the latest (:func:`rebalance`), so only the
-    slots that must move do.  Null texts have size 1, columns other than doc_id and text are not looked at, and an empty
+    slots that must move do; a run whose version another one has stored meanwhile edits that one.  Null texts have size 1, columns other than doc_id and text are not looked at, and an empty
     table gives an empty result.
     """
     spark, records = docs.sparkSession, sized(docs, slots)
-    sums, latest = slot_sums(records), latest_version(docs.sparkSession, folder)
-    if latest is None:
-        return assign(records, write_map(spark, folder, 1, build_map(sums, shards, slots), sums))
-    old = {r.vslot: r.shard for r in read_map(spark, folder, latest).select("vslot", "shard").collect()}
-    if len(old) != slots:
-        raise ValueError(f"the map in {folder} has {len(old)} slots, not {slots}: their number is fixed")
-    return assign(records, write_map(spark, folder, latest + 1, rebalance(old, sums, shards), sums))
+    sums = slot_sums(records)
+    while True:
+        latest = latest_version(spark, folder)
+        old = {} if latest is None else {r.vslot: r.shard for r in read_map(spark, folder, latest).select("vslot", "shard").collect()}
+        if latest is not None and len(old) != slots:
+            raise ValueError(f"the map in {folder} has {len(old)} slots, not {slots}: their number is fixed")
+        new = build_map(sums, shards, slots) if latest is None else rebalance(old, sums, shards)
+        try:
+            return assign(records, write_map(spark, folder, (latest or 0) + 1, new, sums))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
 
 
 __all__ = ["MAP_SCHEMA", "SLOTS", "assign", "build_map", "latest_version", "read_map", "rebalance", "shard_documents", "sized", "slot_of", "slot_sums", "write_map"]

@@ -10,7 +10,7 @@ import zlib
 from pyspark.sql import functions as F
 from test_operators import docs, fair, words
 
-from chronotext.llm import bpe, embed_dedup, licenses, mixing, toxicity, url_filter
+from chronotext.llm import bpe, embed_dedup, licenses, mixing, sharding, toxicity, url_filter
 from chronotext.llm.shared import labelled_sample
 
 
@@ -121,3 +121,18 @@ def test_tables_for():
 def test_listed_rules(spark):
     odd = [("block", "it's.org", "/a\\b'c/"), *url_filter.RULES]
     assert [tuple(r) for r in url_filter.listed(spark, odd).collect()] == odd
+
+
+def test_a_version_that_another_run_has_stored(spark, tmp_path, monkeypatch):
+    df = docs(spark, [(i, f"text {i}", "a") for i in range(50)])
+    folder, asked = str(tmp_path / "maps"), []
+    first = {r.doc_id: r.shard for r in sharding.shard_documents(df, folder, 4).collect()}
+
+    def late(session, where, real=sharding.latest_version):
+        """The first answer is what was true before the other run."""
+        asked.append(real(session, where))
+        return None if len(asked) == 1 else asked[-1]
+
+    monkeypatch.setattr(sharding, "latest_version", late)
+    rows = sharding.shard_documents(df, folder, 4).collect()
+    assert asked == [1, 1] and {r.version for r in rows} == {2} and {r.doc_id: r.shard for r in rows} == first
