@@ -95,7 +95,7 @@ def context_length(texts: DataFrame, turns: DataFrame, drafts: DataFrame) -> Dat
     """(conv_id, context_length): characters of the transcript, the turns and the draft."""
     t = texts.groupBy("conv_id").agg(F.sum(F.length("text")).alias("t"))
     h = turns.groupBy("conv_id").agg(F.sum(F.length("text")).alias("h"))
-    rows = drafts.join(t, "conv_id", "left").join(h, "conv_id", "left")
+    rows = drafts.join(t.hint("shuffle_merge"), "conv_id", "left").join(h.hint("shuffle_merge"), "conv_id", "left")
     return rows.select("conv_id", (F.coalesce("t", F.lit(0)) + F.coalesce("h", F.lit(0)) + F.length(F.coalesce("draft", F.lit("")))).alias("context_length"))
 
 
@@ -175,7 +175,7 @@ def rank_prompts(sections: DataFrame, picked: DataFrame, keep: int = 2) -> DataF
 
 def chat_prompts(questions: DataFrame, texts: DataFrame, past: DataFrame) -> DataFrame:
     """Prompts for questions (conv_id, source_id, question) about a transcript, with the recent turns."""
-    rows = questions.join(texts, "source_id", "left").join(past, "conv_id", "left")
+    rows = questions.join(texts.hint("shuffle_merge"), "source_id", "left").join(past.hint("shuffle_merge"), "conv_id", "left")
     return rows.select("conv_id", F.lit("chat").alias("kind"), F.concat_ws("\n\n", F.lit("Answer from this transcript; say so where it does not suffice."), F.coalesce("full_text", F.lit("")), F.nullif(F.coalesce("history", F.lit("")), F.lit("")), F.col("question")).alias("prompt"))
 
 

@@ -208,4 +208,5 @@ ORACLES |= {
     "a8_library_files": f"SELECT {KEYED}, 'doc ' || source_id AS title, notes_md AS notes FROM ({ORACLES['k1_notes_md']}) n",
     "k7_documents": f"""SELECT {KEYED}, 'notes.md' AS file, notes_md AS content FROM ({ORACLES['k1_notes_md']}) n UNION ALL SELECT {KEYED}, 'transcript.txt', transcript_txt FROM ({BASE['k3_transcript_txt']}) n
 UNION ALL SELECT {KEYED}, 'metadata.json', to_json({{'video_id': n.source_id::VARCHAR, 'title': n.title, 'channel': channel, 'duration_seconds': duration_seconds, 'description': '', 'word_count': word_count, 'language': 'en'}})::VARCHAR FROM ({BASE['k4_metadata_json']}) n JOIN ({q('meta', 'SELECT * FROM meta')}) m ON m.source_id = n.source_id""",
+    "c4_containment_sections": q("sections", """SELECT l.source_id, x.seq, l.block_no, l.section_id FROM tb l JOIN span p ON p.source_id = l.source_id JOIN aligned x ON x.source_id = l.source_id AND x.start >= a AND (x.start < b OR (b = r1 AND x.start <= b))""", *TRANSCRIPT[:3]),
 }

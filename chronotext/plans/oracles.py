@@ -130,7 +130,8 @@ SELECT source_id, seq, x, count(*) FILTER (side = 0) AS na, count(*) FILTER (sid
     "i8_section_fallback": q("chunks", f"""SELECT source_id, chunk_no, 'Section at ' || {time('start')} AS heading, left(CASE WHEN ends_with(two, '.') THEN two ELSE two || '.' END, 500) AS summary, array_to_string(s[2:5], ' | ') AS key_points
 FROM (SELECT *, array_to_string(s[1:2], '. ') AS two FROM (SELECT source_id, chunk_no, start, CASE WHEN len({sentences('text')}) > 0 THEN {sentences('text')} ELSE [left({ends('text')}, 300)] END AS s FROM chunks))"""),
     "i9_exec_fallback": q("execs", "SELECT * FROM execs"),
-    "i10_exec_assembly": q("summaries", "SELECT source_id, main_idea || chr(10) || chr(10) || '**Key highlights:**' || chr(10) || array_to_string(list_transform(key_points, lambda k: '- ' || k), chr(10)) AS executive_summary FROM summaries WHERE chunk_no = 0"),
+    "i10_exec_assembly": q("summaries", "SELECT source_id, string_agg(main_idea, ' ' ORDER BY chunk_no) || chr(10) || chr(10) || '**Key highlights:**' || chr(10) || string_agg('- ' || heading, chr(10) ORDER BY chunk_no) AS executive_summary FROM summaries GROUP BY source_id"),
+    "c3_overlap_sections": q("sections", 'SELECT a.source_id, seq, section_id FROM aligned a JOIN sections s ON s.source_id = a.source_id AND a."end" > s.start AND a.start < s."end"'),
     "i_rule_report": q("responses", "SELECT rule, count(*) AS n FROM mined GROUP BY rule", SCORES),
     "k3_transcript_txt": q("meta", f"""SELECT m.source_id, '# ' || any_value(title) || chr(10) || '# Channel: ' || any_value(channel) || '  |  Duration: ' || {human('any_value(duration_seconds)')} || chr(10) || '# Source: whisper  |  Language: en' || chr(10) || '# Segments: ' || count(*) || '  |  Words: ' || sum({tokens('text')}) || chr(10) || chr(10) || string_agg('[' || {time('start')} || '] ' || text, chr(10) ORDER BY start, seq) || chr(10) AS transcript_txt FROM meta m JOIN aligned a ON a.source_id = m.source_id GROUP BY m.source_id"""),
     "k4_metadata_json": q("meta", f"SELECT m.source_id, any_value(title) AS title, '' AS description, sum({tokens('text')})::BIGINT AS word_count FROM meta m JOIN aligned a ON a.source_id = m.source_id GROUP BY m.source_id"),

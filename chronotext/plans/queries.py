@@ -286,10 +286,25 @@ def _tops(t: Tables) -> DataFrame:
     return t.secs.filter("parent_id IS NULL").select("source_id", "section_id", F.col("sec_start").alias("start"), F.col("sec_end").alias("end"))
 
 
+@query
+def c3_overlap_sections(spark, sf):
+    t = on(spark, sf)
+    of = t.sections.select("source_id", "section_id", F.col("start").alias("sec_start"), F.col("end").alias("sec_end"))
+    return timejoin.overlap(t.aligned, of).select("source_id", "seq", "section_id")
+
+
+@query
+def c4_containment_sections(spark, sf):
+    """Lines in the blocks that the top-level sections cut a transcript into."""
+    t = on(spark, sf)
+    blocks = staged(docs.timeline(t.sections.filter("parent_id IS NULL"), t.aligned), "blocks")
+    return timejoin.contained(t.aligned, blocks).select("source_id", "seq", "block_no", "section_id")
+
+
 @query
 def c4_containment(spark, sf):
     t = on(spark, sf)
-    return timejoin.contained(t.aligned, docs.timeline(_tops(t), t.aligned)).select("source_id", "seq", "block_no")
+    return timejoin.contained(t.aligned, staged(docs.timeline(_tops(t), t.aligned), "blocks")).select("source_id", "seq", "block_no")
 
 
 @query
@@ -722,8 +737,10 @@ def i9_exec_fallback(spark, sf):
 
 @query
 def i10_exec_assembly(spark, sf):
-    s = on(spark, sf).summaries
-    return topics.exec_assembly(s.filter("chunk_no = 0").select("source_id", F.col("main_idea").alias("summary"), F.col("key_points").alias("highlights")))
+    """All main ideas of a source, and all headings as highlights."""
+    said = F.array_sort(F.collect_list(F.struct("chunk_no", "main_idea", "heading")))
+    rows = on(spark, sf).summaries.groupBy("source_id").agg(said.alias("s"))
+    return topics.exec_assembly(rows.select("source_id", F.array_join("s.main_idea", " ").alias("summary"), F.col("s.heading").alias("highlights")))
 
 
 @query
@@ -778,7 +795,7 @@ def k3_transcript_txt(spark, sf):
 @query
 def k4_metadata_json(spark, sf):
     t = on(spark, sf)
-    rows = t.meta.join(clean.transcript_stats(t.aligned).select("source_id", "word_count"), "source_id").withColumn("description", F.lit(None).cast("string"))
+    rows = t.meta.join(clean.transcript_stats(t.aligned).select("source_id", "word_count").hint("shuffle_merge"), "source_id").withColumn("description", F.lit(None).cast("string"))
     return clean.metadata_rows(rows).select("source_id", F.get_json_object("metadata_json", "$.title").alias("title"), F.get_json_object("metadata_json", "$.description").alias("description"), F.get_json_object("metadata_json", "$.word_count").cast("long").alias("word_count"))
 
 

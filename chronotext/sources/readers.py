@@ -141,7 +141,7 @@ def find_output(df: DataFrame, keyword: str) -> DataFrame:
 def library_stats(df: DataFrame, frames: DataFrame) -> DataFrame:
     """Of each output: frames, and whether it has a transcript and a viewer.  ``df`` has source_id, transcript_md, viewer."""
     n = frames.groupBy("source_id").agg(F.count("*").alias("n_frames"))
-    return df.join(n, "source_id", "left").select("source_id", F.coalesce("n_frames", F.lit(0)).alias("n_frames"), F.coalesce(F.col("transcript_md") != "", F.lit(False)).alias("has_transcript"), F.coalesce(F.col("viewer") != "", F.lit(False)).alias("has_viewer"))
+    return df.join(n.hint("shuffle_merge"), "source_id", "left").select("source_id", F.coalesce("n_frames", F.lit(0)).alias("n_frames"), F.coalesce(F.col("transcript_md") != "", F.lit(False)).alias("has_transcript"), F.coalesce(F.col("viewer") != "", F.lit(False)).alias("has_viewer"))
 
 
 def prefer_origin(rows: DataFrame, prefer_manual: bool = True) -> DataFrame:
