@@ -209,4 +209,9 @@ ORACLES |= {
     "k7_documents": f"""SELECT {KEYED}, 'notes.md' AS file, notes_md AS content FROM ({ORACLES['k1_notes_md']}) n UNION ALL SELECT {KEYED}, 'transcript.txt', transcript_txt FROM ({BASE['k3_transcript_txt']}) n
 UNION ALL SELECT {KEYED}, 'metadata.json', to_json({{'video_id': n.source_id::VARCHAR, 'title': n.title, 'channel': channel, 'duration_seconds': duration_seconds, 'description': '', 'word_count': word_count, 'language': 'en'}})::VARCHAR FROM ({BASE['k4_metadata_json']}) n JOIN ({q('meta', 'SELECT * FROM meta')}) m ON m.source_id = n.source_id""",
     "c4_containment_sections": q("sections", """SELECT l.source_id, x.seq, l.block_no, l.section_id FROM tb l JOIN span p ON p.source_id = l.source_id JOIN aligned x ON x.source_id = l.source_id AND x.start >= a AND (x.start < b OR (b = r1 AND x.start <= b))""", *TRANSCRIPT[:3]),
+    # The document as text: a section's JSON without its last brace, its lines if it has any, then the sections below it.
+    "h4_payload": q("sections meta", """SELECT m.source_id, '{"title":' || to_json(title)::VARCHAR || ',"sections":[' || string_agg(j || coalesce(',"subsections":[' || kids || ']', '') || '}', ',' ORDER BY ord, w.section_id) || ']}' AS payload
+FROM meta m JOIN whole w ON w.source_id = m.source_id AND parent_id IS NULL LEFT JOIN (SELECT source_id, parent_id AS section_id, string_agg(j || '}', ',' ORDER BY ord, section_id) AS kids FROM whole WHERE parent_id IS NOT NULL GROUP BY source_id, parent_id) k ON k.source_id = w.source_id AND k.section_id = w.section_id GROUP BY m.source_id, title""",
+                    'sl AS (SELECT s.source_id, s.section_id, list({\'seq\': seq, \'start\': a.start, \'text\': text} ORDER BY seq, a.start, text) AS l FROM sections s JOIN aligned a ON a.source_id = s.source_id AND a."end" > s.start AND a.start < s."end" GROUP BY s.source_id, s.section_id)',
+                    """whole AS (SELECT s.source_id, s.section_id, parent_id, ord, rtrim(to_json({'ord': ord, 'section_id': s.section_id, 'sec_start': s.start, 'sec_end': s."end", 'heading': heading, 'summary': summary, 'key_points': key_points})::VARCHAR, '}') || coalesce(',"lines":' || to_json(l)::VARCHAR, '') AS j FROM sections s LEFT JOIN sl ON sl.source_id = s.source_id AND sl.section_id = s.section_id)"""),
 }
