@@ -23,17 +23,23 @@ def paths(sections: DataFrame, start: str = "start", end: str = "end") -> DataFr
     """
     if {"path", "open_from", "open_to"} <= set(sections.columns):
         return sections
-    rows = staged(sections.drop("path", "open_from", "open_to"), "sections")
+    sections = sections.drop("path", "open_from", "open_to")
+    # Levels pass ids, order and times alone; all else of a section meets its path once.
+    rows = staged(sections.select("source_id", "section_id", "parent_id", "ord", F.col(start).alias("_start"), F.col(end).alias("_end")).distinct(), "sections")
     here = step("ord", "section_id")
-    found = staged(rows.filter("parent_id IS NULL").withColumns({"path": F.array(here), "open_from": F.col(start), "open_to": F.col(end)}), "level")
+    own = ["source_id", "section_id", "parent_id", "ord", "_start", "_end"]
+    found = staged(rows.filter("parent_id IS NULL").select(*own, F.array(here).alias("path"), F.col("_start").alias("open_from"), F.col("_end").alias("open_to")), "level")
     out = found
     while not found.isEmpty():
         above = found.select("source_id", F.col("section_id").alias("parent_id"), F.col("path").alias("_path"), F.col("open_from").alias("_from"), F.col("open_to").alias("_to"))
         kids = rows.join(above.hint("shuffle_merge"), ["source_id", "parent_id"])
-        kids = kids.select(*rows.columns, F.array_append("_path", here).alias("path"), F.greatest("_from", start).alias("open_from"), F.least("_to", end).alias("open_to"))
-        found = staged(kids, "level")
+        found = staged(kids.select(*own, F.array_append("_path", here).alias("path"), F.greatest("_from", "_start").alias("open_from"), F.least("_to", "_end").alias("open_to")), "level")
         out = out.unionByName(found)
-    return out
+    # Rows that share an id are told apart by the rest.
+    out = out.select("source_id", "section_id", "path", "open_from", "open_to", *(F.col(c).alias(f"_own{k}") for k, c in enumerate(own[2:])))
+    same = [F.col(c).eqNullSafe(F.col(f"_own{k}")) for k, c in enumerate(("parent_id", "ord", start, end))]
+    met = sections.join(out.hint("shuffle_merge"), ["source_id", "section_id"]).filter(same[0] & same[1] & same[2] & same[3])
+    return met.select(*sections.columns, "path", "open_from", "open_to")
 
 
 def deepest(sections: DataFrame) -> int:
