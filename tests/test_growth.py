@@ -1,8 +1,11 @@
 """What grows with the data: ties between segments, how often texts are shuffled, and files that no one lists at once."""
 
+import os
+
 from pyspark.sql import functions as F
 
-from chronotext.operators import timejoin
+from chronotext.operators import docs, timejoin
+from chronotext.sources import bundle, readers
 
 
 def test_neighbours_take_the_first_of_equally_near_segments(spark):
@@ -19,3 +22,20 @@ def test_neighbours_take_the_first_of_equally_near_segments(spark):
     got = timejoin.centred(pos, timejoin.numbered(seg))
     assert got.count() == len(at) and got.filter("_centre <> 1").count() == 0
     assert timejoin.neighbours(pos, seg).groupBy("p").agg(F.count("*").alias("n")).filter("n <> 2").count() == 0
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"T {k}", "c" if k % 2 else None) for k in range(300)], "source_id long, title string, channel string").repartition(3)
+    path = str(tmp_path / "bundle")
+    docs.write_bundle(df, path)
+    docs.write_bundle(df.filter("source_id = 7").withColumn("channel", F.lit("new")), path)
+    read = bundle.read_bundle(spark, path, "source_id long, title string, channel string")
+    assert read.inputFiles() == [] and sorted(os.listdir(path))[0] == "out_key=T_0_0" and len(os.listdir(path)) == 300
+    assert {(r.source_id, r.out_key, r.channel) for r in read.collect()} == {(k, f"T_{k}_{k}", "new" if k == 7 else "c" if k % 2 else None) for k in range(300)}
+    assert read.count() == spark.read.parquet(path).count() == 300
+    path = str(tmp_path / "library")
+    bundle.write_documents(df.withColumns({"notes_md": F.concat(F.lit("# é "), "title"), "transcript_txt": F.lit("x\n")}), path)
+    files = bundle.read_documents(spark, path)
+    assert files.inputFiles() == [] and sorted((r.folder, r.file, r.content) for r in files.collect()) == sorted(x for k in range(300) for x in ((f"T_{k}_{k}", "notes.md", f"# é T {k}"), (f"T_{k}_{k}", "transcript.txt", "x\n")))
+    library = readers.scan_library(spark, path)
+    assert library.inputFiles() == [] and (at := [r.path for r in library.collect()]) == sorted(at) and len(at) == 300
