@@ -1,8 +1,12 @@
 """Near copies by their word shingles: documents link if the Jaccard similarity of their sets of five-word shingles is at least 0.8.
 
-Candidates come from min-hash bands: two documents of similarity s meet in one of 32 bands of five minima with chance
-1 - (1 - s^5)^32, which is 0.999997 at 0.8.  Every candidate is confirmed by the exact similarity of the whole sets, so no
-link is wrong.  Keys with the same members are compared once, and only documents that share a key carry their sets.
+Candidates come from SimHash anchors, as in :mod:`simhash`.  A document's fingerprint has 96 words of 22 bits, one bit for
+each position that is set in over half the hashes of its shingles.  The anchors of a word are those of the perfect Hamming
+codes of length 15 and 7 on its two parts, so each word lies within two bits of exactly one anchor, its home, and equal
+words share it.  Sets of similarity 0.8 differ in about 15 % of bits; two such words share a home with chance 0.07, so two
+documents meet at one of 96 with chance 0.999.  At an anchor documents go on that have another within 38 of the first 128
+bits there, where the expected distance at 0.8 is 19.  Each is confirmed by the exact similarity of the whole sets, so no
+link is wrong.  Anchors with the same members are compared once, and only documents that meet another carry their sets.
 """
 
 from __future__ import annotations
@@ -13,16 +17,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotext.llm import simhash
 from chronotext.llm.components import components
 from chronotext.llm.shared import free, written
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS = 32, 5
+#: Words of a fingerprint, and the bits of their two parts.
+WORDS, PARTS = 96, (15, 7)
+#: Bits of a fingerprint that are compared at an anchor, and how many of them may differ.
+SKETCH, FAR = 128, 38
+#: Documents of an anchor up to this number are compared by shifting, more by search.
+SHIFTS = 512
 #: Documents that one task holds to compare a key's others with; a key with more is split.
 HOMES = 2048
+WIDTH = sum(PARTS)
 _RNG = np.random.default_rng(4)
-TIMES = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-PLUS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+TIMES = _RNG.integers(0, 1 << 63, WORDS * WIDTH // 64, np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _RNG.integers(0, 1 << 63, WORDS * WIDTH // 64, np.uint64)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+LOW, HIGH = (simhash.homes(n) for n in PARTS)
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -32,12 +45,21 @@ def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(g)) for g in grams]), np.uint64))
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """One key for each band of minima."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(own), 1024):
-        least = np.minimum(least, ((own[at : at + 1024] ^ PLUS) * TIMES).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """The bits of the set ``own``, each set if it is in over half the hashes."""
+    total = np.zeros(WORDS * WIDTH, np.int64)
+    for at in range(0, len(own), 255):  # as many as a byte counts
+        h = (own[at : at + 255, None] ^ PLUS) * TIMES
+        h = (h ^ (h >> np.uint64(29))) * MIX
+        h ^= h >> np.uint64(32)
+        total += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return 2 * total > len(own)
+
+
+def anchors(bits: np.ndarray) -> np.ndarray:
+    """The home of every word of every fingerprint (rows of bits), told apart by the word's place."""
+    words = bits.reshape(len(bits), WORDS, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int64))
+    return (np.arange(WORDS, dtype=np.int64) << WIDTH) | (HIGH[words >> PARTS[0]] << PARTS[0]) | LOW[words & ((1 << PARTS[0]) - 1)]
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
@@ -52,14 +74,48 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key) of every document with an id, one row for each band."""
+    """(doc_id, a, b, key) of every document with an id, one row for each word's anchor; a and b are the bits compared there."""
 
     def run(batches):
-        for b in batches:
-            keys = [band_keys(shingles(t.as_py())) for t in b.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "keys"])
+        for batch in batches:
+            bits = np.array([fingerprint(shingles(t.as_py())) for t in batch.column("text").cast(pa.binary())], bool).reshape(-1, WORDS * WIDTH)
+            part = np.packbits(bits[:, :SKETCH], axis=1).view(np.int64)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(anchors(bits).ravel()), WORDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), keys], names=["doc_id", "a", "b", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, keys array<long>").select("doc_id", "a", "b", F.explode("keys").alias("key"))
+
+
+def meeting(batches):
+    """(key, rep, doc_id) of the documents of rows sorted by key that are near another one of their key; ``rep`` is one for all that nearness joins."""
+    kept = None
+    names = ["key", "doc_id", "a", "b"]
+
+    def joined(c):
+        fps = np.stack([c["a"], c["b"]], 1)
+        x, y = simhash.links(c["key"], fps, np.ones(len(fps), bool), FAR, SHIFTS)
+        of, before = np.arange(len(fps)), None
+        while before is None or (of != before).any():
+            before = of.copy()
+            least = np.minimum(of[x], of[y])
+            np.minimum.at(of, x, least)
+            np.minimum.at(of, y, least)
+            of = of[of]
+        on = np.unique(np.concatenate([x, y]))
+        return pa.RecordBatch.from_arrays([pa.array(c["key"][on]), pa.array(c["doc_id"][of[on]]), pa.array(c["doc_id"][on])], names=["key", "rep", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
+        if kept is not None:
+            now = {n: np.concatenate([kept[n], now[n]]) for n in names}
+        cut = int(np.searchsorted(now["key"], now["key"][-1]))
+        kept = {n: now[n][cut:] for n in names}
+        if cut:
+            yield joined({n: now[n][:cut] for n in names})
+    if kept is not None:
+        yield joined(kept)
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -108,7 +164,8 @@ def compare(batches):
 
 def links(docs: DataFrame, homes: int = HOMES) -> DataFrame:
     """(a, b): pairs of ids that span the links between the documents of ``docs`` (doc_id, text)."""
-    keys = written(keyed(docs), "keys")
+    keys = keyed(docs).repartition("key").sortWithinPartitions("key").mapInArrow(meeting, "key long, rep long, doc_id long")
+    keys = written(keys.select(F.xxhash64("key", "rep").alias("key"), "doc_id"), "keys")
     members = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
     groups = members.filter("lo < hi").groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / homes).cast("int").alias("tiles"))
     rows = written(keys.join(groups.hint("shuffle_merge"), "key").distinct(), "members")

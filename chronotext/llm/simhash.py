@@ -107,8 +107,19 @@ def replicas(distinct: DataFrame, homes_only: bool = False) -> DataFrame:
     return distinct.select("fp", "rep").mapInArrow(run, "anchor long, home boolean, fp long, rep long")
 
 
+def homes(length: int) -> np.ndarray:
+    """For every word of ``length`` bits (2^k - 1) the one word of the perfect Hamming code that lies within one bit of it."""
+    words = np.arange(1 << length, dtype=np.int64)
+    syndrome = np.zeros(len(words), np.int64)
+    for j in range(length):
+        syndrome ^= np.where((words >> j) & 1, j + 1, 0)
+    return words ^ np.where(syndrome, 1 << np.maximum(syndrome - 1, 0), 0)
+
+
 def near(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= bits
+    """Whether fingerprints, of one number or a row of numbers each, differ in at most ``bits`` bits."""
+    differ = np.bitwise_count((a ^ b).view(np.uint64))  # of signed numbers it would count the absolute value's
+    return (differ if differ.ndim < 2 else differ.sum(axis=1, dtype=np.int64)) <= bits
 
 
 def spanning(fps: np.ndarray, home: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -129,18 +140,18 @@ def spanning(fps: np.ndarray, home: np.ndarray, bits: int = BITS) -> tuple[np.nd
     return np.concatenate([none, *edges_a]), np.concatenate([none, *edges_b])
 
 
-def links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray, bits: int = BITS, most: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of linked pairs among rows sorted by key: all pairs of short runs, spanning ones of long runs."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     length = np.diff(np.r_[starts, len(keys)])
-    short = np.repeat(length <= SHORT, length)
+    short = np.repeat(length <= most, length)
     out_a, out_b = [], []
-    for d in range(1, min(SHORT, int(length.max(initial=0)))):
+    for d in range(1, min(most, int(length.max(initial=0)))):
         i = np.flatnonzero(short[:-d] & (keys[:-d] == keys[d:]) & (home[:-d] | home[d:]))
         i = i[near(fps[i], fps[i + d], bits)]
         out_a.append(i)
         out_b.append(i + d)
-    for s, n in zip(starts[length > SHORT], length[length > SHORT], strict=True):
+    for s, n in zip(starts[length > most], length[length > most], strict=True):
         a, b = spanning(fps[s : s + n], home[s : s + n], bits)
         out_a.append(a + s)
         out_b.append(b + s)

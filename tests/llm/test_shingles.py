@@ -4,7 +4,9 @@ import itertools
 import random
 
 import corpus_pipeline
-from chronotext.llm import shingles
+import numpy as np
+import pyarrow as pa
+from chronotext.llm import shingles, simhash
 
 
 def slow(text):
@@ -54,3 +56,35 @@ def test_near_stage_drops_what_jaccard_links(spark):
         joined[max(a, b)] = min(a, b)
     assert all(joined[i] == i for i in kept if i is not None) and sum(joined[i] == i for i in range(len(texts))) == len(kept) - 1
     assert corpus_pipeline.near_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_candidates_meet_at_anchors_of_fingerprints():
+    rng = np.random.default_rng(3)
+    for n in shingles.PARTS:
+        home = simhash.homes(n)
+        assert len(set(home)) == 2**n // (n + 1) and max(int(h ^ w).bit_count() for w, h in enumerate(home)) == 1
+    sets, pairs = [], []
+    for k in range(300):  # pairs of similarity 0.8 at least, and sets of 0.5 beside them
+        a, b, c = (rng.integers(0, 1 << 63, 90, np.uint64) for _ in range(3))
+        same = 90 - k % 11
+        b[:same] = a[:same]
+        c[:60] = a[:60]
+        pairs.append((len(sets), len(sets) + 1))
+        sets += [np.unique(x) for x in (a, b, c)]
+    bits = np.array([shingles.fingerprint(s) for s in sets])
+    keys, sketch = shingles.anchors(bits), np.packbits(bits[:, : shingles.SKETCH], axis=1).view(np.int64)
+    words = bits.reshape(len(bits), shingles.WORDS, shingles.WIDTH) @ (1 << np.arange(shingles.WIDTH))
+    assert np.bitwise_count((keys & ((1 << shingles.WIDTH) - 1)) ^ words).max() == 2
+    rows = sorted((int(key), i, int(sketch[i, 0]), int(sketch[i, 1])) for i in range(len(sets)) for key in keys[i])
+    found = {}
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 700], strict=True)], names=["key", "doc_id", "a", "b"]) for at in range(0, len(rows), 700)]
+    for b in shingles.meeting(batches):
+        for key, rep, doc in zip(*(b.column(c).to_pylist() for c in ("key", "rep", "doc_id")), strict=True):
+            found.setdefault((key, rep), set()).add(doc)
+    assert all(any({a, b} <= g for g in found.values()) for a, b in pairs)
+
+
+def test_fingerprints_that_differ_in_the_highest_bit_are_near():
+    a = np.array([5, 5, 5], np.int64)
+    b = a ^ np.array([-(1 << 63), -(1 << 63) + 1, -(1 << 63) + 15], np.int64)
+    assert simhash.near(a, b).tolist() == [True, True, False]
