@@ -22,7 +22,8 @@ def strip_noise(seg: DataFrame) -> DataFrame:
 
 def normalise_ws(seg: DataFrame) -> DataFrame:
     """White space collapsed and stripped; blank segments dropped."""
-    return seg.withColumn("text", X.clean_space(F.col("text"))).filter("text <> ''")
+    # The filter looks for one character, so no text is cleaned twice.
+    return seg.filter(F.col("text").rlike(r"[^ \t\n\r\f\x0B]")).withColumn("text", X.clean_space(F.col("text")))
 
 
 def fill_gaps(seg: DataFrame, max_gap: float = 2.0) -> DataFrame:

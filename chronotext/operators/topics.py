@@ -19,7 +19,7 @@ from chronotext.operators.chunk import chunk_id
 def chunk_fallback(chunks: DataFrame) -> DataFrame:
     """A summary of each chunk from its own sentences: heading, main idea, key points, keywords in text order, transition."""
     s = F.col("_s")
-    rows = chunks.withColumn("_s", X.sentences(F.col("text")))
+    rows = chunks.withColumn("_s", X.first_sentences(F.col("text"), 4))
     some = F.size(s) > 0
     return rows.select(
         "source_id",
@@ -29,7 +29,7 @@ def chunk_fallback(chunks: DataFrame) -> DataFrame:
         F.when(some, F.left(F.get(s, F.lit(0)), F.lit(50))).otherwise(F.concat(F.lit("Chunk "), X.format_time(F.col("start")))).alias("heading"),
         F.when(some, F.left(F.array_join(F.slice(s, 1, 2), ". "), F.lit(300))).otherwise(F.left("text", F.lit(300))).alias("main_idea"),
         F.when(some, F.slice(s, 1, 4)).otherwise(F.array(F.left("text", F.lit(200)))).alias("key_points"),
-        F.slice(X.topic_tokens(F.col("text")), 1, 6).alias("keywords"),
+        X.first_topic_tokens(F.col("text"), 6).alias("keywords"),
         F.when(X.has_cue(F.left("text", F.lit(250))), "shift").otherwise("continue").alias("transition"),
     )
 

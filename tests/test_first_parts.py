@@ -1,0 +1,18 @@
+"""The first sentences and tokens of a text are those of the whole text, wherever its beginning is cut."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from chronotext.functions import text as X
+
+
+def test_first_parts_are_those_of_the_whole_text(spark):
+    rng = random.Random(1)
+    bits = ["a", "é", "😀", " ", "  ", "\n", ". ", ".", "! ", "?\n", "abc ", "dEf9", "the ", "\x01"]
+    texts = [None, "", " . . .", *("".join(rng.choice(bits) for _ in range(rng.choice([3, 30, 300]))) for _ in range(300)), *("x" * n + ". " + "abc " * 9 for n in (10, 59, 60, 61))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for head in (5, 20, 60):
+        sentences = X.first_sentences(F.col("text"), 4, head).eqNullSafe(F.slice(X.sentences(F.col("text")), 1, 4))
+        tokens = X.first_topic_tokens(F.col("text"), 6, head).eqNullSafe(F.slice(X.topic_tokens(F.col("text")), 1, 6))
+        assert df.filter(~(sentences & tokens)).count() == 0
