@@ -128,22 +128,6 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, clean_ends), lambda s: s != "")
 
 
-def _once(value: Column, of) -> Column:
-    """``of(value)``, with ``value`` worked out once however often ``of`` names it."""
-    return F.get(F.transform(F.array(value), of), F.lit(0))
-
-
-def first_sentences(text: Column, n: int, head: int = 1000) -> Column:
-    """The first ``n`` of :func:`sentences`.  The beginning of a text is split alone where one more sentence has begun in it, else the whole text."""
-    return F.slice(_once(sentences(F.left(text, F.lit(head))), lambda some: F.when(F.size(some) > n, some).otherwise(sentences(text))), 1, n)
-
-
-def first_topic_tokens(text: Column, n: int, head: int = 400) -> Column:
-    """The first ``n`` of :func:`topic_tokens`.  They come from the beginning of a text, cut between words, where it has as many, else from the whole text."""
-    some = topic_tokens(F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), rf"(?s)^(.{{0,{head}}})[^a-z0-9]", 1))
-    return F.slice(_once(some, lambda some: F.when(F.size(some) >= n, some).otherwise(topic_tokens(text))), 1, n)
-
-
 def strict_sentences(text: Column) -> Column:
     """Like :func:`sentences`, but split only where a capital letter A-Z follows."""
     parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t\n\r\f]+([A-Z])", "$1\u0001$2"), "\u0001")
