@@ -4,9 +4,11 @@ Candidates come from SimHash anchors, as in :mod:`simhash`.  A document's finger
 each position that is set in over half the hashes of its shingles.  The anchors of a word are those of the perfect Hamming
 codes of length 15 and 7 on its two parts, so each word lies within two bits of exactly one anchor, its home, and equal
 words share it.  Sets of similarity 0.8 differ in about 15 % of bits; two such words share a home with chance 0.07, so two
-documents meet at one of 96 with chance 0.999.  At an anchor documents go on that have another within 38 of the first 128
-bits there, where the expected distance at 0.8 is 19.  Each is confirmed by the exact similarity of the whole sets, so no
-link is wrong.  Anchors with the same members are compared once, and only documents that meet another carry their sets.
+documents meet at one of 96 with chance 0.999.  At an anchor documents are compared by sketches, one bit of each of 128
+min-hashes, and go on that have another within 30 bits there: a bit differs with half the chance that the sets do not share
+an element of their union, so the expected distance at 0.8 is 13, and more than 30 has a chance below one in 100,000.  Each
+is confirmed by the exact similarity of the whole sets, so no link is wrong.  Anchors with the same members are compared
+once, and only documents that meet another carry their sets.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from chronotext.llm.shared import free, written
 SHINGLE, LEAST = 5, 0.8
 #: Words of a fingerprint, and the bits of their two parts.
 WORDS, PARTS = 96, (15, 7)
-#: Bits of a fingerprint that are compared at an anchor, and how many of them may differ.
-SKETCH, FAR = 128, 38
+#: Bits of a sketch that are compared at an anchor, and how many of them may differ.
+SKETCH, FAR = 128, 30
 #: Documents of an anchor up to this number are compared by shifting, more by search.
 SHIFTS = 512
 #: Documents that one task holds to compare a key's others with; a key with more is split.
@@ -34,6 +36,8 @@ WIDTH = sum(PARTS)
 _RNG = np.random.default_rng(4)
 TIMES = _RNG.integers(0, 1 << 63, WORDS * WIDTH // 64, np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _RNG.integers(0, 1 << 63, WORDS * WIDTH // 64, np.uint64)
+LEAST_TIMES = _RNG.integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+LEAST_PLUS = _RNG.integers(0, 1 << 63, SKETCH, np.uint64)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOW, HIGH = (simhash.homes(n) for n in PARTS)
 
@@ -56,6 +60,14 @@ def fingerprint(own: np.ndarray) -> np.ndarray:
     return 2 * total > len(own)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """One bit of each min-hash of the set ``own``, packed into bytes."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), 256):
+        np.minimum(least, ((own[at : at + 256, None] ^ LEAST_PLUS) * LEAST_TIMES).min(axis=0), out=least)
+    return np.packbits(((least * MIX) >> np.uint64(63)).astype(np.uint8))
+
+
 def anchors(bits: np.ndarray) -> np.ndarray:
     """The home of every word of every fingerprint (rows of bits), told apart by the word's place."""
     words = bits.reshape(len(bits), WORDS, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int64))
@@ -74,12 +86,13 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b, key) of every document with an id, one row for each word's anchor; a and b are the bits compared there."""
+    """(doc_id, a, b, key) of every document with an id, one row for each word's anchor; a and b are the sketch compared there."""
 
     def run(batches):
         for batch in batches:
-            bits = np.array([fingerprint(shingles(t.as_py())) for t in batch.column("text").cast(pa.binary())], bool).reshape(-1, WORDS * WIDTH)
-            part = np.packbits(bits[:, :SKETCH], axis=1).view(np.int64)
+            own = [shingles(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            bits = np.array([fingerprint(x) for x in own], bool).reshape(-1, WORDS * WIDTH)
+            part = np.array([sketch(x) for x in own], np.uint8).reshape(-1, SKETCH // 8).view(np.int64)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(anchors(bits).ravel()), WORDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), keys], names=["doc_id", "a", "b", "keys"])
 
@@ -164,7 +177,7 @@ def compare(batches):
 
 def links(docs: DataFrame, homes: int = HOMES) -> DataFrame:
     """(a, b): pairs of ids that span the links between the documents of ``docs`` (doc_id, text)."""
-    keys = keyed(docs).repartition("key").sortWithinPartitions("key").mapInArrow(meeting, "key long, rep long, doc_id long")
+    keys = keyed(docs).repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(meeting, "key long, rep long, doc_id long")
     keys = written(keys.select(F.xxhash64("key", "rep").alias("key"), "doc_id"), "keys")
     members = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
     groups = members.filter("lo < hi").groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / homes).cast("int").alias("tiles"))

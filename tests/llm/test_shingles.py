@@ -84,6 +84,20 @@ def test_candidates_meet_at_anchors_of_fingerprints():
     assert all(any({a, b} <= g for g in found.values()) for a, b in pairs)
 
 
+def test_sketches_keep_pairs_of_0_8_and_few_of_0_4():
+    rng = np.random.default_rng(5)
+
+    def near(same: int, own: int) -> float:
+        hits = 0
+        for _ in range(300):
+            both, a, b = (rng.integers(0, 1 << 63, n, np.uint64) for n in (same, own, own))
+            hits += int(np.bitwise_count(shingles.sketch(np.r_[both, a]) ^ shingles.sketch(np.r_[both, b])).sum()) <= shingles.FAR
+        return hits / 300
+
+    assert near(80, 10) == near(400, 50) == 1
+    assert near(40, 30) < 0.2
+
+
 def test_fingerprints_that_differ_in_the_highest_bit_are_near():
     a = np.array([5, 5, 5], np.int64)
     b = a ^ np.array([-(1 << 63), -(1 << 63) + 1, -(1 << 63) + 15], np.int64)
