@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from chronotext.operators import docs, timejoin
+from chronotext.operators import docs, timejoin, topics
 from chronotext.sources import bundle, readers
 
 
@@ -39,3 +39,23 @@ def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
     assert files.inputFiles() == [] and sorted((r.folder, r.file, r.content) for r in files.collect()) == sorted(x for k in range(300) for x in ((f"T_{k}_{k}", "notes.md", f"# é T {k}"), (f"T_{k}_{k}", "transcript.txt", "x\n")))
     library = readers.scan_library(spark, path)
     assert library.inputFiles() == [] and (at := [r.path for r in library.collect()]) == sorted(at) and len(at) == 300
+
+
+def test_sections_from_briefs_need_no_chunks_and_move_no_words(spark):
+    rows = [(1, k, f"chunk_{k:04d}", f"{'Now' if k % 3 == 0 else 'Then'} we say {'alpha beta' if k < 4 else 'gamma delta'} {k}. Second one {k}. Third {k}.", 10.0 * k, 10.0 * k + 9) for k in range(12)]
+    chunks = spark.createDataFrame(rows, "source_id long, chunk_no int, chunk_id string, text string, start double, end double")
+    obs = spark.createDataFrame([(1, k, 9.5 + 10 * k, 0.5, f"f{k}") for k in range(0, 12, 2)], "source_id long, frame_id long, ts double, scene_diff double, path string")
+    whole, brief = topics.chunk_fallback(chunks), topics.chunk_fallback(chunks, brief=True)
+    assert brief.filter("size(key_points) <> 1").count() == 0
+
+    def made(summaries, of):
+        bounds = topics.boundary_scores(summaries, of, obs)
+        parts = topics.partition_topics(topics.group_topics(bounds), summaries)
+        return bounds, topics.build_sections(parts, summaries, of)
+
+    (a, b), (c, d) = made(whole, chunks), made(brief, None)
+    assert a.filter("boundary_score > 0").count() > 5 and sorted(a.collect()) == sorted(c.collect())
+    assert sorted(map(str, b.collect())) == sorted(map(str, d.collect()))
+    # Below the join with observations is one number a chunk, and of observations only what is asked for.
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert " AS worth#" in plan.splitlines()[2] and "path, path" not in plan
