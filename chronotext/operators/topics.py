@@ -230,11 +230,16 @@ def neighbour_context(chunks: DataFrame) -> DataFrame:
 def topic_context(grouped: DataFrame, summaries: DataFrame) -> DataFrame:
     """(source_id, topic_no, context): a topic's first three headings, the last summary before it and the first one after it, on lines of their own."""
     line = X.outline(F.col("start"), F.col("end"), F.col("heading"), F.col("main_idea"), F.col("key_points"), F.col("keywords"), F.col("transition"))
-    rows = grouped.select("source_id", "chunk_no", "topic_no").join(summaries.withColumn("_line", line).hint("shuffle_merge"), ["source_id", "chunk_no"])
+    rows = grouped.select("source_id", "chunk_no", "topic_no").join(summaries.select("source_id", "chunk_no", "heading").hint("shuffle_merge"), ["source_id", "chunk_no"])
     heads = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("chunk_no", "heading"))), 1, 3), lambda x: x["heading"])
-    per = rows.groupBy("source_id", "topic_no").agg(F.min_by("_line", "chunk_no").alias("_first"), F.max_by("_line", "chunk_no").alias("_last"), heads.alias("_heads"))
+    per = rows.groupBy("source_id", "topic_no").agg(F.min("chunk_no").alias("_first"), F.max("chunk_no").alias("_last"), heads.alias("_heads"))
     w = W.Window.partitionBy("source_id").orderBy("topic_no")
-    per = per.withColumn("_before", F.lag("_last").over(w)).withColumn("_after", F.lead("_first").over(w))
+    # Numbers tell which summary a topic needs from either side; its line then goes to that topic alone.
+    asked = per.select("source_id", "topic_no", F.lag("_last").over(w).alias("_b"), F.lead("_first").over(w).alias("_a"))
+    asked = asked.select("source_id", "topic_no", F.posexplode(F.array("_b", "_a")).alias("_side", "chunk_no")).filter("chunk_no IS NOT NULL")
+    told = asked.join(summaries.select("source_id", "chunk_no", line.alias("_line")).hint("shuffle_merge"), ["source_id", "chunk_no"])
+    told = told.groupBy("source_id", "topic_no").agg(*(F.max(F.when(F.col("_side") == k, F.col("_line"))).alias(c) for k, c in enumerate(("_before", "_after"))))
+    per = per.join(told.hint("shuffle_merge"), ["source_id", "topic_no"], "left")
     # A part that is null leaves no line.
     parts = [F.concat(F.lit("Focus: "), F.array_join("_heads", " | ")), F.concat(F.lit("Before: "), F.col("_before")), F.concat(F.lit("After: "), F.col("_after"))]
     return per.select("source_id", "topic_no", F.concat_ws("\n", *parts).alias("context"))

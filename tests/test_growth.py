@@ -59,3 +59,13 @@ def test_sections_from_briefs_need_no_chunks_and_move_no_words(spark):
     # Below the join with observations is one number a chunk, and of observations only what is asked for.
     plan = c._jdf.queryExecution().optimizedPlan().toString()
     assert " AS worth#" in plan.splitlines()[2] and "path, path" not in plan
+
+
+def test_topic_context_sends_each_summary_to_the_topic_that_asks_for_it(spark):
+    summaries = spark.createDataFrame([(1, k, float(k), k + 1.0, f"H{k}", f"idea {k}", [f"p{k}"], [f"k{k}"], "continue") for k in range(6)], "source_id long, chunk_no int, start double, end double, heading string, main_idea string, key_points array<string>, keywords array<string>, transition string")
+    grouped = spark.createDataFrame([(1, k, t) for k, t in enumerate((0, 0, 1, 2, 2, 2))], "source_id long, chunk_no int, topic_no int")
+    got = topics.topic_context(grouped, summaries)
+    said = {r.topic_no: [x.split(" | Points")[0] for x in r.context.split("\n")] for r in got.collect()}
+    assert said == {0: ["Focus: H0 | H1", "After: [00:02-00:03] H2: idea 2"], 1: ["Focus: H2", "Before: [00:01-00:02] H1: idea 1", "After: [00:03-00:04] H3: idea 3"], 2: ["Focus: H3 | H4 | H5", "Before: [00:02-00:03] H2: idea 2"]}
+    # Windows over a source pass numbers, no lines.
+    assert not any("main_idea" in x or "_line" in x for x in got._jdf.queryExecution().analyzed().toString().splitlines() if "Window [" in x)
