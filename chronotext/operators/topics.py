@@ -19,8 +19,8 @@ from chronotext.operators.chunk import chunk_id
 def chunk_fallback(chunks: DataFrame, brief: bool = False) -> DataFrame:
     """A summary of each chunk from its own sentences: heading, main idea, key points, keywords in text order, transition.
 
-    With ``brief`` it has what sections are made of: of key points the first one, and the chunk's chunk_id and cue beside
-    it, so that the chunks need not be joined again.
+    The chunk's chunk_id and cue stand beside it, so that the chunks need not be joined again.  With ``brief`` it has what
+    sections are made of: of key points the first one.
     """
     s = F.col("_s")
     points = 1 if brief else 4
@@ -37,7 +37,8 @@ def chunk_fallback(chunks: DataFrame, brief: bool = False) -> DataFrame:
         F.when(some, F.slice(s, 1, points)).otherwise(F.array(F.left("text", F.lit(200)))).alias("key_points"),
         F.slice(X.topic_tokens(F.col("text")), 1, 6).alias("keywords"),
         F.when(cue, "shift").otherwise("continue").alias("transition"),
-        *(["chunk_id", cue.alias("cue")] if brief else []),
+        "chunk_id",
+        cue.alias("cue"),
     )
 
 

@@ -1,10 +1,12 @@
 """What grows with the data: ties between segments, how often texts are shuffled, and files that no one lists at once."""
 
 import os
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from chronotext.operators import docs, timejoin, topics
+from chronotext.operators import docs, timejoin, topics, tree
+from chronotext.plans import queries
 from chronotext.sources import bundle, readers
 
 
@@ -69,3 +71,21 @@ def test_topic_context_sends_each_summary_to_the_topic_that_asks_for_it(spark):
     assert said == {0: ["Focus: H0 | H1", "After: [00:02-00:03] H2: idea 2"], 1: ["Focus: H2", "Before: [00:01-00:02] H1: idea 1", "After: [00:03-00:04] H3: idea 3"], 2: ["Focus: H3 | H4 | H5", "Before: [00:02-00:03] H2: idea 2"]}
     # Windows over a source pass numbers, no lines.
     assert not any("main_idea" in x or "_line" in x for x in got._jdf.queryExecution().analyzed().toString().splitlines() if "Window [" in x)
+
+
+def test_outlines_and_notes_move_the_texts_of_sections_once(spark):
+    rows = [(s, k, f"chunk_{k:04d}", f"Say {k}. Second one {k}. Third {k}.", 10.0 * k, 10.0 * k + 9) for s, n in ((1, 15), (2, 1), (3, 6)) for k in range(n)]
+    chunks = spark.createDataFrame(rows, "source_id long, chunk_no int, chunk_id string, text string, start double, end double")
+    outline = queries._outline(SimpleNamespace(summaries=topics.chunk_fallback(chunks)))
+    # The paths are those that joins level by level would find, without a join.
+    assert sorted(map(str, outline.collect())) == sorted(map(str, tree.paths(outline.drop("path", "open_from", "open_to")).select(*outline.columns).collect()))
+    assert outline.filter("source_id = 1").count() == 15 + 5 + 3 and outline.filter("source_id = 1").agg(F.max(F.size("path"))).first()[0] == 3
+    plan = outline._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    meta = spark.createDataFrame([(1, "T", "C", 9.0, None, "v")], "source_id long, title string, channel string, duration_seconds double, upload_date string, video_id string")
+    kept = outline.select("source_id", "section_id", F.lit(1).cast("long").alias("frame_id"), F.col("start").alias("ts"), F.lit("f").alias("path"))
+    notes = docs.notes_md(meta, outline, topics.exec_fallback(outline), docs.slot_frames(outline, kept))
+    assert notes.first().notes_md.count("![Frame at ") == 23
+    joins = [x for x in notes._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in x and "section_id" in x]
+    joined = notes._jdf.queryExecution().optimizedPlan().toString()
+    assert len(joins) == 2 and "summary" not in "".join(x for x in joined.splitlines() if "Join" in x)
