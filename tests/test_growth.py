@@ -1,6 +1,7 @@
 """What grows with the data: ties between segments, how often texts are shuffled, and files that no one lists at once."""
 
 import os
+import re
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -89,3 +90,23 @@ def test_outlines_and_notes_move_the_texts_of_sections_once(spark):
     joins = [x for x in notes._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in x and "section_id" in x]
     joined = notes._jdf.queryExecution().optimizedPlan().toString()
     assert len(joins) == 2 and "summary" not in "".join(x for x in joined.splitlines() if "Join" in x)
+
+
+def test_captions_send_lines_to_their_source_once(spark):
+    said = ["One fish here. Two fish there. ", "Red fish\nand blue. Some fish swim! ", " ", "Old fish rest now. New fish Swim. Fish one fish two", "Nothing to see", "Last words are said. Red fish two"]
+    seg = spark.createDataFrame([(s, k, 10.0 * k, 10.0 * k + 8, t) for s in (1, 2) for k, t in enumerate(said)], "source_id long, seq int, start double, end double, text string")
+    asked = spark.createDataFrame([(1, 0), (1, 4), (2, 2)], "source_id long, seq int")
+    got = {(r.source_id, r.seq): [x.text for x in r.w] for r in timejoin.beside(asked, seg, ["text"]).collect()}
+    assert got == {(1, 0): said[:4], (1, 4): said[1:], (2, 2): said}
+    # Against every sentence and line, for frames in, near and years away from the transcript, where rounding makes ties.
+    at = [-3.0, 4.0, 21.0, 39.5, 54.0, 9e8, 4e9]
+    obs = spark.createDataFrame([(1, k, t) for k, t in enumerate(at)], "source_id long, frame_id long, ts double")
+    shown = {r.frame_id: r.caption for r in docs.captions(obs, seg).collect()}
+    for k, t in enumerate(at):
+        c = min(range(6), key=lambda j: (abs(10.0 * j + 4 - t), j))
+        near = [(10.0 * j + 4, said[j].replace("\n", " ").strip()) for j in range(max(0, c - 3), min(6, c + 4)) if said[j].strip()]
+        cut = [x for x in re.sub(r"([.!?]) +([A-Z])", "\\1\u0001\\2", " ".join(x for _, x in near)).split("\u0001") if len(x) > 10]
+        worth = lambda s: round(max(len(set(s.lower().split()) & set(x.lower().split())) / (1 + abs(m - t)) for m, x in near), 9)  # noqa: B023, E731
+        best = sorted(range(len(cut)), key=lambda i: (-worth(cut[i]), i))[:2]
+        two = " ".join(cut[i] for i in best)
+        assert shown[k] == (two if two[-1] in ".!?" else two + "."), (k, t)
