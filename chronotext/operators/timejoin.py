@@ -159,8 +159,8 @@ def active_line(pos: DataFrame, seg: DataFrame, key: list[str], pad: float = 0.1
     """Each position with the transcript line shown then: the last one open (``pad`` on either side), else the one with the nearest midpoint within ``near``."""
     t, mid = F.col("t"), (F.col("start") + F.col("end")) / 2
     # A position meets a line that is open or whose midpoint is near.
-    lo, hi = F.least(F.col("start") - pad, mid - near), F.greatest(F.col("end") + pad, mid + near)
-    rows = spans(pos.select("source_id", *key, "t"), seg.select("source_id", "seq", "start", "end"), (t, t), (lo, hi))
+    of = seg.select("source_id", "seq", "start", "end", F.least(F.col("start") - pad, mid - near).alias("_lo"), F.greatest(F.col("end") + pad, mid + near).alias("_hi"))
+    rows = spans(pos.select("source_id", *key, "t"), of, (t, t), (F.col("_lo"), F.col("_hi")), levels(of, "_lo", "_hi"))
     far = F.abs(t - mid)
     is_open = (F.col("start") - pad <= F.col("t")) & (F.col("t") < F.col("end") + pad)
     best = rows.groupBy("source_id", *key).agg(F.max(F.when(is_open, F.col("seq"))).alias("_open"), F.min(F.when(far <= near, F.struct(far.alias("d"), "seq"))).alias("_near"))

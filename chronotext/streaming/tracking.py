@@ -25,30 +25,38 @@ def located(batch: DataFrame, sections: DataFrame, seg: DataFrame) -> DataFrame:
     return timejoin.active_line(shown, seg, ["viewer", "event_time", "_at"]).select(*key, "section_id", "line_seq")
 
 
-def track_positions(stream: DataFrame, delay: str = "10 minutes", ttl_ms: int = 3_600_000) -> DataFrame:
+def track_positions(stream: DataFrame, delay: str = "10 minutes", ttl_ms: int = 3_600_000, buckets: int = 1024) -> DataFrame:
     """Changes of what each viewer of a source is shown, from the stream of :func:`located` positions: a row whenever section or line differs from the one before.
 
-    The watermark bounds late positions; a viewer that the watermark leaves ``ttl_ms`` behind is forgotten.
+    The watermark bounds late positions; a viewer that the watermark leaves ``ttl_ms`` behind is forgotten.  A call of the
+    state function costs milliseconds, so it serves a bucket of viewers, not one: their states lie side by side, each with
+    the time until which it is kept.
     """
-    rows = stream.withWatermark("event_time", delay)
+    rows = stream.withWatermark("event_time", delay).withColumn("bucket", F.pmod(F.xxhash64("viewer", "source_id"), F.lit(buckets)))
 
     def changes(key, batches, state: GroupState):
-        if state.hasTimedOut:
+        held = {(v, s): now for v, s, *now in zip(*state.get, strict=True)} if state.exists else {}
+        mark, nothing = state.getCurrentWatermarkMs(), (None, None, 0)
+        if not state.hasTimedOut:
+            pdf = pd.concat(list(batches)).sort_values(["event_time", "t"], ignore_index=True)
+            at = pdf["event_time"].to_numpy("datetime64[ms]").astype("int64").tolist()
+            changed, sections, lines = [], pdf["section_id"].tolist(), pdf["line_seq"].tolist()
+            for k, (who, ms, section, line) in enumerate(zip(zip(pdf["viewer"].tolist(), pdf["source_id"].tolist(), strict=True), at, sections, lines, strict=True)):
+                section, line = section if isinstance(section, str) else None, None if pd.isna(line) else int(line)
+                if (section, line) != tuple(held.get(who, nothing)[:2]):
+                    changed.append(k)
+                held[who] = (section, line, max(ms, mark) + ttl_ms)
+            yield pdf.loc[changed, ["viewer", "source_id", "event_time", "section_id", "line_seq"]].astype({"line_seq": "Int64"})
+        held = {who: now for who, now in held.items() if now[2] > mark}
+        if held:
+            state.update(tuple(list(c) for c in zip(*(who + tuple(now) for who, now in held.items()), strict=True)))
+            state.setTimeoutTimestamp(min(now[2] for now in held.values()))
+        else:
             state.remove()
-            return
-        last = state.get if state.exists else (None, None)
-        pdf = pd.concat(list(batches)).sort_values(["event_time", "t"])
-        out = []
-        for r in pdf.itertuples(index=False):
-            now = (r.section_id if isinstance(r.section_id, str) else None, None if pd.isna(r.line_seq) else int(r.line_seq))
-            if now != last:
-                out.append((key[0], key[1], r.event_time, *now))
-                last = now
-        state.update(last)
-        state.setTimeoutTimestamp(max(int(pdf["event_time"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + ttl_ms)
-        yield pd.DataFrame(out, columns=["viewer", "source_id", "event_time", "section_id", "line_seq"]).astype({"line_seq": "Int64"})
-
-    return rows.groupBy("viewer", "source_id").applyInPandasWithState(changes, "viewer long, source_id long, event_time timestamp, section_id string, line_seq int", "section_id string, line_seq int", "append", GroupStateTimeout.EventTimeTimeout)
+
+    one = "viewer long, source_id long, event_time timestamp, section_id string, line_seq int"
+    kept = "viewer array<long>, source_id array<long>, section_id array<string>, line_seq array<int>, until array<long>"
+    return rows.groupBy("bucket").applyInPandasWithState(changes, one, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rolling_history(stream: DataFrame, n: int = 8, ttl_ms: int | None = 86_400_000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 import re
+from datetime import datetime, timedelta
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from chronotext.operators import docs, timejoin, topics, tree
 from chronotext.plans import queries
 from chronotext.sources import bundle, readers
+from chronotext.streaming import tracking
 
 
 def test_neighbours_take_the_first_of_equally_near_segments(spark):
@@ -110,3 +112,28 @@ def test_captions_send_lines_to_their_source_once(spark):
         best = sorted(range(len(cut)), key=lambda i: (-worth(cut[i]), i))[:2]
         two = " ".join(cut[i] for i in best)
         assert shown[k] == (two if two[-1] in ".!?" else two + "."), (k, t)
+
+
+def test_playback_state_lies_in_buckets(spark, tmp_path):
+    ddl = "viewer long, source_id long, event_time timestamp, t double, section_id string, line_seq int"
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    # Viewers 0 to 29 of two sources, then half of them again, then one whose time leaves the others behind, then one of those.
+    rows = [[(v, s, at(v + k), float(k), None if k == 3 else f"s{k // 2}", None if k == 4 else v) for v in range(30) for s in (1, 2) for k in range(5)]]
+    rows += [[(v, 1, at(100 + v), 9.0, "s2", None) for v in range(15)] + [(99, 9, at(9000), 0.0, None, None)], [(99, 9, at(9100), 0.0, None, 5)], [(3, 1, at(9200), 0.0, "s2", None), (99, 9, at(9200), 1.0, None, 5)]]
+    for k, of in enumerate(rows):
+        spark.createDataFrame(of, ddl).coalesce(1).write.parquet(f"{tmp_path}/in/b{k}")
+        os.utime(next(f"{tmp_path}/in/b{k}/{f}" for f in os.listdir(f"{tmp_path}/in/b{k}") if f.endswith(".parquet")), (1e9 + k, 1e9 + k))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = tracking.track_positions(stream, "0 seconds", 1_000_000, buckets=4).writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(kept) <= 4 and query.exception() is None
+    want, last = [], {}
+    for k, of in enumerate(rows):
+        if k == 3:
+            last = {w: x for w, x in last.items() if w == (99, 9)}
+        for v, s, when, _, section, line in sorted(of, key=lambda r: (r[2], r[3])):
+            if (section, line) != last.get((v, s), (None, None)):
+                want.append((v, s, when, section, line))
+            last[v, s] = (section, line)
+    assert len(want) > 200 and sorted(map(str, map(tuple, spark.table("changes").collect()))) == sorted(map(str, want))
