@@ -110,7 +110,8 @@ def _chunks(seg: DataFrame, max_tokens: int, overlap: int, counter: Callable[[Co
     cell = F.when(F.col("start").isNull(), -(1 << 60)).otherwise(F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col("start"))) / CELL)).cast("long")
     rows = seg.select("source_id", F.col("seq"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), counter(F.col("text")).cast("long").alias("tok"), stop.alias("stop"), "text", F.xxhash64("text").alias("tie"))
     # Segments that agree in time and seq are told apart by their texts; equal rows stand for each other.
-    within = W.Window.partitionBy("source_id", "cell").orderBy("start", "seq", "end", "tok", "stop", "tie")
+    # Tokens and sentence ends follow from the text, so they need no place in the order and are counted for the cuts alone.
+    within = W.Window.partitionBy("source_id", "cell").orderBy("start", "seq", "end", "tie")
     rows = rows.withColumn("cell", cell).withColumn("no", F.row_number().over(within))
     found = cuts(rows, max_tokens, overlap, at_stops)
     last = F.col("pos") == F.size("cells") - 1

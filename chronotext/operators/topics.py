@@ -142,13 +142,19 @@ def _rolled(p: Column) -> list[Column]:
 def _gathered(grouped: DataFrame, summaries: DataFrame, chunks: DataFrame, *more: str) -> DataFrame:
     """(source_id, topic_no, p): what sections are made of, for each topic in order; of key points a section takes the first of each.
 
-    Ids and times are those of ``chunks``, unless the summaries have a chunk_id.
+    Ids and times are those of ``chunks``, unless the summaries have a chunk_id.  A chunk's topic stands in front of it as a
+    row of its own, so that texts go to their source once and their topics are put together there.
     """
-    known = ["chunk_id", "start", "end"] if "chunk_id" in summaries.columns else []
-    told = summaries.select("source_id", "chunk_no", "heading", "main_idea", F.slice("key_points", 1, 1).alias("points"), *known)
-    rows = grouped.select("source_id", "chunk_no", "topic_no", *more).join(told.hint("shuffle_merge"), ["source_id", "chunk_no"])
-    if not known:
-        rows = rows.join(chunks.select("source_id", "chunk_no", "chunk_id", "start", "end").hint("shuffle_merge"), ["source_id", "chunk_no"])
+    told = summaries
+    if "chunk_id" not in summaries.columns:
+        told = summaries.drop("start", "end").join(chunks.select("source_id", "chunk_no", "chunk_id", "start", "end").hint("shuffle_merge"), ["source_id", "chunk_no"])
+    told = told.select("source_id", "chunk_no", "chunk_id", "heading", "main_idea", F.slice("key_points", 1, 1).alias("points"), "start", "end")
+    texts, of = [c for c in told.columns if c not in ("source_id", "chunk_no")], F.struct("topic_no", *more)
+    asked = grouped.select("source_id", "chunk_no", of.alias("_of"), *(F.lit(None).cast(told.schema[c].dataType).alias(c) for c in texts))
+    line = told.withColumn("_of", F.lit(None).cast(asked.schema["_of"].dataType)).unionByName(asked).withColumn("_is", F.col("_of").isNull().cast("int"))
+    w = W.Window.partitionBy("source_id").orderBy("chunk_no", "_is")
+    asks = F.when(F.lag("chunk_no").over(w) == F.col("chunk_no"), F.lag("_of").over(w))
+    rows = line.withColumn("_asks", asks).filter("_is = 1 AND _asks IS NOT NULL").select("source_id", "chunk_no", *texts, "_asks.*")
     return rows.groupBy("source_id", "topic_no").agg(F.array_sort(F.collect_list(F.struct("chunk_no", *more, "chunk_id", "heading", "main_idea", "points", "start", "end"))).alias("p"))
 
 

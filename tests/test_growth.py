@@ -137,3 +137,18 @@ def test_playback_state_lies_in_buckets(spark, tmp_path):
                 want.append((v, s, when, section, line))
             last[v, s] = (section, line)
     assert len(want) > 200 and sorted(map(str, map(tuple, spark.table("changes").collect()))) == sorted(map(str, want))
+
+
+def test_chunks_meet_their_topics_without_a_join_and_texts_are_counted_once(spark):
+    rows = [(s, k, f"chunk_{k:04d}", f"Say {s} {k}. Second one.", 10.0 * k, 10.0 * k + 9) for s in (1, 2) for k in range(7)]
+    chunks = spark.createDataFrame(rows, "source_id long, chunk_no int, chunk_id string, text string, start double, end double")
+    grouped = spark.createDataFrame([(s, k, k // 3) for s in (1, 2) for k in range(7) if (s, k) != (2, 4)], "source_id long, chunk_no int, topic_no int")
+    summaries = topics.chunk_fallback(chunks)
+    made = topics.topic_fallback(grouped, summaries, chunks)
+    got = {(r.source_id, r.topic_no): (r.start, r.end, r.heading, r.chunk_ids) for r in made.collect()}
+    want = {(s, t): [k for k in range(7) if k // 3 == t and (s, k) != (2, 4)] for s in (1, 2) for t in range(3)}
+    assert got == {(s, t): (10.0 * k[0], 10.0 * k[-1] + 9, f"Say {s} {k[0]}.", [f"chunk_{x:04d}" for x in k]) for (s, t), k in want.items()}
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    plain = topics.topic_fallback(grouped, summaries.drop("chunk_id", "cue"), chunks)
+    assert sorted(map(str, made.collect())) == sorted(map(str, plain.collect()))
