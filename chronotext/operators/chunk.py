@@ -118,14 +118,17 @@ def _chunks(seg: DataFrame, max_tokens: int, overlap: int, counter: Callable[[Co
     found = found.select("*", F.posexplode("cells").alias("pos", "cell")).select("source_id", "cell", "chunk_no", (F.size("cells") == 1).alias("whole"), F.when(F.col("pos") == 0, F.col("from_no")).otherwise(0).alias("lo"), F.when(last, F.col("to_no")).otherwise((1 << 31) - 1).alias("hi"))
     met = rows.join(found.hint("shuffle_hash"), ["source_id", "cell"]).filter(F.col("no").between(F.col("lo"), F.col("hi")))
     # The join has dealt rows by (source, cell), so pieces are put together where they are; most chunks are one piece.
-    of = lambda p: [F.array_join(F.transform(p, lambda x: x["text"]), " ").alias("text"), F.get(p, F.lit(0))["start"].alias("start"), F.element_at(p, -1)["end"].alias("end")]
+    # A piece whose texts are all null has none, so that it leaves no blank between its neighbours; a chunk has an empty one.
+    joined = lambda p: F.when(F.exists(p, lambda x: x["text"].isNotNull()), F.array_join(F.transform(p, lambda x: x["text"]), " "))
+    of = lambda p: [joined(p).alias("text"), F.get(p, F.lit(0))["start"].alias("start"), F.element_at(p, -1)["end"].alias("end")]
+    whole_text = F.coalesce("text", F.lit(""))
     pieces = met.groupBy("source_id", "cell", "chunk_no", "whole").agg(F.array_sort(F.collect_list(F.struct("no", "seq", "start", "end", "text"))).alias("p"))
     pieces = pieces.select("source_id", "cell", "chunk_no", "whole", *of(F.col("p")), F.transform("p", lambda x: x["seq"]).alias("segment_indices"))
-    pieces = staged(pieces.withColumn("token_count", F.when(F.col("whole"), counter(F.col("text")).cast("long"))), "pieces")
+    pieces = staged(pieces.withColumn("token_count", F.when(F.col("whole"), counter(whole_text).cast("long"))), "pieces")
     fields = ["source_id", "chunk_no", "text", "start", "end", "segment_indices", "token_count"]
     parts = pieces.filter("NOT whole").groupBy("source_id", "chunk_no").agg(F.array_sort(F.collect_list(F.struct("cell", "text", "start", "end", "segment_indices"))).alias("p"))
-    parts = parts.select("source_id", "chunk_no", *of(F.col("p")), F.flatten(F.transform("p", lambda x: x["segment_indices"])).alias("segment_indices")).withColumn("token_count", counter(F.col("text")).cast("long"))
-    out = pieces.filter("whole").select(*fields).unionByName(parts)
+    parts = parts.select("source_id", "chunk_no", *of(F.col("p")), F.flatten(F.transform("p", lambda x: x["segment_indices"])).alias("segment_indices")).withColumn("token_count", counter(whole_text).cast("long"))
+    out = pieces.filter("whole").select(*fields).unionByName(parts).withColumn("text", whole_text)
     return out.select("source_id", "chunk_no", chunk_id("chunk", F.col("chunk_no")).alias("chunk_id"), "text", "start", "end", "token_count", "segment_indices")
 
 

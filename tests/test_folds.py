@@ -77,3 +77,11 @@ def test_proximity_dedup_by_runs(spark):
                     kept[-1] = (ts, i, size)
             want += [(s, ts, i) for ts, i, _ in kept]
         assert got == sorted(want)
+
+
+def test_null_texts_of_a_cell_leave_no_blank(spark):
+    """A chunk over several time cells, of which some have null texts alone."""
+    data = [(1, 0, 0.0, 1.0, "a"), (1, 1, 600.0, 601.0, None), (1, 2, 1200.0, 1201.0, "b"), (1, 3, 1800.0, 1801.0, ""), (2, 0, 0.0, 1.0, None), (2, 1, 600.0, 601.0, None), (3, 0, 0.0, 1.0, None)]
+    df = spark.createDataFrame(data, "source_id long, seq int, start double, end double, text string")
+    for make in (chunk_tokens, chunk_sentences):
+        assert sorted((r.source_id, r.text, r.token_count, list(r.segment_indices)) for r in make(df, 40, 9).collect()) == [(1, "a b ", 2, [0, 1, 2, 3]), (2, "", 0, [0, 1]), (3, "", 0, [0])]
