@@ -1,11 +1,15 @@
 """Documents written as files, and the library that is read from them."""
 
+import glob
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from chronotext.plans import queries
 from chronotext.sources import bundle, readers
+from chronotext.staging import FREED, folder, staged
 
 
 def files(path):
@@ -35,3 +39,29 @@ def test_library_stops_at_depth_two(spark, tmp_path):
     rows = readers.scan_library(spark, str(tmp_path)).collect()
     assert [r.title for r in rows] == ["A", "B", "Top"] and rows[0].notes == "# A\n\ntext\n"
     assert readers.scan_library(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_library_has_no_more_than_its_scan_reads(spark):
+    """Notes alone: any file, however short, takes a block of disk, as do the folders."""
+    at = f"{folder(spark).removeprefix('file:')}/library-*"
+    before = set(glob.glob(at))
+    rows = queries.QUERIES["a8_library_files"](spark, "/root/testdata/sf0.001").collect()
+    (library,) = set(glob.glob(at)) - before
+    assert len(rows) > 100 and files(library) == sorted(["_SUCCESS", *(f"{r.out_key}/notes.md" for r in rows)])
+    assert all(open(f"{library}/{r.out_key}/notes.md", encoding="utf-8").read() == r.notes for r in rows[:20])
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    def shuffled():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(held.size()) if (name := held.apply(k).getName()).startswith("shuffle_")}
+
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("source_id")).agg(F.collect_list("id").alias("ids"))
+    notes = df.select("source_id", F.lit("T").alias("title"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("notes_md"))
+    for write in (lambda: staged(df, "freed"), lambda: bundle.write_documents(notes, str(tmp_path / "freed"))):
+        before, set_to = shuffled(), spark.conf.get(FREED, None)
+        write()
+        end = time.time() + 20
+        while (left := {x for x in shuffled() - before if x.endswith(".data")}) and time.time() < end:
+            time.sleep(0.2)
+        assert not left and spark.conf.get(FREED, None) == set_to
