@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronotext.plans import queries
 from chronotext.sources import bundle, readers
-from chronotext.staging import FREED, folder, staged
+from chronotext.staging import FREED, folder, passing, staged
 
 
 def files(path):
@@ -44,10 +44,13 @@ def test_library_stops_at_depth_two(spark, tmp_path):
 def test_library_has_no_more_than_its_scan_reads(spark):
     """Notes alone: any file, however short, takes a block of disk, as do the folders."""
     at = f"{folder(spark).removeprefix('file:')}/library-*"
-    before = set(glob.glob(at))
+    staged_at = f"{folder(spark).removeprefix('file:')}/chronotext-{spark.sparkContext.applicationId}/*"
+    before, tables = set(glob.glob(at)), glob.glob(staged_at)
     rows = queries.QUERIES["a8_library_files"](spark, "/root/testdata/sf0.001").collect()
     (library,) = set(glob.glob(at)) - before
     assert len(rows) > 100 and files(library) == sorted(["_SUCCESS", *(f"{r.out_key}/notes.md" for r in rows)])
+    # What the notes are made of is gone.
+    assert sorted(glob.glob(staged_at)) == sorted(tables)
     assert all(open(f"{library}/{r.out_key}/notes.md", encoding="utf-8").read() == r.notes for r in rows[:20])
 
 
@@ -65,3 +68,20 @@ def test_writes_leave_no_shuffle_files(spark, tmp_path):
         while (left := {x for x in shuffled() - before if x.endswith(".data")}) and time.time() < end:
             time.sleep(0.2)
         assert not left and spark.conf.get(FREED, None) == set_to
+
+
+def test_staged_tables_go_with_what_is_made_of_them(spark, tmp_path):
+    def there():
+        return {os.path.basename(p).split("-")[0] for p in glob.glob(f"{folder(spark).removeprefix('file:')}/chronotext-{spark.sparkContext.applicationId}/passing*")}
+
+    kept = staged(spark.range(3), "passing_kept")
+    with passing() as held:
+        first = staged(kept, "passing_first")
+        with passing():
+            assert staged(first, "passing_inner").count() == 3 and there() == {"passing_kept", "passing_first", "passing_inner"}
+        second = held.alone(first.filter("id > 0"), "passing_second")
+        assert there() == {"passing_kept", "passing_second"} and second.count() == 2
+    with pytest.raises(ValueError, match="no more"), passing():
+        staged(kept, "passing_third")
+        raise ValueError("no more")
+    assert there() == {"passing_kept"} and kept.count() == 3
